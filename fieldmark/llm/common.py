@@ -38,3 +38,11 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that no column in ``taken`` has, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
+from .secrets import op4_secret_scan
+from .simhash import op2_simhash_dedup
 
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
