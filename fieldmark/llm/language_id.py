@@ -171,10 +171,10 @@ def fit(docs: DataFrame, per_lang: int = 600, modulus: int = 3, held: int = 1) -
     return train(sample(docs.select("doc_id", "text", "lang").where(fold_of(F.col("doc_id"), modulus) != held), per_lang))
 
 
-def with_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep, lang_pred, score and accepted for each row of docs."""
-    names = [*keep, "lang_pred", "score", "accepted"]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+def with_language(docs: DataFrame, model: Model, keep: list[str], told: tuple[str, ...] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """keep, and under the names ``told`` the language, its probability and whether it is accepted, for each row of docs."""
+    names = [*keep, *told]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(told, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
 
     def run(batches):
         subwords = Subwords()

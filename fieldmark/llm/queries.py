@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .gif import op8_gif_media
 from .language_id import op6_language_id
+from .lm_scoring import op3_lm_scoring
 from .mixing import op7_soft_mixing
 from .packing import op1_best_fit_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secrets import op4_secret_scan
 from .simhash import op2_simhash_dedup
+from .suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scan": op4_secret_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_soft_mixing": op7_soft_mixing,
     "op8_gif_media": op8_gif_media,
