@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLE_SQL, QUERIES, load
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "op_clv"
+
+load()
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
