@@ -7,6 +7,8 @@ the ratings of one league, never a league's history.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,6 +76,39 @@ class EloState:
         return h, a, p, self.rating[home], self.rating[away]
 
 
+def _dump(s: EloState) -> str:
+    return json.dumps([list(s.rating.items()), list(s.games.items()), [(t, d.isoformat()) for t, d in s.played.items()], s.last and s.last.isoformat()])
+
+
+def _load(spec: RatingSpec, text: str) -> EloState:
+    s = EloState(spec)
+    rating, games, played, last = json.loads(text)
+    s.rating, s.games, s.played = dict(map(tuple, rating)), dict(map(tuple, games)), {t: dt.date.fromisoformat(d) for t, d in played}
+    s.last = dt.date.fromisoformat(last) if last else None
+    return s
+
+
+def stream_fold(games: DataFrame, spec: RatingSpec) -> DataFrame:
+    """The Elo fold over a stream of games: a league's ratings are the state, games in order update it.
+
+    A game older than the league's last one would change every later rating; it
+    comes out with null ratings, for a replay.
+    """
+
+    def step(key, frames, state):
+        batch = pd.concat(list(frames)).sort_values(["game_date", "game_id"])
+        now = _load(spec, state.get[0]) if state.exists else EloState(spec)
+        out = []
+        for row in batch.itertuples(index=False):
+            late = now.last is not None and row.game_date < now.last
+            told = (None,) * 5 if late else now.step(row.home, row.away, row.home_score, row.away_score, row.game_date)
+            out.append((row.game_id, row.league, row.game_date, row.home, row.away, *told))
+        state.update((_dump(now),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
+
+    return games.groupBy("league").applyInPandasWithState(step, SCORED, "state string", "append", "NoTimeout")
+
+
 class GlickoState:
     """Rating, deviation and volatility of one league's teams."""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.jobs import event_stream, keep_latest, run_now
+from ..operators.ratings import RatingSpec, stream_fold
+from ..sources.tables import DOMAIN
+from ..streaming.jobs import event_stream, keep_latest, run_now, table_stream
 from . import query
 
 
@@ -48,3 +50,11 @@ def _(t):
 def _(t):
     fills = event_stream(t.spark, t.sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     return keep_latest(fills, ["event_id"], "ts", "fills").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
+
+
+@query("st_rating_update")
+def _(t):
+    """Games as they come; equals rt_elo_std as long as none is late."""
+    games = t.spark.sql(DOMAIN["games"], orders=table_stream(t.spark, t.sf_dir, "orders")).where("status <> 'scheduled'")
+    scored = run_now(stream_fold(games, RatingSpec()), "ratings")
+    return scored.select("game_id", "league", *[F.round(c, 6).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])

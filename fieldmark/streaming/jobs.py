@@ -16,9 +16,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table events as a stream, its time cast once."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def run_now(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
