@@ -41,14 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_BYTES, chunked, pack_ints, ranges_for, split_ranges, unpack_ints, unseal
+from .chunks import chunked, pack_ints, ranges_for, split_ranges, unpack_ints, unseal
 from .common import documents, materialise
 
 SPAN = 100
 GRAM = 32
 REACH = SPAN - GRAM  # how far left of its place a window may start
 HOT = 5000
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
+#: Text of a chunk and of a key range: what a task holds at once is a small multiple.
+CHUNK, RANGE = 2 << 20, 4 << 20
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
 
@@ -300,6 +302,15 @@ def _spans(chunk: np.ndarray, start: np.ndarray, stop: np.ndarray, names: list[s
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("chunk", pa.string()), ("start", pa.binary()), ("stop", pa.binary())))})
 
 
+def outwards(text: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of ``size`` bytes from each place on, zero-padded; byte values are shifted by one, as 255 is no byte of UTF-8."""
+    out, k = np.zeros((len(at), width), np.uint8), np.arange(width)
+    for i in range(0, len(at), 4096):
+        inside = k < size[i : i + 4096, None]
+        out[i : i + 4096] = np.where(inside, text[np.where(inside, at[i : i + 4096, None] + step * k, 0)] + np.uint8(1), 0)
+    return out
+
+
 def tree_spans(table: pa.Table) -> pa.Table:
     """Spans to remove, from the surroundings of one key range."""
     names, data = table.column("chunk").to_pylist(), table.column("data").to_pylist()
@@ -318,9 +329,7 @@ def tree_spans(table: pa.Table) -> pa.Table:
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((place, sub, doc))] = np.arange(len(key))
         at = begin + n_left
-        # zero-padded, byte values shifted by one: 255 is no byte of UTF-8
-        side = lambda k, n, step: np.where(k < n[:, None], text[np.clip(at[:, None] + step * k - (step < 0), 0, len(text) - 1)] + np.uint8(1), 0).astype(np.uint8)
-        right, left = side(np.arange(SPAN)[None, :], n_right, 1), side(np.arange(REACH)[None, :], n_left, -1)
+        right, left = outwards(text, at, n_right, SPAN, 1), outwards(text, at - 1, n_left, REACH, -1)
         row = np.hstack([key.astype(">u8").view(np.uint8).reshape(-1, 8), right, left])
         _, label = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_inverse=True)
         by = np.lexsort((rank, label))
@@ -351,10 +360,10 @@ def window_spans(table: pa.Table) -> pa.Table:
 OUT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
-def removed_spans(docs: DataFrame, hot: int = HOT, size: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, hot: int = HOT, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(chunks of docs, stored spans to remove by chunk and place in it)."""
     chunks = chunked(docs.select("doc_id", "text"), "suffix-chunks", size)
-    ranges = ranges_for(chunks)
+    ranges = ranges_for(chunks, RANGE)
     kinds = gram_totals(chunks, ranges, hot)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -371,7 +380,7 @@ def removed_spans(docs: DataFrame, hot: int = HOT, size: int = CHUNK_BYTES) -> t
     return chunks, materialise(spans, "spans")
 
 
-def substring_dedup(docs: DataFrame, hot: int = HOT, texts: bool = False, size: int = CHUNK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, hot: int = HOT, texts: bool = False, size: int = CHUNK) -> DataFrame:
     """doc_id and OUT for each row of docs; with ``texts`` also what is left of each text (broken characters dropped)."""
     chunks, spans = removed_spans(docs, hot, size)
     more = [T.StructField("kept_text", T.StringType())] if texts else []
