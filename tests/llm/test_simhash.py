@@ -69,3 +69,41 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert S.near_duplicates(empty(spark)).count() == 0
+
+
+def jaccard(x, y, width):
+    sets = []
+    for t in (x, y):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 0.0
+
+
+def test_similar_documents_against_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(3, 150))) for _ in range(40)]
+    texts = list(base)
+    for b in base:
+        for _ in range(rng.randrange(4)):
+            w = b.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += base[:6] + ["", None, " ", "one two"] + [base[0] + f" tail{i}" for i in range(40)]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, base[1])], "doc_id bigint, text string").repartition(3)
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and ((x or "") == (y or "") or jaccard(x, y, 5) >= 0.8):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    want = sorted((i, root(i)) for i, _ in [*rows, rows[0]])
+    assert sorted((r.doc_id, r.component_id) for r in S.similar_documents(docs).collect()) == want
+    assert S.similar_documents(empty(spark)).count() == 0
