@@ -171,11 +171,13 @@ def _(t):
 @query("op_tennis_features", f"""WITH {SIDES}, h AS (SELECT a.game_id, a.team, sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 180.0) * CAST(b.f > b.a AS INTEGER)) / sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 180.0)) AS rate, count(*) AS n
 FROM s a JOIN s b ON a.league = b.league AND a.team = b.team AND b.game_date < a.game_date AND b.game_date >= a.game_date - 365 WHERE a.league < 4 GROUP BY 1, 2) SELECT game_id, team, round(rate, 6) AS decayed_rate, n FROM h""")
 def _(t):
-    s = unpivot_sides(t.games.where("league < 4")).select("game_id", "league", "team", "game_date", (F.col("points_for") > F.col("points_against")).cast("int").alias("w"))
-    b = s.select("league", "team", F.col("game_date").alias("d"), F.col("w").alias("bw"))
-    j = s.join(b, ["league", "team"]).where((F.col("d") < F.col("game_date")) & (F.col("d") >= F.date_sub("game_date", 365)))
-    k = stats.half_life(F.date_diff("game_date", "d"), 180.0)
-    return j.groupBy("game_id", "team").agg(F.round(F.sum(k * F.col("bw")) / F.sum(k), 6).alias("decayed_rate"), F.count("*").alias("n"))
+    """exp decay is a ratio of sums: what dates a weight cancels out, so one ordered window does without a self-join."""
+    s = unpivot_sides(t.games.where("league < 4"))
+    won = (F.col("points_for") > F.col("points_against")).cast("int")
+    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1997-01-01").cast("date")), 180.0)
+    w = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date")).rangeBetween(-365, -1)
+    out = s.select("game_id", "team", F.round(F.sum(k * won).over(w) / F.sum(k).over(w), 6).alias("decayed_rate"), F.count("*").over(w).alias("n"))
+    return out.where("n > 0")
 
 
 @query("op_oriented_rows", "SELECT game_id, greatest(home_score, away_score) AS a, least(home_score, away_score) AS b, 1 AS target FROM games UNION ALL SELECT game_id, least(home_score, away_score), greatest(home_score, away_score), 0 FROM games")
