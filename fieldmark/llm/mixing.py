@@ -5,9 +5,10 @@ table, gives each document a posterior over the domains.  A document's tokens
 count for a domain as far as it belongs there.  Document rates r then minimise
 the squared distance of the expected token totals A r to the targets by
 projected gradient steps, r <- clip(r - p . step), scaled by the inverse of the
-small matrix sum(tokens p p') so that few steps are needed.  Each step is one
-aggregate over a compact table of tokens and posteriors; a rate is a fold of
-the steps so far, so no document ever leaves its partition.
+small matrix sum(tokens p p') so that few steps are needed.  As a rate depends on the posterior alone, and posteriors
+come in thousandths, each step is one aggregate over the kinds of documents (at
+most half a million for three domains, whatever the corpus size); a rate is a
+fold of the steps, so no document leaves its partition.
 
 Nulls: a null text has no tokens; without tokens, or without labelled rows, a
 posterior is the prior.  A null doc_id keeps its row.  Labels that repeat for a
@@ -88,6 +89,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOM
         scored = scored.select("doc_id", "tokens", F.when(F.col("tokens") > 0, p).otherwise(prior).alias("p"))
     else:
         scored = stats.select("doc_id", "tokens", prior.alias("p"))
+    if len(names) > 1:  # in steps of a thousandth: documents alike in it share one rate, and there are few such kinds
+        p = F.transform(F.slice("p", 1, len(names) - 1), lambda x: F.round(x, 3))
+        rest = F.greatest(F.lit(0.0), F.round(1 - F.aggregate(p, F.lit(0.0), lambda a, b: a + b), 3))
+        scored = scored.withColumn("p", F.concat(p, F.array(rest)))
     return materialise(scored, "posteriors"), names
 
 
@@ -105,7 +110,7 @@ def _rate(steps: list[np.ndarray], low: float, high: float) -> Column:
     return F.aggregate(given, start, move)
 
 
-def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES, rounds: int = 40, tol: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES, rounds: int = 40, tol: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, targets, totals reached): totals and the matrix have a row a domain, whatever the corpus size.
 
     Targets are the weights' shares of the least total for which no domain
@@ -116,8 +121,11 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
     if not d:
         return [], np.zeros(0), np.zeros(0)
 
+    kinds = scored.groupBy("p").agg(F.sum("tokens").alias("tokens"))
+    kinds = materialise(kinds.coalesce(8), "mix-kinds")  # bounded, and read once a step
+
     def sums(*extra):
-        return scored.agg(*[F.coalesce(x, F.lit(0.0)) for x in extra]).first()
+        return kinds.agg(*[F.coalesce(x, F.lit(0.0)) for x in extra]).first()
 
     pick = lambda i: F.col("p")[i]
     first = sums(*[F.sum(F.col("tokens") * pick(i)) for i in range(d)], *[F.sum(F.col("tokens") * pick(i) * pick(j)) for i in range(d) for j in range(d)])
@@ -136,13 +144,15 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
         now = np.array(now, float)
         off = now - target
         miss = float(off @ scale @ off)
-        if miss >= best * (1 - 1e-3):  # no longer nearer: keep what was reached before
+        if miss >= best * (1 - 1e-2):  # no longer nearer: keep what was reached before
             steps = steps[:-1]
             break
         best, reached = miss, now
         if np.abs(off).sum() <= tol * target.sum():
             break
-        steps.append(scale @ (now - target))
+        steps.append(scale @ off)
+    else:
+        steps = steps[:-1]  # the last one's effect was not looked at
     return steps, target, reached
 
 
