@@ -3,7 +3,7 @@
 ``encode`` writes indexed frames as GIF89a, ``decode`` reads any GIF: LZW code
 streams, global and local palettes, interlacing, transparency, and the three
 disposal rules, giving timed frames as they show.  ``media_columns`` stores
-texts as animations of 24 x 24 pixels, one byte a pixel, and adds columns about
+texts as animations, one byte a pixel in frames 24 pixels wide, and adds columns about
 the frames that the stored bytes give back.
 
 Nulls: a null text is an empty one, which is stored as one frame of padding; a
@@ -13,6 +13,7 @@ null doc_id keeps its row.  Long texts have more frames; nothing is cut.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 
@@ -26,6 +27,8 @@ from .common import documents
 
 SIDE = 24
 BLOCK = SIDE * SIDE
+#: Blocks in a frame, one below the other: the largest number up to this that divides a text's blocks.
+TALL = 16
 PAD = b"\xff"
 DELAY_CS = 10
 BINS = 16
@@ -43,6 +46,7 @@ def _layout(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LAYOUTS = {b: _layout(b) for b in range(2, 9)}
+_MASKS = {b: (1 << w) - 1 for b, (w, _) in _LAYOUTS.items()}
 
 
 def lzw_codes(data: bytes, bits: int = 8) -> list[int]:
@@ -73,27 +77,41 @@ def lzw_codes(data: bytes, bits: int = 8) -> list[int]:
 
 def pack_codes(codes: list[int], bits: int = 8) -> bytes:
     """Codes as a stream of bytes, each as wide as the reader's table asks for then."""
-    arr = np.array(codes, np.int64)
-    clear = 1 << bits
+    return pack_streams([codes], bits)[0]
+
+
+def pack_streams(streams: list[list[int]], bits: int = 8) -> list[bytes]:
+    """Several streams at once; each begins with a clear code and on a byte of its own."""
     width, _ = _LAYOUTS[bits]
+    size = np.array([len(c) for c in streams])
+    arr = np.fromiter(itertools.chain.from_iterable(streams), np.int64, int(size.sum()))
     at = np.arange(len(arr))
-    last = np.maximum.accumulate(np.where(arr == clear, at, -1))  # the clear code at or before each code
+    first = np.cumsum(size) - size
+    last = np.maximum.accumulate(np.where(arr == 1 << bits, at, -1))  # the clear code at or before each code
     since = at - np.r_[-1, last[:-1]] - 1  # how many codes since the clear code before it
+    since[first] = 0
     w = width[since]
-    start = np.r_[0, np.cumsum(w)]
-    out = np.zeros((int(start[-1]) + 7) // 8 + 3, np.int64)
-    byte, v = start[:-1] >> 3, arr << (start[:-1] & 7)
-    size = len(out)
+    run = np.cumsum(w)
+    total = np.diff(np.r_[0, run[first + size - 1]])
+    length = (total + 7) // 8
+    begin = np.cumsum(length) - length
+    start = run - w + np.repeat(8 * begin - np.r_[0, np.cumsum(total)[:-1]], size)
+    byte, v = start >> 3, arr << (start & 7)
+    end = int(length.sum())
+    out = np.zeros(end + 3, np.int64)
     for k in range(3):
-        out += np.bincount(byte + k, (v >> (8 * k)) & 255, size).astype(np.int64)
-    return out[: (int(start[-1]) + 7) // 8].astype(np.uint8).tobytes()
+        out += np.bincount(byte + k, (v >> (8 * k)) & 255, end + 3).astype(np.int64)
+    out = out.astype(np.uint8).tobytes()
+    return [out[x : x + n] for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
 
 
 def unlzw(stream: bytes, bits: int, most: int) -> bytes:
     """Colour indices of a code stream, ``most`` at most; a stream that breaks off gives what it has."""
     clear, end = 1 << bits, (1 << bits) + 1
     width, before = _LAYOUTS[bits]
+    mask = _MASKS[bits]
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
+    raw = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # the 24 bits from each byte on
     total, pos, have = 8 * len(stream), 0, 0
     out: list[bytes] = []
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
@@ -103,34 +121,36 @@ def unlzw(stream: bytes, bits: int, most: int) -> bytes:
         n = int(np.searchsorted(before, min(total - pos, before[-1] - before[k]) + before[k], side="right")) - 1 - k
         if n > 0:
             places = pos + before[k : k + n] - before[k]
-            b = places >> 3
-            codes = ((raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (places & 7)) & ((1 << width[k : k + n]) - 1)
+            codes = (raw[places >> 3] >> (places & 7)) & mask[k : k + n]
         else:  # the table is full and stays so
             n = max(1, (total - pos) // 12)
             places = pos + 12 * np.arange(n)
-            b = places >> 3
-            codes = ((raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (places & 7)) & 4095
+            codes = (raw[places >> 3] >> (places & 7)) & 4095
         stop = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stop[0]) if len(stop) else n
-        for c in codes[:upto].tolist():
-            size = len(table)
-            if prev is None:
-                if c >= clear:
-                    return b"".join(out)[:most]
-                entry = table[c]
-            elif c < size:
+        some = codes[:upto].tolist()
+        if prev is None and some:
+            if some[0] >= clear:
+                break
+            prev = table[some[0]]
+            out.append(prev)
+            have += 1
+            del some[0]
+        held = len(out)
+        size, put, add = len(table), out.append, table.append
+        for c in some:
+            if c < size:
                 entry = table[c]
-                if size < TABLE:
-                    table.append(prev + entry[:1])
-            elif c == size:
+            elif c == size < TABLE:
                 entry = prev + prev[:1]
-                if size < TABLE:
-                    table.append(entry)
             else:
                 return b"".join(out)[:most]
-            out.append(entry)
-            have += len(entry)
+            if size < TABLE:
+                add(prev + entry[:1])
+                size += 1
+            put(entry)
             prev = entry
+        have += sum(map(len, out[held:]))
         if len(stop):
             if codes[upto] == end:
                 break
@@ -154,7 +174,7 @@ def encode(frames: list[bytes], width: int, height: int, delay_cs: int = DELAY_C
     """Whole frames of 8-bit indices as a GIF89a animation."""
     head = b"GIF89a" + struct.pack("<HHBBB", width, height, 0xF7, 0, 0) + palette
     control = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    return head + b"".join(control + _blocks(pack_codes(lzw_codes(f))) for f in frames) + b"\x3b"
+    return head + b"".join(control + _blocks(c) for c in pack_streams([lzw_codes(f) for f in frames])) + b"\x3b"
 
 
 def _sub(data: bytes, at: int) -> tuple[bytes, int]:
@@ -180,8 +200,9 @@ def decode(data: bytes):
         size = 2 << (flags & 7)
         common = np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
         at += 3 * size
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width, 4), np.uint8)  # never changed in place: a frame makes a new one
     delay, disposal, clear = 0, 0, None
+    colours = painted = None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             if data[at + 1] == 0xF9:
@@ -207,19 +228,21 @@ def decode(data: bytes):
         if f & 0x40:
             index, straight = np.empty_like(index), index
             index[_rows(h)] = straight
-        before = canvas.copy() if disposal == 3 else None
-        part = canvas[y : y + h, x : x + w]
-        index = index[: part.shape[0], : part.shape[1]]
-        colours = np.full((max(256, len(palette)), 4), 255, np.uint8)
-        colours[: len(palette), :3] = palette
-        shown = colours[index]
-        if clear is None:
-            part[:] = shown
+        if painted is not palette:
+            painted, colours = palette, np.full((max(256, len(palette)), 4), 255, np.uint8)
+            colours[: len(palette), :3] = palette
+        before = canvas
+        if clear is None and (x, y, w, h) == (0, 0, width, height):
+            canvas = colours.view(np.uint32).ravel()[index].view(np.uint8).reshape(height, width, 4)
         else:
-            seen = index != clear
-            part[seen] = shown[seen]
-        yield delay, canvas.copy()
+            canvas = canvas.copy()
+            part = canvas[y : y + h, x : x + w]
+            index = index[: part.shape[0], : part.shape[1]]
+            seen = index != (-1 if clear is None else clear)
+            part[seen] = colours[index][seen]
+        yield delay, canvas
         if disposal == 2:
+            canvas = canvas.copy()
             canvas[y : y + h, x : x + w] = 0
         elif disposal == 3:
             canvas = before
@@ -229,18 +252,20 @@ def decode(data: bytes):
 def store(raw: bytes) -> tuple[bytes, bytes]:
     """(payload: raw padded to a positive multiple of BLOCK, the animation that holds it)."""
     payload = raw + PAD * (-len(raw) % BLOCK if raw else BLOCK)
-    return payload, encode([payload[i : i + BLOCK] for i in range(0, len(payload), BLOCK)], SIDE, SIDE)
+    blocks = len(payload) // BLOCK
+    tall = max(n for n in range(1, TALL + 1) if blocks % n == 0)
+    return payload, encode([payload[i : i + tall * BLOCK] for i in range(0, len(payload), tall * BLOCK)], SIDE, SIDE * tall)
 
 
 def read(media: bytes) -> tuple[bytes, int, np.ndarray]:
     """(the payload, duration in hundredths of a second, colour histogram of each frame) from the stored bytes."""
-    parts, length, histograms = [], 0, []
+    parts, length = [], 0
     for delay, canvas in decode(media):
-        grey = canvas[:, :, 0]
-        parts.append(grey.tobytes())
+        parts.append(canvas[:, :, 0].tobytes())
         length += delay
-        histograms.append(np.bincount(grey.ravel() >> (8 - 4), minlength=BINS))
-    return b"".join(parts), length, np.array(histograms)
+    payload = b"".join(parts)
+    bins = np.frombuffer(payload, np.uint8).reshape(len(parts), -1) // (256 // BINS) + BINS * np.arange(len(parts))[:, None]
+    return payload, length, np.bincount(bins.ravel(), minlength=BINS * len(parts)).reshape(-1, BINS)
 
 
 COLUMNS = [
