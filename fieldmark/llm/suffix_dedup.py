@@ -124,7 +124,8 @@ class Chunk:
             at = (m[fits] & np.uint64((1 << 24) - 1)).astype(np.int64)
             new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)][: len(s)])
             last = np.r_[new[1:] - 1, len(s) - 1][: len(new)]
-            parts.append((at[new] + lo, s[new] + lo, s[last] + lo, gram[at[new]], whole[s[new]], whole[s[last]]))
+            # the least hashes are small ones: mixed again, they spread over the key ranges
+            parts.append((at[new] + lo, s[new] + lo, s[last] + lo, _mix(gram[at[new]] + np.uint64(_ODD)), whole[s[new]], whole[s[last]]))
         empty = np.zeros(0, np.int64)
         self.place, self.first, self.last, self.hash, self.head, self.tail = (
             np.concatenate([p[i] for p in parts]) if parts else empty.astype(np.uint64 if i > 2 else np.int64) for i in range(6)
