@@ -130,23 +130,40 @@ def redact(text: str, spans: str) -> str:
 
 
 def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs with every finding replaced in ``text``, and n_chars to match; other columns and rows stay as they are."""
+    """docs with every finding replaced in ``text``, and n_chars to match; other columns and rows stay as they are.
+
+    Texts meet their findings compressed, as they have to move.
+    """
     book = materialise(scan_new(docs, ledger), "ledger")
     if ledger is not None:
         book = ledger.select(book.columns).unionByName(book)
     names = docs.columns
-    blob, spans = fresh("_blob", names), fresh("_spans", names)
+    blob, spans, packed = (fresh(n, names) for n in ("_blob", "_spans", "_packed"))
     hits = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    tagged = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits, blob, "left")
-
-    @F.pandas_udf(T.StringType())
-    def cleaned(text, spans):
-        return text.combine(spans, lambda t, s: t if s is None or t is None else redact(t, s))
-
-    clean = F.col(spans).isNull()
-    out = tagged.withColumn("text", F.when(clean, F.col("text")).otherwise(cleaned("text", spans)))
+    rest = [f for f in docs.schema if f.name != "text"]
+    packed_schema = T.StructType([*rest, T.StructField(blob, T.StringType()), T.StructField(packed, T.BinaryType())])
+    schema = T.StructType([*rest, T.StructField(spans, T.StringType()), T.StructField("text", T.StringType())])
+    others = [f.name for f in rest]
+
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = [None if t is None else z.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in [*others, blob]] + [pa.array(texts, pa.binary())], names=packed_schema.names)
+
+    def clean(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = []
+            for t, found in zip(b.column(packed).to_pylist(), b.column(spans).to_pylist(), strict=True):
+                t = None if t is None else z.decompress(t).decode("utf-8", "surrogatepass")
+                texts.append(t if t is None or found is None else redact(t, found))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in [*others, spans]] + [pa.array(texts, pa.string())], names=schema.names)
+
+    tagged = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).mapInArrow(pack, packed_schema)
+    out = tagged.join(hits, blob, "left").select(*others, spans, packed).mapInArrow(clean, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 
