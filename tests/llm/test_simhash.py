@@ -107,3 +107,28 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
     want = sorted((i, root(i)) for i, _ in [*rows, rows[0]])
     assert sorted((r.doc_id, r.component_id) for r in S.similar_documents(docs).collect()) == want
     assert S.similar_documents(empty(spark)).count() == 0
+
+
+def edited_copies(n, at, rng):
+    """n edited copies of a text which has the id ``at``: similar to it, but not to each other."""
+    base = [f"v{rng.randrange(9000)}" for _ in range(300)]
+    rows = [(at, " ".join(base))]
+    for i in range(n):
+        w = list(base)
+        for p in rng.sample(range(4, 296), 5):
+            w[p] = f"edit{i}x{p}"
+        rows.append((i if i < at else i + 1, " ".join(w)))
+    return rows
+
+
+def test_copies_of_a_text_that_represents_no_bucket(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = edited_copies(300, 150, rng)
+    assert sum(jaccard(rows[0][1], t, 5) >= 0.8 for _, t in rows[1:]) == 300
+    assert max(jaccard(rows[1][1], t, 5) for _, t in rows[2:]) < 0.8
+    rows += [(1000 + i, t) for i, t in edited_copies(60, 30, rng)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted((i, i // 1000 * 1000) for i, _ in rows)
+    for crowd in (512, 20):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        assert sorted((r.doc_id, r.component_id) for r in S.similar_documents(docs).collect()) == want
