@@ -5,10 +5,9 @@ table, gives each document a posterior over the domains.  A document's tokens
 count for a domain as far as it belongs there.  Document rates r then minimise
 the squared distance of the expected token totals A r to the targets by
 projected gradient steps, r <- clip(r - p . step), scaled by the inverse of the
-small matrix sum(tokens p p') so that few steps are needed.  As a rate depends on the posterior alone, and posteriors
-come in thousandths, each step is one aggregate over the kinds of documents (at
-most half a million for three domains, whatever the corpus size); a rate is a
-fold of the steps, so no document leaves its partition.
+small matrix sum(tokens p p') so that few steps are needed.  Each step is one
+aggregate over the stored tokens and posteriors, which are not rounded; a rate
+is a fold of the steps so far, so no document leaves its partition.
 
 Nulls: a null text has no tokens; without tokens, or without labelled rows, a
 posterior is the prior.  A null doc_id keeps its row.  Labels that repeat for a
@@ -30,8 +29,10 @@ from .common import documents, fresh, materialise
 DOMAINS = {"junk": "quality = 0", "toxic": "toxic = 1", "good": "quality = 1"}
 #: Domain -> share of the mixed tokens.
 WEIGHTS = {"good": 0.78, "toxic": 0.11, "junk": 0.11}
-#: No document falls out and none is repeated more often.
+#: No document falls out; none is repeated more often unless the targets need it.
 RATES = (1.0, 4.0)
+#: The upper rate is not raised beyond this; targets out of reach are then missed, which the totals reached show.
+MOST = 64.0
 STATS = ["f_words", "f_mean", "f_bang", "f_bar", "f_symbol", "f_stop", "f_case", "f_insult"]
 #: Words whose count is one of the statistics.
 INSULTS = ["idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "filthy", "vermin", "imbecile", "retard"]
@@ -89,10 +90,6 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOM
         scored = scored.select("doc_id", "tokens", F.when(F.col("tokens") > 0, p).otherwise(prior).alias("p"))
     else:
         scored = stats.select("doc_id", "tokens", prior.alias("p"))
-    if len(names) > 1:  # in steps of a thousandth: documents alike in it share one rate, and there are few such kinds
-        p = F.transform(F.slice("p", 1, len(names) - 1), lambda x: F.round(x, 3))
-        rest = F.greatest(F.lit(0.0), F.round(1 - F.aggregate(p, F.lit(0.0), lambda a, b: a + b), 3))
-        scored = scored.withColumn("p", F.concat(p, F.array(rest)))
     return materialise(scored, "posteriors"), names
 
 
@@ -110,7 +107,7 @@ def _rate(steps: list[np.ndarray], low: float, high: float) -> Column:
     return F.aggregate(given, start, move)
 
 
-def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES, rounds: int = 40, tol: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES, rounds: int = 40, tol: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, targets, totals reached): totals and the matrix have a row a domain, whatever the corpus size.
 
     Targets are the weights' shares of the least total for which no domain
@@ -121,11 +118,8 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
     if not d:
         return [], np.zeros(0), np.zeros(0)
 
-    kinds = scored.groupBy("p").agg(F.sum("tokens").alias("tokens"))
-    kinds = materialise(kinds.coalesce(8), "mix-kinds")  # bounded, and read once a step
-
     def sums(*extra):
-        return kinds.agg(*[F.coalesce(x, F.lit(0.0)) for x in extra]).first()
+        return scored.agg(*[F.coalesce(x, F.lit(0.0)) for x in extra]).first()
 
     pick = lambda i: F.col("p")[i]
     first = sums(*[F.sum(F.col("tokens") * pick(i)) for i in range(d)], *[F.sum(F.col("tokens") * pick(i) * pick(j)) for i in range(d) for j in range(d)])
@@ -144,7 +138,7 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
         now = np.array(now, float)
         off = now - target
         miss = float(off @ scale @ off)
-        if miss >= best * (1 - 1e-2):  # no longer nearer: keep what was reached before
+        if miss >= best * (1 - 1e-3):  # no longer nearer: keep what was reached before
             steps = steps[:-1]
             break
         best, reached = miss, now
@@ -156,6 +150,22 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
     return steps, target, reached
 
 
+def _missed(target: np.ndarray, reached: np.ndarray) -> float:
+    return float(np.abs(reached - target).sum() / max(target.sum(), 1.0))
+
+
+def solve_within(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[float, float]]:
+    """(steps, targets, totals reached, rates): the upper rate doubles for as long as targets missed by over 1% come nearer by it."""
+    steps, target, reached = solve(scored, names, weights, rates)
+    while _missed(target, reached) > 0.01 and 2 * rates[1] <= MOST:
+        wider = (rates[0], 2 * rates[1])
+        other = solve(scored, names, weights, wider)
+        if _missed(*other[1:]) >= 0.99 * _missed(target, reached):
+            break
+        (steps, target, reached), rates = other, wider
+    return steps, target, reached, rates
+
+
 def copies(rate: Column, doc_id: Column, seed: int = 7) -> Column:
     """Whole copies whose expectation is the rate: its fraction is drawn by a hash of the id."""
     draw = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -163,11 +173,11 @@ def copies(rate: Column, doc_id: Column, seed: int = 7) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS, rates: tuple[float, float] = RATES) -> tuple[DataFrame, dict]:
-    """(doc_id, tokens, p, rate and copies for each row of docs; domains, targets and totals reached)."""
+    """(doc_id, tokens, p, rate and copies for each row of docs; domains, targets, totals reached and the rates' bounds)."""
     scored, names = posteriors(docs, labels, domains)
-    steps, target, reached = solve(scored, names, weights, rates)
+    steps, target, reached, rates = solve_within(scored, names, weights, rates)
     out = scored.withColumn("rate", _rate(steps, *rates)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
-    return out, {"domains": names, "target": target.tolist(), "reached": reached.tolist()}
+    return out, {"domains": names, "target": target.tolist(), "reached": reached.tolist(), "rates": rates}
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, rates: tuple[float, float] = RATES) -> DataFrame:

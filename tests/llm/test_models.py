@@ -155,3 +155,33 @@ def test_free_rates_solve_least_squares(spark):
     assert min(rate.values()) >= 0
     total = np.array([sum(t * rate[i] * p[k] for i, t, p in rows) for k in range(2)])
     assert np.allclose(total, target, rtol=1e-3)
+
+
+def test_slow_fit_comes_near_the_least_squares_solution(spark):
+    rng = np.random.default_rng(0)
+    x = rng.beta(2, 2, 200)
+    p, tokens, target = np.stack([x, 1 - x], 1), rng.integers(1, 100, 200), None
+    scored = spark.createDataFrame([(i, int(t), [float(a) for a in q]) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id bigint, tokens bigint, p array<double>")
+    _, target, reached = M.solve(scored, ["a", "b"], {"a": 0.7, "b": 0.3}, (1.0, 4.0))
+    gram = np.einsum("n,ni,nj->ij", tokens, p, p)
+    scale = np.linalg.inv(gram + 0.01 * np.trace(gram) / 2 * np.eye(2))
+    miss = lambda now: (now - target) @ scale @ (now - target)
+    rate = np.ones(200)
+    for _ in range(5000):
+        rate = np.clip(rate - p @ (scale @ ((tokens * rate) @ p - target)), 1, 4)
+    assert miss(reached) <= 1.02 * miss((tokens * rate) @ p)
+
+
+def test_posteriors_below_a_thousandth_count(spark):
+    docs = noisy(spark)
+    labels = docs.select("doc_id", "quality", "toxic").distinct()
+    rows = M.posteriors(docs, labels)[0].collect()
+    assert any(0 < x < 0.0005 for r in rows for x in r.p)
+    assert all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
+
+
+def test_upper_rate_rises_to_what_the_targets_need(spark):
+    rows = [(i, 10, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(100)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, tokens bigint, p array<double>")
+    _, target, reached, rates = M.solve_within(scored, ["a", "b"], {"a": 0.9, "b": 0.1}, (1.0, 4.0))
+    assert rates == (1.0, 16.0) and np.allclose(reached, target, rtol=0.01)
