@@ -30,16 +30,37 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     return held.select("_l.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in take])
 
 
-def interval_agg(events: DataFrame, anchors: DataFrame, keys: list[str], event_day: str, anchor_day: str, windows: list[int], *aggs: Column) -> DataFrame:
-    """aggs over the events of [day - w, day) for each anchor (keys, day) and window w in days."""
-    spread = anchors.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows])))
-    e = events.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.col(event_day).alias("_day"), *[c for c in events.columns if c not in keys and c != event_day])
-    same = [F.col(k) == F.col(f"_e_{k}") for k in keys]
-    inside = (F.col("_day") >= F.date_sub(F.col(anchor_day), F.col("window_days"))) & (F.col("_day") < F.col(anchor_day))
-    on = inside
-    for c in same:
-        on = on & c
-    return spread.join(e, on, "left").groupBy(*keys, anchor_day, "window_days").agg(*aggs)
+def counted_before(values: DataFrame, value: str, weight: str, parts: int = 64) -> DataFrame:
+    """values (a row a value, no nulls) with ``before``, the weight of all smaller values.
+
+    Approximate quantiles part the values into ranges, which are sorted side by
+    side; only the ranges' sums, ``parts`` rows, stand in one order.  The
+    result is exact wherever the cuts fall.
+    """
+    cuts = values.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_cuts"))
+    binned = values.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy("_bin").agg(F.sum(weight).alias("_sum"))
+    base = sums.select("_bin", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_bin"))), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum(weight).over(earlier(Window.partitionBy("_bin").orderBy(value))), F.lit(0))
+    return binned.withColumn("_within", within).join(F.broadcast(base), "_bin").withColumn("before", F.col("_base") + F.col("_within")).drop("_bin", "_within", "_base")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with the array ``q`` of exact quantiles, interpolated linearly between neighbours; nulls don't count."""
+    g = counted_before(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, "n")
+    total = g.agg(F.sum("n").alias("total"))
+    g = g.crossJoin(F.broadcast(total))
+
+    def at(rank):
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
+
+    found = []
+    for share in shares:
+        place = share * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append(low + (high - low) * F.max(place - F.floor(place)))
+    return g.agg(F.array(*found).alias("q"))
 
 
 def unpivot_sides(games: DataFrame) -> DataFrame:

@@ -24,10 +24,10 @@ class RatingSpec:
     """One Elo family: what a game's update depends on."""
 
     k: float = 20.0
-    home: float = 100.0
+    home: float = 100.0  # points for the home side, unless the venue is neutral
     start: float = 1500.0
     margin: bool = False  # scale by the margin of victory
-    soft: bool = False  # the score is a logistic of the margin, not 1, 1/2, 0
+    soft: bool = False  # a draw counts half, and a margin beyond one goal as a logistic of it, clipped at two goals
     recency: float = 0.0  # scale by days since the league's last game
     carry: float | None = None  # part of a rating's distance from the mean that survives a new year
     to_mean: bool = False  # revert towards the league's mean, not the start
@@ -51,23 +51,30 @@ class EloState:
             r = s.start + (r - s.start) * math.exp(-math.log(2) * (date - self.played[team]).days / s.half_life)
         return r
 
-    def step(self, home: int, away: int, hs: float, as_: float, date) -> tuple[float, float, float, float, float]:
+    def _result(self, margin: float) -> float:
+        """The home side's score: 1 for a win, else 0; with ``soft`` by the margin."""
+        if not self.spec.soft:
+            return 1.0 if margin > 0 else 0.0
+        if margin in (0, 1):
+            return 0.5 if margin == 0 else 1.0
+        return 1 / (1 + math.exp(-max(-2.0, min(2.0, margin))))
+
+    def step(self, home: int, away: int, hs: float, as_: float, date, neutral: bool = False) -> tuple[float, float, float, float, float]:
         s = self.spec
         if s.carry is not None and self.last is not None and date.year != self.last.year and self.rating:
             mean = sum(self.rating.values()) / len(self.rating) if s.to_mean else s.start
             self.rating = {t: mean + (r - mean) * s.carry for t, r in self.rating.items()}
         h, a = self._now(home, date), self._now(away, date)
-        p = expected(h + s.home, a)
+        lifted = h if neutral else h + s.home
+        p = expected(lifted, a)
         margin = hs - as_
-        y = 1 / (1 + math.exp(-max(-2.0, min(2.0, margin / 10)))) if s.soft else 1.0 if margin > 0 else 0.5 if margin == 0 else 0.0
         scale = 1.0
-        if s.margin:
-            diff = h + s.home - a
-            scale = math.log(max(abs(margin), 1) + 1) * 2.2 / (0.001 * (diff if margin >= 0 else -diff) + 2.2)
+        if s.margin:  # the gap keeps its sign by home, whoever wins
+            scale = math.log(max(abs(margin), 1) + 1) * (2.2 / (0.001 * (lifted - a) + 2.2))
         if s.recency and self.last is not None:
-            scale *= max(0.5, min(1.5, 1 + s.recency * (date - self.last).days / 365))
+            scale *= max(0.5, min(1.5, 1 + s.recency * ((date - self.last).days / 365)))
         up = [1.5 if self.games.get(t, 0) < s.novice else 1.0 for t in (home, away)]
-        delta = s.k * scale * (y - p)
+        delta = s.k * scale * (self._result(margin) - p)
         self.rating[home], self.rating[away] = h + delta * up[0], a - delta * up[1]
         for t in (home, away):
             self.games[t] = self.games.get(t, 0) + 1
@@ -76,6 +83,18 @@ class EloState:
         return h, a, p, self.rating[home], self.rating[away]
 
 
+class StarterState(EloState):
+    """A ladder of starting pitchers: a game whose starter is unknown (UNKNOWN) changes nothing and tells nothing."""
+
+    UNKNOWN = -1
+
+    def step(self, home: int, away: int, hs: float, as_: float, date, neutral: bool = False) -> tuple[float, float, float, float, float]:
+        if self.UNKNOWN in (home, away):
+            h, a = self._now(home, date), self._now(away, date)
+            return h, a, 0.5, h, a
+        return super().step(home, away, hs, as_, date, True)
+
+
 def _dump(s: EloState) -> str:
     return json.dumps([list(s.rating.items()), list(s.games.items()), [(t, d.isoformat()) for t, d in s.played.items()], s.last and s.last.isoformat()])
 
@@ -92,7 +111,7 @@ def stream_fold(games: DataFrame, spec: RatingSpec) -> DataFrame:
     """The Elo fold over a stream of games: a league's ratings are the state, games in order update it.
 
     A game older than the league's last one would change every later rating; it
-    comes out with null ratings, for a replay.
+    comes out with null ratings, and ``replayed`` rates its league again.
     """
 
     def step(key, frames, state):
@@ -101,65 +120,82 @@ def stream_fold(games: DataFrame, spec: RatingSpec) -> DataFrame:
         out = []
         for row in batch.itertuples(index=False):
             late = now.last is not None and row.game_date < now.last
-            told = (None,) * 5 if late else now.step(row.home, row.away, row.home_score, row.away_score, row.game_date)
+            told = (None,) * 5 if late else now.step(row.home, row.away, row.home_score, row.away_score, row.game_date, row.is_neutral)
             out.append((row.game_id, row.league, row.game_date, row.home, row.away, *told))
         state.update((_dump(now),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
 
-    return games.groupBy("league").applyInPandasWithState(step, SCORED, "state string", "append", "NoTimeout")
+    return with_venue(games).groupBy("league").applyInPandasWithState(step, SCORED, "state string", "append", "NoTimeout")
+
+
+def replayed(scored: DataFrame, games: DataFrame, spec: RatingSpec) -> DataFrame:
+    """scored from a stream, with the leagues that had a late game rated anew from all games."""
+    late = scored.where("p_home is null").select("league").distinct()
+    again = ordered_fold(games.join(late, "league", "left_semi"), spec)
+    return scored.join(late, "league", "left_anti").select(again.columns).unionByName(again)
 
 
 class GlickoState:
-    """Rating, deviation and volatility of one league's teams."""
+    """Rating, deviation and volatility of one league's teams, each game a rating period of its own (Glickman's Glicko-2)."""
 
     SCALE, TAU, START = 173.7178, 0.5, (1500.0, 350.0, 0.06)
+    HALVINGS = 60
 
     def __init__(self, home: float = 100.0):
         self.home, self.state = home, {}
 
     @classmethod
-    def update(cls, me, other, score: float):
-        mu, phi, sigma = (me[0] - 1500) / cls.SCALE, me[1] / cls.SCALE, me[2]
-        mu2, phi2 = (other[0] - 1500) / cls.SCALE, other[1] / cls.SCALE
-        g = 1 / math.sqrt(1 + 3 * phi2**2 / math.pi**2)
-        e = 1 / (1 + math.exp(-g * (mu - mu2)))
-        v = 1 / (g * g * e * (1 - e))
-        delta = v * g * (score - e)
-        a = math.log(sigma**2)
-
-        def f(x):
-            ex = math.exp(x)
-            return ex * (delta**2 - phi**2 - v - ex) / (2 * (phi**2 + v + ex) ** 2) - (x - a) / cls.TAU**2
-
-        low, high = a, math.log(delta**2 - phi**2 - v) if delta**2 > phi**2 + v else a - cls.TAU
-        k = 1
-        while delta**2 <= phi**2 + v and f(high) < 0:
-            k += 1
-            high = a - k * cls.TAU
-        fl, fh = f(low), f(high)
-        while abs(high - low) > 1e-6:
-            mid = low + (low - high) * fl / (fh - fl)
-            fm = f(mid)
-            if fm * fh <= 0:
-                low, fl = high, fh
+    def volatility(cls, variance: float, gain: float, spread: float) -> float:
+        """The new volatility: root of e^x (gain - spread - e^x) / (2 (spread + e^x)^2) = (x - ln variance) / tau^2, with gain the
+        squared improvement and spread the squared deviation plus the variance of the outcome.
+
+        The left side lies between -1/2 and gain / (8 spread), so the root is
+        bracketed by what the right side can be then, and halving finds it.
+        """
+        at, stiff = math.log(variance), cls.TAU**2
+        low, high = at - stiff / 2, at + stiff * gain / (8 * spread)
+        for _ in range(cls.HALVINGS):
+            x = (low + high) / 2
+            e = math.exp(x)
+            if e * (gain - spread - e) / (2 * (spread + e) * (spread + e)) > (x - at) / stiff:
+                low = x
             else:
-                fl /= 2
-            high, fh = mid, fm
-        sigma = math.exp(low / 2)
-        phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + 1 / v)
-        return (1500 + cls.SCALE * (mu + phi**2 * g * (score - e)), cls.SCALE * phi, sigma)
-
-    def step(self, home, away, hs, as_, date):
-        h, a = self.state.get(home, self.START), self.state.get(away, self.START)
-        phi = math.sqrt(h[1] ** 2 + a[1] ** 2) / self.SCALE
-        g = 1 / math.sqrt(1 + 3 * phi**2 / math.pi**2)
-        p = 1 / (1 + math.exp(-g * (h[0] + self.home - a[0]) / self.SCALE))
-        y = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
-        self.state[home] = self.update(h, a, y)
-        self.state[away] = self.update(a, (h[0] + self.home, *h[1:]), 1 - y)
+                high = x
+        return math.exp((low + high) / 4)
+
+    @classmethod
+    def update(cls, me: tuple[float, float, float], games: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+        """me after one rating period; games: (opponent's rating, its deviation, score)."""
+        rating, spread = (me[0] - 1500) / cls.SCALE, me[1] / cls.SCALE
+        information = surprise = 0.0
+        for other, deviation, score in games:
+            weight = 1 / math.sqrt(1 + 3 * (deviation / cls.SCALE) ** 2 / math.pi**2)
+            chance = 1 / (1 + math.exp(-weight * (rating - (other - 1500) / cls.SCALE)))
+            information += weight * weight * chance * (1 - chance)
+            surprise += weight * (score - chance)
+        variance = 1 / information
+        sigma = cls.volatility(me[2] * me[2], (variance * surprise) ** 2, spread * spread + variance)
+        tight = 1 / (1 / (spread * spread + sigma * sigma) + information)
+        return 1500 + cls.SCALE * (rating + tight * surprise), cls.SCALE * math.sqrt(tight), sigma
+
+    def step(self, home, away, hs, as_, date, neutral=False):
+        h, a, lift = self.state.get(home, self.START), self.state.get(away, self.START), 0.0 if neutral else self.home
+        both = math.sqrt(h[1] ** 2 + a[1] ** 2) / self.SCALE
+        p = 1 / (1 + math.exp(-(h[0] + lift - a[0]) / self.SCALE / math.sqrt(1 + 3 * both**2 / math.pi**2)))
+        y = 1.0 if hs > as_ else 0.0
+        self.state[home] = self.update(h, [(a[0], a[1], y)])
+        self.state[away] = self.update(a, [(h[0] + lift, h[1], 1 - y)])
         return h[0], a[0], p, self.state[home][0], self.state[away][0]
 
 
+def with_venue(games: DataFrame) -> DataFrame:
+    """games with ``is_neutral``, false where it isn't known."""
+    from pyspark.sql import functions as F
+
+    neutral = F.coalesce("is_neutral", F.lit(False)) if "is_neutral" in games.columns else F.lit(False)
+    return games.withColumn("is_neutral", neutral)
+
+
 def ordered_fold(games: DataFrame, state, keys: tuple[str, ...] = ("league",)) -> DataFrame:
     """SCORED for each game (and keys beyond league): prediction before the game, ratings after it.
 
@@ -168,7 +204,7 @@ def ordered_fold(games: DataFrame, state, keys: tuple[str, ...] = ("league",)) -
     make = (lambda *_: EloState(state)) if isinstance(state, RatingSpec) else state
     more = [k for k in keys if k != "league"]
     schema = SCORED + "".join(f", {k} {games.schema[k].dataType.simpleString()}" for k in more)
-    cols = ["game_id", "league", "game_date", "home", "away", "home_score", "away_score", *more]
+    cols = ["game_id", "league", "game_date", "home", "away", "home_score", "away_score", "is_neutral", *more]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = now = None
@@ -178,11 +214,11 @@ def ordered_fold(games: DataFrame, state, keys: tuple[str, ...] = ("league",)) -
                 here = tuple(getattr(row, k) for k in keys)
                 if here != key:
                     key, now = here, make(*here)
-                h, a, p, h2, a2 = now.step(row.home, row.away, row.home_score, row.away_score, row.game_date)
-                out.append((row.game_id, row.league, row.game_date, row.home, row.away, h, a, p, h2, a2, *(getattr(row, k) for k in more)))
+                told = now.step(row.home, row.away, row.home_score, row.away_score, row.game_date, row.is_neutral)
+                out.append((row.game_id, row.league, row.game_date, row.home, row.away, *told, *(getattr(row, k) for k in more)))
             yield pd.DataFrame(out, columns=[*(c.split()[0] for c in SCORED.split(", ")), *more])
 
-    ordered = games.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "game_date", "game_id")
+    ordered = with_venue(games).select(*cols).repartition(*keys).sortWithinPartitions(*keys, "game_date", "game_id")
     return ordered.mapInPandas(run, schema)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import odds
-from ..operators.core import bins, unpivot_sides
+from ..operators.core import bins, quantiles, unpivot_sides
 from . import query
 
 n_if = lambda c: F.count(F.when(c, 1))
@@ -65,8 +65,8 @@ def _(t):
 SELECT round(avg(hit) FILTER (WHERE c >= x), 6) AS top_accuracy, round(avg(hit) FILTER (WHERE c >= x) - avg(hit), 6) AS lift FROM b, q""")
 def _(t):
     b = t.bets.where(SETTLED).select(F.abs(F.col("elo_prob") - 0.5).alias("c"), ((F.col("elo_prob") >= 0.5) == won()).cast("double").alias("hit"))
-    top = F.avg(F.when(F.col("c") >= F.col("x"), F.col("hit")))
-    q = b.agg(F.percentile("c", 0.9).alias("x"))  # one row
+    top = F.avg(F.when(F.col("c") >= F.col("q")[0], F.col("hit")))
+    q = quantiles(b, "c", [0.9])
     return b.crossJoin(F.broadcast(q)).agg(F.round(top, 6).alias("top_accuracy"), F.round(top - F.avg("hit"), 6).alias("lift"))
 
 
@@ -149,17 +149,34 @@ def _(t):
     return t.bets.agg(F.round(F.avg(F.when(~c.isin(0.0, 1.0), c - F.col("market_prob"))), 6).alias("mean_clv"), n_if(c.isin(0.0, 1.0)).alias("placeholders"), F.count("closing_prob").alias("covered"))
 
 
-@query("ag_bootstrap")
+#: Resamples, and blocks of rows that are drawn together: enough replicates for a bound of 2.5 %, whatever the number of rows.
+REPLICATES, BLOCKS = 10_000, 256
+#: Cumulative chances of drawing 0, 1, 2 ... times (Poisson with mean 1).
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+_PRIME = 2147483647
+_WEIGHT = " + ".join(f"CASE WHEN u >= {c}e0 THEN 1 ELSE 0 END" for c in POISSON)
+
+
+@query("ag_bootstrap", f"""WITH b AS (SELECT sport, (bet_id * 7919 + 13) % {BLOCKS} AS block, sum(closing_prob - market_prob) AS s, count(*) AS n FROM bets WHERE closing_prob IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT b.*, rep, (block * 1000003 + rep * 7919 + 17) % {_PRIME} AS h FROM b CROSS JOIN range(1, {REPLICATES + 1}) r(rep)),
+h2 AS (SELECT *, ((h * h + 1) % {_PRIME} * 48271 + rep) % {_PRIME} AS k FROM h),
+w AS (SELECT sport, rep, s, n, {_WEIGHT} AS w FROM (SELECT *, (k * k + block) % {_PRIME} / {_PRIME}.0e0 AS u FROM h2)),
+m AS (SELECT sport, rep, sum(w * s) / sum(w * n) AS m FROM w GROUP BY 1, 2 HAVING sum(w * n) > 0)
+SELECT sport, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+  least(1.0e0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0e0 ELSE 0.0e0 END), avg(CASE WHEN m >= 0 THEN 1.0e0 ELSE 0.0e0 END))) AS p_value FROM m GROUP BY 1""")
 def _(t):
-    """Bootstrap of the mean CLV per sport: Poisson(1) weights from a hash of (row, replicate), so no row is ever resampled by position."""
-    reps = 200
-    b = t.bets.where("closing_prob is not null").select("sport", "bet_id", (F.col("closing_prob") - F.col("market_prob")).alias("clv"))
-    u = F.pmod(F.xxhash64("bet_id", "rep"), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = b.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", weight)
-    means = each.groupBy("sport", "rep").agg((F.sum(F.col("w") * F.col("clv")) / F.sum("w")).alias("m"))
-    return means.groupBy("sport").agg(F.round(F.avg("m"), 4).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p_value"))
+    """Bootstrap of the mean CLV per sport: rows fall into blocks by their id, and each replicate draws every block Poisson(1) times.
+
+    The weights come from arithmetic on (block, replicate), so the work beyond one aggregate is the same however many rows there are.
+    """
+    b = t.bets.where("closing_prob is not null").groupBy("sport", F.expr(f"(bet_id * 7919 + 13) % {BLOCKS}").alias("block")).agg(F.sum(F.col("closing_prob") - F.col("market_prob")).alias("s"), F.count("*").alias("n"))
+    each = b.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(REPLICATES).cast("bigint"))))
+    each = each.withColumn("h", F.expr(f"(block * 1000003 + rep * 7919 + 17) % {_PRIME}")).withColumn("k", F.expr(f"((h * h + 1) % {_PRIME} * 48271 + rep) % {_PRIME}"))
+    each = each.withColumn("u", F.expr(f"(k * k + block) % {_PRIME}") / float(_PRIME)).withColumn("w", F.expr(_WEIGHT))
+    means = each.groupBy("sport", "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")).where("m is not null")
+    share = lambda c: F.avg(c.cast("double"))
+    ends = [F.round(F.percentile("m", q), 6).alias(n) for n, q in (("low", 0.025), ("high", 0.975))]  # over the replicates of a sport
+    return means.groupBy("sport").agg(F.round(F.avg("m"), 6).alias("mean"), *ends, F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p_value"))
 
 
 @query("ag_games_summary", "SELECT league, count(*) AS n, count(DISTINCT home) AS homes, min(game_date) AS first_date, max(game_date) AS last_date, count(*) FILTER (WHERE status <> 'final') AS unplayed FROM games GROUP BY 1")
@@ -265,12 +282,12 @@ def _(t):
     return g.withColumn("coverage", F.round(F.col("covered") / F.col("games"), 6))
 
 
-@query("ag_team_record", """WITH s AS (SELECT home AS team, home_score AS f, away_score AS a FROM games WHERE league = 3 UNION ALL SELECT away, away_score, home_score FROM games WHERE league = 3)
-SELECT team, count(*) FILTER (WHERE f > a) AS wins, count(*) FILTER (WHERE f < a) AS losses, CAST(sum(f) AS BIGINT) AS scored FROM s GROUP BY 1""")
+@query("ag_team_record", """WITH s AS (SELECT league, home AS team, home_score AS f, away_score AS a FROM games UNION ALL SELECT league, away, away_score, home_score FROM games)
+SELECT league, team, count(*) FILTER (WHERE f > a) AS wins, count(*) FILTER (WHERE f < a) AS losses, CAST(sum(f) AS BIGINT) AS scored FROM s GROUP BY 1, 2""")
 def _(t):
-    s = unpivot_sides(t.games.where("league = 3"))
+    s = unpivot_sides(t.games)
     f, a = F.col("points_for"), F.col("points_against")
-    return s.groupBy("team").agg(n_if(f > a).alias("wins"), n_if(f < a).alias("losses"), F.sum("points_for").alias("scored"))
+    return s.groupBy("league", "team").agg(n_if(f > a).alias("wins"), n_if(f < a).alias("losses"), F.sum("points_for").alias("scored"))
 
 
 @query("ag_cum_season", """WITH s AS (SELECT game_id, league, home AS team, game_date, home_score AS f FROM games UNION ALL SELECT game_id, league, away, game_date, away_score FROM games)

@@ -124,10 +124,9 @@ def _(t):
     return t.bets.where("status = 'won'").select("bet_id", "sport").unionByName(t.bets.where("elo_prob > 0.5").select("bet_id", "sport")).dropDuplicates()
 
 
-@query("so_intersect", "SELECT home AS team FROM games WHERE league = 1 INTERSECT SELECT away FROM games WHERE league = 1")
+@query("so_intersect", "SELECT league, home AS team FROM games INTERSECT SELECT league, away FROM games")
 def _(t):
-    g = t.games.where("league = 1")
-    return g.select(F.col("home").alias("team")).intersect(g.select("away"))
+    return t.games.select("league", F.col("home").alias("team")).intersect(t.games.select("league", "away"))
 
 
 @query("so_except", "SELECT DISTINCT c_custkey AS account FROM customer EXCEPT SELECT o_custkey FROM orders")

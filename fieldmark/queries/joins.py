@@ -70,11 +70,11 @@ def _(t):
     return got.select("game_id", "rating")
 
 
-@query("jn_asof_feature", """WITH f AS (SELECT pitcher, game_date AS as_of, avg(velocity) AS v FROM pitches GROUP BY 1, 2), a AS (SELECT DISTINCT l_suppkey AS pitcher, CAST(o_orderdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0)
+@query("jn_asof_feature", """WITH f AS (SELECT pitcher, game_date AS as_of, avg(velocity) AS v FROM pitches GROUP BY 1, 2), a AS (SELECT DISTINCT l_suppkey AS pitcher, CAST(o_orderdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT a.pitcher, a.day, round(f.v, 4) AS velocity FROM a ASOF LEFT JOIN f ON a.pitcher = f.pitcher AND a.day >= f.as_of""")
 def _(t):
     f = t.pitches.groupBy("pitcher", F.col("game_date").alias("as_of")).agg(F.avg("velocity").alias("v"))
-    a = t.lineitem.join(t.orders.where("o_orderkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("pitcher"), F.to_date("o_orderdate").alias("day")).distinct()
+    a = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("pitcher"), F.to_date("o_orderdate").alias("day")).distinct()
     return asof_join(a, f, ["pitcher"], "day", "as_of", ["v"]).select("pitcher", "day", F.round("v", 4).alias("velocity"))
 
 
@@ -129,9 +129,9 @@ def _(t):
     return a.join(b, ["league", "home", "away", "game_date"]).select("game_id", "return_id")
 
 
-@query("jn_multi_left", """SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 5 = 0""")
+@query("jn_multi_left", """SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def _(t):
-    o = t.orders.where("o_orderkey % 5 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     o = o.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return o.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("o_orderkey", "c_name", "n_name", "r_name")
 

@@ -7,9 +7,11 @@ from pyspark.sql.window import Window
 
 from ..functions import odds, stats
 from ..operators.core import asof_join, unpivot_sides
-from ..operators.ratings import RatingSpec, ordered_fold
+from ..operators.ratings import ordered_fold
 from ..plans.ledger import allocate, closing_line_value, first_reason, reconcile, validate
 from . import query
+from .rating_sql import elo_sql
+from .ratings import SOCCER
 
 n_if = lambda c: F.count(F.when(c, 1))
 CLOSE = "least(greatest(1 / q.price, 0.01), 0.99)"
@@ -118,13 +120,21 @@ def _(t):
     return m.select("sport", F.concat_ws(",", F.when(F.col("hit") < 0.58, "clv_hit_rate"), F.when(F.col("roi") < 0.021, "roi")).alias("failed"))
 
 
-@query("op_rolling_features", """WITH d AS (SELECT pitcher, game_date, count(*) AS n, sum(velocity) AS v, count(*) FILTER (WHERE is_csw) AS c FROM pitches WHERE pitcher % 5 = 2 GROUP BY 1, 2)
-SELECT a.pitcher, a.game_date, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n30, round(sum(b.v) / sum(b.n), 6) AS velocity30, round(sum(b.c) * 1.0e0 / sum(b.n), 6) AS csw30 FROM d a LEFT JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 30 AND b.game_date < a.game_date GROUP BY 1, 2""")
+@query("op_rolling_features", """WITH d AS (SELECT pitcher, game_date, count(*) AS n, sum(velocity) AS v, count(*) FILTER (WHERE is_csw) AS c, count(*) FILTER (WHERE is_whiff) AS k, avg(velocity) AS m FROM pitches GROUP BY 1, 2),
+e AS (SELECT a.pitcher, a.game_date, sum(b.m * exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 15.0)) / sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 15.0)) AS x FROM d a JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 30 AND b.game_date < a.game_date GROUP BY 1, 2)
+SELECT d.pitcher, d.game_date, CAST(coalesce(sum(n) OVER w7, 0) AS BIGINT) AS n7, CAST(coalesce(sum(n) OVER w30, 0) AS BIGINT) AS n30, round(sum(v) OVER w30 / sum(n) OVER w30, 6) AS velocity30, round(sum(c) OVER w30 * 1.0e0 / sum(n) OVER w30, 6) AS csw30,
+round(sum(k) OVER w30 * 1.0e0 / sum(n) OVER w30, 6) AS whiff30, round(sum(v) OVER w7 / sum(n) OVER w7 - sum(v) OVER w30 / sum(n) OVER w30, 6) AS velocity_trend, round(e.x, 6) AS velocity_decayed FROM d LEFT JOIN e ON d.pitcher = e.pitcher AND d.game_date = e.game_date
+WINDOW w7 AS (PARTITION BY d.pitcher ORDER BY d.game_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), w30 AS (PARTITION BY d.pitcher ORDER BY d.game_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
 def _(t):
-    """The running form: one sort per pitcher, no join of days with days."""
-    d = t.pitches.where("pitcher % 5 = 2").groupBy("pitcher", "game_date").agg(F.count("*").alias("n"), F.sum("velocity").alias("v"), n_if(F.col("is_csw")).alias("c"))
-    w = Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-30, -1)
-    return d.select("pitcher", "game_date", F.coalesce(F.sum("n").over(w), F.lit(0).cast("bigint")).alias("n30"), F.round(F.sum("v").over(w) / F.sum("n").over(w), 6).alias("velocity30"), F.round(F.sum("c").over(w) / F.sum("n").over(w), 6).alias("csw30"))
+    """Windows, trend and decay of a pitcher's days: one exchange and one sort, no join of days with days."""
+    d = t.pitches.groupBy("pitcher", "game_date").agg(F.count("*").alias("n"), F.sum("velocity").alias("v"), n_if(F.col("is_csw")).alias("c"), n_if(F.col("is_whiff")).alias("k"), F.avg("velocity").alias("m"))
+    w7, w30 = (Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-days, -1) for days in (7, 30))
+    n = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0).cast("bigint"))
+    share = lambda x, w: F.sum(x).over(w) / F.sum("n").over(w)
+    weight = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 15.0)
+    rates = [F.round(share(x, w30), 6).alias(name) for x, name in (("v", "velocity30"), ("c", "csw30"), ("k", "whiff30"))]
+    decayed = F.round(F.sum(weight * F.col("m")).over(w30) / F.sum(weight).over(w30), 6).alias("velocity_decayed")
+    return d.select("pitcher", "game_date", n(w7).alias("n7"), n(w30).alias("n30"), *rates, F.round(share("v", w7) - share("v", w30), 6).alias("velocity_trend"), decayed)
 
 
 SIDES = "s AS (SELECT game_id, league, home AS team, game_date, home_score AS f, away_score AS a FROM games UNION ALL SELECT game_id, league, away, game_date, away_score, home_score FROM games)"
@@ -168,16 +178,50 @@ def _(t):
     return t.games.join(F.broadcast(parks), "home").select("game_id", "park", F.round(0.9 + (F.col("home") % 5) / 20 + (F.col("home_score") - 60) / 500, 6).alias("run_factor"))
 
 
-@query("op_tennis_features", f"""WITH {SIDES}, h AS (SELECT a.game_id, a.team, sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 180.0) * CAST(b.f > b.a AS INTEGER)) / sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 180.0)) AS rate, count(*) AS n
-FROM s a JOIN s b ON a.league = b.league AND a.team = b.team AND b.game_date < a.game_date AND b.game_date >= a.game_date - 365 WHERE a.league < 4 GROUP BY 1, 2) SELECT game_id, team, round(rate, 6) AS decayed_rate, n FROM h""")
-def _(t):
-    """exp decay is a ratio of sums: what dates a weight cancels out, so one ordered window does without a self-join."""
-    s = unpivot_sides(t.games.where("league < 4"))
-    won = (F.col("points_for") > F.col("points_against")).cast("int")
-    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1997-01-01").cast("date")), 180.0)
-    w = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date")).rangeBetween(-365, -1)
-    out = s.select("game_id", "team", F.round(F.sum(k * won).over(w) / F.sum(k).over(w), 6).alias("decayed_rate"), F.count("*").over(w).alias("n"))
-    return out.where("n > 0")
+#: Weight of a match on another surface than the coming one.
+OTHER_SURFACE = 0.5
+
+
+@query("op_tennis_features", f"""WITH s AS (SELECT game_id, league, game_id % 3 AS surface, home AS team, away AS opponent, game_date, CASE WHEN home_score > away_score THEN 1.0e0 ELSE 0.0e0 END AS won FROM games
+UNION ALL SELECT game_id, league, game_id % 3, away, home, game_date, CASE WHEN away_score > home_score THEN 1.0e0 ELSE 0.0e0 END FROM games),
+p AS (SELECT a.game_id, a.team, a.game_date, b.game_date AS then_, b.won, exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 180.0) AS w, CASE WHEN a.surface = b.surface THEN 1.0e0 ELSE {OTHER_SURFACE} END AS f FROM s a JOIN s b ON a.league = b.league AND a.team = b.team AND b.game_date < a.game_date AND b.game_date >= a.game_date - 365),
+h AS (SELECT game_id, team, sum(w * won) / sum(w) AS rate, sum(w * f * won) / sum(w * f) AS surface_rate, count(*) AS n, count(*) FILTER (WHERE then_ >= game_date - 14) AS fatigue FROM p GROUP BY 1, 2),
+u AS (SELECT game_id, team, sum(won) OVER v AS wins, count(*) OVER v AS met FROM s WINDOW v AS (PARTITION BY league, team, opponent ORDER BY game_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+r AS (SELECT a.game_id, a.team, b.opponent, avg(b.won) AS rate, count(*) AS n FROM s a JOIN s b ON a.league = b.league AND a.team = b.team AND b.game_date < a.game_date GROUP BY 1, 2, 3),
+c AS (SELECT x.game_id, x.team, sum(least(x.n, y.n) * (x.rate - y.rate)) / sum(least(x.n, y.n)) AS edge, count(*) AS shared FROM r x JOIN r y ON x.game_id = y.game_id AND x.opponent = y.opponent AND x.team <> y.team GROUP BY 1, 2)
+SELECT h.game_id, h.team, round(h.rate, 6) AS decayed_rate, round(h.surface_rate, 6) AS surface_rate, h.n, h.fatigue, coalesce(u.wins, 0) AS h2h_wins, u.met AS h2h_met, round(h.n / (h.n + 10.0e0), 6) AS certainty, round(coalesce(c.edge, 0), 6) AS common_edge, coalesce(c.shared, 0) AS common_opponents
+FROM h JOIN u ON u.game_id = h.game_id AND u.team = h.team LEFT JOIN c ON c.game_id = h.game_id AND c.team = h.team""")
+def _(t):
+    """A side's record before the match: decayed, by surface, head to head, tiredness, and against opponents that both have met.
+
+    exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  Common opponents take
+    each side's running record by opponent, looked up as of the match.
+    """
+    s = unpivot_sides(t.games).withColumn("surface", F.col("game_id") % 3).withColumn("won", (F.col("points_for") > F.col("points_against")).cast("double"))
+    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 180.0)
+    day = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date"))
+    w = day.rangeBetween(-365, -1)
+    mine = lambda c: sum((F.when(F.col("surface") == i, 1.0).otherwise(OTHER_SURFACE) * F.coalesce(F.sum(F.when(F.col("surface") == i, c)).over(w), F.lit(0.0)) for i in range(3)), F.lit(0.0))
+    meet = Window.partitionBy("league", "team", "opponent").orderBy(F.unix_date("game_date")).rangeBetween(Window.unboundedPreceding, -1)
+    n = F.count("*").over(w)
+    side = s.select(
+        "game_id", "league", "team", "opponent", "game_date",
+        F.round(F.sum(k * F.col("won")).over(w) / F.sum(k).over(w), 6).alias("decayed_rate"),
+        F.round(F.try_divide(mine(k * F.col("won")), mine(k)), 6).alias("surface_rate"),
+        n.alias("n"), F.count("*").over(day.rangeBetween(-14, -1)).alias("fatigue"),
+        F.coalesce(F.sum("won").over(meet), F.lit(0.0)).alias("h2h_wins"), F.count("*").over(meet).alias("h2h_met"),
+        F.round(n / (n + 10.0), 6).alias("certainty"),
+    ).where("n > 0")
+    daily = s.groupBy("league", "team", F.col("opponent").alias("other"), "game_date").agg(F.sum("won").alias("won"), F.count("*").alias("met"))
+    upto = Window.partitionBy("league", "team", "other").orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
+    record = daily.select("league", "team", "other", "game_date", F.sum("won").over(upto).alias("wins"), F.sum("met").over(upto).alias("met"))
+    asked = s.select("game_id", "league", "team", "game_date").join(record.select("league", "team", "other").distinct(), ["league", "team"])
+    known = asof_join(asked, record, ["league", "team", "other"], "game_date", "game_date", ["wins", "met"], strict=True).where("met is not null")
+    x = known.select("game_id", "team", "other", "met", (F.col("wins") / F.col("met")).alias("rate"))
+    both = x.join(x.select("game_id", F.col("team").alias("rival"), "other", F.col("met").alias("met2"), F.col("rate").alias("rate2")), ["game_id", "other"]).where("team <> rival")
+    common = both.groupBy("game_id", "team").agg((F.sum(F.least("met", "met2") * (F.col("rate") - F.col("rate2"))) / F.sum(F.least("met", "met2"))).alias("edge"), F.count("*").alias("shared"))
+    out = side.join(common, ["game_id", "team"], "left")
+    return out.select("game_id", "team", "decayed_rate", "surface_rate", "n", "fatigue", "h2h_wins", "h2h_met", "certainty", F.round(F.coalesce("edge", F.lit(0.0)), 6).alias("common_edge"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("common_opponents"))
 
 
 @query("op_oriented_rows", "SELECT game_id, greatest(home_score, away_score) AS a, least(home_score, away_score) AS b, 1 AS target FROM games UNION ALL SELECT game_id, least(home_score, away_score), greatest(home_score, away_score), 0 FROM games")
@@ -187,10 +231,15 @@ def _(t):
     return t.games.select("game_id", F.explode(F.array(row(hi, lo, 1), row(lo, hi, 0))).alias("r")).select("game_id", "r.*")
 
 
-@query("op_epl_frame")
+@query("op_epl_frame", f"""{elo_sql({'EPL': SOCCER['EPL']})}, w AS (SELECT game_id, league, game_date, home AS team, TRUE AS is_home, CASE WHEN home_score > away_score THEN 1.0e0 ELSE 0.0e0 END AS won FROM games WHERE status <> 'scheduled'
+UNION ALL SELECT game_id, league, game_date, away, FALSE, CASE WHEN away_score > home_score THEN 1.0e0 ELSE 0.0e0 END FROM games WHERE status <> 'scheduled'),
+l AS (SELECT *, avg(won) OVER (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form FROM w),
+e AS (SELECT game_id, least(greatest(0.28e0 * exp(-pow((home_before + 60 - away_before) / 350, 2)), 0.05e0), 0.35e0) AS d, 1 / (1 + pow(10.0e0, (away_before - home_before - 60) / 400)) AS e FROM scored),
+p AS (SELECT game_id, d, greatest(e - d / 2, 0.01e0) AS h, greatest(1 - e - d / 2, 0.01e0) AS a FROM e)
+SELECT p.game_id, round(h / (h + d + p.a), 6) AS p_home, round(d / (h + d + p.a), 6) AS p_draw, round(x.form, 6) AS home_form, round(y.form, 6) AS away_form FROM p JOIN l x ON x.game_id = p.game_id AND x.is_home JOIN l y ON y.game_id = p.game_id AND NOT y.is_home""")
 def _(t):
     """Soccer training frame: ratings before the game, three-way odds of the ratings, both sides' last five."""
-    s = ordered_fold(t.games.where("status <> 'scheduled'"), RatingSpec(home=60, soft=True))
+    s = ordered_fold(t.games.where("status <> 'scheduled'"), SOCCER["EPL"])
     w = Window.partitionBy("league", "team").orderBy("game_date", "game_id").rowsBetween(-5, -1)
     f = unpivot_sides(t.games.where("status <> 'scheduled'")).select("game_id", "is_home", F.avg((F.col("points_for") > F.col("points_against")).cast("double")).over(w).alias("form"))
     pick = lambda home: F.max(F.when(F.col("is_home") == home, F.col("form")))
@@ -314,11 +363,30 @@ def _(t):
     return t.bets.where("status = 'open'").join(s, "market", "left").select("bet_id", (F.coalesce("rlm", no) | F.coalesce(F.col("closing_prob") - F.col("market_prob") >= 0.15, no)).alias("confirmed"))
 
 
-@query("op_surface", """WITH p AS (SELECT home AS team, arg_max(league % 3, game_id) AS surface FROM games WHERE league < 8 GROUP BY 1) SELECT g.game_id, CASE WHEN x.surface = y.surface THEN x.surface ELSE coalesce(x.surface, y.surface, 0) END AS surface FROM games g LEFT JOIN p x ON g.home = x.team LEFT JOIN p y ON g.away = y.team""")
-def _(t):
-    p = t.games.where("league < 8").groupBy(F.col("home").alias("team")).agg(F.max_by(F.col("league") % 3, "game_id").alias("surface"))
-    x, y = p.select(F.col("team").alias("home"), F.col("surface").alias("xs")), p.select(F.col("team").alias("away"), F.col("surface").alias("ys"))
-    return t.games.join(x, "home", "left").join(y, "away", "left").select("game_id", F.when(F.col("xs") == F.col("ys"), F.col("xs")).otherwise(F.coalesce("xs", "ys", F.lit(0).cast("bigint"))).alias("surface"))
+@query("op_surface", """WITH s AS (SELECT game_id, league, home AS team, away AS opponent, game_date, game_id % 3 AS surface, TRUE AS is_home FROM games UNION ALL SELECT game_id, league, away, home, game_date, game_id % 3, FALSE FROM games),
+l AS (SELECT *, max(CASE WHEN surface = 0 THEN game_date END) OVER w AS d0, max(CASE WHEN surface = 1 THEN game_date END) OVER w AS d1, max(CASE WHEN surface = 2 THEN game_date END) OVER w AS d2, lag(surface) OVER v AS met
+FROM s WINDOW w AS (PARTITION BY league, team ORDER BY game_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), v AS (PARTITION BY league, least(team, opponent), greatest(team, opponent), is_home ORDER BY game_date, game_id)),
+v AS (SELECT a.game_id, CASE WHEN a.d0 IS NOT NULL AND b.d0 IS NOT NULL THEN least(a.d0, b.d0) END AS s0, CASE WHEN a.d1 IS NOT NULL AND b.d1 IS NOT NULL THEN least(a.d1, b.d1) END AS s1, CASE WHEN a.d2 IS NOT NULL AND b.d2 IS NOT NULL THEN least(a.d2, b.d2) END AS s2,
+a.met, greatest(a.d0, b.d0) AS e0, greatest(a.d1, b.d1) AS e1, greatest(a.d2, b.d2) AS e2 FROM l a JOIN l b ON a.game_id = b.game_id AND a.is_home AND NOT b.is_home)
+SELECT game_id, CAST(CASE WHEN coalesce(s0, s1, s2) IS NOT NULL THEN CASE greatest(s0, s1, s2) WHEN s0 THEN 0 WHEN s1 THEN 1 ELSE 2 END WHEN met IS NOT NULL THEN met WHEN coalesce(e0, e1, e2) IS NOT NULL THEN CASE greatest(e0, e1, e2) WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE 2 END ELSE 0 END AS BIGINT) AS surface FROM v""")
+def _(t):
+    """The surface to expect before a match: the newest that both have played on, else that of their last meeting, else the newest of either, else 0."""
+    g = t.games.withColumn("surface", F.col("game_id") % 3)
+    s = unpivot_sides(g).withColumn("surface", F.col("game_id") % 3)
+    w = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date")).rangeBetween(Window.unboundedPreceding, -1)
+    pair = Window.partitionBy("league", F.least("team", "opponent"), F.greatest("team", "opponent"), "is_home").orderBy("game_date", "game_id")
+    last = [F.max(F.when(F.col("surface") == i, F.col("game_date"))).over(w).alias(f"d{i}") for i in range(3)]
+    held = s.select("game_id", "is_home", F.lag("surface").over(pair).alias("met"), *last)
+    pick = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c)))
+    v = held.groupBy("game_id").agg(pick("met", True).alias("met"), *[pick(f"d{i}", h).alias(f"{n}{i}") for i in range(3) for n, h in (("a", True), ("b", False))])
+
+    def newest(dates):
+        top = F.greatest(*dates)
+        return F.when(top == dates[0], 0).when(top == dates[1], 1).when(top == dates[2], 2)
+
+    shared = newest([F.when(F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull(), F.least(f"a{i}", f"b{i}")) for i in range(3)])
+    either = newest([F.greatest(f"a{i}", f"b{i}") for i in range(3)])
+    return v.select("game_id", F.coalesce(shared, F.col("met"), either, F.lit(0)).cast("bigint").alias("surface"))
 
 
 @query("op_identity_merge", """WITH m AS (SELECT league, home, away, game_date, min(game_id) AS keep FROM games GROUP BY 1, 2, 3, 4) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(m.keep, l_orderkey) AS game_id FROM lineitem l LEFT JOIN games g ON l.l_orderkey = g.game_id LEFT JOIN m ON g.league = m.league AND g.home = m.home AND g.away = m.away AND g.game_date = m.game_date""")

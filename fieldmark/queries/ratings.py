@@ -1,4 +1,4 @@
-"""Rating queries.  The folds are beyond a checked SQL form; tests hold them against a plain recurrence."""
+"""Rating queries, each with its recursive SQL counterpart (``rating_sql``)."""
 
 from __future__ import annotations
 
@@ -7,26 +7,54 @@ from pyspark.sql.window import Window
 
 from ..functions import odds
 from ..operators.core import close_versions
-from ..operators.ratings import EloState, GlickoState, RatingSpec, final_ratings, ordered_fold
+from ..operators.ratings import EloState, GlickoState, RatingSpec, StarterState, final_ratings, ordered_fold
 from . import query
+from .rating_sql import elo_sql, glicko_sql
 
+#: K, home points and the rest of each family as published for it.
 SPECS = {
     "rt_elo_std": RatingSpec(),
     "rt_elo_mov": RatingSpec(home=65, margin=True),
-    "rt_elo_recency": RatingSpec(home=65, recency=0.5),
-    "rt_elo_mlb": RatingSpec(k=4, home=20, carry=0.75),
+    "rt_elo_recency": RatingSpec(home=65, recency=1.0),
+    "rt_elo_mlb": RatingSpec(k=4, home=20),
     "rt_elo_nba": RatingSpec(),
-    "rt_elo_soccer": RatingSpec(home=60, soft=True),
     "rt_elo_tennis": RatingSpec(k=32, home=0, novice=20),
-    "rt_elo_cba": RatingSpec(carry=0.67, to_mean=True),
+    "rt_elo_cba": RatingSpec(home=80, carry=0.67, to_mean=True),
     "rt_elo_unrivaled": RatingSpec(k=24, home=0),
     "rt_elo_decay": RatingSpec(k=32, home=0, half_life=365),
-    "rt_pitcher": RatingSpec(k=6, home=0),
 }
+#: The soccer leagues differ in K alone.
+SOCCER = {"EPL": RatingSpec(k=40, home=60, soft=True), "LIGUE1": RatingSpec(home=60, soft=True)}
+PITCHER, PITCHER_WEIGHT = RatingSpec(k=6, home=0), 0.35
+BACKTEST = {"k10": RatingSpec(k=10), "k20": RatingSpec(k=20), "carry": RatingSpec(k=20, carry=0.6)}
+GRID = {"90": RatingSpec(k=32, home=0, half_life=90), "365": RatingSpec(k=32, home=0, half_life=365), "1000": RatingSpec(k=32, home=0, half_life=1000)}
+RATINGS = ("home_before", "away_before", "p_home", "home_after", "away_after")
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in RATINGS)
+STD = elo_sql({"std": RatingSpec()})
+SIDES_AFTER = "SELECT league, game_date, game_id, home AS team, home_after AS r FROM {s} UNION ALL SELECT league, game_date, game_id, away, away_after FROM {s}"
 
 
-def rounded(scored):
-    return scored.select("game_id", "league", *[F.round(c, 6).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])
+def last_sql(name: str, scored: str = "scored") -> str:
+    """A relation league, team, rating, games: each team's newest rating."""
+    return f"{name} AS (SELECT league, team, arg_max(r, (game_date, game_id)) AS rating, count(*) AS games FROM ({SIDES_AFTER.format(s=scored)}) GROUP BY 1, 2)"
+
+
+#: Smoothed win rate of each side after a result like its last one: m_home, m_away and y (did home win) by game.
+MOMENTUM = """side AS (SELECT game_id, league, game_date, home AS team, TRUE AS is_home, CASE WHEN home_score > away_score THEN 1.0e0 ELSE 0.0e0 END AS w FROM games WHERE status <> 'scheduled'
+UNION ALL SELECT game_id, league, game_date, away, FALSE, CASE WHEN away_score > home_score THEN 1.0e0 ELSE 0.0e0 END FROM games WHERE status <> 'scheduled'),
+held AS (SELECT *, lag(w, 1, 1.0e0) OVER (PARTITION BY league, team ORDER BY game_date, game_id) AS prev FROM side),
+rate AS (SELECT *, (coalesce(sum(w) OVER k, 0) + 1) / (count(*) OVER k + 2) AS m FROM held WINDOW k AS (PARTITION BY league, team, prev ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+momentum AS (SELECT h.game_id, h.m AS m_home, a.m AS m_away, h.w AS y FROM rate h JOIN rate a ON a.game_id = h.game_id AND h.is_home AND NOT a.is_home)"""
+CLIPPED = "least(greatest(p_home, 1e-6), 1 - 1e-6)"
+LOG_LOSS = "-(y * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)))"
+
+
+def mixed_sql(gamma: str) -> str:
+    return f"1 / (1 + exp(-(ln({CLIPPED} / (1 - {CLIPPED})) + {gamma} * (ln(m_home / (1 - m_home)) - ln(m_away / (1 - m_away))))))"
+
+
+def rounded(scored, *more):
+    return scored.select("game_id", "league", *more, *[F.round(c, 6).alias(c) for c in RATINGS])
 
 
 def final_games(t):
@@ -34,20 +62,50 @@ def final_games(t):
 
 
 for _name, _spec in SPECS.items():
-    query(_name)(lambda t, s=_spec: rounded(ordered_fold(final_games(t), s)))
+    query(_name, f"{elo_sql({'one': _spec})} SELECT game_id, league, {ROUNDED} FROM scored")(lambda t, s=_spec: rounded(ordered_fold(final_games(t), s)))
+
+
+def configured(t, specs: dict[str, RatingSpec]):
+    """The fold of every spec over all games at once: the key is (league, config)."""
+    g = final_games(t).withColumn("config", F.explode(F.array(*[F.lit(c) for c in specs])))
+    return ordered_fold(g, lambda league, config: EloState(specs[config]), ("league", "config"))
+
+
+@query("rt_elo_soccer", f"{elo_sql(SOCCER)} SELECT game_id, league, config, {ROUNDED} FROM scored")
+def _(t):
+    return rounded(configured(t, SOCCER), "config")
+
+
+def starters(t):
+    """Games by starting pitcher instead of team; of some games a starter is unknown."""
+    pitcher = lambda side, n: F.when(F.col("game_id") % n == 0, StarterState.UNKNOWN).otherwise(F.col(side) * 5 + F.col("game_id") % 5)
+    return final_games(t).withColumn("home", pitcher("home", 11)).withColumn("away", pitcher("away", 13))
+
+
+STARTERS = """SELECT game_id, league, game_date, CASE WHEN game_id % 11 = 0 THEN -1 ELSE home * 5 + game_id % 5 END AS home, CASE WHEN game_id % 13 = 0 THEN -1 ELSE away * 5 + game_id % 5 END AS away,
+home_score - away_score AS margin, TRUE AS is_neutral FROM games WHERE status <> 'scheduled'"""
 
 
-@query("rt_glicko2")
+@query("rt_pitcher", f"{elo_sql({'one': PITCHER}, STARTERS, 150)} SELECT game_id, league, {ROUNDED}, round(CASE WHEN home < 0 OR away < 0 THEN 0 ELSE {PITCHER_WEIGHT}e0 * (home_before - away_before) END, 6) AS adjustment FROM scored")
+def _(t):
+    """The ladder of starters, and the points that a pair of them gives the home team; an unknown one gives none."""
+    s = ordered_fold(starters(t), lambda league: StarterState(PITCHER))
+    known = (F.col("home") >= 0) & (F.col("away") >= 0)
+    return rounded(s, F.round(F.when(known, PITCHER_WEIGHT * (F.col("home_before") - F.col("away_before"))).otherwise(0.0), 6).alias("adjustment"))
+
+
+@query("rt_glicko2", f"{glicko_sql()} SELECT game_id, league, {ROUNDED} FROM scored")
 def _(t):
     return rounded(ordered_fold(final_games(t), lambda *_: GlickoState()))
 
 
-@query("rt_replay")
+@query("rt_replay", f"{STD}, {last_sql('fin')} SELECT league, team, round(rating, 4) AS rating, games FROM fin")
 def _(t):
     return final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"])).select("league", "team", F.round("rating", 4).alias("rating"), "games")
 
 
-@query("rt_compare")
+@query("rt_compare", f"""{STD}, {last_sql('fin')}, early AS (SELECT * FROM scored WHERE year(game_date) < 1998), {last_sql('old', 'early')}
+SELECT league, round(max(abs(fin.rating - old.rating)), 4) AS divergence FROM fin JOIN old USING (league, team) GROUP BY 1""")
 def _(t):
     """Largest distance of replayed ratings from those of an earlier cut."""
     now = final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"]))
@@ -55,7 +113,8 @@ def _(t):
     return now.join(old.select("league", "team", "old"), ["league", "team"]).groupBy("league").agg(F.round(F.max(F.abs(F.col("rating") - F.col("old"))), 4).alias("divergence"))
 
 
-@query("rt_recalc")
+@query("rt_recalc", f"""{STD}, {last_sql('fin')} SELECT game_id, round(1 / (1 + pow(10.0e0, (a.rating - h.rating - 100) / 400)), 6) AS p_home
+FROM (SELECT * FROM games WHERE status = 'scheduled') s JOIN fin h ON h.league = s.league AND h.team = s.home JOIN fin a ON a.league = s.league AND a.team = s.away""")
 def _(t):
     """Scheduled games priced with replayed ratings."""
     r = final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"])).select("league", "team", "rating")
@@ -64,25 +123,27 @@ def _(t):
     return g.select("game_id", F.round(odds.expected_score(F.col("hr"), F.col("ar"), 100.0), 6).alias("p_home"))
 
 
-@query("rt_backtest")
+@query("rt_backtest", f"""{elo_sql(BACKTEST)}, m AS (SELECT s.config, s.p_home AS p, CASE WHEN g.home_score > g.away_score THEN 1.0e0 ELSE 0.0e0 END AS y FROM scored s JOIN games g USING (game_id))
+SELECT config, count(*) AS n, round(avg({LOG_LOSS.format(p='p')}), 6) AS log_loss, round(avg(pow(p - y, 2)), 6) AS brier, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM m GROUP BY 1""")
 def _(t):
-    """Predict before update under several configurations at once: the key is (league, config)."""
-    configs = {"k10": RatingSpec(k=10), "k20": RatingSpec(k=20), "carry": RatingSpec(k=20, carry=0.6)}
-    g = final_games(t).withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
-    scored = ordered_fold(g, lambda league, config: EloState(configs[config]), ("league", "config"))
-    y = g.where("config = 'k10'").select("game_id", (F.col("home_score") > F.col("away_score")).cast("double").alias("y"))
-    m = scored.join(y, "game_id").withColumn("loss", odds.log_loss(F.col("y"), F.col("p_home")))
+    """Predict before update under several configurations at once."""
+    y = final_games(t).select("game_id", (F.col("home_score") > F.col("away_score")).cast("double").alias("y"))
+    m = configured(t, BACKTEST).join(y, "game_id").withColumn("loss", odds.log_loss(F.col("y"), F.col("p_home")))
     return m.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("log_loss"), F.round(F.avg(F.pow(F.col("p_home") - F.col("y"), F.lit(2.0))), 6).alias("brier"), F.round(F.avg(((F.col("p_home") > 0.5) == (F.col("y") == 1)).cast("double")), 6).alias("accuracy"))
 
 
-@query("rt_grid")
+@query("rt_grid", f"""{elo_sql(GRID)}, {MOMENTUM}, m AS (SELECT s.config, gamma, {mixed_sql('gamma')} AS p, y FROM scored s JOIN momentum USING (game_id) CROSS JOIN (VALUES (0.0e0), (0.25e0), (0.5e0)) v(gamma))
+SELECT CAST(config AS DOUBLE) AS half_life, gamma, round(avg({LOG_LOSS.format(p='p')}), 6) AS log_loss FROM m GROUP BY 1, 2""")
 def _(t):
     """Half-lives and momentum weights by log loss: decayed ratings mixed with each side's record after its last result."""
-    g = final_games(t).withColumn("half_life", F.explode(F.array(*[F.lit(x) for x in (90.0, 365.0, 1000.0)])))
-    scored = ordered_fold(g, lambda league, half_life: EloState(RatingSpec(k=32, home=0, half_life=half_life)), ("league", "half_life"))
-    m = scored.join(momentum(t), ["game_id", "league", "game_date", "home", "away"]).withColumn("gamma", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5)])))
-    p = odds.sigmoid(odds.logit(odds.clip(F.col("p_home"), 1e-6, 1 - 1e-6)) + F.col("gamma") * (odds.logit(F.col("m_home")) - odds.logit(F.col("m_away"))))
-    return m.groupBy("half_life", "gamma").agg(F.round(F.avg(odds.log_loss(F.col("y"), p)), 6).alias("log_loss"))
+    m = configured(t, GRID).join(momentum(t), ["game_id", "league", "game_date", "home", "away"]).withColumn("gamma", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5)])))
+    p = mixed(F.col("gamma"))
+    return m.groupBy(F.col("config").cast("double").alias("half_life"), "gamma").agg(F.round(F.avg(odds.log_loss(F.col("y"), p)), 6).alias("log_loss"))
+
+
+def mixed(gamma):
+    """Decayed rating and momentum as one probability."""
+    return odds.sigmoid(odds.logit(odds.clip(F.col("p_home"), 1e-6, 1 - 1e-6)) + gamma * (odds.logit(F.col("m_home")) - odds.logit(F.col("m_away"))))
 
 
 def momentum(t):
@@ -96,30 +157,32 @@ def momentum(t):
     return r.groupBy("game_id", "league", "game_date").agg(pick("team", True).alias("home"), pick("team", False).alias("away"), pick("m", True).alias("m_home"), pick("m", False).alias("m_away"), pick("w", True).alias("y"))
 
 
-@query("rt_momentum")
+@query("rt_momentum", f"{elo_sql({'one': SPECS['rt_elo_decay']})}, {MOMENTUM} SELECT game_id, round(CASE WHEN home < away THEN p ELSE 1 - p END, 6) AS p_first FROM (SELECT game_id, home, away, {mixed_sql('0.25e0')} AS p FROM scored JOIN momentum USING (game_id))")
 def _(t):
-    scored = ordered_fold(final_games(t), SPECS["rt_elo_decay"])
-    m = scored.join(momentum(t), ["game_id", "league", "game_date", "home", "away"])
+    m = ordered_fold(final_games(t), SPECS["rt_elo_decay"]).join(momentum(t), ["game_id", "league", "game_date", "home", "away"])
     # by the lower team number, so that the order of the two can't tell the winner
-    p = odds.sigmoid(odds.logit(odds.clip(F.col("p_home"), 1e-6, 1 - 1e-6)) + 0.25 * (odds.logit(F.col("m_home")) - odds.logit(F.col("m_away"))))
+    p = mixed(F.lit(0.25))
     return m.select("game_id", F.round(F.when(F.col("home") < F.col("away"), p).otherwise(1 - p), 6).alias("p_first"))
 
 
-@query("wn_rating_history")
+@query("wn_rating_history", f"{STD} SELECT game_id, league, home AS team, round(home_before, 4) AS before, round(home_after, 4) AS after FROM scored UNION ALL SELECT game_id, league, away, round(away_before, 4), round(away_after, 4) FROM scored")
 def _(t):
     s = ordered_fold(final_games(t), SPECS["rt_elo_std"])
     side = lambda x: F.struct(F.col(x).alias("team"), F.round(f"{x}_before", 4).alias("before"), F.round(f"{x}_after", 4).alias("after"))
     return s.select("game_id", "league", F.explode(F.array(side("home"), side("away"))).alias("s")).select("game_id", "league", "s.*")
 
 
-@query("op_elo_history")
+@query("op_elo_history", f"{STD} SELECT game_date, game_id, round(CASE WHEN home = 13 THEN home_after ELSE away_after END, 2) AS rating FROM scored WHERE league = 3 AND 13 IN (home, away)")
 def _(t):
     s = ordered_fold(final_games(t).where("league = 3"), SPECS["rt_elo_std"])
     h = s.where("home = 13 or away = 13").select("game_date", "game_id", F.round(F.when(F.col("home") == 13, F.col("home_after")).otherwise(F.col("away_after")), 2).alias("rating"))
     return h.orderBy("game_date", "game_id")
 
 
-@query("op_rating_monitor")
+@query("op_rating_monitor", f"""{STD}, d AS (SELECT league, home AS team, game_date AS valid_from, arg_max(round(home_after, 2), game_id) AS rating, arg_max(round(home_after - home_before, 4), game_id) AS change FROM scored GROUP BY 1, 2, 3),
+v AS (SELECT *, lag(rating) OVER (PARTITION BY league, team ORDER BY valid_from) AS held FROM d),
+k AS (SELECT *, lead(valid_from) OVER (PARTITION BY league, team ORDER BY valid_from) AS valid_to FROM v WHERE held IS NULL OR held <> rating)
+SELECT league, team, valid_from, valid_to, rating, change FROM k WHERE abs(change) > 2""")
 def _(t):
     """Rating versions with a change above two points, and how long each held."""
     s = ordered_fold(final_games(t), SPECS["rt_elo_std"])

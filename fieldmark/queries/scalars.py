@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import odds, stats
+from ..operators.core import counted_before
 from ..sources.files import this_century
 from . import query
 
@@ -119,7 +120,8 @@ def _(t):
     return b.select("bet_id", ((F.col("closing_prob") < F.col("market_prob")) & (F.col("elo_prob") > 0.5)).alias("reverse_move"), (F.col("closing_prob") - F.col("market_prob") >= 0.15).alias("pro_edge"))
 
 
-@query("sc_tz")
+@query("sc_tz", """WITH s AS (SELECT quote_id, date_trunc('second', observed_at) AS s FROM quotes), g AS (SELECT quote_id, (epoch(s) - epoch(timezone('America/New_York', s))) / 3600 AS east, (epoch(s) - epoch(timezone('America/Los_Angeles', s))) / 3600 AS west FROM s)
+SELECT quote_id, east - west AS zones, east AS offset_hours FROM g""")
 def _(t):
     """Hours between two venues' clocks on the day of a game, daylight saving included (time zone rules are the engine's own)."""
     at = F.col("observed_at")
@@ -265,11 +267,8 @@ def _(t):
 @query("rt_auc", """WITH r AS (SELECT elo_prob AS p, status = 'won' AS y, rank() OVER (ORDER BY elo_prob) + (count(*) OVER (PARTITION BY elo_prob) - 1) / 2.0e0 AS k FROM bets WHERE status <> 'open')
 SELECT round((sum(k) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0e0) / (count(*) FILTER (WHERE y) * 1.0e0 * count(*) FILTER (WHERE NOT y)), 6) AS auc FROM r""")
 def _(t):
-    """By distinct score, so that the one global order is over at most as many rows as there are scores."""
-    from pyspark.sql.window import Window
-
+    """By distinct score; their order is made in ranges side by side."""
     y = F.col("status") == "won"
     g = t.bets.where("status <> 'open'").groupBy("elo_prob").agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("elo_prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("below", below)
-    return g.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    g = counted_before(g, "elo_prob", "neg")
+    return g.agg(F.round(F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))

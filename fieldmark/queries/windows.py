@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators.core import close_versions, interval_agg, unpivot_sides
+from ..operators.core import close_versions, quantiles, unpivot_sides
 from . import query
 
 SIDES = "WITH s AS (SELECT game_id, league, home AS team, away AS opponent, game_date, home_score AS f, away_score AS a FROM games UNION ALL SELECT game_id, league, away, home, game_date, away_score, home_score FROM games)"
@@ -32,22 +32,36 @@ def _(t):
     return t.bets.withColumn("k", F.row_number().over(w)).where("k = 1").select("market", "bet_id")
 
 
-@query("wn_rolling_days", """WITH d AS (SELECT pitcher, game_date, sum(velocity) AS v, count(*) AS n FROM pitches WHERE pitcher % 5 = 0 GROUP BY 1, 2), k AS (SELECT * FROM (VALUES (7), (14), (30)) x(w))
-SELECT a.pitcher, a.game_date, k.w AS window_days, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n, round(sum(b.v) / sum(b.n), 6) AS avg_velocity FROM d a CROSS JOIN k LEFT JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - k.w AND b.game_date < a.game_date GROUP BY 1, 2, 3""")
+WINDOWS, SPLITS = (7, 14, 30), {"all": "TRUE", "left": "batter % 2 = 0", "right": "batter % 2 = 1", "starter": "pitcher % 3 > 0", "relief": "pitcher % 3 = 0"}
+_DAYS = ", ".join(f"count(*) FILTER (WHERE {on}) AS n_{s}, sum(velocity) FILTER (WHERE {on}) AS v_{s}" for s, on in SPLITS.items())
+_ROLLED = ", ".join(f"CAST(coalesce(sum(n_{s}) OVER w{w}, 0) AS BIGINT) AS n_{s}_{w}, round(CASE WHEN sum(n_{s}) OVER w{w} > 0 THEN sum(v_{s}) OVER w{w} / sum(n_{s}) OVER w{w} END, 6) AS velocity_{s}_{w}" for w in WINDOWS for s in SPLITS)
+_FRAMES = ", ".join(f"w{w} AS (PARTITION BY pitcher ORDER BY game_date RANGE BETWEEN INTERVAL {w} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)" for w in WINDOWS)
+
+
+@query("wn_rolling_days", f"WITH d AS (SELECT pitcher, game_date, {_DAYS} FROM pitches GROUP BY 1, 2) SELECT pitcher, game_date, {_ROLLED} FROM d WINDOW {_FRAMES}")
 def _(t):
-    d = t.pitches.where("pitcher % 5 = 0").groupBy("pitcher", "game_date").agg(F.sum("velocity").alias("v"), F.count("*").alias("n"))
-    out = interval_agg(d, d.select("pitcher", "game_date"), ["pitcher"], "game_date", "game_date", [7, 14, 30], F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("m"), F.round(F.sum("v") / F.sum("n"), 6).alias("avg_velocity"))
-    return out.withColumnRenamed("m", "n")
+    """Windows [day - w, day) over day sums, for all batters, either hand and either role; one exchange, one sort."""
+    sums = [f.alias(f"{c}_{s}") for s, on in SPLITS.items() for c, f in (("n", F.count(F.when(F.expr(on), 1))), ("v", F.sum(F.when(F.expr(on), F.col("velocity")))))]
+    d = t.pitches.groupBy("pitcher", "game_date").agg(*sums)
+    out = []
+    for days in WINDOWS:
+        w = Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-days, -1)
+        for s in SPLITS:
+            n = F.coalesce(F.sum(f"n_{s}").over(w), F.lit(0).cast("bigint"))
+            out += [n.alias(f"n_{s}_{days}"), F.round(F.try_divide(F.sum(f"v_{s}").over(w), n), 6).alias(f"velocity_{s}_{days}")]
+    return d.select("pitcher", "game_date", *out)
 
 
-@query("wn_decay_avg", """WITH d AS (SELECT pitcher, game_date, avg(velocity) AS v FROM pitches WHERE pitcher % 5 = 1 GROUP BY 1, 2)
+@query("wn_decay_avg", """WITH d AS (SELECT pitcher, game_date, avg(velocity) AS v FROM pitches GROUP BY 1, 2)
 SELECT a.pitcher, a.game_date, round(sum(b.v * exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 30.0)) / sum(exp(-ln(2) * date_diff('day', b.game_date, a.game_date) / 30.0)), 6) AS decayed
 FROM d a JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 90 AND b.game_date < a.game_date GROUP BY 1, 2""")
 def _(t):
-    d = t.pitches.where("pitcher % 5 = 1").groupBy("pitcher", "game_date").agg(F.avg("velocity").alias("v"))
-    w = stats.half_life(F.date_diff("game_date", "_day"), 30.0)
-    out = interval_agg(d, d.select("pitcher", "game_date"), ["pitcher"], "game_date", "game_date", [90], F.round(F.sum(F.col("v") * w) / F.sum(F.when(F.col("v").isNotNull(), w)), 6).alias("decayed"))
-    return out.where("decayed is not null").select("pitcher", "game_date", "decayed")
+    """exp decay is a ratio of sums: what the later day weighs cancels out, so one ordered window does without a self-join."""
+    d = t.pitches.groupBy("pitcher", "game_date").agg(F.avg("velocity").alias("v")).where("v is not null")
+    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 30.0)
+    w = Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-90, -1)
+    out = d.select("pitcher", "game_date", F.round(F.sum(k * F.col("v")).over(w) / F.sum(k).over(w), 6).alias("decayed"))
+    return out.where("decayed is not null")
 
 
 @query("wn_last_n_form", SIDES + """ SELECT game_id, team, round(coalesce(avg(CASE WHEN f > a THEN 1.0e0 ELSE 0.0e0 END) OVER w, 0.5), 6) AS form, round(coalesce(avg(f) OVER w, 80), 6) AS scored FROM s WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
@@ -91,8 +105,8 @@ def _(t):
 
 @query("wn_decile", """WITH q AS (SELECT quantile_cont(elo_prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM bets) SELECT bet_id, CAST(1 + len(list_filter(c, lambda x: x < elo_prob)) AS INTEGER) AS decile FROM bets, q""")
 def _(t):
-    cuts = t.bets.agg(F.percentile("elo_prob", F.array(*[F.lit(round(i / 10, 1)) for i in range(1, 10)])).alias("c"))  # one row
-    return t.bets.crossJoin(F.broadcast(cuts)).select("bet_id", (1 + F.size(F.filter("c", lambda x: x < F.col("elo_prob")))).alias("decile"))
+    cuts = quantiles(t.bets, "elo_prob", [round(i / 10, 1) for i in range(1, 10)])
+    return t.bets.crossJoin(F.broadcast(cuts)).select("bet_id", (1 + F.size(F.filter("q", lambda x: x < F.col("elo_prob")))).alias("decile"))
 
 
 @query("wn_markov", SIDES + """, r AS (SELECT game_id, league, team, game_date, CASE WHEN f > a THEN 1 ELSE 0 END AS w, lag(CASE WHEN f > a THEN 1 ELSE 0 END, 1, 1) OVER (PARTITION BY league, team ORDER BY game_date, game_id) AS prev FROM s)

@@ -32,7 +32,7 @@ FROM {events} WHERE event_type = 'purchase'""",
     "games": """
 SELECT o_orderkey AS game_id, o_custkey % 16 AS league, o_custkey % 30 AS home, (o_custkey * 7 + o_orderkey) % 30 AS away,
   CAST(o_orderdate AS DATE) AS game_date, 60 + (o_orderkey * 13) % 50 AS home_score, 60 + (o_orderkey * 29 + 7) % 50 AS away_score,
-  CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'P' THEN 'postponed' ELSE 'scheduled' END AS status
+  CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'P' THEN 'postponed' ELSE 'scheduled' END AS status, o_orderkey % 23 = 0 AS is_neutral
 FROM {orders} WHERE o_custkey % 30 <> (o_custkey * 7 + o_orderkey) % 30""",
     "pitches": """
 SELECT l_suppkey AS pitcher, l_partkey % 50 AS batter, l_returnflag || l_linestatus AS pitch_type, l_quantity AS velocity, l_discount AS location,
