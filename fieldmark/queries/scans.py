@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.core import upsert
 from ..sources import files
+from ..sources.shared import shared_path
 from . import query
 
 
@@ -28,16 +29,24 @@ def _(t):
     return files.soccer_rows(lines)
 
 
-@query("src_csv_enc", "SELECT c_custkey, c_mktsegment FROM customer")
+@query("src_csv_enc", "SELECT c_custkey, replace(c_mktsegment, 'A', 'Ä') AS segment FROM customer")
 def _(t):
-    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_mktsegment")
-    return t.customer.select(F.from_csv(F.decode(F.encode(line, "ISO-8859-1"), "ISO-8859-1"), "c_custkey bigint, c_mktsegment string").alias("r")).select("r.*")
+    """Files in two encodings, each read in the one that it is valid in."""
+    path = shared_path(t.spark, "encodings")
+    rows = t.customer.select("c_custkey", F.replace("c_mktsegment", F.lit("A"), F.lit("Ä")).alias("segment"))
+    for i, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        rows.where(F.col("c_custkey") % 2 == i).write.option("header", True).option("encoding", encoding).csv(f"{path}/{i}")
+    return files.csv_any_encoding(t.spark, path, "c_custkey bigint, segment string").drop("file")
 
 
 @query("src_csv_history", "SELECT game_id, 'LEAGUE' || league AS sport, game_date FROM games WHERE game_date >= DATE '1998-01-01'")
 def _(t):
-    named = t.games.withColumn("file", F.concat(F.lit("/data/LEAGUE"), F.col("league").cast("string"), F.lit("_history.csv")))
-    return named.where(F.col("game_date") >= F.lit("1998-01-01").cast("date")).select("game_id", F.regexp_extract("file", r"/(\w+?)_history", 1).alias("sport"), "game_date")
+    """A tree of history files: the sport is in the path, dates come in the file's own format."""
+    path = shared_path(t.spark, "history")
+    named = t.games.select("game_id", F.date_format("game_date", "dd/MM/yyyy").alias("day"), F.concat(F.lit("LEAGUE"), F.col("league").cast("string")).alias("history"))
+    named.write.partitionBy("history").option("header", True).csv(path)
+    rows = files.csv_tree(t.spark, path, "game_id bigint, day string").withColumn("game_date", F.to_date("day", "dd/MM/yyyy"))
+    return rows.where(F.col("game_date") >= F.lit("1998-01-01").cast("date")).select("game_id", F.regexp_extract("file", r"/history=(\w+)/", 1).alias("sport"), "game_date")
 
 
 @query("src_csv_numeric", "SELECT game_id, n_name AS team, home_score FROM games JOIN nation ON home = n_nationkey")
@@ -97,8 +106,11 @@ def _(t):
 
 @query("src_files_opps", "SELECT bet_id, sport FROM bets WHERE placed_date >= DATE '1999-06-01'")
 def _(t):
-    b = t.bets.withColumn("day", F.date_format("placed_date", "yyyyMMdd"))
-    return b.where(F.to_date("day", "yyyyMMdd") >= F.lit("1999-06-01").cast("date")).select("bet_id", "sport")
+    """Daily JSON files per sport; the folders of days gone by are never opened."""
+    path = shared_path(t.spark, "opportunities")
+    t.bets.select("bet_id", "sport", F.trunc("placed_date", "month").alias("month"), "placed_date").repartition("month").write.partitionBy("month").json(path)
+    rows = t.spark.read.json(path, schema="bet_id bigint, sport string, placed_date date, month date")
+    return rows.where("month >= DATE '1999-06-01' and placed_date >= DATE '1999-06-01'").select("bet_id", "sport")
 
 
 @query("snk_upsert", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v FROM orders UNION ALL SELECT o_orderkey + 1000000000, 'new' FROM orders WHERE o_orderkey % 40 = 0""")
@@ -122,5 +134,7 @@ def _(t):
 
 @query("snk_export_slices", "SELECT o_orderkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
 def _(t):
+    """A join slice, exported as CSV and read back."""
     o = t.orders.where((F.col("o_orderdate") >= "1997-01-01") & (F.col("o_orderdate") < "1998-01-01"))
-    return o.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_mktsegment")
+    o = o.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_mktsegment")
+    return files.through_csv(o, o.schema)

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ratings import RatingSpec, stream_fold
+from ..operators.ratings import RatingSpec, replayed, stream_fold
 from ..sources.tables import DOMAIN
-from ..streaming.jobs import event_stream, keep_latest, run_now, table_stream
+from ..streaming.jobs import event_stream, keep_latest, latest_updates, run_now, table_stream
 from . import query
+from .rating_sql import elo_sql
+from .ratings import ROUNDED, final_games, rounded
 
 
 @query("st_hourly_snapshot", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, round(arg_max(value, ts), 4) AS value, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    hours = event_stream(t.spark, t.sf_dir).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
-    part = hours.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "hour").agg(F.max_by("value", "ts").alias("v"), F.count("*").alias("n"), F.max("ts").alias("at"))
-    # the last window stays open under a watermark: an update per batch, then the newest row of each hour
-    last = keep_latest(part.select("hour", "v", "n", "at"), ["hour"], "n", "hourly", mode="update")
-    return last.select("hour", F.round("v", 4).alias("value"), "n")
+    """Hours stay open in the state, so that a late row counts in its hour."""
+    hours = event_stream(t.spark, t.sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.max_by("value", "ts").alias("v"), F.count("*").alias("n"))
+    return latest_updates(hours, ["hour"], "hourly").select("hour", F.round("v", 4).alias("value"), "n")
 
 
 @query("st_latest_quote", "SELECT user_id AS market, arg_max(event_id, ts) AS quote_id, round(1.01e0 + arg_max(value, ts) / 100, 4) AS price FROM events GROUP BY 1")
@@ -35,9 +35,9 @@ def _(t):
 
 @query("st_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
-    """A known pair within the watermark is dropped; pairs that come back later are met by the distinct at the end."""
-    s = event_stream(t.spark, t.sf_dir).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return run_now(s.select("user_id", "event_type"), "dedup").distinct()
+    """Known pairs are the state, so a pair passes once whenever it comes."""
+    s = event_stream(t.spark, t.sf_dir).select("user_id", "event_type").dropDuplicates()
+    return run_now(s, "dedup")
 
 
 @query("st_pregame_late", "SELECT event_id FROM events WHERE ts < date_trunc('day', ts) + INTERVAL '20' HOUR")
@@ -52,9 +52,9 @@ def _(t):
     return keep_latest(fills, ["event_id"], "ts", "fills").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
 
 
-@query("st_rating_update")
+@query("st_rating_update", f"{elo_sql({'one': RatingSpec()})} SELECT game_id, league, {ROUNDED} FROM scored")
 def _(t):
-    """Games as they come; equals rt_elo_std as long as none is late."""
+    """Games as they come; the leagues of games that come too late are rated anew from all games."""
     games = t.spark.sql(DOMAIN["games"], orders=table_stream(t.spark, t.sf_dir, "orders")).where("status <> 'scheduled'")
     scored = run_now(stream_fold(games, RatingSpec()), "ratings")
-    return scored.select("game_id", "league", *[F.round(c, 6).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])
+    return rounded(replayed(scored, final_games(t), RatingSpec()))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_path
+
 
 def this_century(day):
     """A date read from two digits of its year, which mean 1970 to 2069."""
@@ -36,26 +36,65 @@ def odds_rows(docs: DataFrame) -> DataFrame:
 
 
 def csv_tree(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """All CSV files below a path with their file name; broken lines dropped."""
-    df = spark.read.option("encoding", encoding).option("mode", "DROPMALFORMED").option("header", header).csv(path, schema=schema)
-    return df.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
+    """All CSV files below a path with their path as ``file``; broken lines dropped."""
+    read = spark.read.option("encoding", encoding).option("mode", "DROPMALFORMED").option("header", header).option("recursiveFileLookup", True)
+    return read.csv(path, schema=schema).withColumn("file", F.col("_metadata.file_path"))
+
+
+def csv_any_encoding(spark: SparkSession, path: str, schema: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """CSV files below a path, each in the first of the encodings that it is valid in (the last one takes what is left)."""
+    bad = F.concat_ws("", "*").contains("\ufffd")  # what a decoder puts for bytes that it can't read
+    out, left = None, None
+    for i, encoding in enumerate(encodings):
+        rows = csv_tree(spark, path, schema, encoding)
+        rows = rows if left is None else rows.join(left, "file", "left_semi")
+        if i + 1 < len(encodings):
+            left = rows.where(bad).select("file").distinct()
+            rows = rows.join(left, "file", "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def jdbc_options(url: str, table: str, columns: list[str], where: dict[str, object] | None = None, split: str | None = None, bounds: tuple | None = None, partitions: int = 1, **more: str) -> dict[str, str]:
+    """Options of ``spark.read.format("jdbc")``: the filter goes to the server with the query, the rest is read in ranges of ``split``.
+
+    where: column -> value, or -> (operator, value).  Values are quoted, never taken as SQL; other operators are refused.
+    """
+
+    def literal(v: object) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+    def name(c: str) -> str:
+        return '"' + c.replace('"', '""') + '"'
+
+    terms = []
+    for column, value in (where or {}).items():
+        op, v = value if isinstance(value, tuple) else ("=", value)
+        if op not in ("=", "<>", "<", "<=", ">", ">="):
+            raise ValueError(f"unknown operator {op!r}")
+        terms.append(f"{name(column)} IS NULL" if v is None and op == "=" else f"{name(column)} {op} {literal(v)}")
+    query = f"SELECT {', '.join(map(name, columns))} FROM {name(table)}" + (" WHERE " + " AND ".join(terms) if terms else "")
+    out = {"url": url, "dbtable": f"({query}) AS q", "fetchsize": "10000", **more}
+    if split:
+        low, high = bounds
+        out |= {"partitionColumn": split, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return out
 
 
 def through_csv(df: DataFrame, schema: str) -> DataFrame:
     """df written as CSV and read back."""
-    path = _folder(df.sparkSession)
+    path = shared_path(df.sparkSession, "export")
     df.write.option("header", True).csv(path)
     return df.sparkSession.read.option("header", True).csv(path, schema=schema)
 
 
 def appended(frames: list[DataFrame]) -> DataFrame:
     """Frames appended to one table, one after another, as it reads then."""
-    path = _folder(frames[0].sparkSession)
+    path = shared_path(frames[0].sparkSession, "table")
     for f in frames:
         f.write.mode("append").parquet(path)
     return frames[0].sparkSession.read.parquet(path)

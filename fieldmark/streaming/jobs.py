@@ -1,17 +1,17 @@
-"""Structured Streaming jobs; each runs to the end of what is there (availableNow) and equals its batch twin."""
+"""Structured Streaming jobs; each runs to the end of what is there (availableNow) and equals its batch twin.
 
-from __future__ import annotations
+One run takes all files that are there as one batch, so their order and number
+don't matter.  With a named ``path`` a job goes on from its checkpoint: the next
+run takes new files only, and what its results rest on is in the state store
+and in files named by batch, so a batch that is run again overwrites itself.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A folder that executors share, for checkpoints and outputs."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,31 +21,34 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def run_now(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """What the stream has written when all there is has been read."""
+def run_now(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """All rows that the stream has appended once all there is has been read."""
     spark = stream.sparkSession
-    out = scratch(spark, label)
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    out = path or shared_path(spark, label)
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def keep_latest(stream: DataFrame, keys: list[str], at: str, label: str, mode: str = "append") -> DataFrame:
-    """The newest row of each key over all micro-batches; rows older than what is held change nothing."""
+def latest_updates(stream: DataFrame, keys: list[str], label: str, path: str | None = None) -> DataFrame:
+    """An aggregated stream's newest row of each key: every batch writes the keys that it changed."""
     spark = stream.sparkSession
-    out = scratch(spark, label)
-    state = {"n": 0, "path": None}
-
-    def merge(batch: DataFrame, _: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        both = batch if state["path"] is None else batch.unionByName(spark.read.parquet(state["path"]))
-        new = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, *rest)).alias("r")).select(*keys, "r.*")
-        path = f"{out}/v{state['n']}"
-        new.write.mode("overwrite").parquet(path)
-        state.update(n=state["n"] + 1, path=path)
-
-    stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(state["path"]) if state["path"] else spark.createDataFrame([], stream.schema)
+    out = path or shared_path(spark, label)
+    rest = [c for c in stream.columns if c not in keys]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, epoch bigint").parquet(f"{out}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*keys, "r.*")
+
+
+def keep_latest(stream: DataFrame, keys: list[str], at: str, label: str, path: str | None = None) -> DataFrame:
+    """The newest row of each key (of rows of one time that with the greatest values); rows older than what is held change nothing."""
+    rest = [c for c in stream.columns if c not in keys]
+    newest = stream.groupBy(*keys).agg(F.max(F.struct(at, *[c for c in rest if c != at])).alias("r"))
+    return latest_updates(newest.select(*keys, "r.*"), keys, label, path).select(*stream.columns)
