@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +37,34 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a task turns into Python objects at once.
+AT_ONCE = 1 << 20
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system, as Python workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it keeps the memory
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of at most ``most`` bytes in ``column`` (a longer row is a run of its own)."""
+    try:
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(ends):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                yield b.slice(at, upto - at)
+                at = upto
+    finally:
+        give_back()
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, materialise
+from .common import AT_ONCE, documents, give_back, materialise, slices
 
 LIMIT = 4096
 #: Fixed by the contract: it follows a document's own tokens.
@@ -54,21 +54,39 @@ class Merges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.first = np.array([vocab[names[b]] for b in range(256)], np.int64)
-        self.last = np.array([vocab[names[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
-        self.base = max(vocab.values()) + 1
-        keys = np.array([vocab[a] * self.base + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank = keys[order], order
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.first = np.array([vocab[names[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[names[b] + model["end_of_word_suffix"]] for b in range(256)], np.int32)
+        self.base = np.int64(max(vocab.values()) + 1)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.none = len(pairs)
+        keys = np.array([vocab[a] * int(self.base) + vocab[b] for a, b in pairs], np.int64)
+        self.slots = np.full(1 << self.BITS, -1, np.int64)  # open addressing: the next free slot from a key's own on
+        self.rank = np.full(1 << self.BITS, self.none, np.int32)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) % (1 << self.BITS)
+            self.slots[slot], self.rank[slot] = key, rank
+
+    BITS = 18
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).view(np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.base + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.none)
-
-    def ids(self, words: list[str], at_once: int = 3000) -> list[bytes]:
+        slot = self._slot(key)
+        there = self.slots[slot]
+        out = np.where(there == key, self.rank[slot], np.int32(self.none))
+        go = np.flatnonzero((there != key) & (there >= 0))
+        while len(go):
+            slot[go] = (slot[go] + 1) % (1 << self.BITS)
+            there = self.slots[slot[go]]
+            hit = there == key[go]
+            out[go[hit]] = self.rank[slot[go[hit]]]
+            go = go[~hit & (there >= 0)]
+        return out
+
+    def ids(self, words: list[str], at_once: int = 4000) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each non-empty word; some thousand at a time fit a core's cache."""
         return [x for i in range(0, len(words), at_once) for x in self._ids(words[i : i + at_once])]
 
@@ -79,41 +97,45 @@ class Merges:
         places of a word's lowest pair merge in one round.
         """
         raw = [w.encode() for w in words]
-        size = np.array([len(r) for r in raw], np.int64)
+        size = np.array(list(map(len, raw)), np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum(size)
         sym = self.first[flat]
+        ends = np.cumsum(size)
         sym[ends - 1] = self.last[flat[ends - 1]]
-        word = np.repeat(np.arange(len(raw)), size)
-        rank = np.full(len(sym), self.none)
-        same = np.flatnonzero(word[:-1] == word[1:])
-        rank[same] = self._ranks(sym[same], sym[same + 1])
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        rank = np.empty(len(sym), np.int32)
+        rank[:-1] = self._ranks(sym[:-1], sym[1:])
+        rank[ends - 1] = self.none
         done_word, done_sym = [], []
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            length = np.diff(np.r_[starts, len(word)])
             low = np.minimum.reduceat(rank, starts)
-            over = np.repeat(low == self.none, length)
-            done_word.append(word[over])
-            done_sym.append(sym[over])
-            go = ~over
-            best = np.repeat(low, length)[go]
-            sym, word, rank = sym[go], word[go], rank[go]
-            hit = np.flatnonzero(rank == best)
-            if len(hit):  # of adjoining places, every second one, from the left
-                run = np.r_[True, np.diff(hit) != 1]
+            length = np.diff(np.append(starts, len(word)))
+            if (over := low == self.none).any():
+                go = np.repeat(~over, length)
+                done_word.append(word[~go])
+                done_sym.append(sym[~go])
+                sym, word, rank = sym[go], word[go], rank[go]
+                low, length = low[~over], length[~over]
+            hit = np.flatnonzero(rank == np.repeat(low, length))
+            if not len(hit):
+                break
+            if len(close := np.flatnonzero(np.diff(hit) == 1)):  # of adjoining places, every second one, from the left
+                run = np.ones(len(hit), bool)
+                run[close + 1] = False
                 began = hit[np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))]
                 hit = hit[(hit - began) % 2 == 0]
-                sym[hit] = self.made[rank[hit]]
-                stay = np.ones(len(sym), bool)
-                stay[hit + 1] = False
-                new = hit - np.arange(len(hit))
-                sym, word, rank = sym[stay], word[stay], rank[stay]
-                near = np.unique(np.r_[new, new[new > 0] - 1])
-                two = near[near + 1 < len(sym)]
-                rank[near] = self.none
-                two = two[word[two] == word[two + 1]]
-                rank[two] = self._ranks(sym[two], sym[two + 1])
+            sym[hit] = self.made[rank[hit]]
+            stay = np.ones(len(sym), bool)
+            stay[hit + 1] = False
+            rank[hit] = rank[hit + 1]  # a last symbol has no pair to its right
+            new = hit - np.arange(len(hit))
+            sym, word, rank = sym[stay], word[stay], rank[stay]
+            near = np.zeros(len(sym), bool)
+            near[new] = True
+            near[new[new > 0] - 1] = True
+            two = np.flatnonzero(near[:-1] & (word[:-1] == word[1:]))
+            rank[two] = self._ranks(sym[two], sym[two + 1])
         if not done_sym:
             return []
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
@@ -123,39 +145,52 @@ class Merges:
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+class Recent(dict):
+    """Values of recent keys; when full, by number or bytes, only what is met again lives on."""
+
+    def __init__(self, keep: int, most: int = 8 << 20):
+        super().__init__()
+        self.keep, self.most, self.size, self.old = keep, most, 0, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that have to be worked out; all others are in the dictionary until the next call."""
+        if len(self) > self.keep or self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        new = keys.difference(self)
+        self.update({k: self.old[k] for k in new.intersection(self.old)})
+        new = list(new.difference(self))
+        self.size += sum(map(len, new))
+        return new
+
+
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Words repeat, so the ids of the first ``keep`` different words, and of the
-    pieces that they consist of, are kept (a cache only: results never depend
-    on it).  Texts with characters beyond the first 256 code points, or with
-    what may be a special token, go to the tokenizer as they are.
+    Words repeat, so the ids of recent words, and of the pieces that they
+    consist of, are kept (a cache only: results never depend on it).  A cached
+    entry takes some 250 bytes, so ``keep`` bounds a worker at 50 MB.  Texts
+    with characters beyond the first 256 code points, or with what may be a
+    special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 50_000):
         from tokenizers import Tokenizer
 
-        self.model, self.merges, self.words, self.pieces, self.keep = Tokenizer.from_file(path), Merges(path), {}, {}, keep
+        self.model, self.merges, self.words, self.pieces = Tokenizer.from_file(path), Merges(path), Recent(keep), Recent(keep)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _WIDE.search(t) else t.lower().split() for t in texts]
-        words = self.words
-        new = set().union(*filter(None, split)).difference(words)
-        if new:
-            cut = [_PIECE.findall(w) for w in new]
-            pieces = self.pieces
-            fresh = list(set().union(*cut).difference(pieces))
-            pieces = pieces if len(pieces) < self.keep else dict.fromkeys(set().union(*cut).intersection(pieces))
-            if pieces is not self.pieces:
-                pieces = {p: self.pieces[p] for p in pieces}
-            pieces.update(zip(fresh, self.merges.ids(fresh), strict=True))
-            found = [b"".join([pieces[p] for p in c]) for c in cut]
-            if len(words) >= self.keep:
-                words = {w: words[w] for w in set().union(*filter(None, split)).intersection(words)}
-            words.update(zip(new, found, strict=True))
+        words, pieces = self.words, self.pieces
+        new = words.missing(set().union(*filter(None, split)))
+        cut = list(map(_PIECE.findall, new))
+        fresh = pieces.missing(set().union(*cut))
+        pieces.update(zip(fresh, self.merges.ids(fresh), strict=True))
+        known = pieces.__getitem__
+        words.update(zip(new, [known(c[0]) if len(c) == 1 else b"".join(map(known, c)) for c in cut], strict=True))
         get = words.__getitem__
         return [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
@@ -169,7 +204,7 @@ def word_tokenizer() -> str:
 PIECES = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, at_once: int = 1 << 22) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece; only documents longer than limit are cut."""
     schema = T.StructType([docs.schema["doc_id"]] + [T.StructField(n, t) for n, t in PIECES])
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -180,23 +215,18 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, at_once: int = 1
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = Tokens(tokenizer)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                size, upto = 0, at
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= at_once):
-                    size, upto = size + len(texts[upto]), upto + 1
-                where, rows = [], []
-                for i, ids in enumerate(tokens.encode(texts[at:upto])):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids) // 4, limit)):
-                        part = ids[4 * start : 4 * (start + limit)]
-                        where.append(at + i)
-                        rows.append((k, start, len(part) // 4, zlib.crc32(part)))
-                cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(where, pa.int64())), *cols], names=schema.names)
-                at = upto
+        for b in slices(batches, most=at_once):
+            where, rows = [], []
+            for i, ids in enumerate(tokens.encode([t or "" for t in b.column("text").to_pylist()])):
+                ids += end
+                for k, start in enumerate(range(0, len(ids) // 4, limit)):
+                    part = ids[4 * start : 4 * (start + limit)]
+                    where.append(i)
+                    rows.append((k, start, len(part) // 4, zlib.crc32(part)))
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(where, pa.int64())), *cols], names=schema.names)
+        del tokens
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
