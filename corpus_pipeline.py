@@ -6,10 +6,12 @@ kept, and returns the columns of documents; the last returns packed pieces.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import language_id, mixing, packing, secrets, simhash
+from fieldmark.llm import language_id, mixing, packing, secrets, similar
 from fieldmark.llm.common import fresh, materialise
 
 
@@ -22,14 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the row with the smallest doc_id (rows without an id stay, repeated ones go)."""
-    found = materialise(simhash.similar_documents(docs, width=5, similarity=0.8), "near-groups")
-    key = fresh("_gone", docs.columns)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    """Keeps one row of each group of near copies, that of the smallest doc_id (null ids last); rows are told apart by id and text."""
+    return similar.one_of_each(docs, width=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +34,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that expected domain totals meet the target weights; none is dropped."""
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Repeats documents so that expected domain totals meet the target weights; none is dropped, as no rate is below 1."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rates=(1.0, math.inf))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,12 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise
+from .common import documents, materialise, slices
 from .components import connected_components
 
 #: Segments as (first bit, width); each next segment is also known by its two halves.
@@ -39,14 +38,18 @@ RADIUS = 2
 BUCKET = 64
 
 
-def fingerprint(raw: bytes | None, width: int) -> int:
-    """SimHash of the ``width``-word shingles of a text's UTF-8 bytes, as a signed 64-bit integer."""
+def shingle_hashes(raw: bytes | None, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width``-word shingles of a text's UTF-8 bytes, in order, repeats included."""
     words = (raw or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     grams = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
     h, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([h(join(g), 42) for g in grams], dtype="<u8")
+    return np.array([h(join(g), 42) for g in grams], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -62,9 +65,9 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([simhash(shingle_hashes(t, width)) for t in texts], pa.int64())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -130,181 +133,6 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-# ---------------------------------------------------------------- similarity of shingle sets
-
-#: Texts of Jaccard similarity 0.8 differ in up to some 14 of 64 fingerprint bits, which no segment index can reach:
-#: BANDS keys of ROWS least hashes each bring such pairs together, and every candidate is checked on its whole shingle sets.
-BANDS, ROWS = 20, 5
-#: In buckets of more than PAIRED texts each first meets REPRESENTATIVES of them; texts of a bucket that this leaves in
-#: different groups are then compared all with all, in blocks of about CROWD texts.
-PAIRED, REPRESENTATIVES, CROWD = 16, 2, 512
-_MIXERS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(raw: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    words = (raw or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    h, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.array([h(join(g), 42) for g in grams], np.uint64))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key for each band: equal with probability similarity ** ROWS."""
-    if not len(hashes):
-        return []
-    least = np.full(len(_MIXERS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        x = hashes[i : i + 1024, None] * _MIXERS
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
-
-
-def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, fp and bands for each row; one narrow pass over the texts."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            cols = [pa.array([xxhash.xxh128_digest(t or b"") for t in texts], pa.binary()), pa.array([fingerprint(t, width) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array([bands(shingles(t, width)) for t in texts], pa.list_(pa.int64()))], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes(node, fp, bands) -> distinct (a, b): near by fingerprint, or together in a band; (key, node, n) of the large buckets."""
-    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fp-first")
-    same = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    by = lambda n: first.select(F.col("fp").alias(n), F.col("first").alias(f"node_{n}"))
-    near = near_links(first.select("fp")).join(by("a"), "a").join(by("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    salts = [0, *(0x5DEECE66D * 7919**i % (1 << 62) for i in range(1, REPRESENTATIVES))]
-    picks = F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in salts])
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), picks.alias("picks")).where("n > 1")
-    met = materialise(keyed.join(sizes, "key"), "bands")
-    few = met.where(F.col("n") <= PAIRED)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a > b").select("a", "b")
-    many = met.where(F.col("n") > PAIRED)
-    stars = many.select(F.col("node").alias("a"), F.explode("picks").alias("b"))
-    every = same.unionByName(near).unionByName(pairs).unionByName(stars).where("a <> b")
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), many.select("key", "node", "n")
-
-
-def _compared(i: int, j: int, blocks: list[int], nodes: list[int], roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links between block i and block j (or within i) that join groups which ``roots`` and the links before leave apart."""
-    group = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    block, out = np.array(blocks), []
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        return out
-    span = np.concatenate([ids[starts[r] : starts[r] + sizes[r]] for r in right])
-    at = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
-    mark = np.zeros(len(distinct), bool)
-    for x in left:
-        if (group[right] == group[x]).all():
-            continue
-        own = ids[starts[x] : starts[x] + sizes[x]]
-        mark[own] = True
-        both = np.add.reduceat(mark[span], at, dtype=np.int64)
-        mark[own] = False
-        for y in right[(both > 0) & (both >= similarity * (sizes[x] + sizes[right] - both))]:
-            if group[y] != group[x]:
-                out.append((nodes[x], nodes[y]))
-                group[group == group[y]] = group[x]
-    return out
-
-
-def _crowd_links(many: DataFrame, roots: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """many(key, node, n), roots(node, root), texts(doc_id, packed) -> links (a, b) that join what is still apart in a large bucket.
-
-    A bucket of n texts falls into n / CROWD blocks by a hash of the node, and
-    every two blocks meet in a group of their own, so a task holds two blocks
-    whatever the size of the bucket, and no row is made for a pair that is no link.
-    """
-    named = many.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    named = materialise(named, "crowds")
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    count = F.ceil(F.col("n") / CROWD).cast("int")
-    members = named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), count).cast("int"))
-    met = members.join(texts.withColumnRenamed("doc_id", "node"), "node")
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "packed")
-
-    def compare(table):
-        z = zstandard.ZstdDecompressor()
-        col = {c: table.column(c).to_pylist() for c in ("i", "j", "block", "node", "root", "packed")}
-        sets = [shingles(z.decompress(x), width) for x in col["packed"]]
-        found = _compared(col["i"][0], col["j"][0], col["block"], col["node"], col["root"], sets, similarity)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-
-
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable) over links of Jaccard similarity ``similarity`` and more.
-
-    Rows without a doc_id take no part and don't come out; rows that repeat a
-    doc_id come out as often.  Texts without words link with their copies only.
-    """
-    known = docs.where("doc_id is not null")
-    sig = materialise(sketched(known, width), "sketches")
-    nodes = materialise(sig.groupBy("text_key").agg(F.min("doc_id").alias("node")), "texts")
-    each = sig.join(nodes.select("text_key", F.col("node").alias("doc_id")), ["text_key", "doc_id"]).dropDuplicates(["text_key"])
-    found, many = _candidates(each.select(F.col("doc_id").alias("node"), "fp", "bands"))
-    found = materialise(found, "candidates")
-    ends = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-
-    def pack(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            texts = [z.compress(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
-
-    packed = T.StructType([docs.schema["doc_id"], T.StructField("packed", T.BinaryType())])
-    texts = known.select("doc_id", "text").mapInArrow(pack, packed).join(ends, "doc_id").dropDuplicates(["doc_id"])
-    texts = materialise(texts, "candidate-texts")
-    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("packed").alias(f"text_{n}"))
-
-    def check(batches):
-        z, held = zstandard.ZstdDecompressor(), {}
-
-        def of(node, packed):
-            if node not in held:
-                if len(held) > 64:  # a small cache: pairs of one text come together
-                    held.clear()
-                held[node] = shingles(z.decompress(packed), width)
-            return held[node]
-
-        for b in batches:
-            keep = []
-            for x, y, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                u, v = of(x, s), of(y, t)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both > 0 and both >= similarity * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
-    roots = materialise(connected_components(links), "similar-components")
-    more = materialise(_crowd_links(many, roots, texts, width, similarity), "crowd-links")
-    if more.limit(1).count():  # components of the components
-        by = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-        across = more.join(by("a"), "a", "left").join(by("b"), "b", "left")
-        across = across.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        last = materialise(connected_components(across), "similar-groups").withColumnRenamed("root", "last")
-        ends = roots.unionByName(last.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-        ends = ends.join(last.select(F.col("node").alias("root"), "last"), "root", "left")
-        roots = materialise(ends.select("node", F.coalesce("last", "root").alias("root")), "similar-roots")
-    named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("component_id"))
-    return sig.select("doc_id", "text_key").join(materialise(named, "similar-names"), "text_key", "left").select("doc_id", "component_id")
-
-
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir), width=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from fieldmark.llm import similar as N
 from fieldmark.llm import simhash as S
 
 from .helpers import documents, empty
@@ -104,9 +105,9 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
             if i < j and ((x or "") == (y or "") or jaccard(x, y, 5) >= 0.8):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    want = sorted((i, root(i)) for i, _ in [*rows, rows[0]])
-    assert sorted((r.doc_id, r.component_id) for r in S.similar_documents(docs).collect()) == want
-    assert S.similar_documents(empty(spark)).count() == 0
+    want = sorted([(i, root(i)) for i, _ in [*rows, rows[0]]] + [(-1, root(next(i for i, t in rows if t == base[1])))])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in N.similar_documents(docs).collect()) == want
+    assert N.similar_documents(empty(spark)).count() == 0
 
 
 def edited_copies(n, at, rng):
@@ -130,5 +131,16 @@ def test_copies_of_a_text_that_represents_no_bucket(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     want = sorted((i, i // 1000 * 1000) for i, _ in rows)
     for crowd in (512, 20):
-        monkeypatch.setattr(S, "CROWD", crowd)
-        assert sorted((r.doc_id, r.component_id) for r in S.similar_documents(docs).collect()) == want
+        monkeypatch.setattr(N, "CROWD", crowd)
+        assert sorted((r.doc_id, r.component_id) for r in N.similar_documents(docs).collect()) == want
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(1, base[0]), (1, base[1]), (1, base[0]), (2, base[1] + " tail"), (None, base[2]), (None, base[2] + " tail"), (9, base[3]), (None, base[3]), (4, None), (3, ""), (5, base[4]), (5, base[4] + " tail"), (None, base[5]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, text_key string, root int").repartition(3)
+    got = sorted((str(r.doc_id), (r.text or "")[:12]) for r in N.one_of_each(docs).collect())
+    assert N.one_of_each(docs).columns == docs.columns
+    assert got == sorted([("1", base[0][:12]), ("1", base[1][:12]), ("None", base[2][:12]), ("9", base[3][:12]), ("3", ""), ("5", base[4][:12]), ("None", base[5][:12])])
+    assert N.one_of_each(empty(spark)).count() == 0
