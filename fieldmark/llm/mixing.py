@@ -1,8 +1,11 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
 A Gaussian naive Bayes classifier over text statistics, learned from a labelled
-table, gives each document a posterior over the domains.  A document's tokens
-count for a domain as far as it belongs there.  Document rates r then minimise
+table, gives each document a posterior over the domains.  Besides lengths and
+shares of kinds of characters, its statistics count words that are typical of a
+domain; these are learned, too, from at most about ``per_domain`` labelled
+documents of each domain, drawn by a hash of the id.  A document's tokens count
+for a domain as far as it belongs there.  Document rates r >= 0 then minimise
 the squared distance of the expected token totals A r to the targets by
 projected gradient steps, r <- clip(r - p . step), scaled by the inverse of the
 small matrix sum(tokens p p') so that few steps are needed.  Each step is one
@@ -12,7 +15,10 @@ is a fold of the steps so far, so no document leaves its partition.
 Nulls: a null text has no tokens; without tokens, or without labelled rows, a
 posterior is the prior.  A null doc_id keeps its row.  Labels that repeat for a
 doc_id count once (the smallest).  A domain that no label names gets no
-posterior, and its target is left out.
+posterior, and its target is left out.  Repeated rows count as often as they
+occur; equal texts have equal rates, but copies are drawn by id.  Ties between
+words go by the word.  Very long texts are taken whole.  An empty table gives
+an empty result.  Columns of docs that share a name with ours stay as they are.
 """
 
 from __future__ import annotations
@@ -29,79 +35,110 @@ from .common import documents, fresh, materialise
 DOMAINS = {"junk": "quality = 0", "toxic": "toxic = 1", "good": "quality = 1"}
 #: Domain -> share of the mixed tokens.
 WEIGHTS = {"good": 0.78, "toxic": 0.11, "junk": 0.11}
-#: No document falls out; none is repeated more often unless the targets need it.
-RATES = (1.0, 4.0)
-#: The upper rate is not raised beyond this; targets out of reach are then missed, which the totals reached show.
-MOST = 64.0
-STATS = ["f_words", "f_mean", "f_bang", "f_bar", "f_symbol", "f_stop", "f_case", "f_insult"]
-#: Words whose count is one of the statistics.
-INSULTS = ["idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "filthy", "vermin", "imbecile", "retard"]
+#: Rates are not negative; nothing else bounds them unless the caller does.
+RATES = (0.0, math.inf)
+#: Kinds of characters whose share of a text's words is a statistic.
+KINDS = {"f_capital": r"\p{Lu}", "f_digit": r"[0-9]", "f_symbol": r"[^\p{L}\p{N}\s.,;:?'()\"-]", "f_stop": r"[.,;:?]"}
+PER_DOMAIN, TYPICAL = 2000, 20
 
 
-def _count(text: Column, piece: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """``tokens`` (words of the whole text) and the classifier's STATS."""
+def labelled(labels: DataFrame, domains: dict[str, str]) -> DataFrame:
+    """doc_id and its domain, once."""
+    domain = F.lit(None).cast("string")
+    for name, condition in reversed(domains.items()):
+        domain = F.when(F.expr(condition), name).otherwise(domain)
+    known = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null")
+    return materialise(known.groupBy("doc_id").agg(F.min("domain").alias("domain")), "mix-labels")
+
+
+def typical_words(docs: DataFrame, known: DataFrame, per_domain: int = PER_DOMAIN, most: int = TYPICAL) -> dict[str, list[str]]:
+    """Domain -> at most ``most`` words that are over four times as frequent in its documents as in the others."""
+    sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}  # a row a domain
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(1 << 20))
+    chosen = F.lit(False)
+    for name, n in sizes.items():
+        chosen = chosen | ((F.col("domain") == name) & (draw < min(1.0, per_domain / n) * (1 << 20)))
+    texts = docs.select("doc_id", "text").join(known.where(chosen), "doc_id").dropDuplicates(["doc_id"])
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    each = materialise(texts.select("domain", words.alias("words")), "mix-words")
+    n = {r["domain"]: r["count"] for r in each.groupBy("domain").count().collect()}
+    seen = each.select("domain", F.explode("words").alias("word")).where("length(word) <= 30").groupBy("word").pivot("domain", sorted(n)).count().na.fill(0)
+    seen = materialise(seen, "mix-word-counts") if n else None
+    found = {}
+    for name in sorted(n):
+        rest = sum(n.values()) - n[name]
+        here = (F.col(f"`{name}`") + 0.5) / (n[name] + 1)
+        there = (sum((F.col(f"`{o}`") for o in n if o != name), F.lit(0)) + 0.5) / (rest + 1)
+        ranked = seen.where((F.col(f"`{name}`") >= 5) & (here > 4 * there)).orderBy((here * F.log(here / there)).desc(), "word")
+        found[name] = [r["word"] for r in ranked.limit(most).select("word").collect()]  # at most ``most`` words
+    return found
+
+
+def statistics(text: Column, typical: dict[str, list[str]]) -> dict[str, Column]:
+    """``tokens`` (words of the whole text) and the classifier's statistics."""
     text = F.coalesce(text, F.lit(""))
     tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     n = F.greatest(tokens.cast("double"), F.lit(1.0))
-    return {
-        "tokens": tokens,
-        "f_words": F.log1p(tokens.cast("double")),
-        "f_mean": F.log((F.length(text) + 1) / (n + 1)),
-        "f_bang": F.sqrt(_count(text, "!") / n),
-        "f_bar": F.sqrt(_count(text, "|") / n),
-        "f_symbol": F.sqrt((_count(text, "%") + _count(text, "#") + _count(text, "$")) / n),
-        "f_stop": F.sqrt((_count(text, ".") + _count(text, ",")) / n),
-        "f_case": F.sqrt(_count(text, "E") / n),
-        "f_insult": F.log1p(F.regexp_count(text, F.lit(r"(?i)\b(?:" + "|".join(INSULTS) + r")\b")).cast("double")),
-    }
-
-
-def _density(row, spread: float) -> Column:
-    """Log density of the STATS under one domain's means and variances."""
-    out = F.lit(0.0)
-    for f in STATS:
-        var = (row[f"{f}_var"] or 0.0) + spread
-        out = out - (F.col(f) - row[f"{f}_avg"]) * (F.col(f) - row[f"{f}_avg"]) / (2 * var) - 0.5 * math.log(var)
+    out = {"tokens": tokens, "f_words": F.log1p(tokens.cast("double")), "f_mean": F.log((F.length(text) + 1) / (n + 1))}
+    out |= {name: F.sqrt(F.regexp_count(text, F.lit(kind)) / n) for name, kind in KINDS.items()}
+    for i, (_, words) in enumerate(sorted(typical.items())):
+        if words:
+            out[f"f_typical_{i}"] = F.log1p(F.regexp_count(text, F.lit(r"(?iu)\b(?:" + "|".join(words) + r")\b")).cast("double"))
     return out
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, spread: float = 0.01) -> tuple[DataFrame, list[str]]:
-    """(doc_id, tokens and an array ``p`` of posteriors, stored; the domains in order of p)."""
-    stats = materialise(docs.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "mix-stats")
-    domain = F.lit(None).cast("string")
-    for name, condition in reversed(domains.items()):
-        domain = F.when(F.expr(condition), name).otherwise(domain)
-    known = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    moments = [f(x).alias(f"{x}_{n}") for x in STATS for n, f in (("avg", F.avg), ("var", F.var_pop))]
+class Membership:
+    """The classifier: typical words, and means and variances of the statistics by domain (``rows``, a row a domain)."""
+
+    def __init__(self, typical: dict[str, list[str]], rows: list, spread: float = 0.01):
+        self.typical, self.rows, self.spread = typical, rows, spread
+        self.names, self.total = [r["domain"] for r in rows], sum(r["n"] for r in rows)
+
+    def statistics(self, text: Column) -> dict[str, Column]:
+        return statistics(text, self.typical)
+
+    def _density(self, row, stats: Column) -> Column:
+        """Log density of the statistics under one domain's means and variances."""
+        out = F.lit(math.log(row["n"] / self.total))
+        for f in self.statistics(F.lit("")):
+            if f != "tokens":
+                var = (row[f"{f}_var"] or 0.0) + self.spread
+                out = out - (stats[f] - row[f"{f}_avg"]) * (stats[f] - row[f"{f}_avg"]) / (2 * var) - 0.5 * math.log(var)
+        return out
+
+    def scored(self, df: DataFrame, stats: str, p: str) -> DataFrame:
+        """df with the posteriors as an array ``p``, from its struct of statistics."""
+        prior = F.array(*[F.lit(r["n"] / self.total) for r in self.rows]) if self.rows else F.array().cast("array<double>")
+        if not self.rows:
+            return df.withColumn(p, prior)
+        logs, e = fresh("_logs", [*df.columns, p]), fresh("_e", [*df.columns, p])
+        df = df.withColumn(logs, F.array(*[self._density(r, F.col(stats)) for r in self.rows]))
+        df = df.withColumn(e, F.transform(logs, lambda x: F.exp(x - F.array_max(logs))))
+        share = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+        return df.withColumn(p, F.when(F.col(stats)["tokens"] > 0, share).otherwise(prior)).drop(logs, e)
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, Membership]:
+    """(doc_id, tokens and an array ``p`` of posteriors, stored; the classifier, whose ``names`` are in the order of p)."""
+    known = labelled(labels, domains)
+    typical = typical_words(docs, known)
+    stats = materialise(docs.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text"), typical).items()]), "mix-stats")
+    moments = [f(x).alias(f"{x}_{n}") for x in stats.columns[2:] for n, f in (("avg", F.avg), ("var", F.var_pop))]
     rows = stats.where("tokens > 0").join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).orderBy("domain").collect()  # a row a domain
-    total = sum(r["n"] for r in rows)
-    names = [r["domain"] for r in rows]
-    prior = F.array(*[F.lit(r["n"] / total) for r in rows]) if rows else F.array().cast("array<double>")
-    if rows:
-        logs = F.array(*[_density(r, spread) + math.log(r["n"] / total) for r in rows])
-        top = F.array_max("logs")
-        e = F.transform("logs", lambda x: F.exp(x - F.col("top")))
-        scored = stats.withColumn("logs", logs).withColumn("top", top).withColumn("e", e)
-        p = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
-        scored = scored.select("doc_id", "tokens", F.when(F.col("tokens") > 0, p).otherwise(prior).alias("p"))
-    else:
-        scored = stats.select("doc_id", "tokens", prior.alias("p"))
-    return materialise(scored, "posteriors"), names
+    model = Membership(typical, rows)
+    held = stats.select("doc_id", "tokens", F.struct(*stats.columns[1:]).alias("stats"))
+    return materialise(model.scored(held, "stats", "p").drop("stats"), "posteriors"), model
 
 
-def _rate(steps: list[np.ndarray], low: float, high: float) -> Column:
-    """The rate after the steps so far: each moves it along the document's posterior and clips it."""
+def _rate(steps: list[np.ndarray], low: float, high: float, p: str = "p") -> Column:
+    """The rate after the steps so far: each moves it along the document's posteriors and clips it."""
     start = F.lit(max(low, min(high, 1.0)))
     if not steps:
         return start
     given = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
     def move(rate, step):
-        along = F.aggregate(F.zip_with("p", step, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        along = F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return F.least(F.lit(high), F.greatest(F.lit(low), rate - along))
 
     return F.aggregate(given, start, move)
@@ -128,7 +165,7 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
     if not have.sum() or not w.sum():
         return [], have, have
     w = w / w.sum()
-    total = max(low * max((h / x for h, x in zip(have, w, strict=True) if x > 0), default=0.0), have.sum() if low >= 1 else have.sum() * min(1.0, high))
+    total = max(low * max((h / x for h, x in zip(have, w, strict=True) if x > 0), default=0.0), have.sum() * min(1.0, high))
     target = np.where(w > 0, w * total, low * have)
     scale = np.linalg.inv(gram + 0.01 * np.trace(gram) / d * np.eye(d))  # damped where domains are hard to tell apart
     steps: list[np.ndarray] = []
@@ -150,22 +187,6 @@ def solve(scored: DataFrame, names: list[str], weights: dict[str, float], rates:
     return steps, target, reached
 
 
-def _missed(target: np.ndarray, reached: np.ndarray) -> float:
-    return float(np.abs(reached - target).sum() / max(target.sum(), 1.0))
-
-
-def solve_within(scored: DataFrame, names: list[str], weights: dict[str, float], rates: tuple[float, float] = RATES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[float, float]]:
-    """(steps, targets, totals reached, rates): the upper rate doubles for as long as targets missed by over 1% come nearer by it."""
-    steps, target, reached = solve(scored, names, weights, rates)
-    while _missed(target, reached) > 0.01 and 2 * rates[1] <= MOST:
-        wider = (rates[0], 2 * rates[1])
-        other = solve(scored, names, weights, wider)
-        if _missed(*other[1:]) >= 0.99 * _missed(target, reached):
-            break
-        (steps, target, reached), rates = other, wider
-    return steps, target, reached, rates
-
-
 def copies(rate: Column, doc_id: Column, seed: int = 7) -> Column:
     """Whole copies whose expectation is the rate: its fraction is drawn by a hash of the id."""
     draw = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -173,26 +194,31 @@ def copies(rate: Column, doc_id: Column, seed: int = 7) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS, rates: tuple[float, float] = RATES) -> tuple[DataFrame, dict]:
-    """(doc_id, tokens, p, rate and copies for each row of docs; domains, targets, totals reached and the rates' bounds)."""
-    scored, names = posteriors(docs, labels, domains)
-    steps, target, reached, rates = solve_within(scored, names, weights, rates)
+    """(doc_id, tokens, p, rate and copies for each row of docs; domains, targets, totals reached, steps and the classifier)."""
+    scored, model = posteriors(docs, labels, domains)
+    steps, target, reached = solve(scored, model.names, weights, rates)
     out = scored.withColumn("rate", _rate(steps, *rates)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
-    return out, {"domains": names, "target": target.tolist(), "reached": reached.tolist(), "rates": rates}
+    return out, {"domains": model.names, "target": target.tolist(), "reached": reached.tolist(), "steps": steps, "model": model}
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, rates: tuple[float, float] = RATES) -> DataFrame:
-    """docs with each row repeated (or left out) as its rate says; columns stay."""
-    chosen, _ = mixing_rates(docs, labels, weights, rates=rates)
-    wanted = chosen.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    """docs with each row repeated (or left out) as its rate says; columns stay.
+
+    A row's rate follows from its own text, so texts are read again but never moved.
+    """
+    _, found = mixing_rates(docs, labels, weights, rates=rates)
     names = docs.columns
-    n, at, key = fresh("_copies", names), fresh("_at", names), fresh("_key", names)
-    wanted = wanted.select(F.col("doc_id").alias(key), F.col("copies").alias(n))
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    stats, p, n, at = (fresh(x, names) for x in ("_stats", "_p", "_copies", "_at"))
+    held = docs.withColumn(stats, F.struct(*[c.alias(x) for x, c in found["model"].statistics(F.col("text")).items()]))
+    held = found["model"].scored(held, stats, p)
+    held = held.withColumn(n, copies(_rate(found["steps"], *rates, p), F.col("doc_id")))
     some = F.when(F.col(n) > 0, F.sequence(F.lit(1), F.col(n))).otherwise(F.array().cast("array<int>"))
     return held.withColumn(at, F.explode(some)).select(*names)
 
 
 def op7_soft_mixing(spark, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of each document; beside them each domain's target and the expected total reached, the same in all rows."""
     out, found = mixing_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     each = [F.round(F.col("p")[i], 6).alias(f"p_{n}") for i, n in enumerate(found["domains"])]
-    return out.select("doc_id", "tokens", *each, F.round("rate", 6).alias("rate"), "copies")
+    totals = [F.lit(found[k][i]).alias(f"{k}_{n}") for k in ("target", "reached") for i, n in enumerate(found["domains"])]
+    return out.select("doc_id", "tokens", *each, F.round("rate", 6).alias("rate"), "copies", *totals)

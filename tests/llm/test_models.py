@@ -131,13 +131,13 @@ def test_classifier_against_dense_formulas(spark):
 def test_mixing_meets_targets_and_drops_nothing(spark):
     docs = noisy(spark)
     labels = docs.select("doc_id", "quality", "toxic").distinct()
-    out, found = M.mixing_rates(docs, labels, {"good": 0.6, "junk": 0.4})
+    out, found = M.mixing_rates(docs, labels, {"good": 0.6, "junk": 0.4}, rates=(1.0, 4.0))
     rows = out.collect()
     assert len(rows) == docs.count()
     reached = [sum(r.tokens * r.rate * r.p[i] for r in rows) for i in range(len(found["domains"]))]
     assert np.allclose(reached, found["reached"], rtol=1e-6) and np.allclose(reached, found["target"], rtol=0.01)
     assert all(1 <= r.rate <= 4 and math.floor(r.rate) <= r.copies <= math.ceil(r.rate) and abs(sum(r.p) - 1) < 1e-9 for r in rows)
-    mixed = M.mixed(docs, labels, {"good": 0.6, "junk": 0.4})
+    mixed = M.mixed(docs, labels, {"good": 0.6, "junk": 0.4}, (1.0, 4.0))
     assert mixed.columns == docs.columns
     assert mixed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert mixed.count() > docs.count()
@@ -180,8 +180,45 @@ def test_posteriors_below_a_thousandth_count(spark):
     assert all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
 
 
-def test_upper_rate_rises_to_what_the_targets_need(spark):
+def test_rates_rise_to_what_the_targets_need(spark):
     rows = [(i, 10, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(100)]
     scored = spark.createDataFrame(rows, "doc_id bigint, tokens bigint, p array<double>")
-    _, target, reached, rates = M.solve_within(scored, ["a", "b"], {"a": 0.9, "b": 0.1}, (1.0, 4.0))
-    assert rates == (1.0, 16.0) and np.allclose(reached, target, rtol=0.01)
+    steps, target, reached = M.solve(scored, ["a", "b"], {"a": 0.9, "b": 0.1}, (1.0, math.inf))
+    assert np.allclose(reached, target, rtol=0.01) and target.sum() > 3 * 1000
+    steps, target, reached = M.solve(scored, ["a", "b"], {"a": 1.0, "b": 0.0})
+    assert np.allclose(reached, target, atol=1) and abs(target.sum() - 1000) < 1
+
+
+def test_posteriors_against_plain_formulas(spark):
+    docs = noisy(spark)
+    labels = docs.select("doc_id", "quality", "toxic").distinct()
+    out, model = M.posteriors(docs, labels)
+    words = M.typical_words(docs, M.labelled(labels, M.DOMAINS))
+    assert words == model.typical
+    domain = {r.doc_id: "junk" if r.quality == 0 else "toxic" if r.toxic == 1 else "good" for r in labels.collect() if r.doc_id is not None and (r.quality is not None or r.toxic == 1)}
+
+    def plain(text):
+        text = text or ""
+        n = max(1.0, len(re.findall(r"[^\x20\x09-\x0D]+", text)))
+        f = [math.log1p(len(re.findall(r"[^\x20\x09-\x0D]+", text))), math.log((len(text) + 1) / (n + 1))]
+        f += [math.sqrt(sum(test(c) for c in text) / n) for test in (str.isupper, lambda c: c in "0123456789", lambda c: not (c.isalnum() or c in " \t\n\x0b\f\r.,;:?'()\"-"), lambda c: c in ".,;:?")]
+        for _, w in sorted(words.items()):
+            if w:
+                f.append(math.log1p(len(re.findall(r"(?i)\b(?:" + "|".join(w) + r")\b", text))))
+        return f
+
+    rows = [(r.doc_id, r.text, plain(r.text)) for r in docs.collect()]
+    known = [(domain[i], f) for i, t, f in rows if i in domain and (t or "").split()]
+    names = sorted({d for d, _ in known})
+    assert names == model.names
+    logs = {}
+    for name in names:
+        x = np.array([f for d, f in known if d == name])
+        logs[name] = (x.mean(0), x.var(0) + 0.01, math.log(len(x) / len(known)))
+    want = []
+    for i, t, f in rows:
+        z = np.array([prior - 0.5 * (((np.array(f) - m) ** 2 / v) + np.log(v)).sum() if (t or "").split() else prior for m, v, prior in logs.values()])
+        p = np.exp(z - z.max())
+        want.append((-1 if i is None else i, *np.round(p / p.sum(), 6)))
+    got = [(-1 if r.doc_id is None else r.doc_id, *np.round(r.p, 6)) for r in out.collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=2e-6)
