@@ -3,8 +3,8 @@
 A text is the mean of the embeddings of its character 2- to 4-grams (within
 words, a space marking either end), and a linear softmax over that mean names
 the language.  It is trained by stochastic gradient descent in numpy on a
-bounded sample: about ``per_lang`` labelled rows of each language outside the
-held-out fold, drawn by a hash of the id.  A fifth of the sample is kept from
+bounded sample: about ``per_lang`` labelled texts of each language outside the
+held-out fold, drawn by their hash.  A fifth of the sample is kept from
 training to fit the temperature and the rejection threshold, set so that at
 most ``loss`` of the rightly named texts fall below it.
 
@@ -13,7 +13,10 @@ small table, so scoring is a look-up and a sum over the whole text.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and not
 accepted; a row with a null lang is never learned from; a null doc_id keeps
-its row.  Without labelled rows everything is ``und``.
+its row.  Without labelled rows everything is ``und``.  Repeated rows come out
+as often; copies are learned from once.  Of languages with equal scores the
+first by name is taken.  Very long texts are scored whole.  An empty table
+gives an empty result.  Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import documents, fold_of
+from .common import documents, fold_of, slices
 
 BITS = 16
 DIM = 16
@@ -136,33 +140,43 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], epochs: int = 12
     model.temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=cross)
     p = np.array([softmax(s / model.temperature).max() for s in z])
     right = p[z.argmax(1) == y]
-    model.threshold = float(min(0.5, np.quantile(right, loss))) if len(right) else 0.0
+    model.threshold = float(np.quantile(right, loss)) if len(right) else 0.0
     return model
 
 
-def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
-    """Bucket counts of about per_lang rows of each language; docs has doc_id, text, lang."""
-    sizes = {r["lang"]: r["n"] for r in docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, per_lang: int, most: int = 8192) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
+    """Bucket counts of about per_lang texts of each language, never over twice as many; docs has text, lang.
+
+    Texts are drawn by their own hash and copies count once, so neither null or
+    repeated ids nor a hot text can swell the sample; of a text the ``most``
+    most frequent buckets are kept, which bounds a text of any length.
+    """
+    known = docs.where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20))
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & (draw < min(1.0, per_lang / n) * (1 << 20)))
 
     def run(batches):
         subwords = Subwords()
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for lang, text, held in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "held")), strict=True):
+            for lang, text, key in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "key")), strict=True):
                 if (found := subwords(text)) is not None:
                     u, n = np.unique(found, return_counts=True)
-                    rows.append((lang, u.astype("<u2").tobytes(), n.astype("<f4").tobytes(), held))
-            types = [pa.string(), pa.binary(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["lang", "b", "n", "held"])
-
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    got = docs.where(chosen).select("lang", "text", held.alias("held")).mapInArrow(run, "lang string, b binary, n binary, held boolean").collect()
+                    if len(u) > most:
+                        top = np.sort(np.lexsort((u, -n))[:most])
+                        u, n = u[top], n[top]
+                    rows.append((lang, key, u.astype("<u2").tobytes(), n.astype("<f4").tobytes()))
+            types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["lang", "key", "b", "n"])
+
+    drawn = known.where(chosen).select("lang", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "lang string, key bigint, b binary, n binary").dropDuplicates(["lang", "key"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    got = drawn.withColumn("rank", rank).where(F.col("rank") <= 2 * per_lang).withColumn("held", F.pmod(F.xxhash64("key", F.lit("calibration")), F.lit(5)) == 0).collect()
     rows = [(r["lang"], np.frombuffer(r["b"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(float), r["held"]) for r in got]
     return sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
 
@@ -178,7 +192,7 @@ def with_language(docs: DataFrame, model: Model, keep: list[str], told: tuple[st
 
     def run(batches):
         subwords = Subwords()
-        for b in batches:
+        for b in slices(batches):
             got = [model.predict(subwords(t)) for t in b.column("text").to_pylist()]
             ok = [lang != UNKNOWN and score >= model.threshold for lang, score in got]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(ok, pa.bool_())], names=names)
