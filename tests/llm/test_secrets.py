@@ -59,3 +59,13 @@ def test_redacted(spark):
 def test_empty(spark):
     rows, book = S.scan(empty(spark))
     assert rows.count() == 0 and book.count() == 0
+
+
+def test_rules_are_linear_in_long_texts():
+    import time
+
+    stems = ["eyJabcdefghi-", "eyJabcdefgh.", "ghp_" + "a" * 30, "xoxb-aaaa", "://user:pass", "-----BEGIN A", "-----BEGIN PRIVATE KEY-----\n", "token" + " " * 9, "password", "AKIA", "0f" * 20]
+    for stem in stems:
+        began = time.time()
+        S.find(stem * (1_000_000 // len(stem)))
+        assert time.time() - began < 5, stem
