@@ -3,11 +3,16 @@
 ``encode`` writes indexed frames as GIF89a, ``decode`` reads any GIF: LZW code
 streams, global and local palettes, interlacing, transparency, and the three
 disposal rules, giving timed frames as they show.  ``media_columns`` stores
-texts as animations, one byte a pixel in frames 24 pixels wide, and adds columns about
-the frames that the stored bytes give back.
+texts as animations, one byte a pixel in frames 24 pixels wide, and adds columns
+about the frames that the stored bytes give back.  ``gif_frames`` reads a column
+of GIFs from anywhere into a row a frame, with times and colour histograms.
 
 Nulls: a null text is an empty one, which is stored as one frame of padding; a
 null doc_id keeps its row.  Long texts have more frames; nothing is cut.
+Repeated rows and equal texts give equal values; nothing is ordered, so there
+are no ties.  An empty table gives an empty result; other columns are not read.
+A file that is no GIF, breaks off, lacks a palette or has an unlawful code size
+gives the frames before the fault and then an error, never a crash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import AT_ONCE, documents, slices
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -185,20 +190,33 @@ def _sub(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _palette(data: bytes, at: int, size: int) -> np.ndarray:
+    if at + 3 * size > len(data):
+        raise ValueError("the GIF breaks off")
+    return np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
+
+
 def _rows(height: int) -> np.ndarray:
     """The picture row of each stored row of an interlaced image."""
     return np.concatenate([np.arange(a, height, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
 def decode(data: bytes):
-    """Yields (delay in hundredths of a second, canvas of height x width x RGBA) as each frame shows."""
+    """Yields (delay in hundredths of a second, canvas of height x width x RGBA) as each frame shows; ValueError at a fault."""
+    try:
+        yield from _decode(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the GIF breaks off") from e
+
+
+def _decode(data: bytes):
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at, common = 13, None
     if flags & 0x80:
         size = 2 << (flags & 7)
-        common = np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
+        common = _palette(data, at, size)
         at += 3 * size
     canvas = np.zeros((height, width, 4), np.uint8)  # never changed in place: a frame makes a new one
     delay, disposal, clear = 0, 0, None
@@ -217,9 +235,13 @@ def decode(data: bytes):
         palette = common
         if f & 0x80:
             size = 2 << (f & 7)
-            palette = np.frombuffer(data, np.uint8, 3 * size, at).reshape(-1, 3)
+            palette = _palette(data, at, size)
             at += 3 * size
+        if palette is None:
+            raise ValueError("a frame without a palette")
         bits = data[at]
+        if not 2 <= bits <= 8:
+            raise ValueError(f"code size {bits}")
         stream, at = _sub(data, at + 1)
         index = np.frombuffer(unlzw(stream, bits, w * h), np.uint8)
         if len(index) < w * h:
@@ -257,52 +279,89 @@ def store(raw: bytes) -> tuple[bytes, bytes]:
     return payload, encode([payload[i : i + tall * BLOCK] for i in range(0, len(payload), tall * BLOCK)], SIDE, SIDE * tall)
 
 
-def read(media: bytes) -> tuple[bytes, int, np.ndarray]:
-    """(the payload, duration in hundredths of a second, colour histogram of each frame) from the stored bytes."""
-    parts, length = [], 0
+def read(media: bytes) -> tuple[bytes, list[int], np.ndarray]:
+    """(the payload, each frame's time in hundredths of a second, its colour histogram) from the stored bytes."""
+    parts, delays = [], []
     for delay, canvas in decode(media):
         parts.append(canvas[:, :, 0].tobytes())
-        length += delay
+        delays.append(delay)
     payload = b"".join(parts)
     bins = np.frombuffer(payload, np.uint8).reshape(len(parts), -1) // (256 // BINS) + BINS * np.arange(len(parts))[:, None]
-    return payload, length, np.bincount(bins.ravel(), minlength=BINS * len(parts)).reshape(-1, BINS)
+    return payload, delays, np.bincount(bins.ravel(), minlength=BINS * len(parts)).reshape(-1, BINS)
 
 
 COLUMNS = [
     ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
     ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("frames", T.IntegerType()), ("duration_ms", T.LongType()), ("histogram", T.ArrayType(T.LongType())),
+    ("frame_ms", T.ArrayType(T.LongType())), ("frame_histograms", T.ArrayType(T.ArrayType(T.LongType()))),
 ]
 
 
 def media_columns(docs: DataFrame, media: bool = True) -> DataFrame:
-    """doc_id, the columns above, and with ``media`` the GIF itself and each frame's colour histogram."""
-    more = [T.StructField("media", T.BinaryType()), T.StructField("frame_histograms", T.ArrayType(T.ArrayType(T.LongType())))] if media else []
+    """doc_id, the columns above, and with ``media`` the GIF itself."""
+    more = [T.StructField("media", T.BinaryType())] if media else []
     schema = T.StructType([docs.schema["doc_id"]] + [T.StructField(n, t) for n, t in COLUMNS] + more)
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    types += [pa.binary(), pa.list_(pa.list_(pa.int64()))] if media else []
+    types += [pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))] + ([pa.binary()] if media else [])
 
     def row(raw: bytes) -> tuple:
         payload, gif = store(raw)
-        back, length, histograms = read(gif)
+        back, delays, histograms = read(gif)
         if back != payload:
             raise ValueError("the stored bytes don't give the payload back")
         got = (
             len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(gif),
-            hashlib.sha256(gif).hexdigest(), len(histograms), 10 * length, histograms.sum(0).tolist(),
+            hashlib.sha256(gif).hexdigest(), len(histograms), 10 * sum(delays), histograms.sum(0).tolist(),
+            [10 * d for d in delays], histograms.tolist(),
         )
-        return (*got, gif, histograms.tolist()) if media else got
+        return (*got, gif) if media else got
 
     def run(batches):
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 256):
-                rows = [row(t or b"") for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 256)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
+        for b in slices(batches, most=AT_ONCE // 2):
+            rows = [row(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+#: Cells of a colour histogram: four steps each of red, green and blue.
+CELLS = 64
+FRAMES = [
+    ("frame", T.IntegerType()), ("start_ms", T.LongType()), ("delay_ms", T.LongType()), ("width", T.IntegerType()), ("height", T.IntegerType()),
+    ("transparent", T.LongType()), ("colours", T.ArrayType(T.LongType())), ("error", T.StringType()),
+]
+
+
+def _frame_rows(data: bytes):
+    at = n = 0
+    try:
+        for delay, canvas in decode(data):
+            seen = canvas[canvas[:, :, 3] > 0].astype(np.int64) >> 6
+            cells = np.bincount(seen[:, 0] << 4 | seen[:, 1] << 2 | seen[:, 2], minlength=CELLS)
+            yield n, 10 * at, 10 * delay, canvas.shape[1], canvas.shape[0], canvas.shape[0] * canvas.shape[1] - len(seen), cells.tolist(), None
+            at, n = at + delay, n + 1
+    except ValueError as e:
+        yield None, None, None, None, None, None, None, str(e)
+
+
+def gif_frames(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and FRAMES: a row for each frame of the GIFs in ``column`` (null: no row), and one with ``error`` where a file has a fault."""
+    schema = T.StructType([df.schema[key]] + [T.StructField(n, t) for n, t in FRAMES])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+
+    def run(batches):
+        for b in slices(batches, column):
+            for i, data in enumerate(b.column(column).to_pylist()):
+                if data is not None:
+                    rows = list(_frame_rows(bytes(data)))
+                    keys = b.column(key).take(pa.array([i] * len(rows), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([keys] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
+
+    return df.select(key, column).mapInArrow(run, schema)
+
+
 def op8_gif_media(spark, sf_dir: str) -> DataFrame:
     out = media_columns(documents(spark, sf_dir), media=False)
+    frames = F.array_join(F.transform("frame_histograms", lambda h: F.array_join(h, "-")), ",")
     text = F.format_string("gif:%d:%d:%s", F.col("frames"), F.col("duration_ms"), F.array_join("histogram", "-"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature"), F.array_join("frame_ms", ",").alias("frame_ms"), frames.alias("frame_histograms"))

@@ -117,3 +117,25 @@ def test_documents(spark):
         assert b"".join(c[:, :, 0].tobytes() for _, c in G.decode(bytes(g.media))) == payload
         assert g.histogram == [sum(f[i] for f in g.frame_histograms) for i in range(16)] and sum(g.histogram) == len(payload)
     assert G.media_columns(empty(spark)).count() == 0
+
+
+def test_faults_give_an_error_after_the_frames_before(spark):
+    good = G.encode([bytes([7] * 16), bytes([9] * 16)], 4, 4)
+    bare = b"GIF89a\x04\x00\x04\x00\x70\0\0" + frame(0, 0, 4, 4, [1] * 16) + b"\x3b"
+    narrow = bytearray(good)
+    narrow[good.index(b"\x2c", 13 + 768) + 10] = 1
+    files = [(1, good), (2, good[:-30]), (3, bare), (4, bytes(narrow)), (5, b"no GIF at all"), (6, b""), (7, None), (8, good[:40]), (9, good[:8])]
+    rows = G.gif_frames(spark.createDataFrame(files, "k int, media binary"), "k", "media").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.k, []).append((r.frame, r.start_ms, r.delay_ms, r.error))
+    assert got[1] == [(0, 0, 100, None), (1, 100, 100, None)]
+    assert [x[:3] for x in got[2]] == [(0, 0, 100), (None, None, None)] and got[2][1][3]
+    assert all(len(got[k]) == 1 and got[k][0][3] for k in (3, 4, 5, 6, 8, 9)) and 7 not in got
+    first = next(r for r in rows if r.k == 1)
+    assert (first.width, first.height, first.transparent, sum(first.colours)) == (4, 4, 0, 16)
+    for cut in range(len(good) - 1):  # never anything but a ValueError
+        try:
+            list(G.decode(good[:cut]))
+        except ValueError:
+            pass
