@@ -85,7 +85,78 @@ def ranges_for(chunks: DataFrame, per_range: int = 8 << 20) -> int:
     return 1 << max(2, int(np.ceil(np.log2(max(1, total / per_range)))))
 
 
-def split_ranges(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Bounds of the key ranges in a sorted array of ``bits``-bit keys."""
-    step = np.uint64(1 << bits - (ranges.bit_length() - 1))
-    return np.r_[0, np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) * step), len(keys)]
+def segments(keys: np.ndarray, ranges: int, bits: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of the key ranges that a sorted array of ``bits``-bit keys has keys in."""
+    if not len(keys):
+        return []
+    part = keys >> np.uint64(bits - (ranges.bit_length() - 1))
+    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+    return list(zip(part[np.r_[0, cut]].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True))
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their total counts, the place of each given key among them)."""
+    uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(uniq), np.uint64)
+    np.add.at(total, inverse, np.concatenate(counts))
+    return uniq, total, inverse
+
+
+#: Blocks of one key range that a task takes at once.
+FAN = 4096
+
+
+def salts_for(chunks: DataFrame, fan: int = FAN) -> int:
+    """In how many parts the blocks of a key range are first taken, so that a key that every chunk has is no task's burden."""
+    return max(1, -(-chunks.count() // fan))
+
+
+def corpus_totals(sent: DataFrame, salts: int, label: str, told=lambda total: total) -> DataFrame:
+    """sent(chunk, part, keys, counts), sorted keys of key ranges -> stored (chunk, part, data, total, distinct).
+
+    data: what ``told`` makes of the corpus totals of a chunk's keys, in their
+    order.  Rows without a chunk hold a range's sum of totals and the number of
+    its keys with a total above 0.  With more than one salt, each salt's
+    blocks are added up first, then the salts' sums; totals go back the same way.
+    """
+    answers = "chunk string, part bigint, data binary, total bigint, distinct bigint"
+
+    def table(chunk, part, data, total, distinct):
+        n = len(chunk)
+        cols = [pa.array(chunk, pa.string()), pa.array([part] * n, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())]
+        return pa.Table.from_arrays(cols, names=["chunk", "part", "data", "total", "distinct"])
+
+    def blocks(t: pa.Table):
+        return [unpack_ints(k, True) for k in t.column("keys").to_pylist()], [unpack_ints(c) for c in t.column("counts").to_pylist()]
+
+    def add(told):
+        def run(t: pa.Table) -> pa.Table:
+            keys, counts = blocks(t)
+            _, total, inverse = summed(keys, counts)
+            each = np.split(told(total)[inverse], np.cumsum([len(k) for k in keys])[:-1])
+            chunk = [*t.column("chunk").to_pylist(), None]
+            return table(chunk, t.column("part")[0].as_py(), [*map(pack_ints, each), None], [0] * len(each) + [int(total.sum())], [0] * len(each) + [int((total > 0).sum())])
+
+        return run
+
+    if salts == 1:
+        return materialise(sent.groupBy("part").applyInArrow(add(told), answers), label)
+
+    def add_some(t: pa.Table) -> pa.Table:
+        uniq, total, _ = summed(*blocks(t))
+        return pa.table({"chunk": t.column("salt").slice(0, 1).cast(pa.string()), "part": t.column("part").slice(0, 1), "keys": pa.array([pack_ints(uniq, True)], pa.binary()), "counts": pa.array([pack_ints(total)], pa.binary())})
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, counts = blocks(left)
+        uniq, _, inverse = summed(keys, counts)
+        total = unpack_ints(right.column("data")[0].as_py())
+        each = np.split(told(total)[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        n = len(each)
+        return table(left.column("chunk").to_pylist(), left.column("part")[0].as_py(), [pack_ints(x) for x in each], [0] * n, [0] * n)
+
+    sent = materialise(sent.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), f"{label}-sent")
+    some = sent.groupBy("part", "salt").applyInArrow(add_some, "chunk string, part bigint, keys binary, counts binary")
+    top = materialise(some.groupBy("part").applyInArrow(add(lambda total: total), answers), f"{label}-sums")
+    back = top.where("chunk is not null").withColumn("salt", F.col("chunk").cast("int"))
+    found = sent.groupBy("part", "salt").cogroup(back.groupBy("part", "salt")).applyInArrow(look_up, answers)
+    return materialise(found.unionByName(top.where("chunk is null")), label)

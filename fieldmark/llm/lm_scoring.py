@@ -9,8 +9,10 @@ scored by the counts with itself deleted.
 Counts cover all training documents.  Every chunk of documents sends its
 distinct keys with its own counts to the key ranges, gets the corpus totals
 back, and scores its documents with them; the learning pass sums deleted
-counts into a histogram over (bucket, bigram, unigram estimate in half
-octaves), whose size is bounded whatever the corpus size.
+counts and estimates over cells of (bucket, bigram, unigram estimate by eighths
+of an octave), whose number is bounded whatever the corpus size.  A cell stands
+for its occurrences with their mean estimates; on the corpora of the tests the
+weights come within 0.001 of those learned from single occurrences.
 
 Nulls: a null text is an empty text (one end token); a null doc_id counts as
 training.  Repeated rows are learned from and scored as often as they occur.
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_BYTES, chunked, pack_ints, ranges_for, split_ranges, unpack_ints, unseal
-from .common import documents, fold_of, materialise
+from .chunks import CHUNK_BYTES, FAN, chunked, corpus_totals, pack_ints, ranges_for, salts_for, segments, unpack_ints, unseal
+from .common import documents, fold_of, give_back
 
 #: Neither can be a word, as both hold a space.
 START, END = b" <s>", b" </s>"
 BITS = {1: 64, 2: 56}
-OCTAVE = 2  # steps of the histogram in a power of two
+OCTAVE = 8  # cells in a power of two
 DEPTH = 60 * OCTAVE
 
 
@@ -79,8 +81,8 @@ class Tokens:
         return np.bincount(at[self.train], minlength=len(self.keys[order]))
 
 
-def corpus_counts(chunks: DataFrame) -> DataFrame:
-    """Stored rows (chunk, n, part, data): the corpus totals of a chunk's sorted n-grams; chunk null: total and distinct in the part."""
+def corpus_counts(chunks: DataFrame, fan: int = FAN) -> DataFrame:
+    """Corpus totals of a chunk's sorted n-grams (``corpus_totals``); a part is the n-gram's length and its key range."""
     ranges = ranges_for(chunks)
 
     def send(batches):
@@ -89,34 +91,21 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
                 tokens, rows = Tokens(unseal(payload)), []
                 for n in BITS:
                     keys, counts = tokens.keys[n], tokens.counts(n)
-                    cut = split_ranges(keys, ranges, BITS[n])
-                    rows += [(n, p, pack_ints(keys[x:y], True), pack_ints(counts[x:y])) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+                    rows += [(n << 40 | p, pack_ints(keys[x:y], True), pack_ints(counts[x:y])) for p, x, y in segments(keys, ranges, BITS[n])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(rows)), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary())))],
-                    names=["chunk", "n", "part", "keys", "counts"],
+                    [pa.array([chunk] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))],
+                    names=["chunk", "part", "keys", "counts"],
                 )
+        give_back()
 
-    def add(table: pa.Table) -> pa.Table:
-        keys = [unpack_ints(k, True) for k in table.column("keys").to_pylist()]
-        counts = [unpack_ints(c) for c in table.column("counts").to_pylist()]
-        size = np.array([len(k) for k in keys])
-        uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(uniq), np.uint64)
-        np.add.at(total, inverse, np.concatenate(counts))
-        each = np.split(total[inverse], np.cumsum(size)[:-1])
-        n, part = table.column("n")[0].as_py(), table.column("part")[0].as_py()
-        data = [pack_ints(x) for x in each] + [pack_ints(np.array([total.sum(), (total > 0).sum()]))]
-        rows = len(data)
-        return pa.table({"chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.string()), "n": pa.array([n] * rows, pa.int32()), "part": pa.array([part] * rows, pa.int32()), "data": pa.array(data, pa.binary())})
-
-    sent = chunks.select("chunk", "payload").mapInArrow(send, "chunk string, n int, part int, keys binary, counts binary")
-    return materialise(sent.groupBy("n", "part").applyInArrow(add, "chunk string, n int, part int, data binary"), "ngram-totals")
+    sent = chunks.select("chunk", "payload").mapInArrow(send, "chunk string, part bigint, keys binary, counts binary")
+    return corpus_totals(sent, salts_for(chunks, fan), "ngram-totals")
 
 
 def _totals(answers: pa.Table) -> dict[int, np.ndarray]:
     got = {n: [] for n in BITS}
-    for n, part, data in zip(*(answers.column(c).to_pylist() for c in ("n", "part", "data")), strict=True):
-        got[n].append((part, data))
+    for part, data in zip(*(answers.column(c).to_pylist() for c in ("part", "data")), strict=True):
+        got[part >> 40].append((part, data))
     return {n: np.concatenate([unpack_ints(d) for _, d in sorted(x)]).astype(float) if x else np.zeros(0) for n, x in got.items()}
 
 
@@ -126,16 +115,12 @@ def _bucket(seen: np.ndarray) -> np.ndarray:
 
 
 def _level(p: np.ndarray) -> np.ndarray:
-    """0 for probability 0, else its half octave."""
+    """0 for probability 0, else its step of the scale."""
     return np.where(p > 0, np.clip(1 + np.rint(-OCTAVE * np.log2(np.maximum(p, 1e-300))), 1, DEPTH), 0).astype(np.int64)
 
 
-def _value(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** (-(level - 1) / OCTAVE), 0.0)
-
-
-def deleted_histogram(tokens: Tokens, totals: dict[int, np.ndarray], n_all: float) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, weights): training occurrences by (bucket, bigram level, unigram level), each scored without itself."""
+def deleted_cells(tokens: Tokens, totals: dict[int, np.ndarray], n_all: float) -> tuple[np.ndarray, ...]:
+    """(cell, bucket, occurrences, sums of bigram and unigram estimates) of training occurrences, each scored without itself."""
     at = np.flatnonzero(tokens.train)
     c_w = totals[1][tokens.place[tokens.word[at]]] - 1
     end = totals[1][tokens.place[1]]
@@ -144,10 +129,11 @@ def deleted_histogram(tokens: Tokens, totals: dict[int, np.ndarray], n_all: floa
     f1 = c_hw / np.maximum(c_h, 1)
     f2 = c_w / max(n_all - 1, 1)
     cell = (_bucket(c_h) * (DEPTH + 1) + _level(f1)) * (DEPTH + 1) + _level(f2)
-    return np.unique(cell, return_counts=True)
+    cells, at = np.unique(cell, return_inverse=True)
+    return cells, cells // (DEPTH + 1) ** 2, np.bincount(at, minlength=len(cells)), np.bincount(at, f1, len(cells)), np.bincount(at, f2, len(cells))
 
 
-def learn_weights(cells: np.ndarray, weights: np.ndarray, vocabulary: float, rounds: int = 60) -> np.ndarray:
+def learn_weights(bucket: np.ndarray, weights: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, vocabulary: float, rounds: int = 60) -> np.ndarray:
     """(buckets, 3) mixture weights of bigram, unigram and uniform by expectation-maximisation.
 
     Each bucket is drawn to the weights of all buckets together with the
@@ -155,13 +141,11 @@ def learn_weights(cells: np.ndarray, weights: np.ndarray, vocabulary: float, rou
     context has no bigram weight.
     """
     n = 66
-    bucket, level = np.divmod(cells, (DEPTH + 1) ** 2)
-    first, second = np.divmod(level, DEPTH + 1)
-    f = np.stack([_value(first), _value(second), np.full(len(cells), 1 / (vocabulary + 1))], 1)
+    f = np.stack([bigram, unigram, np.full(len(bucket), 1 / (vocabulary + 1))], 1)
     everywhere = np.full(3, 1 / 3)
     lam = np.tile(everywhere, (n, 1))
     lam[0] = (0, 0.5, 0.5)
-    for _ in range(rounds if len(cells) else 0):
+    for _ in range(rounds if len(bucket) else 0):
         part = lam[bucket] * f
         part *= (weights / np.maximum(part.sum(1), 1e-300))[:, None]
         got = np.stack([np.bincount(bucket, part[:, k], n) for k in range(3)], 1)
@@ -188,24 +172,25 @@ def _scores(tokens: Tokens, totals: dict[int, np.ndarray], n_all: float, vocabul
     return [tokens.sizes, per_doc(c_w > 0).astype(np.int64), per_doc(base), per_doc(np.log10(p))]
 
 
-def interpolated_scores(docs: DataFrame, train, size: int = CHUNK_BYTES) -> DataFrame:
+def interpolated_scores(docs: DataFrame, train, size: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row; train: which rows to learn from."""
     chunks = chunked(docs.select("doc_id", "text", train.alias("train")), "lm-chunks", size)
-    counts = corpus_counts(chunks)
-    whole = [unpack_ints(r["data"]) for r in counts.where("chunk is null and n = 1").select("data").toLocalIterator()]  # two numbers a range
-    n_all, vocabulary = (float(sum(int(x[i]) for x in whole)) for i in (0, 1))
+    counts = corpus_counts(chunks, fan)
+    whole = counts.where(F.col("chunk").isNull() & (F.shiftright("part", 40) == 1)).agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    n_all, vocabulary = float(whole["n"] or 0), float(whole["v"] or 0)
     answers = counts.where("chunk is not null")
     texts = chunks.select("chunk", "payload")
 
     def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = Tokens(unseal(left.column("payload")[0].as_py()))
-        cell, n = deleted_histogram(tokens, _totals(right), n_all)
-        return pa.table({"cell": pa.array(cell, pa.int64()), "w": pa.array(n, pa.int64())})
+        cell, bucket, n, f1, f2 = deleted_cells(tokens, _totals(right), n_all)
+        return pa.table({"cell": pa.array(cell, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "n": pa.array(n, pa.int64()), "f1": pa.array(f1), "f2": pa.array(f2)})
 
     both = lambda f, schema: texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
-    rows = both(histogram, "cell bigint, w bigint").groupBy("cell").agg(F.sum("w").alias("w")).collect()
-    cells = np.array([(r["cell"], r["w"]) for r in rows], np.int64).reshape(-1, 2)
-    lam = learn_weights(cells[:, 0], cells[:, 1].astype(float), vocabulary)
+    cells = both(histogram, "cell bigint, bucket bigint, n bigint, f1 double, f2 double").groupBy("cell", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "f1", "f2")])
+    got = cells.select("bucket", "n", "f1", "f2").toArrow()  # a row a cell
+    bucket, n, f1, f2 = (got.column(c).to_numpy() for c in ("bucket", "n", "f1", "f2"))
+    lam = learn_weights(bucket, n.astype(float), f1 / np.maximum(n, 1), f2 / np.maximum(n, 1), vocabulary)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("train", T.BooleanType())] + [T.StructField(n, t) for n, t in OUT])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -27,8 +27,10 @@ only suffixes at chosen places enter, about one in 35.
 Equality of surroundings within a chunk and of hot windows is by 64-bit hashes.
 
 Nulls: a null text has no bytes; a null doc_id comes after all others.  Rows
-that repeat a doc_id stand in one order or another, each later one losing what
-the earlier one has.  An empty table gives an empty result.
+that repeat a doc_id stand in the order of their texts' digests, each later one
+losing what the earlier one has; among equal rows any one keeps its text.  A
+text is never cut, however long.  An empty table gives an empty result.  Other
+columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import chunked, pack_ints, ranges_for, split_ranges, unpack_ints, unseal
-from .common import documents, materialise
+from .chunks import FAN, chunked, corpus_totals, pack_ints, ranges_for, salts_for, segments, unpack_ints, unseal
+from .common import documents, give_back, materialise
 
 SPAN = 100
 GRAM = 32
@@ -89,13 +92,13 @@ class Chunk:
     def __init__(self, table: pa.Table, name: str):
         ids = table.column("doc_id").to_pylist()
         texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-        base = int(name[:8], 16) << 30  # rows of one doc_id in different chunks stand in the order of their chunks' names
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
+        digest = [xxhash.xxh64_intdigest(t) for t in texts]  # settles the order of rows that share a doc_id
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, digest[i], i))
         self.table, self.order = table, order
         self.texts = [texts[i] for i in order]
         top = (1 << 64) - 1
         self.doc = np.array([top if ids[i] is None else ids[i] + (1 << 63) for i in order], np.uint64)
-        self.sub = np.array([base + k for k in range(len(order))], np.uint64)
+        self.sub = np.array([digest[i] for i in order], np.uint64)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -135,7 +138,7 @@ class Chunk:
         return np.unique(self.hash, return_inverse=True, return_counts=True)
 
 
-def gram_totals(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
+def gram_totals(chunks: DataFrame, ranges: int, hot: int, salts: int) -> DataFrame:
     """Stored rows (chunk, part, data): 0, 1 or 2 for each sorted distinct hash of the chunk: once, repeated, hot in the corpus."""
 
     def send(batches):
@@ -144,24 +147,15 @@ def gram_totals(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
                 c = Chunk(unseal(payload), name)
                 c.choose()
                 keys, _, counts = c.keys()
-                cut = split_ranges(keys, ranges, 64)
-                rows = [(p, pack_ints(keys[x:y], True), pack_ints(counts[x:y])) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "part", "keys", "counts"])
+                rows = [(p, pack_ints(keys[x:y], True), pack_ints(counts[x:y])) for p, x, y in segments(keys, ranges, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["chunk", "part", "keys", "counts"])
+        give_back()
 
-    def add(table: pa.Table) -> pa.Table:
-        keys = [unpack_ints(k, True) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([unpack_ints(c) for c in table.column("counts").to_pylist()])
-        uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts.astype(float), len(uniq))
-        kind = (total > 1).astype(np.uint64) + (total > hot)
-        each = np.split(kind[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "data": pa.array([pack_ints(x) for x in each], pa.binary())})
+    sent = chunks.select("chunk", "payload").mapInArrow(send, "chunk string, part bigint, keys binary, counts binary")
+    return corpus_totals(sent, salts, "gram-kinds", lambda total: (total > 1).astype(np.uint64) + (total > hot)).where("chunk is not null")
 
-    sent = chunks.select("chunk", "payload").mapInArrow(send, "chunk string, part int, keys binary, counts binary")
-    return materialise(sent.groupBy("part").applyInArrow(add, "chunk string, part int, data binary"), "gram-kinds")
 
-
-SENT = "kind string, part int, chunk string, data array<binary>"
+SENT = "kind string, part bigint, chunk string, data array<binary>"
 SPANS = "chunk string, start binary, stop binary"
 
 
@@ -187,17 +181,13 @@ def surroundings(name: str, payload: bytes, kinds: pa.Table, ranges: int) -> lis
     new = _first_of(same, len(at))
     gone.append((c.first[at[~new]], c.last[at[~new]] + SPAN))
     at = at[new]
-    bits = np.uint64(64 - (ranges.bit_length() - 1))
-    part = (c.hash[at] >> bits).astype(np.int64)
-    at = at[np.argsort(part, kind="stable")]
-    cut = np.searchsorted(np.sort(part), np.arange(ranges + 1))
+    at = at[np.argsort(c.hash[at], kind="stable")]
     doc = c.row(c.first)
-    for p in range(ranges):
-        i = at[cut[p] : cut[p + 1]]
-        if len(i):
-            text = b"".join([c.data[x:y].tobytes() for x, y in zip(c.first[i].tolist(), (c.last[i] + SPAN).tolist(), strict=True)])
-            cols = [c.hash[i], c.place[i], c.place[i] - c.first[i], c.last[i] + SPAN - c.place[i], c.doc[doc[i]], c.sub[doc[i]]]
-            rows.append(("around", p, name, [pack_ints(x) for x in cols] + [text]))
+    for p, x, y in segments(c.hash[at], ranges, 64):
+        i = at[x:y]
+        text = b"".join([c.data[x:y].tobytes() for x, y in zip(c.first[i].tolist(), (c.last[i] + SPAN).tolist(), strict=True)])
+        cols = [c.hash[i], c.place[i], c.place[i] - c.first[i], c.last[i] + SPAN - c.place[i], c.doc[doc[i]], c.sub[doc[i]]]
+        rows.append(("around", p, name, [pack_ints(x) for x in cols] + [text]))
     # windows of hot places
     at = np.flatnonzero(kind == 2)
     if len(at):
@@ -212,11 +202,9 @@ def surroundings(name: str, payload: bytes, kinds: pa.Table, ranges: int) -> lis
         gone.append((s[~new], s[~new] + SPAN))
         order = np.argsort(whole[new])
         keys, place = whole[new][order], s[new][order]
-        cut = split_ranges(keys, ranges, 64)
-        for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if x < y:
-                d = c.row(place[x:y])
-                rows.append(("window", p, name, [pack_ints(keys[x:y], True), pack_ints(place[x:y]), pack_ints(c.doc[d]), pack_ints(c.sub[d])]))
+        for p, x, y in segments(keys, ranges, 64):
+            d = c.row(place[x:y])
+            rows.append(("window", p, name, [pack_ints(keys[x:y], True), pack_ints(place[x:y]), pack_ints(c.doc[d]), pack_ints(c.sub[d])]))
     start, stop = (np.concatenate([g[k] for g in gone]) for k in (0, 1))
     if len(start):
         rows.append(("settled", 0, name, [pack_ints(x) for x in merged(start, stop)]))
@@ -314,6 +302,7 @@ def outwards(text: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, ste
 
 def tree_spans(table: pa.Table) -> pa.Table:
     """Spans to remove, from the surroundings of one key range."""
+    table = table.sort_by("chunk")
     names, data = table.column("chunk").to_pylist(), table.column("data").to_pylist()
     cols = [[unpack_ints(d[i]) for d in data] for i in range(6)]
     chunk = np.repeat(np.arange(len(names)), [len(x) for x in cols[0]])
@@ -328,7 +317,7 @@ def tree_spans(table: pa.Table) -> pa.Table:
     if len(some):
         chunk, key, place, n_left, n_right, doc, sub, begin = (x[some] for x in (chunk, key, place, n_left, n_right, doc, sub, begin))
         rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((place, sub, doc))] = np.arange(len(key))
+        rank[np.lexsort((place, chunk, sub, doc))] = np.arange(len(key))
         at = begin + n_left
         right, left = outwards(text, at, n_right, SPAN, 1), outwards(text, at - 1, n_left, REACH, -1)
         row = np.hstack([key.astype(">u8").view(np.uint8).reshape(-1, 8), right, left])
@@ -346,44 +335,89 @@ def tree_spans(table: pa.Table) -> pa.Table:
     return _spans(chunk[m], place[m] - a, place[m] + b, names)
 
 
-def window_spans(table: pa.Table) -> pa.Table:
-    """Spans to remove, from the windows of one key range: all occurrences but the first."""
+def _windows(table: pa.Table) -> tuple:
+    """Chunks by name; of their windows chunk, key and place; the order by key and then by text, chunk and place; doc and text digest."""
+    table = table.sort_by("chunk")
     names, data = table.column("chunk").to_pylist(), table.column("data").to_pylist()
     cols = [[unpack_ints(d[i], i == 0) for d in data] for i in range(4)]
     chunk = np.repeat(np.arange(len(names)), [len(x) for x in cols[0]])
     key, place, doc, sub = (np.concatenate(c) for c in cols)
-    by = np.lexsort((place, sub, doc, key))
-    later = by[1:][key[by][1:] == key[by][:-1]]
-    at = place[later].astype(np.int64)
-    return _spans(chunk[later], at, at + SPAN, names)
+    return names, chunk, key, place, np.lexsort((place, chunk, sub, doc, key)), doc, sub
+
+
+def _window_removal(names, chunk, place, gone: np.ndarray) -> pa.Table:
+    at = place[gone].astype(np.int64)
+    return _spans(chunk[gone], at, at + SPAN, names)
+
+
+def window_spans(table: pa.Table) -> pa.Table:
+    """Spans to remove, from the windows of one key range: all occurrences but the first."""
+    names, chunk, key, place, by, _, _ = _windows(table)
+    return _window_removal(names, chunk, place, by[1:][key[by][1:] == key[by][:-1]])
+
+
+def first_windows(table: pa.Table) -> pa.Table:
+    """The first occurrence of each window in a salt's share of a key range."""
+    names, chunk, key, place, by, doc, sub = _windows(table)
+    i = by[np.r_[True, key[by][1:] != key[by][:-1]]]
+    data = [pack_ints(key[i], True), pack_ints(place[i]), pack_ints(doc[i]), pack_ints(sub[i]), "\n".join(names[k] for k in chunk[i]).encode()]
+    return pa.table({"part": table.column("part").slice(0, 1), "salt": table.column("salt").slice(0, 1), "data": pa.array([data], pa.list_(pa.binary()))})
+
+
+def winning_salts(table: pa.Table) -> pa.Table:
+    """For each salt of a key range the keys of the windows whose first occurrence it has not."""
+    data, salts = table.column("data").to_pylist(), table.column("salt").to_pylist()
+    cols = [[unpack_ints(d[i], i == 0) for d in data] for i in range(4)]
+    salt = np.repeat(np.arange(len(salts)), [len(x) for x in cols[0]])
+    key, place, doc, sub = (np.concatenate(c) for c in cols)
+    chunk = np.unique(np.concatenate([np.array(d[4].decode().split("\n")) for d in data]), return_inverse=True)[1]
+    by = np.lexsort((place, chunk, sub, doc, key))
+    lost = by[1:][key[by][1:] == key[by][:-1]]
+    each = [np.sort(key[lost[salt[lost] == k]]) for k in range(len(salts))]
+    return pa.table({"part": table.column("part"), "salt": table.column("salt"), "lost": pa.array([pack_ints(x, True) for x in each], pa.binary())})
+
+
+def salted_window_spans(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Spans to remove, from one salt's share of a key range, when other salts may have the first occurrence."""
+    names, chunk, key, place, by, _, _ = _windows(left)
+    first = np.r_[True, key[by][1:] != key[by][:-1]]
+    lost = np.isin(key[by], unpack_ints(right.column("lost")[0].as_py(), True))
+    return _window_removal(names, chunk, place, by[~first | lost])
 
 
 OUT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
-def removed_spans(docs: DataFrame, hot: int = HOT, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, hot: int = HOT, size: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """(chunks of docs, stored spans to remove by chunk and place in it)."""
     chunks = chunked(docs.select("doc_id", "text"), "suffix-chunks", size)
-    ranges = ranges_for(chunks, RANGE)
-    kinds = gram_totals(chunks, ranges, hot)
+    ranges, salts = ranges_for(chunks, RANGE), salts_for(chunks, fan)
+    kinds = gram_totals(chunks, ranges, hot, salts)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for name, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
             rows += surroundings(name, payload, right, ranges)
-        types = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.binary()))
+        types = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.binary()))
         return pa.table({c.split()[0]: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(SENT.split(", "), types, strict=True))})
 
-    sent = materialise(chunks.select("chunk", "payload").groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(send, SENT), "surroundings")
-    by = lambda kind, f: sent.where(F.col("kind") == kind).select("part", "chunk", "data").groupBy("part").applyInArrow(f, SPANS)
-    settled = sent.where("kind = 'settled'").select("chunk", F.col("data")[0].alias("start"), F.col("data")[1].alias("stop"))
-    spans = by("around", tree_spans).unionByName(by("window", window_spans)).unionByName(settled)
-    return chunks, materialise(spans, "spans")
-
-
-def substring_dedup(docs: DataFrame, hot: int = HOT, texts: bool = False, size: int = CHUNK) -> DataFrame:
+    sent = materialise(chunks.select("chunk", "payload").groupBy("chunk").cogroup(kinds.select("chunk", "part", "data").groupBy("chunk")).applyInArrow(send, SENT), "surroundings")
+    of = lambda kind: sent.where(F.col("kind") == kind).select("part", "chunk", "data")
+    settled = of("settled").select("chunk", F.col("data")[0].alias("start"), F.col("data")[1].alias("stop"))
+    spans = of("around").groupBy("part").applyInArrow(tree_spans, SPANS).unionByName(settled)
+    if salts == 1:
+        windows = of("window").groupBy("part").applyInArrow(window_spans, SPANS)
+    else:  # a window that every chunk has is no task's burden: first within a salt, then between salts
+        salted = of("window").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
+        firsts = salted.groupBy("part", "salt").applyInArrow(first_windows, "part bigint, salt int, data array<binary>")
+        lost = materialise(firsts.groupBy("part").applyInArrow(winning_salts, "part bigint, salt int, lost binary"), "lost-windows")
+        windows = salted.groupBy("part", "salt").cogroup(lost.groupBy("part", "salt")).applyInArrow(salted_window_spans, SPANS)
+    return chunks, materialise(spans.unionByName(windows), "spans")
+
+
+def substring_dedup(docs: DataFrame, hot: int = HOT, texts: bool = False, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id and OUT for each row of docs; with ``texts`` also what is left of each text (broken characters dropped)."""
-    chunks, spans = removed_spans(docs, hot, size)
+    chunks, spans = removed_spans(docs, hot, size, fan)
     more = [T.StructField("kept_text", T.StringType())] if texts else []
     schema = T.StructType([docs.schema["doc_id"]] + [T.StructField(n, t) for n, t in OUT] + more)
 

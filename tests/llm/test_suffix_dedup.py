@@ -43,9 +43,25 @@ def test_against_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     want = slow(rows)
-    for hot, size in ((5000, 1 << 22), (5000, 6000), (3, 6000), (1, 1 << 22)):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.substring_dedup(docs, hot=hot, size=size).collect()}
-        assert got == want, (hot, size)
+    for hot, size, fan in ((5000, 1 << 22, 4096), (5000, 6000, 2), (3, 6000, 4096), (1, 6000, 2), (1, 1 << 22, 4096)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.substring_dedup(docs, hot=hot, size=size, fan=fan).collect()}
+        assert got == want, (hot, size, fan)
+
+
+def test_rows_of_one_id_stand_in_the_order_of_their_texts(spark):
+    import xxhash
+
+    rng = random.Random(2)
+    shared = words(rng, 60)
+    texts = [f"{words(rng, 5)} {shared} {words(rng, 5)}" for _ in range(4)]
+    rows = [(7, t) for t in texts] + [(7, texts[0]), (None, texts[1]), (None, shared)]
+    want = None
+    for parts in (1, 3, 7):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in S.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), size=600).collect())
+        assert want is None or got == want
+        want = got
+    first = min(texts, key=lambda t: xxhash.xxh64_intdigest(t.encode()))
+    assert [r for r in want if r[2] == 0] == [("7", len(first.encode()), 0)]
 
 
 def test_intervals():
