@@ -13,20 +13,38 @@ def latest_by(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> Dat
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, take: list[str], strict: bool = False, prefix: str = "", rank: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, take: list[str], strict: bool = False, prefix: str = "", rank: Column | None = None, parts: int = 1) -> DataFrame:
     """left with the columns ``take`` of right's newest row of the same keys at or before left_ts (before it, if strict).
 
     Both sides go through one exchange and one sort on (keys, time): no pair of
     rows is ever built, however many quotes a key has.  rank (ascending, over
     right's columns) settles rows of the same time.
+
+    parts: into how many spans of time a key's rows are cut, for keys that may
+    hold a large part of all rows.  Each span is a task's work of its own, and
+    gets the newest row of the spans before it from a table of a row a span.
     """
     rank = F.lit(0) if rank is None else rank
     cols = [c for c in left.columns]
-    a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_ts).alias("_t"), F.lit(1 if not strict else -1).alias("_side"), F.lit(None).cast("double").alias("_rank"), F.struct(*cols).alias("_l"))
-    b = right.where(F.col(right_ts).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), (-rank).cast("double").alias("_rank"), F.struct(*[F.col(c) for c in take]).alias("_r"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    a = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(left_ts).alias("_t"), F.lit(1 if not strict else -1).alias("_side"), F.lit(None).cast("double").alias("_rank"), F.struct(*cols).alias("_l"))
+    b = right.where(F.col(right_ts).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), (-rank).cast("double").alias("_rank"), F.struct(*[F.col(c) for c in take]).alias("_r"))
+    if parts > 1:
+        cuts = F.broadcast(b.agg(F.percentile_approx("_t", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_cuts")))  # one row
+        a, b = (x.crossJoin(cuts).withColumn("_span", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col("_t")))).drop("_cuts") for x in (a, b))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_t", "_side", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    span = ["_span"] if parts > 1 else []
+    w = Window.partitionBy(*names, *span).orderBy("_t", "_side", "_rank").rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_l is not null")
+    if parts > 1:
+        last = b.groupBy(*names, "_span").agg(F.max_by("_r", F.struct("_t", "_rank")).alias("_r"))
+        ahead = last.withColumn("_until", F.coalesce(F.lead("_span").over(Window.partitionBy(*names).orderBy("_span")), F.lit(parts)))
+        # a row a span to come, up to and with the next that has rows of its own
+        carried = ahead.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("_r").alias("_carried"), F.explode(F.when(F.col("_until") > F.col("_span"), F.sequence(F.col("_span") + 1, "_until"))).alias("_span_"))
+        same = F.col("_span") == F.col("_span_")
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        held = held.join(carried, same, "left").withColumn("_r", F.coalesce("_r", "_carried"))
     return held.select("_l.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in take])
 
 

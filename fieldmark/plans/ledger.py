@@ -10,9 +10,13 @@ from ..functions import odds
 from ..operators.core import asof_join
 
 
+#: Spans of time that a market's quotes are cut into, so that a hot market is no task's burden.
+SPANS = 32
+
+
 def closing_line_value(wagers: DataFrame, quotes: DataFrame, stale_hours: int = 4) -> DataFrame:
     """Each wager with its closing quote, clv = bet probability - closing probability, and how fresh the close is."""
-    got = asof_join(wagers, quotes, ["market"], "close_at", "observed_at", ["quote_id", "price", "observed_at"])
+    got = asof_join(wagers, quotes, ["market"], "close_at", "observed_at", ["quote_id", "price", "observed_at"], parts=SPANS)
     old = F.col("close_at") - F.col("observed_at") > F.make_dt_interval(hours=F.lit(stale_hours))
     close = odds.implied(F.col("price"))
     fresh = F.when(F.col("quote_id").isNull(), "missing").when(old, "stale").otherwise("fresh")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.core import asof_join, latest_by, unpivot_sides
+from ..plans.ledger import SPANS
 from . import query
 
 #: Order in which bookmakers' quotes of the same time are preferred.
@@ -48,7 +49,7 @@ def _(t):
 @query("jn_asof_close", """SELECT w.wager_id, q.quote_id, round(q.price, 4) AS close_price FROM wagers w LEFT JOIN LATERAL (SELECT quote_id, price FROM quotes q
 WHERE q.market = w.market AND q.observed_at <= w.close_at ORDER BY observed_at DESC, CASE bookmaker WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END LIMIT 1) q ON true""")
 def _(t):
-    got = asof_join(t.wagers, t.quotes, ["market"], "close_at", "observed_at", ["quote_id", "price"], rank=book_rank())
+    got = asof_join(t.wagers, t.quotes, ["market"], "close_at", "observed_at", ["quote_id", "price"], rank=book_rank(), parts=SPANS)
     return got.select("wager_id", "quote_id", F.round("price", 4).alias("close_price"))
 
 
@@ -56,7 +57,7 @@ def _(t):
 CASE WHEN q.quote_id IS NULL THEN 'missing' WHEN w.close_at - q.observed_at > INTERVAL '4' HOUR THEN 'stale' ELSE 'fresh' END AS freshness
 FROM wagers w ASOF LEFT JOIN (SELECT * FROM quotes WHERE bookmaker <> 'purchase') q ON q.market = w.market AND q.observed_at <= w.close_at""")
 def _(t):
-    got = asof_join(t.wagers, t.quotes.where("bookmaker <> 'purchase'"), ["market"], "close_at", "observed_at", ["quote_id", "bookmaker", "observed_at"])
+    got = asof_join(t.wagers, t.quotes.where("bookmaker <> 'purchase'"), ["market"], "close_at", "observed_at", ["quote_id", "bookmaker", "observed_at"], parts=SPANS)
     old = F.col("close_at") - F.col("observed_at") > F.expr("INTERVAL '4' HOUR")
     fresh = F.when(F.col("quote_id").isNull(), "missing").when(old, "stale").otherwise("fresh")
     return got.select("wager_id", F.concat_ws("|", "bookmaker", F.col("market").cast("string")).alias("p"), "bookmaker", "quote_id", fresh.alias("freshness")).select("wager_id", F.when(F.col("bookmaker").isNotNull(), F.col("p")).alias("provenance"), "quote_id", "freshness")
@@ -82,7 +83,7 @@ def _(t):
 SELECT w.wager_id, round(f.price, 4) AS price FROM wagers w ASOF LEFT JOIN f ON w.market = f.market AND w.placed_at > f.observed_at""")
 def _(t):
     f = t.quotes.groupBy("market", "observed_at").agg(F.max("price").alias("price"))
-    return asof_join(t.wagers, f, ["market"], "placed_at", "observed_at", ["price"], strict=True).select("wager_id", F.round("price", 4).alias("price"))
+    return asof_join(t.wagers, f, ["market"], "placed_at", "observed_at", ["price"], strict=True, parts=SPANS).select("wager_id", F.round("price", 4).alias("price"))
 
 
 @query("jn_prev_row", """WITH s AS (SELECT league, home AS team, game_date FROM games UNION SELECT league, away, game_date FROM games)

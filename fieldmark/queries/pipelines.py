@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import odds, stats
 from ..operators.core import asof_join, unpivot_sides
 from ..operators.ratings import ordered_fold
-from ..plans.ledger import allocate, closing_line_value, first_reason, reconcile, validate
+from ..plans.ledger import SPANS, allocate, closing_line_value, first_reason, reconcile, validate
 from . import query
 from .rating_sql import elo_sql
 from .ratings import SOCCER
@@ -313,7 +313,7 @@ def _(t):
 
 @query("op_ledger_lineage", """SELECT w.wager_id, q.quote_id AS entry_quote, round(w.stake / q.price, 4) AS contracts, round(CASE WHEN w.wager_id % 3 = 0 THEN w.stake ELSE 0 END - w.stake / q.price, 4) AS profit FROM wagers w ASOF LEFT JOIN (SELECT * FROM quotes WHERE bookmaker <> 'purchase') q ON w.market = q.market AND w.placed_at >= q.observed_at""")
 def _(t):
-    g = asof_join(t.wagers, t.quotes.where("bookmaker <> 'purchase'"), ["market"], "placed_at", "observed_at", ["quote_id", "price"])
+    g = asof_join(t.wagers, t.quotes.where("bookmaker <> 'purchase'"), ["market"], "placed_at", "observed_at", ["quote_id", "price"], parts=SPANS)
     cost = F.col("stake") / F.col("price")
     return g.select("wager_id", F.col("quote_id").alias("entry_quote"), F.round(cost, 4).alias("contracts"), F.round(F.when(F.col("wager_id") % 3 == 0, F.col("stake")).otherwise(0.0) - cost, 4).alias("profit"))
 

@@ -26,6 +26,17 @@ def test_asof_join(spark):
     assert core.asof_join(left.limit(0), right, ["k"], "t", "u", ["v"]).count() == 0
 
 
+def test_asof_join_by_spans(spark):
+    rng = random.Random(6)
+    pick = lambda: rng.choice(["a", "a", "a", "b", None])
+    left = spark.createDataFrame([(i, pick(), rng.choice([None, *range(200)])) for i in range(300)], "id int, k string, t int").repartition(3)
+    right = spark.createDataFrame([(pick(), rng.choice([None, *range(0, 200, 7)]), i, rng.randrange(3)) for i in range(90)], "k string, u int, v int, pref int").dropDuplicates(["k", "u", "pref"])
+    for strict in (False, True):
+        want, got = (sorted((r.id, r.v or -1) for r in core.asof_join(left, right, ["k"], "t", "u", ["v"], strict=strict, rank=F.col("pref"), parts=n).collect()) for n in (1, 8))
+        assert got == want and any(v > 0 for _, v in got)
+    assert core.asof_join(left, right.limit(0), ["k"], "t", "u", ["v"], parts=8).where("v is not null").count() == 0
+
+
 def test_latest_upsert_versions(spark):
     df = spark.createDataFrame([("x", 1, "a"), ("x", 2, "b"), ("y", None, "c")], "k string, n int, v string")
     assert {(r.k, r.v) for r in core.latest_by(df, ["k"], F.col("n").desc_nulls_last()).collect()} == {("x", "b"), ("y", "c")}
