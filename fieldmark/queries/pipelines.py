@@ -258,7 +258,26 @@ def _(t):
     return t.games.crossJoin(F.broadcast(cut)).select("game_id", F.when(F.col("game_date") <= F.col("d"), "train").otherwise("holdout").alias("part"))
 
 
-@query("op_logistic")
+def newton_sql(names: list[str], rounds: int = 15) -> str:
+    """A relation b(i, b0, b1, ...): logistic coefficients after i Newton steps on the rows of d(x0, x1, ..., y) marked ``learn``."""
+    n = range(len(names))
+    beta = ", ".join(f"b{k}" for k in n)
+    at = " + ".join(f"b{k} * x{k}" for k in n)
+    sums = [f"sum(p * (1 - p) * x{r} * x{c}) AS h{r}_{c}" for r in n for c in n] + [f"sum(x{r} * (y - p)) AS g{r}" for r in n]
+    step = f"SELECT i, {beta}, {', '.join(sums)} FROM (SELECT b.*, d.*, 1 / (1 + exp(-({at}))) AS p FROM b CROSS JOIN d WHERE i < {rounds} AND learn) GROUP BY i, {beta}"
+    for k in n:  # elimination, a column a layer
+        new = [f"h{r}_{c} - h{r}_{k} / h{k}_{k} * h{k}_{c} AS h{r}_{c}" for r in n if r > k for c in n if c > k] + [f"g{r} - h{r}_{k} / h{k}_{k} * g{k} AS g{r}" for r in n if r > k]
+        if new:
+            step = f"SELECT * REPLACE ({', '.join(new)}) FROM ({step})"
+    for k in reversed(n):
+        rest = "".join(f" - h{k}_{c} * s{c}" for c in n if c > k)
+        step = f"SELECT *, (g{k}{rest}) / h{k}_{k} AS s{k} FROM ({step})"
+    return f"b(i, {beta}) AS (SELECT 0, {', '.join('0.0e0' for _ in n)} UNION ALL SELECT i + 1, {', '.join(f'b{k} + s{k}' for k in n)} FROM ({step}))"
+
+
+@query("op_logistic", f"""WITH RECURSIVE d AS (SELECT bet_id, 1.0e0 AS x0, elo_prob AS x1, market_prob AS x2, hours_before AS x3, CASE WHEN status = 'won' THEN 1.0e0 ELSE 0.0e0 END AS y, bet_id % 2 = 0 AS learn FROM bets WHERE status <> 'open'),
+{newton_sql(['one', 'elo_prob', 'market_prob', 'hours_before'])}
+SELECT bet_id, round(p, 4) AS p, CASE WHEN p > 0.5 THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM (SELECT bet_id, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM d CROSS JOIN (SELECT * FROM b WHERE i = 15))""")
 def _(t):
     """Scaled logistic regression of the outcome on probabilities and timing, fitted on even ids and applied to all."""
     from pyspark.ml import Pipeline
@@ -267,7 +286,7 @@ def _(t):
     from pyspark.ml.functions import vector_to_array
 
     b = t.bets.where("status <> 'open'").select("bet_id", "elo_prob", "market_prob", "hours_before", (F.col("status") == "won").cast("double").alias("label"))
-    steps = [VectorAssembler(inputCols=["elo_prob", "market_prob", "hours_before"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=30)]
+    steps = [VectorAssembler(inputCols=["elo_prob", "market_prob", "hours_before"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=200, tol=1e-12)]
     model = Pipeline(stages=steps).fit(b.where("bet_id % 2 = 0"))
     return model.transform(b).select("bet_id", F.round(vector_to_array("probability")[1], 4).alias("p"), "prediction")
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
@@ -207,3 +208,21 @@ def test_csv_in_several_encodings(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_bytes(text.encode(encoding))
     got = files.csv_any_encoding(spark, str(tmp_path), "k bigint, v string").collect()
     assert {(r.k, r.v) for r in got} == {(1, "Ä"), (2, "x"), (3, "Ö"), (4, "y")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_logistic_against_newton_steps(spark):
+    from fieldmark import registry
+    from fieldmark.sources.tables import Tables
+
+    sf = "/root/testdata/sf0.001"
+    rows = Tables(spark, sf).bets.where("status <> 'open'").select("bet_id", "elo_prob", "market_prob", "hours_before", (F.col("status") == "won").cast("double").alias("y")).collect()
+    x = np.array([[1.0, r.elo_prob, r.market_prob, r.hours_before] for r in rows])
+    y, even = np.array([r.y for r in rows]), np.array([r.bet_id % 2 == 0 for r in rows])
+    beta = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x[even] @ beta))
+        beta += np.linalg.solve((x[even] * (p * (1 - p))[:, None]).T @ x[even], x[even].T @ (y[even] - p))
+    want = dict(zip([r.bet_id for r in rows], 1 / (1 + np.exp(-x @ beta)), strict=True))
+    got = {r.bet_id: (r.p, r.prediction) for r in registry.QUERIES["op_logistic"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(p - want[k]) < 1e-3 and (abs(want[k] - 0.5) < 1e-3 or c == float(want[k] > 0.5)) for k, (p, c) in got.items())
