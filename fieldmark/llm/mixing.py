@@ -39,7 +39,12 @@ WEIGHTS = {"good": 0.78, "toxic": 0.11, "junk": 0.11}
 RATES = (0.0, math.inf)
 #: Kinds of characters whose share of a text's words is a statistic.
 KINDS = {"f_capital": r"\p{Lu}", "f_digit": r"[0-9]", "f_symbol": r"[^\p{L}\p{N}\s.,;:?'()\"-]", "f_stop": r"[.,;:?]"}
-PER_DOMAIN, TYPICAL = 2000, 20
+PER_DOMAIN, TYPICAL = 2000, 30
+
+
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def labelled(labels: DataFrame, domains: dict[str, str]) -> DataFrame:
@@ -59,8 +64,7 @@ def typical_words(docs: DataFrame, known: DataFrame, per_domain: int = PER_DOMAI
     for name, n in sizes.items():
         chosen = chosen | ((F.col("domain") == name) & (draw < min(1.0, per_domain / n) * (1 << 20)))
     texts = docs.select("doc_id", "text").join(known.where(chosen), "doc_id").dropDuplicates(["doc_id"])
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    each = materialise(texts.select("domain", words.alias("words")), "mix-words")
+    each = materialise(texts.select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")), "mix-words")
     n = {r["domain"]: r["count"] for r in each.groupBy("domain").count().collect()}
     seen = each.select("domain", F.explode("words").alias("word")).where("length(word) <= 30").groupBy("word").pivot("domain", sorted(n)).count().na.fill(0)
     seen = materialise(seen, "mix-word-counts") if n else None
@@ -74,17 +78,29 @@ def typical_words(docs: DataFrame, known: DataFrame, per_domain: int = PER_DOMAI
     return found
 
 
-def statistics(text: Column, typical: dict[str, list[str]]) -> dict[str, Column]:
-    """``tokens`` (words of the whole text) and the classifier's statistics."""
-    text = F.coalesce(text, F.lit(""))
-    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def names_of(typical: dict[str, list[str]]) -> list[str]:
+    """The classifier's statistics."""
+    return ["f_words", "f_mean", "f_distinct", *KINDS, *(f"f_typical_{i}" for i, (_, words) in enumerate(sorted(typical.items())) if words)]
+
+
+def _among(words: str, some: list[str]) -> Column:
+    return F.filter(words, lambda w: w.isin(*some))
+
+
+def with_statistics(df: DataFrame, typical: dict[str, list[str]], stats: str) -> DataFrame:
+    """df with a struct ``stats``: ``tokens`` (words of the whole text) and the statistics.  Words are cut once, typical ones looked up once."""
+    words, hits = (fresh(n, [*df.columns, stats]) for n in ("_words", "_hits"))
+    every = sorted({w for some in typical.values() for w in some})
+    df = df.withColumn(words, words_of(F.col("text")))
+    df = df.withColumn(hits, _among(words, every) if every else F.array().cast("array<string>"))
+    text, tokens = F.coalesce(F.col("text"), F.lit("")), F.size(words).cast("long")
     n = F.greatest(tokens.cast("double"), F.lit(1.0))
-    out = {"tokens": tokens, "f_words": F.log1p(tokens.cast("double")), "f_mean": F.log((F.length(text) + 1) / (n + 1))}
-    out |= {name: F.sqrt(F.regexp_count(text, F.lit(kind)) / n) for name, kind in KINDS.items()}
-    for i, (_, words) in enumerate(sorted(typical.items())):
-        if words:
-            out[f"f_typical_{i}"] = F.log1p(F.regexp_count(text, F.lit(r"(?iu)\b(?:" + "|".join(words) + r")\b")).cast("double"))
-    return out
+    found = {"tokens": tokens, "f_words": F.log1p(tokens.cast("double")), "f_mean": F.log((F.length(text) + 1) / (n + 1)), "f_distinct": F.sqrt(F.size(F.array_distinct(words)) / n)}
+    found |= {name: F.sqrt(F.regexp_count(text, F.lit(kind)) / n) for name, kind in KINDS.items()}
+    for i, (_, some) in enumerate(sorted(typical.items())):
+        if some:
+            found[f"f_typical_{i}"] = F.log1p(F.size(_among(hits, some)).cast("double"))
+    return df.withColumn(stats, F.struct(*[c.alias(x) for x, c in found.items()])).drop(words, hits)
 
 
 class Membership:
@@ -94,16 +110,12 @@ class Membership:
         self.typical, self.rows, self.spread = typical, rows, spread
         self.names, self.total = [r["domain"] for r in rows], sum(r["n"] for r in rows)
 
-    def statistics(self, text: Column) -> dict[str, Column]:
-        return statistics(text, self.typical)
-
     def _density(self, row, stats: Column) -> Column:
         """Log density of the statistics under one domain's means and variances."""
         out = F.lit(math.log(row["n"] / self.total))
-        for f in self.statistics(F.lit("")):
-            if f != "tokens":
-                var = (row[f"{f}_var"] or 0.0) + self.spread
-                out = out - (stats[f] - row[f"{f}_avg"]) * (stats[f] - row[f"{f}_avg"]) / (2 * var) - 0.5 * math.log(var)
+        for f in names_of(self.typical):
+            var = (row[f"{f}_var"] or 0.0) + self.spread
+            out = out - (stats[f] - row[f"{f}_avg"]) * (stats[f] - row[f"{f}_avg"]) / (2 * var) - 0.5 * math.log(var)
         return out
 
     def scored(self, df: DataFrame, stats: str, p: str) -> DataFrame:
@@ -122,7 +134,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOM
     """(doc_id, tokens and an array ``p`` of posteriors, stored; the classifier, whose ``names`` are in the order of p)."""
     known = labelled(labels, domains)
     typical = typical_words(docs, known)
-    stats = materialise(docs.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text"), typical).items()]), "mix-stats")
+    stats = materialise(with_statistics(docs.select("doc_id", "text"), typical, "stats").select("doc_id", "stats.*"), "mix-stats")
     moments = [f(x).alias(f"{x}_{n}") for x in stats.columns[2:] for n, f in (("avg", F.avg), ("var", F.var_pop))]
     rows = stats.where("tokens > 0").join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).orderBy("domain").collect()  # a row a domain
     model = Membership(typical, rows)
@@ -209,7 +221,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     _, found = mixing_rates(docs, labels, weights, rates=rates)
     names = docs.columns
     stats, p, n, at = (fresh(x, names) for x in ("_stats", "_p", "_copies", "_at"))
-    held = docs.withColumn(stats, F.struct(*[c.alias(x) for x, c in found["model"].statistics(F.col("text")).items()]))
+    held = with_statistics(docs, found["model"].typical, stats)
     held = found["model"].scored(held, stats, p)
     held = held.withColumn(n, copies(_rate(found["steps"], *rates, p), F.col("doc_id")))
     some = F.when(F.col(n) > 0, F.sequence(F.lit(1), F.col(n))).otherwise(F.array().cast("array<int>"))
