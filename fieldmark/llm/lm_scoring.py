@@ -17,7 +17,9 @@ weights come within 0.001 of those learned from single occurrences.
 Nulls: a null text is an empty text (one end token); a null doc_id counts as
 training.  Repeated rows are learned from and scored as often as they occur.
 An empty table gives an empty result; without training rows only the uniform
-part is left.
+part is left.  Nothing is ordered, so there are no ties.  A text is never cut: a
+very long one is a chunk of its own.  Columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations

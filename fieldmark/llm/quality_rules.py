@@ -7,7 +7,9 @@ rules' accuracies and of the class share runs on that table, and the posterior
 of each pattern is joined back by broadcast (at most 19 683 rows).
 
 Nulls: a null text is an empty text; a null doc_id stays null.  Repeated rows
-are judged one by one.  An empty table gives an empty result.
+are judged one by one.  A posterior of exactly the threshold passes.  Texts are
+taken whole, whatever their length.  An empty table gives an empty result.
+Columns other than text and those to keep are not read.
 """
 
 from __future__ import annotations

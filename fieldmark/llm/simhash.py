@@ -16,7 +16,9 @@ member is sent to its 65 values and linked with the smallest member there.
 
 Nulls: a null text has no words and fingerprint zero.  A null doc_id keeps its
 row; it never is a component_id unless no other id is reachable.  Repeated rows
-stay.  An empty table gives an empty result.
+stay.  A bit that exactly half the hashes have is 0.  Texts are taken whole,
+whatever their length.  An empty table gives an empty result.  Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations

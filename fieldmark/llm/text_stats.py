@@ -6,6 +6,8 @@ from collections import Counter
 
 import pyarrow as pa
 
+from .common import slices
+
 #: Fixed by the contract of the quality rules.
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -67,7 +69,7 @@ def with_stats(docs, keep: list[str]):
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f, T.LongType()) for f in FIELDS])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + stats_batch(b), names=[*keep, *FIELDS])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
