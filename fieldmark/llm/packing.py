@@ -10,9 +10,14 @@ packing one by one would do.  Spark then gives every piece its rank among
 those of equal length and looks its place up in the plan.  Ranks are counted
 over salted buckets, so that a hot length is never one task's.
 
+A sequence of one piece is not improved: its smallest piece is the one it was
+started for, the largest left.
+
 Nulls: a null text is an empty document (the end token alone); a null doc_id
-keeps its pieces.  Repeated rows are packed as often as they occur.  An empty
-table gives an empty result.
+keeps its pieces.  Repeated rows are packed as often as they occur.  Pieces of
+one length are alike: which goes where is settled by salt, id and piece.  Texts
+of any length are cut into pieces, nothing else is.  An empty table gives an
+empty result.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -152,11 +157,14 @@ class Recent(dict):
         super().__init__()
         self.keep, self.most, self.size, self.old = keep, most, 0, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of the keys that have to be worked out; all others are in the dictionary until the next call."""
+    def turn(self) -> None:
+        """To be called between uses: makes room if there is none."""
         if len(self) > self.keep or self.size > self.most:
             self.old, self.size = dict(self), 0
             self.clear()
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that have to be worked out; all others are in the dictionary until the next turn."""
         new = keys.difference(self)
         self.update({k: self.old[k] for k in new.intersection(self.old)})
         new = list(new.difference(self))
@@ -167,31 +175,32 @@ class Recent(dict):
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Words repeat, so the ids of recent words, and of the pieces that they
-    consist of, are kept (a cache only: results never depend on it).  A cached
-    entry takes some 250 bytes, so ``keep`` bounds a worker at 50 MB.  Texts
-    with characters beyond the first 256 code points, or with what may be a
-    special token, go to the tokenizer as they are.
+    Words repeat, so the ids of recent words, and of the pieces that words with
+    other characters than letters consist of, are kept (a cache only: results
+    never depend on it).  A cached entry takes some 200 bytes, so ``keep``
+    bounds a worker at 40 MB.  Texts with characters beyond the first 256 code
+    points, or with what may be a special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 50_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
-        self.model, self.merges, self.words, self.pieces = Tokenizer.from_file(path), Merges(path), Recent(keep), Recent(keep)
+        self.model, self.merges, self.known = Tokenizer.from_file(path), Merges(path), Recent(keep)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _WIDE.search(t) else t.lower().split() for t in texts]
-        words, pieces = self.words, self.pieces
-        new = words.missing(set().union(*filter(None, split)))
-        cut = list(map(_PIECE.findall, new))
-        fresh = pieces.missing(set().union(*cut))
-        pieces.update(zip(fresh, self.merges.ids(fresh), strict=True))
-        known = pieces.__getitem__
-        words.update(zip(new, [known(c[0]) if len(c) == 1 else b"".join(map(known, c)) for c in cut], strict=True))
-        get = words.__getitem__
+        known = self.known
+        known.turn()
+        new = known.missing(set().union(*filter(None, split)))
+        mixed = [w for w in new if not w.isalpha()]  # all others are one piece each
+        cut = list(map(_PIECE.findall, mixed))
+        fresh = list({*filter(str.isalpha, new), *known.missing(set().union(*cut))})
+        known.update(zip(fresh, self.merges.ids(fresh), strict=True))
+        get = known.__getitem__
+        known.update(zip(mixed, [b"".join(map(get, c)) for c in cut], strict=True))
         return [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
