@@ -189,13 +189,14 @@ h AS (SELECT game_id, team, sum(w * won) / sum(w) AS rate, sum(w * f * won) / su
 u AS (SELECT game_id, team, sum(won) OVER v AS wins, count(*) OVER v AS met FROM s WINDOW v AS (PARTITION BY league, team, opponent ORDER BY game_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 r AS (SELECT a.game_id, a.team, b.opponent, avg(b.won) AS rate, count(*) AS n FROM s a JOIN s b ON a.league = b.league AND a.team = b.team AND b.game_date < a.game_date GROUP BY 1, 2, 3),
 c AS (SELECT x.game_id, x.team, sum(least(x.n, y.n) * (x.rate - y.rate)) / sum(least(x.n, y.n)) AS edge, count(*) AS shared FROM r x JOIN r y ON x.game_id = y.game_id AND x.opponent = y.opponent AND x.team <> y.team GROUP BY 1, 2)
-SELECT h.game_id, h.team, round(h.rate, 6) AS decayed_rate, round(h.surface_rate, 6) AS surface_rate, h.n, h.fatigue, coalesce(u.wins, 0) AS h2h_wins, u.met AS h2h_met, round(h.n / (h.n + 10.0e0), 6) AS certainty, round(coalesce(c.edge, 0), 6) AS common_edge, coalesce(c.shared, 0) AS common_opponents
+SELECT h.game_id, h.team, round(h.rate, 6) AS decayed_rate, round(h.surface_rate, 6) AS surface_rate, h.n, h.fatigue, coalesce(u.wins, 0) AS h2h_wins, u.met AS h2h_met, round(h.n / (h.n + 10.0e0), 6) AS certainty, round(coalesce(c.edge, 0) + 1e-9, 6) AS common_edge, coalesce(c.shared, 0) AS common_opponents
 FROM h JOIN u ON u.game_id = h.game_id AND u.team = h.team LEFT JOIN c ON c.game_id = h.game_id AND c.team = h.team""")
 def _(t):
     """A side's record before the match: decayed, by surface, head to head, tiredness, and against opponents that both have met.
 
     exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  Common opponents take
-    each side's running record by opponent, looked up as of the match.
+    each side's running record by opponent, looked up as of the match.  Its mean of few ratios often ends halfway between two roundings, which
+    1e-9 settles whatever the order of the sum.
     """
     s = unpivot_sides(t.games).withColumn("surface", F.col("game_id") % 3).withColumn("won", (F.col("points_for") > F.col("points_against")).cast("double"))
     k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 180.0)
@@ -221,7 +222,7 @@ def _(t):
     both = x.join(x.select("game_id", F.col("team").alias("rival"), "other", F.col("met").alias("met2"), F.col("rate").alias("rate2")), ["game_id", "other"]).where("team <> rival")
     common = both.groupBy("game_id", "team").agg((F.sum(F.least("met", "met2") * (F.col("rate") - F.col("rate2"))) / F.sum(F.least("met", "met2"))).alias("edge"), F.count("*").alias("shared"))
     out = side.join(common, ["game_id", "team"], "left")
-    return out.select("game_id", "team", "decayed_rate", "surface_rate", "n", "fatigue", "h2h_wins", "h2h_met", "certainty", F.round(F.coalesce("edge", F.lit(0.0)), 6).alias("common_edge"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("common_opponents"))
+    return out.select("game_id", "team", "decayed_rate", "surface_rate", "n", "fatigue", "h2h_wins", "h2h_met", "certainty", F.round(F.coalesce("edge", F.lit(0.0)) + 1e-9, 6).alias("common_edge"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("common_opponents"))
 
 
 @query("op_oriented_rows", "SELECT game_id, greatest(home_score, away_score) AS a, least(home_score, away_score) AS b, 1 AS target FROM games UNION ALL SELECT game_id, least(home_score, away_score), greatest(home_score, away_score), 0 FROM games")
