@@ -243,8 +243,8 @@ def crowd_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """text_key and ``root``, the name of its group, for each distinct text of docs."""
-    each = sketched(docs, width).dropDuplicates(["text_key"])
-    each = materialise(named(each), "sketches")
+    each = materialise(sketched(docs, width).dropDuplicates(["text_key"]), "sketches")
+    each = materialise(named(each), "texts")
     nodes = each.where(F.size("bands") > 0)
     # buckets: bands, and equal fingerprints as one more
     keyed = nodes.select("node", F.explode(F.concat("bands", F.array(F.xxhash64("fp", F.lit("fp"))))).alias("key"))
@@ -289,9 +289,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     key, id_, text_id = (fresh(n, docs.columns) for n in ("_text_key", "_kept_id", "_kept_text"))
     groups = materialise(similar_texts(docs, width, similarity), "similar-names")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).join(groups, "text_key")
-    rows = rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("r"))
+    # each text's best row first, so that copies of a hot text never meet in one task
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).groupBy("text_key", "doc_id").agg(F.count("*").alias("n"))
+    each = rows.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("r"))
+    best = each.join(groups, "text_key").groupBy("root").agg(F.min(F.struct("r.none", "r.doc_id", "text_key", "r.n")).alias("r"))
     kept = materialise(best.select(F.col("r.doc_id").alias(id_), F.col("r.text_key").alias(text_id), F.col("r.n").alias("n")), "similar-kept")
     again = kept.where("n > 1").limit(1).count()
     keyed = docs.withColumn(key, text_key(F.col("text")))
