@@ -199,18 +199,26 @@ def compared(i: int, j: int, blocks: list[int], nodes: list[int], roots: list[in
     """Links between block i and block j (or within i) that join groups which ``roots`` and the links before leave apart."""
     group = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
     block, out, enough = np.array(blocks), [], least_agreement(similarity)
-    right = np.flatnonzero(block == j)
-    for x in np.flatnonzero(block == i):
-        y = right[group[right] != group[x]]
-        if not len(y):
-            continue
-        differ = sketches[y] ^ sketches[x]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return out
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    span = np.concatenate([ids[starts[r] : starts[r] + sizes[r]] for r in right])
+    at = np.cumsum(sizes[right]) - sizes[right]
+    mark = np.zeros(len(distinct), bool)
+    for x in left:
+        differ = sketches[right] ^ sketches[x]
         far = sum(np.bitwise_count(np.bitwise_or.reduce(differ[:, h : h + DEPTH], axis=1)).astype(int) for h in (0, DEPTH))
-        for k in y[2 * HALF - far >= enough]:
-            if group[k] == group[x]:
-                continue
-            both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
-            if both and both >= similarity * (len(sets[x]) + len(sets[k]) - both):
+        if not ((group[right] != group[x]) & (2 * HALF - far >= enough)).any():
+            continue
+        own = ids[starts[x] : starts[x] + sizes[x]]  # shared shingles with the whole block at once
+        mark[own] = True
+        both = np.add.reduceat(mark[span], at, dtype=np.int64)
+        mark[own] = False
+        for k in right[(both > 0) & (both >= similarity * (sizes[x] + sizes[right] - both))]:
+            if group[k] != group[x]:
                 out.append((nodes[x], nodes[k]))
                 group[group == group[k]] = group[x]
     return out
