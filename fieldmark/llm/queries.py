@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP11_SQL, op11_exact_dedup
 from .gif import op8_gif_media
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op6_language_id
 from .lm_scoring import op3_lm_scoring
 from .mixing import op7_soft_mixing
@@ -26,7 +27,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: The full rows of all others are beyond SQL; tests hold each against brute force, a round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op11_exact_dedup": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_exact_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL}
