@@ -47,7 +47,8 @@ def candidates(rows: DataFrame, share: float, shards: int = SHARDS) -> DataFrame
     """digest: all that hold ``share`` of the rows or more, and perhaps a few others."""
     n = counters(share)
     each = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(shards)).alias("shard")).agg(F.expr(f"approx_top_k_accumulate(digest, {n})").alias("sketch"))
-    top = each.groupBy().agg(F.expr(f"approx_top_k_combine(sketch, {n})").alias("sketch"))
+    # by a key that all share, as a task without rows would bring an empty sketch to a total over all
+    top = each.groupBy(F.col("shard").isNotNull()).agg(F.expr(f"approx_top_k_combine(sketch, {n})").alias("sketch"))
     return top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {n})")).alias("top")).select(F.col("top.item").alias("digest"))
 
 

@@ -61,3 +61,13 @@ def test_no_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = E.grouped(E.addressed(documents(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_tasks_without_rows_bring_no_empty_sketch(spark):
+    rows = spark.createDataFrame([(i, f"d{i % 3}", i) for i in range(30)], "doc_id bigint, digest string, row bigint").repartition(20, "digest")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r["digest"] for r in E.candidates(rows, 0.1).collect()} == {"d0", "d1", "d2"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
