@@ -111,11 +111,12 @@ def salts_for(chunks: DataFrame, fan: int = FAN) -> int:
     return max(1, -(-chunks.count() // fan))
 
 
-def corpus_totals(sent: DataFrame, salts: int, label: str, told=lambda total: total) -> DataFrame:
+def corpus_totals(sent: DataFrame, salts: int, label: str, told=lambda total: total, keyed=None) -> DataFrame:
     """sent(chunk, part, keys, counts), sorted keys of key ranges -> stored (chunk, part, data, total, distinct).
 
     data: what ``told`` makes of the corpus totals of a chunk's keys, in their
-    order.  Rows without a chunk hold a range's sum of totals and the number of
+    order; or what ``keyed`` makes of all keys of a range, sorted, and their
+    totals.  Rows without a chunk hold a range's sum of totals and the number of
     its keys with a total above 0.  With more than one salt, each salt's
     blocks are added up first, then the salts' sums; totals go back the same way.
     """
@@ -132,8 +133,8 @@ def corpus_totals(sent: DataFrame, salts: int, label: str, told=lambda total: to
     def add(told):
         def run(t: pa.Table) -> pa.Table:
             keys, counts = blocks(t)
-            _, total, inverse = summed(keys, counts)
-            each = np.split(told(total)[inverse], np.cumsum([len(k) for k in keys])[:-1])
+            uniq, total, inverse = summed(keys, counts)
+            each = np.split((keyed(uniq, total) if keyed else told(total))[inverse], np.cumsum([len(k) for k in keys])[:-1])
             chunk = [*t.column("chunk").to_pylist(), None]
             return table(chunk, t.column("part")[0].as_py(), [*map(pack_ints, each), None], [0] * len(each) + [int(total.sum())], [0] * len(each) + [int((total > 0).sum())])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .exact_dedup import OP11_SQL, op11_exact_dedup
 from .gif import op8_gif_media
 from .hard_negatives import OP12_SQL, op12_hard_negatives
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_alignment": op13_alignment,
 }
 
 #: The full rows of all others are beyond SQL; tests hold each against brute force, a round trip or held-out accuracy.
