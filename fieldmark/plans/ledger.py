@@ -40,6 +40,21 @@ def allocate(bets: DataFrame, day: str, order: list, stake: Column, budget: floa
     return run.withColumn("allocated", given).drop("_stake", "_run")
 
 
+def duplicates(bets: DataFrame, days: int = 3) -> DataFrame:
+    """The bets that an earlier one (by day and id) makes duplicates: one on the same base market at any time, or on the same market and side within ``days``.
+
+    The base market is the ticker without its side.  The two rules have keys of
+    their own, so each is a pass of its own with a look at the row before; a bet
+    that both hit comes once.  No pair of bets is built.
+    """
+    base = F.regexp_replace("ticker", r"-([A-Z]{2,3}|HOME|DRAW|AWAY)$", "")
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("placed_date", "bet_id")
+    again = bets.withColumn("_base", base).where(F.col("_base").isNotNull()).withColumn("_first", F.row_number().over(before("sport", "_base"))).where("_first > 1").select(*bets.columns)
+    gap = F.date_diff("placed_date", F.lag("placed_date").over(before("sport", "market", "side")))
+    soon = bets.withColumn("_gap", gap).where(F.col("_gap") <= days).select(*bets.columns)
+    return again.unionByName(soon).dropDuplicates(["bet_id"])
+
+
 def reconcile(local: DataFrame, remote: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """A row for each field that differs (both null is equal), and one for each key of remote only."""
     a = local.select(F.col(key), F.lit(True).alias("_here"), *[F.col(f).cast("string").alias(f"_a_{f}") for f in fields])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.core import asof_join, latest_by, unpivot_sides
+from ..operators.intervals import valid_at
 from ..plans.ledger import SPANS
 from . import query
 
@@ -46,29 +47,58 @@ def _(t):
     return t.region.join(F.broadcast(one), F.lit(True), "left").select("r_name", "n")
 
 
-@query("jn_asof_close", """SELECT w.wager_id, q.quote_id, round(q.price, 4) AS close_price FROM wagers w LEFT JOIN LATERAL (SELECT quote_id, price FROM quotes q
-WHERE q.market = w.market AND q.observed_at <= w.close_at ORDER BY observed_at DESC, CASE bookmaker WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END LIMIT 1) q ON true""")
+#: Some quotes come without a time, some are marked as closing quotes, and some wagers have no known close.
+GAPS = """w AS (SELECT wager_id, market, CASE WHEN wager_id % 11 <> 0 THEN close_at END AS close_at FROM wagers),
+q AS (SELECT quote_id, market, bookmaker, price, CASE WHEN quote_id % 13 <> 0 THEN date_trunc('hour', observed_at) END AS observed_at, quote_id % 17 = 0 AS explicit_close FROM quotes)"""
+BOOK_SQL = "CASE bookmaker " + " ".join(f"WHEN '{b}' THEN {r}" for b, r in BOOK_RANK.items()) + " ELSE 9 END"
+
+
+def with_gaps(t):
+    w = t.wagers.withColumn("close_at", F.when(F.col("wager_id") % 11 != 0, F.col("close_at")))
+    q = t.quotes.withColumns({"observed_at": F.when(F.col("quote_id") % 13 != 0, F.date_trunc("hour", "observed_at")), "explicit_close": F.col("quote_id") % 17 == 0})
+    return w, q
+
+
+@query("jn_asof_close", f"""WITH {GAPS} SELECT w.wager_id, q.quote_id, round(q.price, 4) AS close_price FROM w LEFT JOIN LATERAL (SELECT quote_id, price FROM q
+WHERE q.market = w.market AND (w.close_at IS NULL OR q.observed_at IS NULL OR q.observed_at <= w.close_at) ORDER BY observed_at DESC NULLS LAST, {BOOK_SQL}, quote_id LIMIT 1) q ON true""")
 def _(t):
-    got = asof_join(t.wagers, t.quotes, ["market"], "close_at", "observed_at", ["quote_id", "price"], rank=book_rank(), parts=SPANS)
+    """A quote without a time is admitted before all others, a wager without a close admits every quote; then bookmaker, then id."""
+    w, q = with_gaps(t)
+    got = asof_join(w, q, ["market"], "close_at", "observed_at", ["quote_id", "price"], rank=book_rank(), prefer=[-F.col("quote_id")], untimed=True, parts=SPANS)
     return got.select("wager_id", "quote_id", F.round("price", 4).alias("close_price"))
 
 
-@query("jn_asof_close_py", """SELECT w.wager_id, q.bookmaker || '|' || w.market AS provenance, q.quote_id,
-CASE WHEN q.quote_id IS NULL THEN 'missing' WHEN w.close_at - q.observed_at > INTERVAL '4' HOUR THEN 'stale' ELSE 'fresh' END AS freshness
-FROM wagers w ASOF LEFT JOIN (SELECT * FROM quotes WHERE bookmaker <> 'purchase') q ON q.market = w.market AND q.observed_at <= w.close_at""")
+@query("jn_asof_close_py", f"""WITH {GAPS}, e AS (SELECT w.wager_id, w.market, w.close_at, q.quote_id, q.bookmaker, q.observed_at, q.explicit_close,
+  row_number() OVER (PARTITION BY w.wager_id ORDER BY coalesce(q.explicit_close, false) DESC, q.observed_at DESC NULLS LAST, {BOOK_SQL}, q.price DESC, q.quote_id) AS k,
+  count(q.quote_id) OVER (PARTITION BY w.wager_id, q.observed_at) AS ties
+  FROM w LEFT JOIN q ON q.market = w.market AND (w.close_at IS NULL OR q.observed_at IS NULL OR q.observed_at <= w.close_at))
+SELECT wager_id, quote_id, CASE WHEN observed_at IS NOT NULL THEN bookmaker || '|' || market || '|' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S') END AS provenance,
+CASE WHEN quote_id IS NULL THEN 'missing' WHEN observed_at IS NULL THEN 'missing_source_timestamp' WHEN close_at IS NULL OR close_at - observed_at <= INTERVAL '4' HOUR THEN 'fresh' ELSE 'stale' END AS freshness,
+CASE WHEN quote_id IS NULL THEN NULL WHEN explicit_close THEN 'explicit_close_snapshot' WHEN ties > 1 THEN 'source_priority_tiebreak' ELSE 'latest_admissible_pregame_quote' END AS rule FROM e WHERE k = 1""")
 def _(t):
-    got = asof_join(t.wagers, t.quotes.where("bookmaker <> 'purchase'"), ["market"], "close_at", "observed_at", ["quote_id", "bookmaker", "observed_at"], parts=SPANS)
-    old = F.col("close_at") - F.col("observed_at") > F.expr("INTERVAL '4' HOUR")
-    fresh = F.when(F.col("quote_id").isNull(), "missing").when(old, "stale").otherwise("fresh")
-    return got.select("wager_id", F.concat_ws("|", "bookmaker", F.col("market").cast("string")).alias("p"), "bookmaker", "quote_id", fresh.alias("freshness")).select("wager_id", F.when(F.col("bookmaker").isNotNull(), F.col("p")).alias("provenance"), "quote_id", "freshness")
+    """A quote marked as closing goes before newer ones; the label tells whether others shared the time of the one taken."""
+    w, q = with_gaps(t)
+    take = ["quote_id", "bookmaker", "observed_at", "explicit_close"]
+    got = asof_join(w, q, ["market"], "close_at", "observed_at", take, rank=book_rank(), prefer=[F.col("price"), -F.col("quote_id")], untimed=True, tiers=[F.col("explicit_close"), F.lit(True)], ties="ties", parts=SPANS)
+    none, old = F.col("quote_id").isNull(), F.col("close_at") - F.col("observed_at") > F.expr("INTERVAL '4' HOUR")
+    fresh = F.when(none, "missing").when(F.col("observed_at").isNull(), "missing_source_timestamp").when(old, "stale").otherwise("fresh")
+    rule = F.when(none, None).when(F.col("explicit_close"), "explicit_close_snapshot").when(F.col("ties") > 1, "source_priority_tiebreak").otherwise("latest_admissible_pregame_quote")
+    told = F.concat_ws("|", "bookmaker", F.col("market").cast("string"), F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    return got.select("wager_id", "quote_id", F.when(F.col("observed_at").isNotNull(), told).alias("provenance"), fresh.alias("freshness"), rule.alias("rule"))
+
+
+#: Ratings that hold from a game on: some until the next change at the earliest, some for a few weeks only, so that they overlap and leave gaps.
+VERSIONS = """v AS (SELECT league, home AS team, game_date AS valid_from, CASE WHEN game_id % 5 <> 0 THEN game_date + CAST(game_id % 40 AS INTEGER) END AS valid_to, home_score AS rating, game_id AS version FROM games WHERE status = 'final' AND game_id % 3 = 0)"""
 
 
-@query("jn_asof_rating", """WITH v AS (SELECT home AS team, league, game_date AS valid_from, max(home_score) AS rating FROM games WHERE status = 'final' GROUP BY 1, 2, 3)
-SELECT g.game_id, v.rating FROM (SELECT * FROM games WHERE status = 'scheduled') g ASOF LEFT JOIN v ON g.league = v.league AND g.home = v.team AND g.game_date >= v.valid_from""")
+@query("jn_asof_rating", f"""WITH {VERSIONS} SELECT g.game_id, r.rating, r.version FROM (SELECT * FROM games WHERE status = 'scheduled') g
+LEFT JOIN LATERAL (SELECT rating, version FROM v WHERE v.league = g.league AND v.team = g.home AND valid_from <= g.game_date AND (valid_to IS NULL OR valid_to >= g.game_date) ORDER BY valid_from DESC, version DESC LIMIT 1) r ON true""")
 def _(t):
-    v = t.games.where("status = 'final'").groupBy(F.col("home"), "league", F.col("game_date").alias("valid_from")).agg(F.max("home_score").alias("rating"))
-    got = asof_join(t.games.where("status = 'scheduled'"), v, ["league", "home"], "game_date", "valid_from", ["rating"])
-    return got.select("game_id", "rating")
+    """The newest of the ratings that hold on the day."""
+    v = t.games.where("status = 'final' and game_id % 3 = 0").select("league", F.col("home").alias("team"), F.col("game_date").alias("valid_from"), F.when(F.col("game_id") % 5 != 0, F.date_add("game_date", (F.col("game_id") % 40).cast("int"))).alias("valid_to"), F.col("home_score").alias("rating"), F.col("game_id").alias("version"))
+    g = t.games.where("status = 'scheduled'").select("game_id", "league", F.col("home").alias("team"), "game_date")
+    got = valid_at(g, v, ["league", "team"], "game_date", "valid_from", "valid_to", "version", ["rating", "version"], parts=SPANS)
+    return got.select("game_id", "rating", "version")
 
 
 @query("jn_asof_feature", """WITH f AS (SELECT pitcher, game_date AS as_of, avg(velocity) AS v FROM pitches GROUP BY 1, 2), a AS (SELECT DISTINCT l_suppkey AS pitcher, CAST(o_orderdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

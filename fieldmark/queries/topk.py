@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.core import latest_by
+from ..plans.ledger import duplicates
 from . import query
 
 
@@ -60,11 +61,14 @@ def _(t):
     return first.unionByName(b.where("k is null").select("bet_id"))
 
 
-@query("tk_dup_window", """SELECT DISTINCT a.bet_id FROM bets a JOIN bets b ON a.market = b.market AND a.side = b.side AND b.bet_id <> a.bet_id AND b.placed_date BETWEEN a.placed_date - 3 AND a.placed_date WHERE (b.placed_date, b.bet_id) < (a.placed_date, a.bet_id)""")
+TICKET = "'KXG' || market % 90 || '-' || year(placed_date) || '-' || CASE WHEN bet_id % 10 = 0 THEN 'DRAW' WHEN side = 'home' THEN 'ABC' ELSE 'XY' END"
+
+
+@query("tk_dup_window", f"""WITH b AS (SELECT *, regexp_replace({TICKET}, '-([A-Z]{{2,3}}|HOME|DRAW|AWAY)$', '') AS base FROM bets WHERE status IN ('open', 'filled', 'won', 'lost'))
+SELECT a.bet_id FROM b a WHERE EXISTS (SELECT 1 FROM b x WHERE x.sport = a.sport AND x.base = a.base AND (x.placed_date, x.bet_id) < (a.placed_date, a.bet_id))
+OR EXISTS (SELECT 1 FROM b x WHERE x.sport = a.sport AND x.market = a.market AND x.side = a.side AND x.placed_date >= a.placed_date - 3 AND (x.placed_date, x.bet_id) < (a.placed_date, a.bet_id))""")
 def _(t):
-    w = Window.partitionBy("market", "side").orderBy("placed_date", "bet_id")
-    gap = F.date_diff("placed_date", F.lag("placed_date").over(w))
-    return t.bets.withColumn("gap", gap).where("gap <= 3").select("bet_id")
+    return duplicates(t.bets.where(F.col("status").isin("open", "filled", "won", "lost")).withColumn("ticker", F.expr(TICKET))).select("bet_id")
 
 
 @query("tk_max_edge_side", """WITH s AS (SELECT bet_id, 'home' AS pick, elo_prob - market_prob AS e FROM bets UNION ALL SELECT bet_id, 'away', market_prob - elo_prob FROM bets)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators.core import close_versions, quantiles, unpivot_sides
+from ..operators.core import close_versions, decayed_sum, quantiles, unpivot_sides
+from ..operators.versions import VersionTable
+from ..sources.shared import shared_path
 from . import query
 
 SIDES = "WITH s AS (SELECT game_id, league, home AS team, away AS opponent, game_date, home_score AS f, away_score AS a FROM games UNION ALL SELECT game_id, league, away, home, game_date, away_score, home_score FROM games)"
@@ -58,9 +60,8 @@ FROM d a JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 90 A
 def _(t):
     """exp decay is a ratio of sums: what the later day weighs cancels out, so one ordered window does without a self-join."""
     d = t.pitches.groupBy("pitcher", "game_date").agg(F.avg("velocity").alias("v")).where("v is not null")
-    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 30.0)
-    w = Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-90, -1)
-    out = d.select("pitcher", "game_date", F.round(F.sum(k * F.col("v")).over(w) / F.sum(k).over(w), 6).alias("decayed"))
+    total = lambda x: decayed_sum(x, F.unix_date("game_date"), 90, 30.0, ["pitcher"])
+    out = d.select("pitcher", "game_date", F.round(F.try_divide(total(F.col("v")), total(F.lit(1.0))), 6).alias("decayed"))
     return out.where("decayed is not null")
 
 
@@ -117,11 +118,38 @@ def _(t):
     return r.select("game_id", "team", F.round((F.coalesce(F.sum("w").over(k), F.lit(0.0)) + 1) / (F.count("*").over(k) + 2), 6).alias("p"))
 
 
-@query("wn_scd2_close", """WITH v AS (SELECT o_custkey AS entity, o_orderdate AS d, max(o_orderkey) % 3 AS val FROM orders GROUP BY 1, 2), c AS (SELECT *, lag(val) OVER (PARTITION BY entity ORDER BY d) AS p FROM v)
-SELECT entity, CAST(d AS DATE) AS valid_from, CAST(lead(d) OVER (PARTITION BY entity ORDER BY d) AS DATE) AS valid_to, val FROM c WHERE p IS NULL OR p <> val""")
+#: A candidate row a team and day; ratings count to two places, so a change of four thousandths alone is none.
+DAILY = """v AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS valid_from, 'n' || CASE WHEN max(o_orderkey) % 7 = 0 THEN 1 ELSE 0 END AS name, 1500 + max(o_orderkey) % 3 * 0.004e0 AS raw, count(*) AS games FROM orders GROUP BY 1, 2)"""
+SCD2_SQL = f"""WITH {DAILY}, r AS (SELECT *, CAST(round(raw, 2) AS DECIMAL(10, 2)) AS rating FROM v), c AS (SELECT *, lag((name, rating, games)) OVER w AS p FROM r WINDOW w AS (PARTITION BY entity ORDER BY valid_from))
+SELECT entity, name, CAST(rating AS DOUBLE) AS rating, games, valid_from, lead(valid_from) OVER (PARTITION BY entity ORDER BY valid_from) AS valid_to FROM c WHERE p IS NULL OR p <> (name, rating, games)"""
+VERSIONED = ["name", "rating", "games"]
+
+
+def daily_ratings(t):
+    day = t.orders.groupBy(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("valid_from"))
+    named = F.concat(F.lit("n"), F.when(F.max("o_orderkey") % 7 == 0, 1).otherwise(0).cast("string"))
+    return day.agg(named.alias("name"), F.round(1500 + F.max("o_orderkey") % 3 * 0.004, 2).cast("decimal(10,2)").alias("rating"), F.count("*").alias("games"))
+
+
+def told_versions(v):
+    return v.select("entity", "name", F.col("rating").cast("double").alias("rating"), "games", "valid_from", "valid_to")
+
+
+@query("wn_scd2_close", SCD2_SQL)
+def _(t):
+    """Versions from all candidates at once: a row stays if name, rating (two places) or games differ from the one before."""
+    return told_versions(close_versions(daily_ratings(t), ["entity"], "valid_from", *[F.col(c) for c in VERSIONED]))
+
+
+@query("wn_scd2_upkeep", SCD2_SQL)
 def _(t):
-    v = t.orders.groupBy(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("valid_from")).agg((F.max("o_orderkey") % 3).alias("val"))
-    return close_versions(v, ["entity"], "valid_from", F.col("val")).select("entity", "valid_from", "valid_to", "val")
+    """The same table kept up by three runs, each with the days since the last."""
+    v = daily_ratings(t).withColumn("part", F.col("entity") % 8)
+    table = VersionTable(t.spark, shared_path(t.spark, "versions"), ["part"], ["entity"], VERSIONED)
+    days = v.where("valid_from < DATE '1995-01-01'"), v.where("valid_from >= DATE '1995-01-01' AND valid_from < DATE '1997-06-01'"), v.where("valid_from >= DATE '1997-06-01'")
+    for some in days:
+        table.merge(some)
+    return told_versions(table.rows())
 
 
 @query("wn_tie_count", "SELECT game_id, count(*) OVER (PARTITION BY league, game_date) AS same_day FROM games")
