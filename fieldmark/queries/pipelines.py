@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import odds, stats
-from ..operators.core import asof_join, unpivot_sides
+from ..operators.core import asof_join, decayed_sum, unpivot_sides
+from ..operators.folds import Limits, allocate_kelly, allocation_sql
 from ..operators.ratings import ordered_fold
-from ..plans.ledger import SPANS, allocate, closing_line_value, first_reason, reconcile, validate
+from ..operators.records import common_opponents
+from ..plans.ledger import SPANS, closing_line_value, first_reason, reconcile
+from ..plans.quarantine import Rule, in_range, judged, not_after, present, quarantined
+from ..sources.files import csv_or_torn
+from ..sources.shared import shared_path
 from . import query
 from .rating_sql import elo_sql
 from .ratings import SOCCER
@@ -43,11 +48,18 @@ def _(t):
     return b.select("bet_id", first_reason(("no_evidence", F.col("closing_prob").isNull()), ("position_conflict", F.coalesce("held", F.lit(False)) & (F.col("bet_id") % 2 == 0)), ("low_edge", edge() < 0.05)).alias("decision"))
 
 
-@query("op_allocate", """WITH x AS (SELECT bet_id, placed_date, greatest(least(cost / 1000, 200), 5) AS stake, elo_prob - market_prob AS e FROM bets WHERE elo_prob - market_prob >= 0.05), r AS (SELECT *, sum(stake) OVER (PARTITION BY placed_date ORDER BY e DESC, bet_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
-SELECT bet_id, round(CASE WHEN run <= 300 THEN stake WHEN 300 - (run - stake) >= 5 THEN 300 - (run - stake) ELSE 0 END, 2) AS allocated FROM r""")
+LIMITS = Limits()
+STAKED = """SELECT bet_id, placed_date AS day, sport, market % 25 AS event, (elo_prob - market_prob) / market_prob AS value,
+greatest(0.0e0, (elo_prob * (1 / market_prob - 1) - (1 - elo_prob)) / (1 / market_prob - 1)) AS kelly FROM bets WHERE elo_prob - market_prob >= 0.05"""
+
+
+@query("op_allocate", f"{allocation_sql(STAKED, LIMITS)} SELECT bet_id, day, place, round(asked, 4) AS asked, round(approved, 2) AS allocated, round(approved / {LIMITS.bankroll}, 6) AS share, reason FROM f WHERE place > 0")
 def _(t):
-    out = allocate(t.bets.where(edge() >= 0.05), "placed_date", [edge().desc(), F.col("bet_id")], odds.clip(F.col("cost") / 1000, 5.0, 200.0), 300.0, 5.0)
-    return out.select("bet_id", F.round("allocated", 2).alias("allocated"))
+    """Fractional Kelly stakes in the order that gives each sport a seat, under the caps of day, sport and event."""
+    p, m = F.col("elo_prob"), F.col("market_prob")
+    b = t.bets.where(edge() >= 0.05).select("bet_id", F.col("placed_date").alias("day"), "sport", (F.col("market") % 25).alias("event"), odds.expected_value(p, m).alias("value"), odds.kelly(p, m).alias("kelly"))
+    out = allocate_kelly(b, LIMITS)
+    return out.select("bet_id", "day", F.col("place").cast("bigint").alias("place"), F.round("asked", 4).alias("asked"), F.round("approved", 2).alias("allocated"), F.round(F.col("approved") / LIMITS.bankroll, 6).alias("share"), "reason")
 
 
 @query("op_equal_alloc", "SELECT bet_id, round(1000.0e0 / count(*) OVER (PARTITION BY placed_date), 4) AS stake FROM bets WHERE status = 'open'")
@@ -131,9 +143,9 @@ def _(t):
     w7, w30 = (Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-days, -1) for days in (7, 30))
     n = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0).cast("bigint"))
     share = lambda x, w: F.sum(x).over(w) / F.sum("n").over(w)
-    weight = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 15.0)
+    total = lambda x: decayed_sum(x, F.unix_date("game_date"), 30, 15.0, ["pitcher"])
     rates = [F.round(share(x, w30), 6).alias(name) for x, name in (("v", "velocity30"), ("c", "csw30"), ("k", "whiff30"))]
-    decayed = F.round(F.sum(weight * F.col("m")).over(w30) / F.sum(weight).over(w30), 6).alias("velocity_decayed")
+    decayed = F.round(F.try_divide(total(F.col("m")), total(F.lit(1.0))), 6).alias("velocity_decayed")
     return d.select("pitcher", "game_date", n(w7).alias("n7"), n(w30).alias("n30"), *rates, F.round(share("v", w7) - share("v", w30), 6).alias("velocity_trend"), decayed)
 
 
@@ -194,33 +206,26 @@ FROM h JOIN u ON u.game_id = h.game_id AND u.team = h.team LEFT JOIN c ON c.game
 def _(t):
     """A side's record before the match: decayed, by surface, head to head, tiredness, and against opponents that both have met.
 
-    exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  Common opponents take
-    each side's running record by opponent, looked up as of the match.  Its mean of few ratios often ends halfway between two roundings, which
+    exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  The opponents that both
+    sides have met are intersected before a record is looked up.  A mean of few ratios often ends halfway between two roundings, which
     1e-9 settles whatever the order of the sum.
     """
     s = unpivot_sides(t.games).withColumn("surface", F.col("game_id") % 3).withColumn("won", (F.col("points_for") > F.col("points_against")).cast("double"))
-    k = 1 / stats.half_life(F.date_diff("game_date", F.lit("1995-01-01").cast("date")), 180.0)
+    total = lambda c: decayed_sum(c, F.unix_date("game_date"), 365, 180.0, ["league", "team"])
     day = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date"))
     w = day.rangeBetween(-365, -1)
-    mine = lambda c: sum((F.when(F.col("surface") == i, 1.0).otherwise(OTHER_SURFACE) * F.coalesce(F.sum(F.when(F.col("surface") == i, c)).over(w), F.lit(0.0)) for i in range(3)), F.lit(0.0))
+    mine = lambda c: sum((F.when(F.col("surface") == i, 1.0).otherwise(OTHER_SURFACE) * total(F.when(F.col("surface") == i, c)) for i in range(3)), F.lit(0.0))
     meet = Window.partitionBy("league", "team", "opponent").orderBy(F.unix_date("game_date")).rangeBetween(Window.unboundedPreceding, -1)
     n = F.count("*").over(w)
     side = s.select(
         "game_id", "league", "team", "opponent", "game_date",
-        F.round(F.sum(k * F.col("won")).over(w) / F.sum(k).over(w), 6).alias("decayed_rate"),
-        F.round(F.try_divide(mine(k * F.col("won")), mine(k)), 6).alias("surface_rate"),
+        F.round(F.try_divide(total(F.col("won")), total(F.lit(1.0))), 6).alias("decayed_rate"),
+        F.round(F.try_divide(mine(F.col("won")), mine(F.lit(1.0))), 6).alias("surface_rate"),
         n.alias("n"), F.count("*").over(day.rangeBetween(-14, -1)).alias("fatigue"),
         F.coalesce(F.sum("won").over(meet), F.lit(0.0)).alias("h2h_wins"), F.count("*").over(meet).alias("h2h_met"),
         F.round(n / (n + 10.0), 6).alias("certainty"),
     ).where("n > 0")
-    daily = s.groupBy("league", "team", F.col("opponent").alias("other"), "game_date").agg(F.sum("won").alias("won"), F.count("*").alias("met"))
-    upto = Window.partitionBy("league", "team", "other").orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
-    record = daily.select("league", "team", "other", "game_date", F.sum("won").over(upto).alias("wins"), F.sum("met").over(upto).alias("met"))
-    asked = s.select("game_id", "league", "team", "game_date").join(record.select("league", "team", "other").distinct(), ["league", "team"])
-    known = asof_join(asked, record, ["league", "team", "other"], "game_date", "game_date", ["wins", "met"], strict=True).where("met is not null")
-    x = known.select("game_id", "team", "other", "met", (F.col("wins") / F.col("met")).alias("rate"))
-    both = x.join(x.select("game_id", F.col("team").alias("rival"), "other", F.col("met").alias("met2"), F.col("rate").alias("rate2")), ["game_id", "other"]).where("team <> rival")
-    common = both.groupBy("game_id", "team").agg((F.sum(F.least("met", "met2") * (F.col("rate") - F.col("rate2"))) / F.sum(F.least("met", "met2"))).alias("edge"), F.count("*").alias("shared"))
+    common = common_opponents(t.games.withColumn("won", (F.col("home_score") > F.col("away_score")).cast("double")))
     out = side.join(common, ["game_id", "team"], "left")
     return out.select("game_id", "team", "decayed_rate", "surface_rate", "n", "fatigue", "h2h_wins", "h2h_met", "certainty", F.round(F.coalesce("edge", F.lit(0.0)) + 1e-9, 6).alias("common_edge"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("common_opponents"))
 
@@ -312,10 +317,46 @@ def _(t):
     return t.bets.select("bet_id", F.round(0.4 * e + 0.6 * F.col("market_prob"), 6).alias("book60"), F.round(odds.clip(e * 1.01, 0.01, 0.99), 6).alias("recency"), F.round(odds.clip(e + F.when(F.col("side") == "home", 0.02).otherwise(-0.02), 0.01, 0.99), 6).alias("situation"))
 
 
-@query("op_ingest_validate", """SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', CASE WHEN NOT l_quantity BETWEEN 1 AND 45 THEN 'quantity_range' END, CASE WHEN NOT l_discount <= 0.08 THEN 'discount_range' END, CASE WHEN NOT (l_returnflag <> 'R' OR l_linestatus = 'F') THEN 'flag_status' END) AS errors FROM lineitem""")
+#: The day of the check; rows from after it are of the future.
+TODAY = "1998-10-01"
+LINE_RULES = lambda: [
+    *present("l_orderkey", "l_partkey"), in_range("l_quantity", 1, 45), in_range("l_discount", 0, 0.08, "warning"),
+    Rule("flag_status", (F.col("l_returnflag") != "R") | (F.col("l_linestatus") == "F")), Rule("ship_receipt", F.col("l_extendedprice") >= F.col("l_quantity") * 900, "warning"), not_after("l_shipdate", F.lit(TODAY).cast("date")),
+]
+LINE_CODES = f"""CASE WHEN NOT l_quantity BETWEEN 1 AND 45 THEN 'l_quantity_range' END, CASE WHEN NOT l_discount BETWEEN 0 AND 0.08 THEN 'l_discount_range' END, CASE WHEN NOT (l_returnflag <> 'R' OR l_linestatus = 'F') THEN 'flag_status' END,
+CASE WHEN NOT l_extendedprice >= l_quantity * 900 THEN 'ship_receipt' END, CASE WHEN NOT CAST(l_shipdate AS DATE) <= DATE '{TODAY}' THEN 'l_shipdate_future' END"""
+LINE_ERRORS = f"(NOT l_quantity BETWEEN 1 AND 45 OR (l_returnflag = 'R' AND l_linestatus <> 'F') OR CAST(l_shipdate AS DATE) > DATE '{TODAY}')"
+LINE_WARNINGS = "(NOT l_discount BETWEEN 0 AND 0.08 OR NOT l_extendedprice >= l_quantity * 900)"
+
+
+def dated_lines(t):
+    return t.lineitem.withColumn("l_shipdate", F.to_date("l_shipdate"))
+
+
+@query("op_ingest_validate", f"""SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', {LINE_CODES}) AS errors, CASE WHEN {LINE_ERRORS} THEN 'error' WHEN {LINE_WARNINGS} THEN 'warning' END AS severity,
+CASE WHEN {LINE_ERRORS} THEN 'rejected' ELSE 'good' END AS verdict FROM lineitem""")
+def _(t):
+    """Missing, out of range, at odds with one another, of the future: codes, the worst severity and the verdict, in one pass."""
+    return judged(dated_lines(t), LINE_RULES()).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("codes", ",").alias("errors"), "severity", "verdict")
+
+
+@query("op_ingest_quarantine", f"""WITH x AS (SELECT l_orderkey % 97 = 0 AS torn, {LINE_ERRORS} AS bad, {LINE_WARNINGS} AS odd FROM lineitem)
+SELECT 'unparsable' AS sink, count(*) FILTER (WHERE torn) AS n, CAST(0 AS BIGINT) AS warned FROM x UNION ALL SELECT 'rejected', count(*) FILTER (WHERE NOT torn AND bad), 0 FROM x
+UNION ALL SELECT 'good', count(*) FILTER (WHERE NOT torn AND NOT bad), count(*) FILTER (WHERE NOT torn AND NOT bad AND odd) FROM x""")
 def _(t):
-    rules = {"quantity_range": F.col("l_quantity").between(1, 45), "discount_range": F.col("l_discount") <= 0.08, "flag_status": (F.col("l_returnflag") != "R") | (F.col("l_linestatus") == "F")}
-    return validate(t.lineitem, rules).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("errors", ",").alias("errors"))
+    """CSV lines, some of them torn: what can't be read, what is rejected and what is good each have a sink, and nothing is lost."""
+    cols = ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+    lines = dated_lines(t).select(F.when(F.col("l_orderkey") % 97 == 0, F.concat(F.lit("?,"), F.col("l_orderkey").cast("string"))).otherwise(F.concat_ws(",", *[F.col(c).cast("string") for c in cols])).alias("value"))
+    path = shared_path(t.spark, "lines")
+    lines.write.text(path)
+    rows, torn = csv_or_torn(t.spark, path, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date")
+    good, rejected, seen = quarantined(rows, LINE_RULES())
+    if seen["rows"] != seen["good"] + seen["rejected"]:
+        raise ValueError("rows were lost on the way to the sinks")
+    warned = lambda df: df.agg(F.count("*").alias("n"), n_if(F.col("severity") == "warning").alias("warned"))
+    told = [(sink, warned(df)) for sink, df in (("unparsable", torn.withColumn("severity", F.lit("error"))), ("rejected", rejected), ("good", good))]
+    out = [df.select(F.lit(sink).alias("sink"), "n", "warned") for sink, df in told]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("op_stats_validate", """SELECT 'rows' AS name, CAST(count(*) AS BIGINT) AS value FROM lineitem UNION ALL SELECT 'null_discount', count(*) FILTER (WHERE l_discount IS NULL) FROM lineitem UNION ALL SELECT 'orphans', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.core import upsert
-from ..sources import files
+from ..sources import files, jdbc
 from ..sources.shared import shared_path
 from . import query
 
 
 @query("src_jdbc", "SELECT bet_id, cost FROM bets WHERE sport = 'ASIA' AND cost >= 100000")
+def _(t):
+    """A database's table, read in four ranges of its key; both conditions go to the server."""
+    url = jdbc.embedded(t.spark)
+    jdbc.write_table(t.bets.select("bet_id", "sport", "cost"), url, "bets")
+    top = t.bets.agg(F.max("bet_id")).first()[0] or 1
+    return jdbc.read_table(t.spark, url, "bets", "bet_id", (0, top), 4).where("sport = 'ASIA' and cost >= 100000").select("bet_id", "cost")
+
+
+@query("src_sql_params", "SELECT bet_id, cost FROM bets WHERE sport = 'ASIA' AND cost >= 100000")
 def _(t):
     return t.spark.sql("SELECT bet_id, cost FROM {bets} WHERE sport = :sport AND cost >= :least", args={"sport": "ASIA", "least": 100000}, bets=t.bets)
 
@@ -121,6 +130,20 @@ def _(t):
     return upsert(base, changed.unionByName(fresh), ["k"], "version").select("k", "v")
 
 
+@query("snk_upsert_jdbc", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 2 = 1 THEN CAST(o_custkey AS BIGINT) END AS owner FROM orders
+UNION ALL SELECT o_orderkey + 1000000000, 'new', NULL FROM orders WHERE o_orderkey % 40 = 0""")
+def _(t):
+    """A database's table under an upsert of some of its columns: a staging table and one MERGE."""
+    url, k = jdbc.embedded(t.spark), F.col("o_orderkey")
+    jdbc.execute(t.spark, url, 'CREATE TABLE "held" ("k" BIGINT NOT NULL PRIMARY KEY, "v" VARCHAR(10), "owner" BIGINT)')
+    base = t.orders.select(k.alias("k"), F.lit("old").alias("v"), F.when((k % 4 == 0) | (k % 2 == 1), F.col("o_custkey").cast("bigint")).alias("owner"))
+    jdbc.write_table(base, url, "held", "append")
+    changed = t.orders.where("o_orderkey % 4 = 0").select(k.alias("k"), F.lit("new").alias("v"))
+    fresh = t.orders.where("o_orderkey % 40 = 0").select((k + 1_000_000_000).alias("k"), F.lit("new").alias("v"))
+    jdbc.upsert_table(changed.unionByName(fresh), url, "held", ["k"])
+    return jdbc.read_table(t.spark, url, "held")
+
+
 @query("snk_insert_df", "SELECT bet_id, sport FROM bets WHERE status = 'open' UNION ALL SELECT bet_id, sport FROM bets WHERE status = 'lost'")
 def _(t):
     return files.appended([t.bets.where("status = 'open'").select("bet_id", "sport"), t.bets.where("status = 'lost'").select("bet_id", "sport")])

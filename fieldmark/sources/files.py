@@ -41,6 +41,13 @@ def csv_tree(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8
     return read.csv(path, schema=schema).withColumn("file", F.col("_metadata.file_path"))
 
 
+def csv_or_torn(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken lines with their text as ``line`` and their path as ``file``) of all UTF-8 CSV lines below a path, without headers; each line is in one of the two."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    read = lines.select(F.from_csv("value", f"{schema}, _line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}).alias("r"), "file").select("r.*", "file")
+    return read.where("_line is null").drop("_line", "file"), read.where("_line is not null").select(F.col("_line").alias("line"), "file")
+
+
 def csv_any_encoding(spark: SparkSession, path: str, schema: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
     """CSV files below a path, each in the first of the encodings that it is valid in (the last one takes what is left)."""
     bad = F.concat_ws("", "*").contains("\ufffd")  # what a decoder puts for bytes that it can't read
