@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import odds, stats
 from ..operators.core import asof_join, decayed_sum, unpivot_sides
+from ..operators.features import both_sides, clipped, rated_sides, side_features
 from ..operators.folds import Limits, allocate_kelly, allocation_sql
-from ..operators.ratings import ordered_fold
+from ..operators.ratings import StarterState, ordered_fold
 from ..operators.records import common_opponents
 from ..plans.ledger import SPANS, closing_line_value, first_reason, reconcile
 from ..plans.quarantine import Rule, in_range, judged, not_after, present, quarantined
@@ -16,7 +17,7 @@ from ..sources.files import csv_or_torn
 from ..sources.shared import shared_path
 from . import query
 from .rating_sql import elo_sql
-from .ratings import SOCCER
+from .ratings import PITCHER, PITCHER_WEIGHT, SOCCER, SPECS, STARTERS, final_games, starters
 
 n_if = lambda c: F.count(F.when(c, 1))
 CLOSE = "least(greatest(1 / q.price, 0.01), 0.99)"
@@ -158,12 +159,55 @@ def form(t):
     return s.select("game_id", "league", "team", "is_home", "points_for", F.avg("points_for").over(w).alias("avg_for"), F.avg("points_against").over(w).alias("avg_against"), F.count("*").over(w).alias("prior"))
 
 
-@query("op_matchup", f"""WITH {SIDES}, h AS (SELECT game_id, team, avg(f) OVER w AS avg_for, avg(a) OVER w AS avg_against FROM s WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT g.game_id, round(x.avg_for - y.avg_against, 6) AS home_attack, round(y.avg_for - x.avg_against, 6) AS away_attack FROM games g JOIN h x ON g.game_id = x.game_id AND g.home = x.team JOIN h y ON g.game_id = y.game_id AND g.away = y.team""")
-def _(t):
-    pick = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c)))
-    g = form(t).groupBy("game_id").agg(*[pick(c, h).alias(f"{c}_{h}") for c in ("avg_for", "avg_against") for h in (True, False)])
-    return g.select("game_id", F.round(F.col("avg_for_True") - F.col("avg_against_False"), 6).alias("home_attack"), F.round(F.col("avg_for_False") - F.col("avg_against_True"), 6).alias("away_attack"))
+MLB, LADDER = SPECS["rt_elo_mlb"], "SELECT * FROM (" + elo_sql({"ladder": PITCHER}, STARTERS, 150) + " SELECT * FROM scored WHERE home >= 0 AND away >= 0)"
+#: Both sides of each game with what is known before its day, as SQL.
+KNOWN = f"""{elo_sql({'mlb': MLB})}, ladder AS ({LADDER}),
+elo AS (SELECT league, home AS team, game_date AS day, game_id, home_after AS r FROM scored UNION ALL SELECT league, away, game_date, game_id, away_after FROM scored),
+arm AS (SELECT league, home AS who, game_date AS day, game_id, home_after AS r FROM ladder UNION ALL SELECT league, away, game_date, game_id, away_after FROM ladder),
+app AS (SELECT pitcher, game_date AS day, count(*) * 9 AS pitches, avg(velocity) AS v, 100 * avg(location) AS runs FROM pitches GROUP BY 1, 2),
+load AS (SELECT pitcher % 16 AS league, pitcher % 30 AS team, day, pitches, runs, (CASE WHEN pitches > 15 THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN pitches > 20 THEN 0.10e0 ELSE 0.0e0 END) + least(0.25e0, greatest(0.0e0, coalesce(usual - v, 0)) * 0.05e0) AS tired
+  FROM (SELECT *, avg(v) OVER (PARTITION BY pitcher ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual FROM app)),
+s AS (SELECT game_id, league, home AS team, true AS is_home, game_date AS day, home_score AS f, away_score AS a, CASE WHEN game_id % 11 <> 0 THEN home * 5 + game_id % 5 END AS who FROM games
+  UNION ALL SELECT game_id, league, away, false, game_date, away_score, home_score, CASE WHEN game_id % 13 <> 0 THEN away * 5 + game_id % 5 END FROM games),
+h AS (SELECT *, sum(f) OVER w AS rf, sum(a) OVER w AS ra, count(*) OVER w AS n, avg(CASE WHEN f > a THEN 1.0e0 ELSE 0.0e0 END) OVER (PARTITION BY league, team ORDER BY day, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS form,
+  date_diff('day', lag(day) OVER (PARTITION BY league, team ORDER BY day, game_id), day) - 1 AS rest FROM s WINDOW w AS (PARTITION BY league, team ORDER BY day, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e1 AS (SELECT s.game_id, s.team, arg_max(elo.r, (elo.day, elo.game_id)) AS r FROM s JOIN elo ON elo.league = s.league AND elo.team = s.team AND elo.day < s.day GROUP BY 1, 2),
+e2 AS (SELECT s.game_id, s.team, arg_max(arm.r, (arm.day, arm.game_id)) AS r FROM s JOIN arm ON arm.league = s.league AND arm.who = s.who AND arm.day < s.day GROUP BY 1, 2),
+e3 AS (SELECT s.game_id, s.team, sum(pitches) FILTER (WHERE load.day >= s.day - 3) AS p3, sum(pitches) FILTER (WHERE load.day >= s.day - 5) AS p5, count(*) FILTER (WHERE load.day >= s.day - 5 AND pitches > 15) AS o15, count(*) FILTER (WHERE load.day >= s.day - 5 AND pitches > 20) AS o20,
+  sum(tired) FILTER (WHERE load.day >= s.day - 5) AS tired, avg(runs) AS bullpen FROM s JOIN load ON load.league = s.league AND load.team = s.team AND load.day < s.day AND load.day >= s.day - 30 GROUP BY 1, 2),
+k AS (SELECT h.*, coalesce(e1.r, 1500.0e0) AS rating, e2.r AS arm, CAST(coalesce(p3, 0) AS BIGINT) AS p3, CAST(coalesce(p5, 0) AS BIGINT) AS p5, coalesce(o15, 0) AS o15, coalesce(o20, 0) AS o20, -coalesce(tired, 0.0e0) AS penalty, bullpen
+  FROM h LEFT JOIN e1 USING (game_id, team) LEFT JOIN e2 USING (game_id, team) LEFT JOIN e3 USING (game_id, team))"""
+
+
+def known_sides(t):
+    """``side_features`` of all games, on the ladders of teams and starters and the work of relievers."""
+    s = starters(t)
+    ladder = ordered_fold(s, lambda league: StarterState(PITCHER)).where("home >= 0 and away >= 0")
+    usual = Window.partitionBy("pitcher").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    app = t.pitches.groupBy("pitcher", F.col("game_date").alias("day")).agg((F.count("*") * 9).alias("pitches"), F.avg("velocity").alias("v"), (100 * F.avg("location")).alias("runs"))
+    loads = app.withColumn("drop", F.avg("v").over(usual) - F.col("v")).withColumns({"league": F.col("pitcher") % 16, "team": F.col("pitcher") % 30})
+    who = lambda side, n: F.when(F.col("game_id") % n != 0, F.col(side) * 5 + F.col("game_id") % 5)
+    games = t.games.withColumns({"home_starter": who("home", 11), "away_starter": who("away", 13)})
+    return side_features(games, rated_sides(ordered_fold(final_games(t), MLB)), rated_sides(ladder, lambda arm: F.floor(arm / 5)), loads)
+
+
+@query("op_matchup", f"""{KNOWN} SELECT x.game_id, round(x.rating, 6) AS home_rating, round(y.rating, 6) AS away_rating, round(1 / (1 + pow(10.0e0, (y.rating - x.rating - 20) / 400)), 6) AS home_win_prob, round(x.arm, 6) AS home_starter, round(y.arm, 6) AS away_starter,
+round(x.rf * 1.0e0 / x.n - y.ra * 1.0e0 / y.n, 6) AS home_attack, round(y.rf * 1.0e0 / y.n - x.ra * 1.0e0 / x.n, 6) AS away_attack, x.p3 AS home_pitches3, y.p3 AS away_pitches3, x.p5 AS home_pitches5, y.p5 AS away_pitches5, x.o15 AS home_over15, y.o15 AS away_over15, x.o20 AS home_over20, y.o20 AS away_over20,
+round(x.penalty, 4) AS home_penalty, round(y.penalty, 4) AS away_penalty, round(x.bullpen, 6) AS home_bullpen, round(y.bullpen, 6) AS away_bullpen, round(x.form, 6) AS home_form, round(y.form, 6) AS away_form, CAST(x.rest AS INTEGER) AS home_rest, CAST(y.rest AS INTEGER) AS away_rest,
+concat_ws(',', CASE WHEN x.arm IS NULL OR y.arm IS NULL THEN 'starter' END, CASE WHEN x.bullpen IS NULL OR y.bullpen IS NULL THEN 'bullpen' END, CASE WHEN x.n = 0 OR y.n = 0 THEN 'record' END) AS missing FROM k x JOIN k y ON x.game_id = y.game_id AND x.is_home AND NOT y.is_home""")
+def _(t):
+    """A game's row at the time of the decision: ratings, starters, records, bullpens, form, rest, and which of them aren't known."""
+    cols = ["rating", "starter_rating", "runs_for", "runs_against", "games", "pitches3", "pitches5", "over15", "over20", "penalty", "bullpen", "form", "rest"]
+    g = both_sides(known_sides(t), cols)
+    c, mean = F.col, lambda side, what: F.try_divide(F.col(f"{side}_{what}").cast("double"), F.col(f"{side}_games"))
+    out = [F.round(odds.expected_score(c("home_rating"), c("away_rating"), 20.0), 6).alias("home_win_prob")]
+    out += [F.round(mean(a, "runs_for") - mean(b, "runs_against"), 6).alias(f"{a}_attack") for a, b in (("home", "away"), ("away", "home"))]
+    for side in ("home", "away"):
+        out += [F.round(f"{side}_rating", 6).alias(f"{side}_rating"), F.round(f"{side}_starter_rating", 6).alias(f"{side}_starter"), F.round(f"{side}_penalty", 4).alias(f"{side}_penalty"), F.round(f"{side}_bullpen", 6).alias(f"{side}_bullpen"), F.round(f"{side}_form", 6).alias(f"{side}_form")]
+        out += [c(f"{side}_{x}") for x in ("pitches3", "pitches5", "over15", "over20", "rest")]
+    gone = lambda what: c(f"home_{what}").isNull() | c(f"away_{what}").isNull()
+    missing = F.concat_ws(",", F.when(gone("starter_rating"), "starter"), F.when(gone("bullpen"), "bullpen"), F.when((c("home_games") == 0) | (c("away_games") == 0), "record"))
+    return g.select("game_id", *out, missing.alias("missing"))
 
 
 @query("op_training_rows", f"""WITH {SIDES}, h AS (SELECT game_id, team, f, a, count(*) OVER w AS prior, avg(f) OVER w AS avg_for FROM s WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -385,19 +429,39 @@ def _(t):
     return t.snapshots.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round(F.sum("volume").over(w), 2).alias("deposits"))
 
 
-@query("op_mlb_ensemble", f"""WITH {SIDES}, h AS (SELECT game_id, team, sum(f) OVER w AS rs, sum(a) OVER w AS ra, avg(CASE WHEN f > a THEN 1.0e0 ELSE 0.0e0 END) OVER (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS form FROM s WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e AS (SELECT game_id, team, least(greatest((coalesce(pow(rs, 1.83) / (pow(rs, 1.83) + pow(ra, 1.83)), 0.5) - 0.5) * 400, -50), 50) + (coalesce(form, 0.5) - 0.5) * 40 AS adj FROM h)
-SELECT g.game_id, round(0.7 / (1 + pow(10, -(x.adj - y.adj + 20) / 400)) + 0.3 * 0.54, 6) AS p FROM games g JOIN e x ON g.game_id = x.game_id AND g.home = x.team JOIN e y ON g.game_id = y.game_id AND g.away = y.team""")
-def _(t):
-    base = Window.partitionBy("league", "team").orderBy("game_date", "game_id")
-    season, ten = base.rowsBetween(Window.unboundedPreceding, -1), base.rowsBetween(-10, -1)
-    s = unpivot_sides(t.games)
-    rs, ra = F.sum("points_for").over(season).cast("double"), F.sum("points_against").over(season).cast("double")
-    won = F.avg((F.col("points_for") > F.col("points_against")).cast("double")).over(ten)
-    adj = odds.clip((stats.pythagorean(rs, ra) - 0.5) * 400, -50.0, 50.0) + (F.coalesce(won, F.lit(0.5)) - 0.5) * 40
-    e = s.select("game_id", "is_home", adj.alias("adj"))
-    g = e.groupBy("game_id").agg(F.max(F.when(F.col("is_home"), F.col("adj"))).alias("h"), F.max(F.when(~F.col("is_home"), F.col("adj"))).alias("a"))
-    return g.select("game_id", F.round(0.7 * odds.expected_score(F.col("h"), F.col("a"), 20.0) + 0.3 * 0.54, 6).alias("p"))
+#: Weight of the market's probability; what park factors are by the home side's number.
+MARKET_WEIGHT, PARK = 0.3, "(0.9e0 + (g.home % 5) / 20.0e0)"
+_CLIP = "least(greatest({}, -50.0e0), 50.0e0)"
+
+
+@query("op_mlb_ensemble", f"""{KNOWN}, z AS (SELECT *, CASE WHEN pow(rf, 1.83e0) + pow(ra, 1.83e0) > 0 THEN pow(rf, 1.83e0) / (pow(rf, 1.83e0) + pow(ra, 1.83e0)) ELSE 0.5e0 END AS pyth FROM k),
+t AS (SELECT g.game_id, x.rating AS hr, y.rating AS ar, round(coalesce({PITCHER_WEIGHT}e0 * (x.arm - y.arm), 0.0e0), 6) AS starter, round({_CLIP.format('(coalesce(x.pyth, 0.5e0) - coalesce(y.pyth, 0.5e0)) / 0.00144e0 * 0.3e0')}, 6) AS record,
+  round(coalesce(CASE WHEN x.bullpen > 0 AND y.bullpen > 0 THEN {_CLIP.format('(y.bullpen - x.bullpen) * 30')} END, 0.0e0), 6) AS bullpen, round({_CLIP.format(f'(x.rating - y.rating) * (({PARK} - 1) * 0.10e0)')}, 6) AS park,
+  round((coalesce(x.form, 0.5e0) - coalesce(y.form, 0.5e0)) * 40, 6) AS form, (least(2, greatest(0, coalesce(x.rest, 2))) - least(2, greatest(0, coalesce(y.rest, 2)))) * 6.0e0 AS rest
+  FROM games g JOIN z x ON x.game_id = g.game_id AND x.is_home JOIN z y ON y.game_id = g.game_id AND NOT y.is_home)
+SELECT t.game_id, starter, record, bullpen, park, form, rest, round(CASE WHEN b.market_prob > 0 AND b.market_prob < 1 THEN {MARKET_WEIGHT}e0 * b.market_prob + (1 - {MARKET_WEIGHT}e0) * p ELSE p END, 6) AS p
+FROM (SELECT *, 1 / (1 + pow(10.0e0, (ar - (hr + 20 + (starter + record + bullpen + park + form + rest))) / 400)) AS p FROM t) t LEFT JOIN bets b ON b.bet_id = t.game_id""")
+def _(t):
+    """Team ratings and the points of starter, record, bullpen, park, form and rest, blended with the market where it has a price."""
+    g = both_sides(known_sides(t), ["rating", "starter_rating", "runs_for", "runs_against", "bullpen", "form", "rest"])
+    h, a = (lambda what, side=side: F.col(f"{side}_{what}") for side in ("home", "away"))
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    pyth = lambda side: half(stats.pythagorean(side("runs_for").cast("double"), side("runs_against").cast("double")))
+    rest = lambda side: F.least(F.lit(2), F.greatest(F.lit(0), F.coalesce(side("rest"), F.lit(2))))
+    g = g.join(t.games.select("game_id", "home"), "game_id").join(t.bets.select(F.col("bet_id").alias("game_id"), "market_prob"), "game_id", "left")
+    terms = {
+        "starter": F.coalesce(PITCHER_WEIGHT * (h("starter_rating") - a("starter_rating")), F.lit(0.0)),
+        "record": clipped((pyth(h) - pyth(a)) / 0.00144 * 0.3),
+        "bullpen": F.coalesce(F.when((h("bullpen") > 0) & (a("bullpen") > 0), clipped((a("bullpen") - h("bullpen")) * 30)), F.lit(0.0)),
+        "park": clipped((h("rating") - a("rating")) * ((0.9 + (F.col("home") % 5) / 20.0 - 1) * 0.10)),
+        "form": (half(h("form")) - half(a("form"))) * 40,
+        "rest": (rest(h) - rest(a)) * 6.0,
+    }
+    g = g.select("game_id", "home_rating", "away_rating", "market_prob", *[F.round(c, 6).alias(n) for n, c in terms.items()])
+    adj = sum((F.col(n) for n in list(terms)[1:]), F.col("starter"))
+    p = 1 / (1 + F.pow(F.lit(10.0), (F.col("away_rating") - (F.col("home_rating") + 20 + adj)) / 400))
+    m = F.col("market_prob")
+    return g.select("game_id", *terms, F.round(F.when((m > 0) & (m < 1), MARKET_WEIGHT * m + (1 - MARKET_WEIGHT) * p).otherwise(p), 6).alias("p"))
 
 
 @query("op_soccer_blend", "SELECT bet_id, round(x / (x + y), 6) AS home, round(y / (x + y), 6) AS away FROM (SELECT bet_id, 0.6 * elo_prob + 0.2 * market_prob + 0.2 * coalesce(closing_prob, 0.5) AS x, 0.6 * (1 - elo_prob) + 0.2 * (1 - market_prob) + 0.2 * 0.4 AS y FROM bets)")
