@@ -7,13 +7,13 @@ the ratings of one league, never a league's history.
 
 from __future__ import annotations
 
-import datetime as dt
-import json
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCORED = "game_id long, league long, game_date date, home long, away long, home_before double, away_before double, p_home double, home_after double, away_after double"
@@ -95,42 +95,99 @@ class StarterState(EloState):
         return super().step(home, away, hs, as_, date, True)
 
 
-def _dump(s: EloState) -> str:
-    return json.dumps([list(s.rating.items()), list(s.games.items()), [(t, d.isoformat()) for t, d in s.played.items()], s.last and s.last.isoformat()])
+#: What a fold leaves for the next: kind 1, a rated game; kind 0, a team's rating after the last (team null: the league's last day alone).
+STORED = SCORED + ", kind int, team long, rating double, games int, played date, last date"
 
 
-def _load(spec: RatingSpec, text: str) -> EloState:
-    s = EloState(spec)
-    rating, games, played, last = json.loads(text)
-    s.rating, s.games, s.played = dict(map(tuple, rating)), dict(map(tuple, games)), {t: dt.date.fromisoformat(d) for t, d in played}
-    s.last = dt.date.fromisoformat(last) if last else None
-    return s
+def fold_from(games: DataFrame, spec: RatingSpec, held: DataFrame | None = None) -> DataFrame:
+    """STORED: games rated from where ``held`` (rows of kind 0 of an earlier fold) left off, and what the next fold starts from.
 
+    A league's stored ratings come first, then its games in order; all stream
+    past.  A game older than the league's stored last day would change every
+    rating since: it comes out with null ratings and changes nothing.
+    """
+    from pyspark.sql import functions as F
 
-def stream_fold(games: DataFrame, spec: RatingSpec) -> DataFrame:
-    """The Elo fold over a stream of games: a league's ratings are the state, games in order update it.
+    names = [c.split()[0] for c in STORED.split(", ")]
+    own = ["home_score", "away_score", "is_neutral"]
+    rows = with_venue(games).select("game_id", "league", "game_date", "home", "away", *own, F.lit(1).alias("kind"))
+    rows = rows if held is None else rows.unionByName(held.where("kind = 0").select("league", "kind", "team", "rating", "games", "played", "last"), allowMissingColumns=True)
+    if held is None:
+        rows = rows.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in STORED.split(", ")[-5:]})
+    schema = pa.schema([pa.field(n, {"long": pa.int64(), "double": pa.float64(), "date": pa.date32(), "int": pa.int32()}[t]) for n, t in (c.split() for c in STORED.split(", "))])
 
-    A game older than the league's last one would change every later rating; it
-    comes out with null ratings, and ``replayed`` rates its league again.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        league = now = since = None
 
-    def step(key, frames, state):
-        batch = pd.concat(list(frames)).sort_values(["game_date", "game_id"])
-        now = _load(spec, state.get[0]) if state.exists else EloState(spec)
-        out = []
-        for row in batch.itertuples(index=False):
-            late = now.last is not None and row.game_date < now.last
-            told = (None,) * 5 if late else now.step(row.home, row.away, row.home_score, row.away_score, row.game_date, row.is_neutral)
-            out.append((row.game_id, row.league, row.game_date, row.home, row.away, *told))
-        state.update((_dump(now),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
+        def leave() -> list[tuple]:
+            if now is None:
+                return []
+            kept = [(None, league, *[None] * 8, 0, t, r, now.games.get(t), now.played.get(t), now.last) for t, r in now.rating.items()]
+            return kept or [(None, league, *[None] * 8, 0, None, None, None, None, now.last)]
 
-    return with_venue(games).groupBy("league").applyInPandasWithState(step, SCORED, "state string", "append", "NoTimeout")
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if now is None or row["league"] != league:
+                    out += leave()
+                    league, now, since = row["league"], EloState(spec), None
+                if row["kind"] == 0:
+                    now.last = since = row["last"]
+                    if (t := row["team"]) is not None:
+                        now.rating[t] = row["rating"]
+                        now.games.update({t: row["games"]} if row["games"] is not None else {})
+                        now.played.update({t: row["played"]} if row["played"] is not None else {})
+                    continue
+                game = tuple(row[c] for c in ("game_id", "league", "game_date", "home", "away"))
+                late = since is not None and row["game_date"] < since
+                step = [None] * 5 if late else now.step(row["home"], row["away"], row["home_score"], row["away_score"], row["game_date"], row["is_neutral"])
+                out.append((*game, *step, 1, *[None] * 5))
+            yield told(out)
+        yield told(leave())
+
+    ordered = rows.repartition("league").sortWithinPartitions("league", "kind", "game_date", "game_id")
+    return ordered.mapInArrow(run, STORED).select(*names)
+
+
+def replay(games: DataFrame, spec: RatingSpec, path: str) -> DataFrame:
+    """STORED of all games, season by season (calendar years), each kept below ``path`` under a name made of its games and all before.
+
+    A season starts from the ratings that the one before has stored.  What is
+    there already is not rated again: a lost run costs the season it was in, a
+    new or changed game its own season and those after it.
+    """
+    from pyspark.sql import functions as F
+
+    spark = games.sparkSession
+    seen = with_venue(games)
+    mark = F.sum(F.pmod(F.xxhash64("game_id", "league", "game_date", "home", "away", "home_score", "away_score", "is_neutral"), F.lit(1 << 40)))
+    seasons = seen.groupBy(F.year("game_date").alias("season")).agg(F.count("*").alias("n"), mark.alias("mark")).orderBy("season").collect()  # a row a season
+    chain, held, parts = "", None, []
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = None
+    for s in seasons:
+        chain = hashlib.sha256(f"{chain}|{spec}|{s['season']}|{s['n']}|{s['mark']}".encode()).hexdigest()[:16]
+        at = f"{path}/season-{s['season']}-{chain}"
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+            rated = fold_from(seen.where(F.year("game_date") == s["season"]), spec, held)
+            rated.write.mode("overwrite").parquet(at)
+        held = spark.read.schema(STORED).parquet(at)
+        parts.append(held.where("kind = 1"))
+    if held is None:
+        return fold_from(seen, spec)
+    out = held.where("kind = 0")
+    for x in parts:
+        out = out.unionByName(x)
+    return out
 
 
 def replayed(scored: DataFrame, games: DataFrame, spec: RatingSpec) -> DataFrame:
     """scored from a stream, with the leagues that had a late game rated anew from all games."""
     late = scored.where("p_home is null").select("league").distinct()
+    scored = scored.select([c.split()[0] for c in SCORED.split(", ")])
     again = ordered_fold(games.join(late, "league", "left_semi"), spec)
     return scored.join(late, "league", "left_anti").select(again.columns).unionByName(again)
 
@@ -139,7 +196,8 @@ class GlickoState:
     """Rating, deviation and volatility of one league's teams, each game a rating period of its own (Glickman's Glicko-2)."""
 
     SCALE, TAU, START = 173.7178, 0.5, (1500.0, 350.0, 0.06)
-    HALVINGS = 60
+    #: How far apart the bracket's ends may be left, and steps at most (of halving alone, which the SQL beside it takes).
+    NEAR, HALVINGS = 1e-12, 60
 
     def __init__(self, home: float = 100.0):
         self.home, self.state = home, {}
@@ -153,14 +211,25 @@ class GlickoState:
         bracketed by what the right side can be then, and halving finds it.
         """
         at, stiff = math.log(variance), cls.TAU**2
+
+        def miss(x: float) -> float:
+            e = math.exp(x)
+            return e * (gain - spread - e) / (2 * (spread + e) * (spread + e)) - (x - at) / stiff
+
         low, high = at - stiff / 2, at + stiff * gain / (8 * spread)
+        below, above = miss(low), miss(high)
         for _ in range(cls.HALVINGS):
-            x = (low + high) / 2
-            e = math.exp(x)
-            if e * (gain - spread - e) / (2 * (spread + e) * (spread + e)) > (x - at) / stiff:
-                low = x
+            if high - low < cls.NEAR or below == above:
+                break
+            x = low - below * (high - low) / (above - below)  # where the chord crosses; halving where that is no inner point
+            x = x if low < x < high else (low + high) / 2
+            y = miss(x)
+            if abs(y) < 1e-15:
+                low = high = x
+            elif y > 0:
+                low, below, above = x, y, above / 2  # the other end weighs half, so that both ends move
             else:
-                high = x
+                high, above, below = x, y, below / 2
         return math.exp((low + high) / 4)
 
     @classmethod

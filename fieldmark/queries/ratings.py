@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import odds
 from ..operators.core import close_versions
-from ..operators.ratings import EloState, GlickoState, RatingSpec, StarterState, final_ratings, ordered_fold
+from ..operators.ratings import EloState, GlickoState, RatingSpec, StarterState, final_ratings, ordered_fold, replay
+from ..sources.shared import shared_path
 from . import query
 from .rating_sql import elo_sql, glicko_sql
 
@@ -104,6 +105,12 @@ def _(t):
     return final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"])).select("league", "team", F.round("rating", 4).alias("rating"), "games")
 
 
+@query("rt_replay_seasons", f"""{STD}, {last_sql('fin')} SELECT league, team, round(rating, 4) AS rating FROM fin""")
+def _(t):
+    """The same ratings by a chain of stored seasons."""
+    return replay(final_games(t), SPECS["rt_elo_std"], shared_path(t.spark, "seasons")).where("kind = 0 and team is not null").select("league", "team", F.round("rating", 4).alias("rating"))
+
+
 @query("rt_compare", f"""{STD}, {last_sql('fin')}, early AS (SELECT * FROM scored WHERE year(game_date) < 1998), {last_sql('old', 'early')}
 SELECT league, round(max(abs(fin.rating - old.rating)), 4) AS divergence FROM fin JOIN old USING (league, team) GROUP BY 1""")
 def _(t):

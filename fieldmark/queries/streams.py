@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ratings import RatingSpec, replayed, stream_fold
+from ..operators.ratings import RatingSpec, replayed
 from ..sources.tables import DOMAIN
-from ..streaming.jobs import event_stream, keep_latest, latest_updates, run_now, table_stream
+from ..streaming.jobs import event_stream, first_deliveries, hourly, keep_latest, latest_updates, rated_stream, run_now, table_stream
 from . import query
 from .rating_sql import elo_sql
 from .ratings import ROUNDED, final_games, rounded
@@ -19,6 +19,19 @@ def _(t):
     return latest_updates(hours, ["hour"], "hourly").select("hour", F.round("v", 4).alias("value"), "n")
 
 
+@query("st_hourly_bounded", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, round(arg_max(value, (ts, value)), 4) AS value, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    """The same with hours that leave the state four hours after their end."""
+    return hourly(event_stream(t.spark, t.sf_dir), "ts", "value", "4 hours", "hourly-bounded").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round("value", 4).alias("value"), "n")
+
+
+@query("st_dedup_bounded", "SELECT event_id, user_id FROM events")
+def _(t):
+    """Every event is delivered twice and passes once; ids leave the state after four hours."""
+    s = event_stream(t.spark, t.sf_dir).select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    return first_deliveries(s, ["event_id"], "ts", "4 hours", "dedup-bounded").select("event_id", "user_id")
+
+
 @query("st_latest_quote", "SELECT user_id AS market, arg_max(event_id, ts) AS quote_id, round(1.01e0 + arg_max(value, ts) / 100, 4) AS price FROM events GROUP BY 1")
 def _(t):
     q = event_stream(t.spark, t.sf_dir).select(F.col("user_id").alias("market"), "ts", F.col("event_id").alias("quote_id"), (1.01 + F.col("value") / 100).alias("price"))
@@ -56,5 +69,5 @@ def _(t):
 def _(t):
     """Games as they come; the leagues of games that come too late are rated anew from all games."""
     games = t.spark.sql(DOMAIN["games"], orders=table_stream(t.spark, t.sf_dir, "orders")).where("status <> 'scheduled'")
-    scored = run_now(stream_fold(games, RatingSpec()), "ratings")
+    scored = rated_stream(games, RatingSpec(), "ratings")
     return rounded(replayed(scored, final_games(t), RatingSpec()))
