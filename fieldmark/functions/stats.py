@@ -23,7 +23,13 @@ def possessions(fga: Column, oreb: Column, tov: Column, fta: Column) -> Column:
 
 
 def rating(points: Column, poss: Column) -> Column:
-    return safe(100 * points, poss)
+    """Points of a hundred possessions."""
+    return F.when(poss > 0, 100 * points / poss).otherwise(0.0)
+
+
+def pace(poss: Column, minutes: Column) -> Column:
+    """Possessions of 48 minutes."""
+    return F.when(minutes > 0, 48 * poss / minutes).otherwise(0.0)
 
 
 def share_or_half(a: Column, b: Column) -> Column:
@@ -45,6 +51,25 @@ def fip(hr: Column, bb: Column, so: Column, innings: Column) -> Column:
     return F.when(innings > 0, (13 * hr + 3 * bb - 2 * so) / innings + FIP_CONSTANT).otherwise(0.0)
 
 
+def wrc_plus(woba: Column, league: float = 0.312) -> Column:
+    return woba / league * 100
+
+
+#: Fixed weights of the skill-interactive estimate: constant, k, k squared, bb, bb squared, k times bb.
+SIERA = (6.145, -16.986, 11.434, -1.858, 7.653, -4.005)
+
+
+def siera(so: Column, bb: Column, faced: Column) -> Column:
+    """Null below four batters faced; never below 0."""
+    k, b = so / faced, bb / faced
+    c = SIERA
+    return F.when(faced >= 4, F.greatest(F.lit(0.0), c[0] + c[1] * k + c[2] * k * k + c[3] * b + c[4] * b * b + c[5] * k * b))
+
+
+def k_bb_pct(so: Column, bb: Column, faced: Column) -> Column:
+    return F.when(faced > 0, (so - bb) / faced * 100)
+
+
 def pythagorean(scored: Column, allowed: Column, power: float = 1.83) -> Column:
     a, b = F.pow(scored, F.lit(power)), F.pow(allowed, F.lit(power))
     return F.coalesce(F.try_divide(a, a + b), F.lit(0.5))
@@ -59,6 +84,14 @@ def log5(a: Column, b: Column, league: Column) -> Column:
     return x / (x + y)
 
 
+def matchup(rates: dict[str, tuple[Column, Column, float]], rest: str) -> Column:
+    """Struct of outcome probabilities that sum to one: each by log5 of (batter, pitcher, league), ``rest`` what they leave."""
+    p = {name: log5(a, b, F.lit(league)) for name, (a, b, league) in rates.items()}
+    total = sum(list(p.values())[1:], next(iter(p.values())))
+    p[rest] = F.greatest(F.lit(0.0), 1 - total)
+    return F.struct(*[(x / (total + p[rest])).alias(name) for name, x in p.items()])
+
+
 def half_life(age: Column, days: float) -> Column:
     return F.exp(-F.log(F.lit(2.0)) * age / max(1.0, days))
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import odds
 from ..operators.core import bins, quantiles, unpivot_sides
+from ..operators.bootstrap import bootstrap, bootstrap_sql
 from . import query
 
 n_if = lambda c: F.count(F.when(c, 1))
@@ -149,34 +150,11 @@ def _(t):
     return t.bets.agg(F.round(F.avg(F.when(~c.isin(0.0, 1.0), c - F.col("market_prob"))), 6).alias("mean_clv"), n_if(c.isin(0.0, 1.0)).alias("placeholders"), F.count("closing_prob").alias("covered"))
 
 
-#: Resamples, and blocks of rows that are drawn together: enough replicates for a bound of 2.5 %, whatever the number of rows.
-REPLICATES, BLOCKS = 10_000, 256
-#: Cumulative chances of drawing 0, 1, 2 ... times (Poisson with mean 1).
-POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-_PRIME = 2147483647
-_WEIGHT = " + ".join(f"CASE WHEN u >= {c}e0 THEN 1 ELSE 0 END" for c in POISSON)
-
-
-@query("ag_bootstrap", f"""WITH b AS (SELECT sport, (bet_id * 7919 + 13) % {BLOCKS} AS block, sum(closing_prob - market_prob) AS s, count(*) AS n FROM bets WHERE closing_prob IS NOT NULL GROUP BY 1, 2),
-h AS (SELECT b.*, rep, (block * 1000003 + rep * 7919 + 17) % {_PRIME} AS h FROM b CROSS JOIN range(1, {REPLICATES + 1}) r(rep)),
-h2 AS (SELECT *, ((h * h + 1) % {_PRIME} * 48271 + rep) % {_PRIME} AS k FROM h),
-w AS (SELECT sport, rep, s, n, {_WEIGHT} AS w FROM (SELECT *, (k * k + block) % {_PRIME} / {_PRIME}.0e0 AS u FROM h2)),
-m AS (SELECT sport, rep, sum(w * s) / sum(w * n) AS m FROM w GROUP BY 1, 2 HAVING sum(w * n) > 0)
-SELECT sport, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
-  least(1.0e0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0e0 ELSE 0.0e0 END), avg(CASE WHEN m >= 0 THEN 1.0e0 ELSE 0.0e0 END))) AS p_value FROM m GROUP BY 1""")
+@query("ag_bootstrap", f"WITH {bootstrap_sql('SELECT sport, bet_id AS id, closing_prob - market_prob AS x FROM bets WHERE closing_prob IS NOT NULL', 'sport')} SELECT sport, mean, low, high, p_value FROM boot")
 def _(t):
-    """Bootstrap of the mean CLV per sport: rows fall into blocks by their id, and each replicate draws every block Poisson(1) times.
-
-    The weights come from arithmetic on (block, replicate), so the work beyond one aggregate is the same however many rows there are.
-    """
-    b = t.bets.where("closing_prob is not null").groupBy("sport", F.expr(f"(bet_id * 7919 + 13) % {BLOCKS}").alias("block")).agg(F.sum(F.col("closing_prob") - F.col("market_prob")).alias("s"), F.count("*").alias("n"))
-    each = b.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(REPLICATES).cast("bigint"))))
-    each = each.withColumn("h", F.expr(f"(block * 1000003 + rep * 7919 + 17) % {_PRIME}")).withColumn("k", F.expr(f"((h * h + 1) % {_PRIME} * 48271 + rep) % {_PRIME}"))
-    each = each.withColumn("u", F.expr(f"(k * k + block) % {_PRIME}") / float(_PRIME)).withColumn("w", F.expr(_WEIGHT))
-    means = each.groupBy("sport", "rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")).where("m is not null")
-    share = lambda c: F.avg(c.cast("double"))
-    ends = [F.round(F.percentile("m", q), 6).alias(n) for n, q in (("low", 0.025), ("high", 0.975))]  # over the replicates of a sport
-    return means.groupBy("sport").agg(F.round(F.avg("m"), 6).alias("mean"), *ends, F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p_value"))
+    """Bootstrap of the mean CLV per sport."""
+    x = t.bets.where("closing_prob is not null").select("sport", F.col("bet_id").alias("id"), (F.col("closing_prob") - F.col("market_prob")).alias("x"))
+    return bootstrap(x, "sport").select("sport", "mean", "low", "high", "p_value")
 
 
 @query("ag_games_summary", "SELECT league, count(*) AS n, count(DISTINCT home) AS homes, min(game_date) AS first_date, max(game_date) AS last_date, count(*) FILTER (WHERE status <> 'final') AS unplayed FROM games GROUP BY 1")
@@ -233,14 +211,20 @@ def _(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("team")).agg(F.round(F.avg(e), 6).alias("epa"), F.round(-F.avg(e), 6).alias("epa_allowed"), F.round(F.avg((e > 0).cast("double")), 6).alias("success"))
 
 
-@query("ag_bullpen", """WITH d AS (SELECT pitcher, game_date, count(*) AS pitches FROM pitches GROUP BY 1, 2)
-SELECT a.pitcher, a.game_date, CAST(coalesce(sum(b.pitches) FILTER (WHERE b.game_date >= a.game_date - 3), 0) AS BIGINT) AS load3, CAST(coalesce(sum(b.pitches), 0) AS BIGINT) AS load5, count(*) FILTER (WHERE b.pitches > 1) AS heavy
-FROM d a LEFT JOIN d b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 5 AND b.game_date < a.game_date GROUP BY 1, 2""")
+@query("ag_bullpen", """WITH d AS (SELECT pitcher, game_date, count(*) * 9 AS pitches, avg(velocity) AS v FROM pitches GROUP BY 1, 2), u AS (SELECT *, avg(v) OVER (PARTITION BY pitcher ORDER BY game_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual FROM d),
+x AS (SELECT *, CASE WHEN pitches > 15 THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN pitches > 20 THEN 0.10e0 ELSE 0.0e0 END + CASE WHEN v < usual THEN least(0.25e0, (usual - v) * 0.05e0) ELSE 0.0e0 END AS cost FROM u)
+SELECT a.pitcher, a.game_date, CAST(coalesce(sum(b.pitches) FILTER (WHERE b.game_date >= a.game_date - 3), 0) AS BIGINT) AS load3, CAST(coalesce(sum(b.pitches), 0) AS BIGINT) AS load5, count(*) FILTER (WHERE b.pitches > 15) AS over15, count(*) FILTER (WHERE b.pitches > 20) AS over20, round(-coalesce(sum(b.cost), 0), 4) + 0.0e0 AS penalty
+FROM x a LEFT JOIN x b ON a.pitcher = b.pitcher AND b.game_date >= a.game_date - 5 AND b.game_date < a.game_date GROUP BY 1, 2""")
 def _(t):
-    d = t.pitches.groupBy("pitcher", "game_date").agg(F.count("*").alias("pitches"))
+    """Work of three and five days, long outings, and what they and a drop in velocity cost."""
+    usual = Window.partitionBy("pitcher").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
+    d = t.pitches.groupBy("pitcher", "game_date").agg((F.count("*") * 9).alias("pitches"), F.avg("velocity").alias("v")).withColumn("usual", F.avg("v").over(usual))
+    slow = F.when(F.col("v") < F.col("usual"), F.least(F.lit(0.25), (F.col("usual") - F.col("v")) * 0.05)).otherwise(0.0)
+    d = d.withColumn("cost", F.when(F.col("pitches") > 15, 0.05).otherwise(0.0) + F.when(F.col("pitches") > 20, 0.10).otherwise(0.0) + slow)
     back = lambda n: Window.partitionBy("pitcher").orderBy(F.unix_date("game_date")).rangeBetween(-n, -1)
-    zero = F.lit(0).cast("bigint")
-    return d.select("pitcher", "game_date", F.coalesce(F.sum("pitches").over(back(3)), zero).alias("load3"), F.coalesce(F.sum("pitches").over(back(5)), zero).alias("load5"), n_if(F.col("pitches") > 1).over(back(5)).alias("heavy"))
+    total = lambda c, n: F.coalesce(F.sum(c).over(back(n)), F.lit(0))
+    over = lambda n: n_if(F.col("pitches") > n).over(back(5)).alias(f"over{n}")
+    return d.select("pitcher", "game_date", total("pitches", 3).cast("bigint").alias("load3"), total("pitches", 5).cast("bigint").alias("load5"), over(15), over(20), (F.round(-total("cost", 5), 4) + 0.0).alias("penalty"))
 
 
 @query("ag_pa_weighted", """WITH x AS (SELECT pitcher, batter, velocity, spin, row_number() OVER (PARTITION BY pitcher, batter ORDER BY game_date DESC, velocity, spin, location) AS k FROM pitches)

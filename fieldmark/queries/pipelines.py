@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import odds, stats
+from ..operators.bootstrap import bootstrap, bootstrap_sql
 from ..operators.core import asof_join, decayed_sum, unpivot_sides
 from ..operators.features import both_sides, clipped, rated_sides, side_features
 from ..operators.folds import Limits, allocate_kelly, allocation_sql
-from ..operators.ratings import StarterState, ordered_fold
+from ..operators.ratings import StarterState, final_ratings, ordered_fold
 from ..operators.records import common_opponents
 from ..plans.ledger import SPANS, closing_line_value, first_reason, reconcile
 from ..plans.quarantine import Rule, in_range, judged, not_after, present, quarantined
@@ -17,7 +18,7 @@ from ..sources.files import csv_or_torn
 from ..sources.shared import shared_path
 from . import query
 from .rating_sql import elo_sql
-from .ratings import PITCHER, PITCHER_WEIGHT, SOCCER, SPECS, STARTERS, final_games, starters
+from .ratings import PITCHER, PITCHER_WEIGHT, SOCCER, SPECS, STARTERS, STD, final_games, last_sql, starters
 
 n_if = lambda c: F.count(F.when(c, 1))
 CLOSE = "least(greatest(1 / q.price, 0.01), 0.99)"
@@ -218,20 +219,46 @@ def _(t):
     return s.where("prior >= 15").select("game_id", "team", "prior", F.round("avg_for", 6).alias("avg_for"), (F.col("points_for") > F.col("points_against")).cast("int").alias("label"))
 
 
-@query("op_travel", f"""WITH v AS (SELECT game_id, league, home AS team, game_date, home AS venue FROM games UNION ALL SELECT game_id, league, away, game_date, home FROM games), l AS (SELECT *, lag(venue) OVER w AS pv, lag(game_date) OVER w AS pd FROM v WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id))
-SELECT game_id, team, CAST(abs(venue % 4 - pv % 4) AS INTEGER) AS zones, CASE WHEN venue % 4 > pv % 4 THEN 'east' WHEN venue % 4 < pv % 4 THEN 'west' ELSE 'none' END AS direction, CAST(date_diff('day', pd, game_date) AS INTEGER) AS gap FROM l WHERE pv IS NOT NULL""")
+#: Time zones of the venues, by the home side's number; one of them keeps no summer time.
+ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix")
+PER_ZONE = -0.015
+_OFFSET = "(epoch(CAST({d} AS TIMESTAMP)) - epoch(timezone(CASE {v} % 5 " + " ".join(f"WHEN {i} THEN '{z}'" for i, z in enumerate(ZONES)) + " END, CAST({d} AS TIMESTAMP)))) / 3600"
+
+
+@query("op_travel", f"""WITH v AS (SELECT game_id, league, home AS team, game_date, home AS venue FROM games UNION ALL SELECT game_id, league, away, game_date, home FROM games), l AS (SELECT *, lag(venue) OVER w AS pv, lag(game_date) OVER w AS pd FROM v WINDOW w AS (PARTITION BY league, team ORDER BY game_date, game_id)),
+o AS (SELECT *, {_OFFSET.format(d='game_date', v='venue')} AS here, {_OFFSET.format(d='game_date', v='pv')} AS there FROM l)
+SELECT game_id, team, pv AS previous_venue, CAST(CASE WHEN pv IS NULL THEN 0 ELSE round(abs(here - there)) END AS INTEGER) AS zones, CASE WHEN pv IS NULL OR here = there THEN 'none' WHEN here > there THEN 'east' ELSE 'west' END AS direction, round(coalesce(there - here, 0.0e0), 6) AS circadian,
+CASE WHEN pd IS NULL THEN 2 ELSE CAST(greatest(date_diff('day', pd, game_date) - 1, 0) AS INTEGER) END AS rest, round(CASE WHEN here > there THEN {PER_ZONE}e0 * round(abs(here - there)) ELSE 0.0e0 END, 6) AS penalty FROM o""")
 def _(t):
+    """The trip from a side's last venue: zones by the clocks of the day, which way, rest, and what a trip east costs."""
     s = t.games.select("game_id", "league", "game_date", F.col("home").alias("venue"), F.explode(F.array("home", "away")).alias("team"))
     w = Window.partitionBy("league", "team").orderBy("game_date", "game_id")
-    here, there = F.col("venue") % 4, F.lag("venue").over(w) % 4
-    x = s.select("game_id", "team", F.abs(here - there).cast("int").alias("zones"), F.when(here > there, "east").when(here < there, "west").otherwise("none").alias("direction"), F.date_diff("game_date", F.lag("game_date").over(w)).alias("gap"))
-    return x.where("gap is not null")
+    s = s.withColumns({"previous_venue": F.lag("venue").over(w), "last": F.lag("game_date").over(w)})
+    zone = lambda c: F.element_at(F.array(*map(F.lit, ZONES)), (F.col(c) % 5 + 1).cast("int"))
+    day = F.col("game_date").cast("timestamp")
+    offset = lambda c: (F.unix_timestamp(day) - F.unix_timestamp(F.to_utc_timestamp(day, zone(c)))) / 3600
+    here, there = offset("venue"), F.when(F.col("previous_venue").isNotNull(), offset("previous_venue"))
+    zones = F.coalesce(F.round(F.abs(here - there)), F.lit(0.0))
+    rest = F.when(F.col("last").isNull(), 2).otherwise(F.greatest(F.date_diff("game_date", "last") - 1, F.lit(0)))  # greatest() skips nulls
+    way = F.when(here > there, "east").when(here < there, "west").otherwise("none")
+    cost = F.when(here > there, PER_ZONE * zones).otherwise(0.0)
+    return s.select("game_id", "team", "previous_venue", zones.cast("int").alias("zones"), way.alias("direction"), F.round(F.coalesce(there - here, F.lit(0.0)), 6).alias("circadian"), rest.cast("int").alias("rest"), F.round(cost, 6).alias("penalty"))
+
 
+#: Parks and the weather at them: a small table by the home side's number, and a reading a day where there is one.
+PARKS = "SELECT n_nationkey AS home, n_name AS park, 0.9e0 + (n_nationkey % 5) / 20.0e0 AS runs, 0.85e0 + (n_nationkey % 7) / 20.0e0 AS home_runs, (n_nationkey * 137) % 5300 AS altitude FROM nation"
 
-@query("op_environment", "SELECT game_id, n_name AS park, round(0.9 + (n_nationkey % 5) / 20.0e0 + (home_score - 60) / 500.0e0, 6) AS run_factor FROM games JOIN nation ON home = n_nationkey")
+
+@query("op_environment", f"""WITH p AS ({PARKS}), w AS (SELECT l_suppkey % 25 AS home, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) + 50 AS temperature, max(l_linenumber) * 3 AS wind FROM lineitem GROUP BY 1, 2)
+SELECT game_id, park, round(p.runs, 6) AS run_factor, round(p.home_runs, 6) AS home_run_factor, CAST(altitude AS BIGINT) AS altitude, round(temperature, 4) AS temperature, CAST(wind AS BIGINT) AS wind, round((temperature - 70) / 10.0e0 * 4.5, 6) AS carry_feet,
+CASE WHEN p.park IS NULL THEN 'unknown_park' WHEN temperature IS NULL THEN 'no_weather' ELSE 'available' END AS availability FROM games g LEFT JOIN p ON p.home = g.home LEFT JOIN w ON w.home = g.home AND w.day = g.game_date""")
 def _(t):
-    parks = t.nation.select(F.col("n_nationkey").cast("bigint").alias("home"), F.col("n_name").alias("park"))
-    return t.games.join(F.broadcast(parks), "home").select("game_id", "park", F.round(0.9 + (F.col("home") % 5) / 20 + (F.col("home_score") - 60) / 500, 6).alias("run_factor"))
+    """Park factors and the day's weather of each game, what warmth adds to a ball's flight, and what isn't known."""
+    p = t.spark.sql(PARKS.replace("FROM nation", "FROM {nation}"), nation=t.nation).withColumn("home", F.col("home").cast("bigint"))
+    w = t.lineitem.groupBy((F.col("l_suppkey") % 25).alias("home"), F.to_date("l_shipdate").alias("game_date")).agg((F.avg("l_quantity") + 50).alias("temperature"), (F.max("l_linenumber") * 3).cast("bigint").alias("wind"))
+    g = t.games.join(F.broadcast(p), "home", "left").join(w, ["home", "game_date"], "left")  # one row a nation
+    known = F.when(F.col("park").isNull(), "unknown_park").when(F.col("temperature").isNull(), "no_weather").otherwise("available")
+    return g.select("game_id", "park", F.round("runs", 6).alias("run_factor"), F.round("home_runs", 6).alias("home_run_factor"), F.col("altitude").cast("bigint").alias("altitude"), F.round("temperature", 4).alias("temperature"), "wind", F.round((F.col("temperature") - 70) / 10 * 4.5, 6).alias("carry_feet"), known.alias("availability"))
 
 
 #: Weight of a match on another surface than the coming one.
@@ -341,11 +368,21 @@ def _(t):
     return model.transform(b).select("bet_id", F.round(vector_to_array("probability")[1], 4).alias("p"), "prediction")
 
 
-@query("op_pnl_diag", """SELECT sport, count(*) AS n, round(sum(profit) / sum(cost), 6) AS roi, round(avg(closing_prob - market_prob), 6) AS clv, CASE WHEN count(*) < 50 THEN 'INSUFFICIENT' WHEN sum(profit) / sum(cost) < 0 AND avg(closing_prob - market_prob) < 0 THEN 'PAUSE' ELSE 'CONTINUE' END AS verdict FROM bets WHERE status <> 'open' GROUP BY 1""")
+@query("op_pnl_diag", f"""WITH d AS (SELECT * FROM bets WHERE status <> 'open'), {bootstrap_sql("SELECT sport, bet_id AS id, profit AS x FROM bets WHERE status <> 'open'", 'sport', 2)},
+g AS (SELECT sport, count(*) AS n, count(*) FILTER (WHERE profit > 0) AS wins, sum(profit) / sum(cost) AS roi, avg(closing_prob - market_prob) FILTER (WHERE closing_prob NOT IN (0.0, 1.0)) AS clv, count(closing_prob) AS covered, avg(hours_before) AS hours,
+  sum(profit) FILTER (WHERE hours_before < 2) / sum(cost) FILTER (WHERE hours_before < 2) AS late, sum(profit) FILTER (WHERE hours_before >= 8) / sum(cost) FILTER (WHERE hours_before >= 8) AS early FROM d GROUP BY 1)
+SELECT sport, n, wins, n - wins AS losses, round(roi, 6) AS roi, round(clv, 6) AS clv, covered, round(hours, 6) AS avg_hours, round(late, 6) AS roi_under_2h, round(early, 6) AS roi_over_8h, mean AS mean_profit, low, high, p_value,
+CASE WHEN n < 50 THEN 'INSUFFICIENT_DATA' WHEN high < 0 THEN 'PAUSE' ELSE 'CONTINUE' END AS verdict FROM g JOIN boot USING (sport)""")
 def _(t):
-    g = t.bets.where("status <> 'open'").groupBy("sport").agg(F.count("*").alias("n"), (F.sum("profit") / F.sum("cost")).alias("r"), F.avg(F.col("closing_prob") - F.col("market_prob")).alias("c"))
-    v = F.when(F.col("n") < 50, "INSUFFICIENT").when((F.col("r") < 0) & (F.col("c") < 0), "PAUSE").otherwise("CONTINUE")
-    return g.select("sport", "n", F.round("r", 6).alias("roi"), F.round("c", 6).alias("clv"), v.alias("verdict"))
+    """A sport's results, closing-line value, timing and the bootstrap of its profit; it pauses where the bound is below nothing."""
+    d = t.bets.where("status <> 'open'")
+    roi = lambda c: F.sum(F.when(c, F.col("profit"))) / F.sum(F.when(c, F.col("cost")))
+    real = F.when(~F.col("closing_prob").isin(0.0, 1.0), F.col("closing_prob") - F.col("market_prob"))
+    h = F.col("hours_before")
+    g = d.groupBy("sport").agg(F.count("*").alias("n"), n_if(F.col("profit") > 0).alias("wins"), F.round(roi(F.lit(True)), 6).alias("roi"), F.round(F.avg(real), 6).alias("clv"), F.count("closing_prob").alias("covered"), F.round(F.avg(h), 6).alias("avg_hours"), F.round(roi(h < 2), 6).alias("roi_under_2h"), F.round(roi(h >= 8), 6).alias("roi_over_8h"))
+    boot = bootstrap(d.select("sport", F.col("bet_id").alias("id"), F.col("profit").alias("x")), "sport", 2).withColumnRenamed("mean", "mean_profit")
+    verdict = F.when(F.col("n") < 50, "INSUFFICIENT_DATA").when(F.col("high") < 0, "PAUSE").otherwise("CONTINUE")
+    return g.join(boot, "sport").withColumns({"losses": F.col("n") - F.col("wins"), "verdict": verdict})
 
 
 @query("op_backtest_kelly", """WITH k AS (SELECT greatest(0, (elo_prob * 0.9 - (1 - elo_prob)) / 0.9) * 100 AS stake, CASE status WHEN 'won' THEN 0.9 ELSE -1 END AS r FROM bets WHERE status <> 'open') SELECT round(sum(stake * r), 2) AS pnl, round(sum(stake * r) / sum(stake), 6) AS roi FROM k""")
@@ -421,10 +458,14 @@ def _(t):
     return g.select("wager_id", F.col("quote_id").alias("entry_quote"), F.round(cost, 4).alias("contracts"), F.round(F.when(F.col("wager_id") % 3 == 0, F.col("stake")).otherwise(0.0) - cost, 4).alias("profit"))
 
 
-@query("op_deposits", "SELECT strftime(hour, '%Y-%m-%d %H') AS hour, round(sum(volume) OVER (ORDER BY hour ROWS UNBOUNDED PRECEDING), 2) AS deposits FROM snapshots")
+@query("op_deposits", """WITH d AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS deposit FROM events WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT s.hour, volume, coalesce(deposit, 0) AS deposit FROM snapshots s LEFT JOIN d ON d.hour = s.hour)
+SELECT strftime(hour, '%Y-%m-%d %H') AS hour, round(sum(deposit) OVER w, 2) AS deposits, round(sum(volume) OVER w, 2) AS worth, round(sum(volume) OVER w - sum(deposit) OVER w, 2) AS net_profit FROM c WINDOW w AS (ORDER BY hour ROWS UNBOUNDED PRECEDING)""")
 def _(t):
-    w = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    return t.snapshots.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round(F.sum("volume").over(w), 2).alias("deposits"))
+    """Deposits up to each hour, what the portfolio is worth then, and what is left of that without them."""
+    d = t.events.where("event_type = 'signup'").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("deposit"))
+    w = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)  # a row an hour
+    paid, worth = F.sum(F.coalesce("deposit", F.lit(0.0))).over(w), F.sum("volume").over(w)
+    return t.snapshots.join(d, "hour", "left").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round(paid, 2).alias("deposits"), F.round(worth, 2).alias("worth"), F.round(worth - paid, 2).alias("net_profit"))
 
 
 #: Weight of the market's probability; what park factors are by the home side's number.
@@ -462,11 +503,18 @@ def _(t):
     return g.select("game_id", *terms, F.round(F.when((m > 0) & (m < 1), MARKET_WEIGHT * m + (1 - MARKET_WEIGHT) * p).otherwise(p), 6).alias("p"))
 
 
-@query("op_soccer_blend", "SELECT bet_id, round(x / (x + y), 6) AS home, round(y / (x + y), 6) AS away FROM (SELECT bet_id, 0.6 * elo_prob + 0.2 * market_prob + 0.2 * coalesce(closing_prob, 0.5) AS x, 0.6 * (1 - elo_prob) + 0.2 * (1 - market_prob) + 0.2 * 0.4 AS y FROM bets)")
+@query("op_soccer_blend", """WITH p AS (SELECT bet_id, elo_prob * 0.75 AS mh, 0.25e0 AS md, (1 - elo_prob) * 0.75 AS ma, market_prob * 0.72 AS eh, 0.28e0 AS ed, (1 - market_prob) * 0.72 AS ea, coalesce(closing_prob * 0.7, 0.4) AS bh, CASE WHEN closing_prob IS NULL THEN 0.25e0 ELSE 0.3e0 END AS bd, coalesce((1 - closing_prob) * 0.7, 0.35) AS ba FROM bets),
+x AS (SELECT bet_id, mh * 0.6 + eh * 0.2 + bh * 0.2 AS h, md * 0.6 + ed * 0.2 + bd * 0.2 AS d, ma * 0.6 + ea * 0.2 + ba * 0.2 AS a FROM p) SELECT bet_id, round(h / (h + d + a), 6) AS home, round(d / (h + d + a), 6) AS draw, round(a / (h + d + a), 6) AS away FROM x""")
 def _(t):
-    x = 0.6 * F.col("elo_prob") + 0.2 * F.col("market_prob") + 0.2 * F.coalesce("closing_prob", F.lit(0.5))
-    y = 0.6 * (1 - F.col("elo_prob")) + 0.2 * (1 - F.col("market_prob")) + 0.2 * 0.4
-    return t.bets.select("bet_id", F.round(x / (x + y), 6).alias("home"), F.round(y / (x + y), 6).alias("away"))
+    """Model, ratings and bookmaker, 60 to 20 to 20, over three outcomes; a bookmaker without a price counts with usual shares."""
+    e, m, c = F.col("elo_prob"), F.col("market_prob"), F.col("closing_prob")
+    usual = {"home": 0.4, "draw": 0.25, "away": 0.35}
+    model = {"home": e * 0.75, "draw": F.lit(0.25), "away": (1 - e) * 0.75}
+    rated = {"home": m * 0.72, "draw": F.lit(0.28), "away": (1 - m) * 0.72}
+    book = {"home": c * 0.7, "draw": F.when(c.isNotNull(), 0.3), "away": (1 - c) * 0.7}
+    x = {o: model[o] * 0.6 + rated[o] * 0.2 + F.coalesce(book[o], F.lit(u)) * 0.2 for o, u in usual.items()}
+    total = x["home"] + x["draw"] + x["away"]
+    return t.bets.select("bet_id", *[F.round(p / total, 6).alias(o) for o, p in x.items()])
 
 
 @query("op_book_probs", """WITH l AS (SELECT market, bookmaker, arg_max(price, observed_at) AS price FROM quotes WHERE observed_at >= TIMESTAMP '2024-01-20' GROUP BY 1, 2), p AS (SELECT market, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'click'), 2.5) AS h, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'view'), 3.3) AS d, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'error'), 2.9) AS a FROM l GROUP BY 1)
@@ -533,10 +581,13 @@ def _(t):
     return t.bets.join(q, "market", "left").select("bet_id", F.round(c, 6).alias("closing_prob"), F.round(F.col("market_prob") - c, 6).alias("clv"))
 
 
-@query("op_upcoming_probs", "WITH r AS (SELECT lower('T' || home) AS team, avg(home_score) * 20 AS rating FROM games WHERE status = 'final' GROUP BY 1) SELECT g.game_id, round(1 / (1 + pow(10, (y.rating - x.rating - 100) / 400)), 6) AS p FROM games g JOIN r x ON lower(trim('t' || g.home)) = x.team JOIN r y ON lower(trim('t' || g.away)) = y.team WHERE status = 'scheduled'")
+@query("op_upcoming_probs", f"""{STD}, {last_sql('fin')}, r AS (SELECT league, lower(trim('T' || team)) AS name, rating FROM fin)
+SELECT g.game_id, round(x.rating, 4) AS home_rating, round(y.rating, 4) AS away_rating, round(1 / (1 + pow(10.0e0, (y.rating - x.rating - 100) / 400)), 6) AS p FROM games g JOIN r x ON x.league = g.league AND lower(trim('t' || g.home)) = x.name JOIN r y ON y.league = g.league AND lower(trim('t' || g.away)) = y.name WHERE status = 'scheduled'""")
 def _(t):
-    name = lambda c: F.lower(F.trim(F.concat(F.lit("T"), F.col(c).cast("string"))))
-    r = t.games.where("status = 'final'").groupBy(name("home").alias("team")).agg((F.avg("home_score") * 20).alias("rating"))
-    x, y = r.select(F.col("team").alias("hn"), F.col("rating").alias("hr")), r.select(F.col("team").alias("an"), F.col("rating").alias("ar"))
-    g = t.games.where("status = 'scheduled'").withColumns({"hn": name("home"), "an": name("away")}).join(x, "hn").join(y, "an")
-    return g.select("game_id", F.round(odds.expected_score(F.col("hr"), F.col("ar"), 100.0), 6).alias("p"))
+    """Games to come whose sides both have a rating from the games played; names match whatever their case."""
+    name = lambda c, t_: F.lower(F.trim(F.concat(F.lit(t_), F.col(c).cast("string"))))
+    r = final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"])).select("league", name("team", "T").alias("name"), "rating")
+    x, y = (r.select("league", F.col("name").alias(f"{s_}n"), F.col("rating").alias(f"{s_}r")) for s_ in "ha")
+    g = t.games.where("status = 'scheduled'").withColumns({"hn": name("home", "t"), "an": name("away", "t")}).join(x, ["league", "hn"]).join(y, ["league", "an"])
+    return g.select("game_id", F.round("hr", 4).alias("home_rating"), F.round("ar", 4).alias("away_rating"), F.round(odds.expected_score(F.col("hr"), F.col("ar"), 100.0), 6).alias("p"))
+

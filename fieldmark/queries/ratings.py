@@ -196,3 +196,22 @@ def _(t):
     v = s.select("league", F.col("home").alias("team"), F.col("game_date").alias("valid_from"), "game_id", F.round("home_after", 2).alias("rating"), F.round(F.col("home_after") - F.col("home_before"), 4).alias("change"))
     day = v.groupBy("league", "team", "valid_from").agg(F.max_by(F.struct("rating", "change"), "game_id").alias("r")).select("league", "team", "valid_from", "r.*")
     return close_versions(day, ["league", "team"], "valid_from", F.col("rating")).where("abs(change) > 2").select("league", "team", "valid_from", "valid_to", "rating", "change")
+
+
+#: Least spread of a league's ratings and of its chances, shares of which alarm; and the share about the start that does.
+LEAST_RANGE, LEAST_CHANCES, NEAR_START = 200.0, 0.5, 0.5
+
+
+@query("op_rating_alarms", f"""{STD}, {last_sql('fin')}, x AS (SELECT league, count(*) AS teams, stddev_samp(rating) AS spread, max(rating) - min(rating) AS reach, avg(CASE WHEN rating > 1490 AND rating < 1510 THEN 1.0e0 ELSE 0.0e0 END) AS near FROM fin GROUP BY 1),
+c AS (SELECT league, max(p_home) - min(p_home) AS chances, stddev_samp(p_home) AS chance_spread FROM scored GROUP BY 1)
+SELECT league, teams, round(spread, 4) AS spread, round(reach, 4) AS reach, round(near, 6) AS near_start, round(chances, 6) AS chances, round(chance_spread, 6) AS chance_spread,
+concat_ws(',', CASE WHEN reach < {LEAST_RANGE}e0 * 0.5 THEN 'narrow_ratings' END, CASE WHEN near > {NEAR_START}e0 THEN 'near_start' END, CASE WHEN teams < 2 THEN 'too_few' WHEN chances < {LEAST_CHANCES}e0 * 0.3 THEN 'narrow_chances' END) AS alarms FROM x JOIN c USING (league)""")
+def _(t):
+    """How far a league's ratings and chances spread, and which alarms that raises."""
+    s = ordered_fold(final_games(t), SPECS["rt_elo_std"])
+    r = F.col("rating")
+    x = final_ratings(s).groupBy("league").agg(F.count("*").alias("teams"), F.stddev_samp(r).alias("spread"), (F.max(r) - F.min(r)).alias("reach"), F.avg(((r > 1490) & (r < 1510)).cast("double")).alias("near"))
+    c = s.groupBy("league").agg((F.max("p_home") - F.min("p_home")).alias("chances"), F.stddev_samp("p_home").alias("chance_spread"))
+    few = F.when(F.col("teams") < 2, "too_few").when(F.col("chances") < LEAST_CHANCES * 0.3, "narrow_chances")
+    alarms = F.concat_ws(",", F.when(F.col("reach") < LEAST_RANGE * 0.5, "narrow_ratings"), F.when(F.col("near") > NEAR_START, "near_start"), few)
+    return x.join(c, "league").select("league", "teams", F.round("spread", 4).alias("spread"), F.round("reach", 4).alias("reach"), F.round("near", 6).alias("near_start"), F.round("chances", 6).alias("chances"), F.round("chance_spread", 6).alias("chance_spread"), alarms.alias("alarms"))

@@ -116,12 +116,28 @@ def _(t):
     return c.select("wager_id", "quote_id", F.round("clv", 6).alias("clv"), way.alias("direction"), F.col("freshness").alias("tier"))
 
 
-@query("rm_portfolio_risk", """WITH e AS (SELECT sport, sum(cost) AS open_cost, max(cost) AS biggest FROM bets WHERE status = 'open' GROUP BY 1), x AS (SELECT sum(cost) * 0.25 AS budget FROM bets WHERE status = 'open'), d AS (SELECT max(volume) AS peak, arg_max(volume, hour) AS now FROM snapshots)
-SELECT sport, round(open_cost, 2) AS open_cost, round(open_cost / budget, 6) AS used, CASE WHEN now < peak * 0.2 THEN 'drawdown' WHEN open_cost > budget THEN 'over_budget' WHEN biggest > budget * 0.5 THEN 'concentrated' ELSE 'approved' END AS guardrail FROM e, x, d""")
+@query("rm_portfolio_risk", """WITH v AS (SELECT 0.5e0 * sum(cost) + sum(coalesce(profit, 0)) AS worth, sum(cost) FILTER (WHERE status = 'open') AS exposed FROM bets), d AS (SELECT max(volume) AS peak, arg_max(volume, hour) AS now FROM snapshots),
+k AS (SELECT sport, market, sum(cost) AS cost, count(*) AS n, count(DISTINCT side) AS sides FROM bets WHERE status = 'open' GROUP BY 1, 2),
+e AS (SELECT sport, sum(cost) AS open_cost, max(cost) AS largest_event, max(n) AS most_in_event, max(sides) AS sides FROM k GROUP BY 1), s AS (SELECT DISTINCT sport FROM bets), q AS (SELECT sport, count(closing_prob) * 1.0e0 / count(*) AS covered, count(*) FILTER (WHERE closing_prob IN (0.0, 1.0)) * 1.0e0 / count(*) AS placeholders FROM bets GROUP BY 1),
+g AS (SELECT s.sport, coalesce(open_cost, 0) AS open_cost, coalesce(largest_event, 0) AS largest_event, coalesce(most_in_event, 0) AS most_in_event, coalesce(sides, 0) AS sides, covered, placeholders, worth, exposed, worth * 0.25 AS budget, (peak - now) / peak AS drawdown FROM s LEFT JOIN e USING (sport) JOIN q USING (sport), v, d),
+r AS (SELECT *, CASE WHEN worth IS NULL THEN 'risk_of_ruin_state_unavailable' WHEN worth <= 0 THEN 'bankroll_exhausted' WHEN exposed >= worth AND exposed > 0 THEN 'open_exposure_exhausts_bankroll' ELSE 'capital_available' END AS ruin FROM g)
+SELECT sport, round(open_cost, 2) AS open_cost, round(open_cost / budget, 6) AS used, round(greatest(budget - exposed, 0), 2) AS remaining, round(drawdown, 6) AS drawdown, ruin AS ruin_state, CASE WHEN ruin <> 'capital_available' THEN 'blocked_risk_of_ruin' WHEN drawdown > 0.8 THEN 'blocked_drawdown' ELSE 'eligible' END AS guardrail,
+CASE WHEN sides > 1 THEN 'same_event' WHEN most_in_event > 1 THEN 'same_side' ELSE 'sport' END AS bucket,
+CASE WHEN ruin <> 'capital_available' THEN 'risk_of_ruin_gate_blocked' WHEN drawdown > 0.8 THEN 'drawdown_gate_blocked' WHEN placeholders > 0.2 THEN 'contaminated_evidence' WHEN covered < 0.5 THEN 'missing_evidence' WHEN largest_event > budget * 0.05 THEN 'concentration_breach' WHEN open_cost > 0 THEN 'existing_position_conflict' END AS rejection FROM r""")
 def _(t):
+    """A sport's open exposure against a budget of a quarter of the bankroll, the state of ruin and drawdown, and why a bet would be refused."""
     live = t.bets.where("status = 'open'")
-    e = live.groupBy("sport").agg(F.sum("cost").alias("open_cost"), F.max("cost").alias("biggest"))
-    x = live.agg((F.sum("cost") * 0.25).alias("budget"))
-    d = t.snapshots.agg(F.max("volume").alias("peak"), F.max_by("volume", "hour").alias("now"))
-    guard = first_reason(("drawdown", F.col("now") < F.col("peak") * 0.2), ("over_budget", F.col("open_cost") > F.col("budget")), ("concentrated", F.col("biggest") > F.col("budget") * 0.5))
-    return e.crossJoin(F.broadcast(x)).join(F.broadcast(d), F.lit(True), "left").select("sport", F.round("open_cost", 2).alias("open_cost"), F.round(F.col("open_cost") / F.col("budget"), 6).alias("used"), guard.alias("guardrail"))
+    v = t.bets.agg((0.5 * F.sum("cost") + F.sum(F.coalesce("profit", F.lit(0.0)))).alias("worth"), F.sum(F.when(F.col("status") == "open", F.col("cost"))).alias("exposed"))  # one row
+    d = t.snapshots.agg(((F.max("volume") - F.max_by("volume", "hour")) / F.max("volume")).alias("drawdown"))  # one row
+    k = live.groupBy("sport", "market").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"), F.count_distinct("side").alias("sides"))
+    e = k.groupBy("sport").agg(F.sum("cost").alias("open_cost"), F.max("cost").alias("largest_event"), F.max("n").alias("most_in_event"), F.max("sides").alias("sides"))
+    q = t.bets.groupBy("sport").agg((F.count("closing_prob") / F.count("*")).alias("covered"), (F.count(F.when(F.col("closing_prob").isin(0.0, 1.0), 1)) / F.count("*")).alias("placeholders"))
+    g = q.join(e, "sport", "left").na.fill(0).crossJoin(F.broadcast(v)).crossJoin(F.broadcast(d)).withColumn("budget", F.col("worth") * 0.25)
+    worth, exposed, none = F.col("worth"), F.col("exposed"), F.lit(None).cast("string")
+    ruin = F.when(worth.isNull(), "risk_of_ruin_state_unavailable").when(worth <= 0, "bankroll_exhausted").when((exposed >= worth) & (exposed > 0), "open_exposure_exhausts_bankroll").otherwise("capital_available")
+    ruined, fallen = ruin != "capital_available", F.col("drawdown") > 0.8
+    reason = F.when(ruined, "risk_of_ruin_gate_blocked").when(fallen, "drawdown_gate_blocked").when(F.col("placeholders") > 0.2, "contaminated_evidence").when(F.col("covered") < 0.5, "missing_evidence").when(F.col("largest_event") > F.col("budget") * 0.05, "concentration_breach").when(F.col("open_cost") > 0, "existing_position_conflict").otherwise(none)
+    bucket = F.when(F.col("sides") > 1, "same_event").when(F.col("most_in_event") > 1, "same_side").otherwise("sport")
+    left = F.greatest(F.col("budget") - exposed, F.lit(0.0))
+    return g.select("sport", F.round("open_cost", 2).alias("open_cost"), F.round(F.col("open_cost") / F.col("budget"), 6).alias("used"), F.round(left, 2).alias("remaining"), F.round("drawdown", 6).alias("drawdown"), ruin.alias("ruin_state"), F.when(ruined, "blocked_risk_of_ruin").when(fallen, "blocked_drawdown").otherwise("eligible").alias("guardrail"), bucket.alias("bucket"), reason.alias("rejection"))
+

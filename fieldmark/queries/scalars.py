@@ -44,11 +44,15 @@ def _(t):
     return t.bets.select("bet_id", r6(odds.blend(F.col("elo_prob"), F.col("market_prob"))).alias("p"))
 
 
-@query("sc_novig", "SELECT bet_id, round((1 / a) / (1 / a + 1 / b + 1 / c), 6) AS home, round((1 / b) / (1 / a + 1 / b + 1 / c), 6) AS draw FROM (SELECT bet_id, 1.2e0 + bet_id % 7 AS a, 2.5e0 + bet_id % 3 AS b, 1.5e0 + bet_id % 5 AS c FROM bets)")
+@query("sc_novig", """WITH o AS (SELECT bet_id, 1.2e0 + bet_id % 7 AS a, CASE WHEN bet_id % 4 <> 0 THEN 2.5e0 + bet_id % 3 END AS b, 1.5e0 + bet_id % 5 AS c, 1.3e0 + bet_id % 6 AS d, 3.1e0 AS e, CASE WHEN bet_id % 12 <> 0 THEN 2.2e0 + bet_id % 2 END AS f FROM bets),
+x AS (SELECT bet_id, CASE WHEN b IS NOT NULL THEN 'closing' WHEN f IS NOT NULL THEN 'average' END AS used, CASE WHEN b IS NOT NULL THEN [1 / a, 1 / b, 1 / c] WHEN f IS NOT NULL THEN [1 / d, 1 / e, 1 / f] END AS q FROM o)
+SELECT bet_id, used, round(q[1] / (q[1] + q[2] + q[3]), 6) AS home, round(q[2] / (q[1] + q[2] + q[3]), 6) AS draw, round(q[3] / (q[1] + q[2] + q[3]), 6) AS away FROM x""")
 def _(t):
-    a, b, c = 1.2 + F.col("bet_id") % 7, 2.5 + F.col("bet_id") % 3, 1.5 + F.col("bet_id") % 5
-    p = odds.no_vig(a, b, c)
-    return t.bets.select("bet_id", r6(p[0]).alias("home"), r6(p[1]).alias("draw"))
+    """Probabilities without the bookmaker's margin, from the first set of prices that is complete."""
+    i = F.col("bet_id")
+    sets = {"closing": (1.2 + i % 7, F.when(i % 4 != 0, 2.5 + i % 3), 1.5 + i % 5), "average": (1.3 + i % 6, F.lit(3.1), F.when(i % 12 != 0, 2.2 + i % 2))}
+    p = F.coalesce(*[F.when(odds.no_vig(*prices).isNotNull(), F.struct(F.lit(name).alias("used"), odds.no_vig(*prices).alias("p"))) for name, prices in sets.items()])
+    return t.bets.select("bet_id", p.alias("x")).select("bet_id", "x.used", *[r6(F.col("x.p")[k]).alias(n) for k, n in enumerate(("home", "draw", "away"))])
 
 
 @query("sc_settle", "SELECT bet_id, CASE status WHEN 'won' THEN bet_id % 50 * 1.0e0 WHEN 'lost' THEN 0.0e0 END AS payout, round(CASE status WHEN 'won' THEN bet_id % 50 * 1.0e0 WHEN 'lost' THEN 0.0e0 END - cost, 2) AS profit FROM bets")
@@ -68,9 +72,21 @@ def _(t):
     return g.select("market", r6(stats.shrink(F.col("r"), F.col("n"), 20, 0.5)).alias("p"))
 
 
-@query("sc_log5", "SELECT bet_id, round(x / (x + y), 6) AS p FROM (SELECT bet_id, a * b / 0.33 AS x, (1 - a) * (1 - b) / (1 - 0.33) AS y FROM (SELECT bet_id, 0.05 + elo_prob * 0.9 AS a, market_prob AS b FROM bets))")
+#: Outcomes of a plate appearance; what is left to one is an out.
+OUTCOMES = ("strikeout", "walk", "single", "extra", "homer")
+_RATES = "0.1 + elo_prob * 0.15 AS strikeout_a, 0.15 + market_prob * 0.1 AS strikeout_b, 0.05 + elo_prob * 0.05 AS walk_a, 0.06 + market_prob * 0.04 AS walk_b, 0.12 + elo_prob * 0.05 AS single_a, 0.13 + market_prob * 0.03 AS single_b, 0.03 + elo_prob * 0.03 AS extra_a, 0.04 + market_prob * 0.02 AS extra_b, 0.02 + elo_prob * 0.03 AS homer_a, 0.02 + market_prob * 0.04 AS homer_b"
+LEAGUE = {"strikeout": 0.22, "walk": 0.09, "single": 0.14, "extra": 0.05, "homer": 0.03}
+_LOG5 = ", ".join(f"{o}_a * {o}_b / {LEAGUE[o]}e0 / ({o}_a * {o}_b / {LEAGUE[o]}e0 + (1 - {o}_a) * (1 - {o}_b) / (1 - {LEAGUE[o]}e0)) AS {o}" for o in OUTCOMES)
+_SUM = " + ".join(OUTCOMES)
+
+
+@query("sc_log5", f"""WITH r AS (SELECT bet_id, {_RATES} FROM bets), l AS (SELECT bet_id, {_LOG5} FROM r), o AS (SELECT *, greatest(0.0e0, 1 - ({_SUM})) AS batted FROM l)
+SELECT bet_id, {', '.join(f'round({o} / ({_SUM} + batted), 6) AS {o}' for o in (*OUTCOMES, 'batted'))} FROM o""")
 def _(t):
-    return t.bets.select("bet_id", r6(stats.log5(0.05 + F.col("elo_prob") * 0.9, F.col("market_prob"), F.lit(0.33))).alias("p"))
+    """A batter's rates against a pitcher's by log5, outcome by outcome, and six outcomes that sum to one."""
+    r = t.bets.selectExpr("bet_id", *_RATES.split(", "))
+    p = r.select("bet_id", stats.matchup({o: (F.col(f"{o}_a"), F.col(f"{o}_b"), LEAGUE[o]) for o in OUTCOMES}, "batted").alias("p"))
+    return p.select("bet_id", *[r6(F.col(f"p.{o}")).alias(o) for o in (*OUTCOMES, "batted")])
 
 
 @query("sc_pythag", "SELECT game_id, round(pow(home_score, 1.83) / (pow(home_score, 1.83) + pow(away_score, 1.83)), 6) AS p FROM games")
@@ -84,12 +100,15 @@ def _(t):
     return t.games.select("game_id", r6(odds.clip(x, -50.0, 50.0)).alias("adjustment"))
 
 
-@query("sc_basketball", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a = 0 THEN 0.0e0 ELSE round((m + 0.5 * h) / a, 6) END AS efg, CASE WHEN a + 0.44 * f = 0 THEN 0.0e0 ELSE round(p / (2 * (a + 0.44 * f)), 6) END AS ts, round(a - 1 + 2 + 0.44 * f, 6) AS poss
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS p, CAST(l_suppkey % 5 AS DOUBLE) AS m, CAST(l_suppkey % 3 AS DOUBLE) AS h, CAST(l_partkey % 6 AS DOUBLE) AS a, CAST(l_linenumber % 4 AS DOUBLE) AS f FROM lineitem)""")
+@query("sc_basketball", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a = 0 THEN 0.0e0 ELSE round((m + 0.5 * h) / a, 6) END AS efg, CASE WHEN a + 0.44 * f = 0 THEN 0.0e0 ELSE round(p / (2 * (a + 0.44 * f)), 6) END AS ts, round(n, 6) AS poss,
+CASE WHEN q > 0 THEN round(48 * n / q, 6) ELSE 0.0e0 END AS pace, CASE WHEN n > 0 THEN round(100 * p / n, 6) ELSE 0.0e0 END AS ortg, CASE WHEN n > 0 THEN round(100 * o / n, 6) ELSE 0.0e0 END AS drtg FROM (SELECT *, a - r + 2 + 0.44 * f AS n
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS p, CAST(l_suppkey % 5 AS DOUBLE) AS m, CAST(l_suppkey % 3 AS DOUBLE) AS h, CAST(l_partkey % 6 AS DOUBLE) AS a, CAST(l_linenumber % 4 AS DOUBLE) AS f, CAST(l_orderkey % 5 AS DOUBLE) AS r, CAST(l_orderkey % 3 * 20 AS DOUBLE) AS q, CAST(l_partkey % 40 AS DOUBLE) AS o FROM lineitem))""")
 def _(t):
-    m, h, a, f = ((F.col(c) % n).cast("double") for c, n in (("l_suppkey", 5), ("l_suppkey", 3), ("l_partkey", 6), ("l_linenumber", 4)))
-    one = F.lit(1.0)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", r6(stats.effective_fg(m, h, a)).alias("efg"), r6(stats.true_shooting(F.col("l_quantity"), a, f)).alias("ts"), r6(stats.possessions(a, one, one + 1, f)).alias("poss"))
+    m, h, a, f, r, o = ((F.col(c) % n).cast("double") for c, n in (("l_suppkey", 5), ("l_suppkey", 3), ("l_partkey", 6), ("l_linenumber", 4), ("l_orderkey", 5), ("l_partkey", 40)))
+    minutes, points = (F.col("l_orderkey") % 3 * 20).cast("double"), F.col("l_quantity")
+    n = stats.possessions(a, r, F.lit(2.0), f)
+    rates = {"efg": stats.effective_fg(m, h, a), "ts": stats.true_shooting(points, a, f), "poss": n, "pace": stats.pace(n, minutes), "ortg": stats.rating(points, n), "drtg": stats.rating(o, n)}
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *[r6(c).alias(k) for k, c in rates.items()])
 
 
 @query("sc_hockey", "SELECT game_id, CASE WHEN home_score % 3 + away_score % 3 = 0 THEN 0.5e0 ELSE round((home_score % 3) * 1.0e0 / (home_score % 3 + away_score % 3), 6) END AS corsi FROM games")
@@ -97,11 +116,16 @@ def _(t):
     return t.games.select("game_id", r6(stats.share_or_half(F.col("home_score") % 3, F.col("away_score") % 3)).alias("corsi"))
 
 
-@query("sc_baseball", """SELECT game_id, round((0.69 * (home % 6) + 0.88 * (home % 7) + 1.24 * (away % 4) + 1.56 * (away % 2) + 2.0 * (home % 3)) / (home_score + 0.37), 6) AS woba,
-CASE WHEN away % 9 > 0 THEN round((13 * (home % 3) + 3 * (home % 6) - 2 * (away % 10)) * 1.0e0 / (away % 9) + 3.1, 6) ELSE 0.0e0 END AS fip FROM games""")
+@query("sc_baseball", """WITH g AS (SELECT game_id, home % 6 AS bb, home % 7 AS s, away % 4 AS d, away % 2 AS t, home % 3 AS hr, away % 10 AS k, away % 9 AS ip, (home_score - 60) % 30 AS bf, (0.69 * (home % 6) + 0.88 * (home % 7) + 1.24 * (away % 4) + 1.56 * (away % 2) + 2.0 * (home % 3)) / (home_score + 0.37) AS w FROM games)
+SELECT game_id, round(w, 6) AS woba, round(w / 0.312 * 100, 6) AS wrc_plus, CASE WHEN ip > 0 THEN round((13 * hr + 3 * bb - 2 * k) * 1.0e0 / ip + 3.1, 6) ELSE 0.0e0 END AS fip,
+CASE WHEN bf >= 4 THEN round(greatest(0.0e0, 6.145 - 16.986 * (k * 1.0e0 / bf) + 11.434 * (k * 1.0e0 / bf) * (k * 1.0e0 / bf) - 1.858 * (bb * 1.0e0 / bf) + 7.653 * (bb * 1.0e0 / bf) * (bb * 1.0e0 / bf) - 4.005 * (k * 1.0e0 / bf) * (bb * 1.0e0 / bf)), 6) END AS siera,
+CASE WHEN bf > 0 THEN round((k - bb) * 1.0e0 / bf * 100, 6) END AS k_bb_pct FROM g""")
 def _(t):
     h, a = F.col("home"), F.col("away")
-    return t.games.select("game_id", r6(stats.woba(h % 6, h % 7, a % 4, a % 2, h % 3, F.col("home_score") + 0.37)).alias("woba"), r6(stats.fip(h % 3, h % 6, a % 10, a % 9)).alias("fip"))
+    faced = (F.col("home_score") - 60) % 30
+    w = stats.woba(h % 6, h % 7, a % 4, a % 2, h % 3, F.col("home_score") + 0.37)
+    rates = {"woba": w, "wrc_plus": stats.wrc_plus(w), "fip": stats.fip(h % 3, h % 6, a % 10, a % 9), "siera": stats.siera(a % 10, h % 6, faced), "k_bb_pct": stats.k_bb_pct(a % 10, h % 6, faced)}
+    return t.games.select("game_id", *[r6(c).alias(k) for k, c in rates.items()])
 
 
 @query("sc_soccer", "SELECT game_id, CASE WHEN away % 5 = 0 THEN 0.0e0 ELSE round(home_score * 1.0e0 / (away % 5), 6) END AS ppda FROM games")
@@ -120,13 +144,16 @@ def _(t):
     return b.select("bet_id", ((F.col("closing_prob") < F.col("market_prob")) & (F.col("elo_prob") > 0.5)).alias("reverse_move"), (F.col("closing_prob") - F.col("market_prob") >= 0.15).alias("pro_edge"))
 
 
-@query("sc_tz", """WITH s AS (SELECT quote_id, date_trunc('second', observed_at) AS s FROM quotes), g AS (SELECT quote_id, (epoch(s) - epoch(timezone('America/New_York', s))) / 3600 AS east, (epoch(s) - epoch(timezone('America/Los_Angeles', s))) / 3600 AS west FROM s)
-SELECT quote_id, east - west AS zones, east AS offset_hours FROM g""")
+@query("sc_tz", """WITH s AS (SELECT quote_id, date_trunc('day', observed_at) + INTERVAL '12' HOUR + INTERVAL '1' MONTH * (quote_id % 12) AS s FROM quotes), g AS (SELECT quote_id, (epoch(s) - epoch(timezone('America/New_York', s))) / 3600 AS east, (epoch(s) - epoch(timezone(CASE quote_id % 3 WHEN 0 THEN 'America/Los_Angeles' WHEN 1 THEN 'America/Phoenix' ELSE 'America/New_York' END, s))) / 3600 AS west FROM s)
+SELECT quote_id, abs(east - west) AS zones, east AS offset_hours, CASE WHEN east > west THEN 'east' WHEN east < west THEN 'west' ELSE 'none' END AS direction FROM g""")
 def _(t):
-    """Hours between two venues' clocks on the day of a game, daylight saving included (time zone rules are the engine's own)."""
-    at = F.col("observed_at")
+    """Hours between two venues' clocks on the day of a game, and which way the trip goes; summer time included (the rules are the engine's own)."""
+    at = F.expr("date_trunc('day', observed_at) + INTERVAL '12' HOUR + make_ym_interval(0, cast(quote_id % 12 as int))")
+    other = F.when(F.col("quote_id") % 3 == 0, "America/Los_Angeles").when(F.col("quote_id") % 3 == 1, "America/Phoenix").otherwise("America/New_York")
     gap = lambda z: (F.unix_timestamp(at) - F.unix_timestamp(F.to_utc_timestamp(at, z))) / 3600
-    return t.quotes.select("quote_id", (gap("America/New_York") - gap("America/Los_Angeles")).alias("zones"), gap("America/New_York").alias("offset_hours"))
+    east, west = gap("America/New_York"), gap(other)
+    way = F.when(east > west, "east").when(east < west, "west").otherwise("none")
+    return t.quotes.select("quote_id", F.abs(east - west).alias("zones"), east.alias("offset_hours"), way.alias("direction"))
 
 
 @query("sc_ticker", """SELECT bet_id, regexp_extract(ticker, '^KX([A-Z]+)-', 1) AS league, CAST(strptime(regexp_extract(ticker, '-(\\d{2}[A-Z]{3}\\d{2})', 1), '%y%b%d') AS DATE) AS game_date, regexp_extract(ticker, '-([A-Z]+)$', 1) AS side

@@ -25,9 +25,9 @@ def _(t):
     return t.quotes.where("price > 1.05").groupBy("market").agg(F.round(1 / F.max_by("price", "observed_at"), 6).alias("p"))
 
 
-@query("tk_order_limit", "SELECT quote_id, market FROM quotes ORDER BY observed_at DESC LIMIT 30")
+@query("tk_order_limit", "SELECT quote_id, market FROM quotes ORDER BY observed_at DESC, quote_id LIMIT 30")
 def _(t):
-    return t.quotes.orderBy(F.col("observed_at").desc()).limit(30).select("quote_id", "market")
+    return t.quotes.orderBy(F.col("observed_at").desc(), "quote_id").limit(30).select("quote_id", "market")
 
 
 @query("tk_starter", "SELECT pitcher, game_date, max(velocity) AS velocity FROM (SELECT *, rank() OVER (PARTITION BY pitcher ORDER BY is_csw DESC, game_date DESC, velocity DESC NULLS LAST) AS k FROM pitches) WHERE k = 1 GROUP BY 1, 2")

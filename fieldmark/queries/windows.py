@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators.core import close_versions, decayed_sum, quantiles, unpivot_sides
+from ..operators.core import asof_join, close_versions, decayed_sum, quantiles, unpivot_sides
 from ..operators.versions import VersionTable
+from ..plans.ledger import SPANS
 from ..sources.shared import shared_path
 from . import query
 
@@ -92,10 +93,23 @@ def _(t):
     return t.snapshots.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round(peak, 4).alias("peak"), F.round(peak - F.col("volume"), 4).alias("drawdown"), F.when(F.col("volume") < peak * 0.5, "deep").otherwise("ok").alias("state"))
 
 
-@query("wn_balance_delta", """SELECT strftime(hour, '%Y-%m-%d %H') AS hour, round(volume - lag(volume) OVER (ORDER BY hour) - n, 4) AS deposit FROM snapshots QUALIFY volume - lag(volume) OVER (ORDER BY hour) - n > 0.01""")
+#: Wagers that were won, with what each paid and when.
+WON = "SELECT close_at AS at, stake AS paid FROM wagers WHERE wager_id % 3 = 0"
+
+
+@query("wn_balance_delta", f"""WITH b AS (SELECT hour, volume, lag(hour) OVER (ORDER BY hour) AS since, volume - lag(volume) OVER (ORDER BY hour) AS up FROM snapshots),
+x AS (SELECT b.*, (SELECT coalesce(sum(paid), 0) FROM ({WON}) w WHERE w.at > b.since AND w.at <= b.hour) AS won FROM b)
+SELECT strftime(hour, '%Y-%m-%d %H') AS hour, round(up, 4) AS rise, round(won, 4) AS won, round(up - won, 4) AS deposit FROM x WHERE up > 0 AND up > won + 0.01""")
 def _(t):
-    d = F.col("volume") - F.lag("volume").over(Window.orderBy("hour")) - F.col("n")
-    return t.snapshots.withColumn("d", d).where("d > 0.01").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round("d", 4).alias("deposit"))
+    """What a balance rose by beyond the wins since the snapshot before: wins of an hour are one row, and a running sum tells those of any interval."""
+    ends = F.date_trunc("hour", F.col("close_at") + F.expr("INTERVAL '1' HOUR") - F.expr("INTERVAL '0.000001' SECOND"))  # the first full hour at or after
+    paid = t.wagers.where("wager_id % 3 = 0").groupBy(ends.alias("hour")).agg(F.sum("stake").alias("paid"))
+    both = t.snapshots.select("hour", "volume").unionByName(paid, allowMissingColumns=True).groupBy("hour").agg(F.max("volume").alias("volume"), F.sum("paid").alias("paid"))
+    upto = both.withColumn("paid", F.coalesce(F.sum("paid").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).where("volume is not null")  # a row an hour
+    w = Window.orderBy("hour")
+    up, won = F.col("volume") - F.lag("volume").over(w), F.col("paid") - F.lag("paid").over(w)
+    x = upto.select("hour", up.alias("up"), won.alias("won")).where("up > 0 and up > won + 0.01")
+    return x.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round("up", 4).alias("rise"), F.round("won", 4).alias("won"), F.round(F.col("up") - F.col("won"), 4).alias("deposit"))
 
 
 @query("wn_day_over_day", "SELECT CAST(observed_at AS DATE) AS day, count(*) AS n, count(*) - lag(count(*)) OVER (ORDER BY CAST(observed_at AS DATE)) AS change FROM quotes GROUP BY 1")
@@ -152,14 +166,23 @@ def _(t):
     return told_versions(table.rows())
 
 
-@query("wn_tie_count", "SELECT game_id, count(*) OVER (PARTITION BY league, game_date) AS same_day FROM games")
+@query("wn_tie_count", """WITH q AS (SELECT *, date_trunc('hour', observed_at) AS seen FROM quotes), e AS (SELECT w.wager_id, q.seen, row_number() OVER (PARTITION BY w.wager_id ORDER BY q.seen DESC, q.quote_id) AS k, count(q.quote_id) OVER (PARTITION BY w.wager_id, q.seen) AS ties FROM wagers w LEFT JOIN q ON q.market = w.market AND q.seen <= w.close_at)
+SELECT wager_id, CASE WHEN seen IS NOT NULL THEN ties END AS ties FROM e WHERE k = 1""")
 def _(t):
-    return t.games.select("game_id", F.count("*").over(Window.partitionBy("league", "game_date")).alias("same_day"))
+    """How many quotes share the time of the one that closes a wager."""
+    q = t.quotes.withColumn("observed_at", F.date_trunc("hour", "observed_at"))
+    return asof_join(t.wagers, q, ["market"], "close_at", "observed_at", ["quote_id"], prefer=[-F.col("quote_id")], ties="ties", parts=SPANS).select("wager_id", "ties")
 
 
-@query("wn_first_last", "SELECT market, round(arg_min(price, observed_at), 4) AS open_price, round(arg_max(price, observed_at), 4) AS close_price FROM quotes GROUP BY 1")
+@query("wn_first_last", """WITH q AS (SELECT *, CASE WHEN quote_id % 9 = 0 THEN 'open' WHEN quote_id % 10 = 0 THEN 'close' ELSE 'intraday' END AS kind FROM quotes),
+a AS (SELECT market, price, row_number() OVER (PARTITION BY market ORDER BY kind = 'open' DESC, observed_at, quote_id) AS k FROM q), z AS (SELECT market, price, row_number() OVER (PARTITION BY market ORDER BY kind = 'close' DESC, observed_at DESC, quote_id DESC) AS k FROM q)
+SELECT market, round(a.price, 4) AS open_price, round(z.price, 4) AS close_price FROM a JOIN z USING (market) WHERE a.k = 1 AND z.k = 1""")
 def _(t):
-    return t.quotes.groupBy("market").agg(F.round(F.min_by("price", "observed_at"), 4).alias("open_price"), F.round(F.max_by("price", "observed_at"), 4).alias("close_price"))
+    """A snapshot typed as opening or closing goes before the first or last one by time; one aggregate."""
+    kind = F.when(F.col("quote_id") % 9 == 0, "open").when(F.col("quote_id") % 10 == 0, "close").otherwise("intraday")
+    first = F.min_by("price", F.struct((F.col("kind") != "open").alias("a"), "observed_at", "quote_id"))
+    last = F.max_by("price", F.struct((F.col("kind") == "close").alias("a"), "observed_at", "quote_id"))
+    return t.quotes.withColumn("kind", kind).groupBy("market").agg(F.round(first, 4).alias("open_price"), F.round(last, 4).alias("close_price"))
 
 
 @query("wn_running_budget", """WITH x AS (SELECT bet_id, placed_date, cost, sum(cost) OVER (PARTITION BY placed_date ORDER BY elo_prob - market_prob DESC, bet_id ROWS UNBOUNDED PRECEDING) AS run FROM bets)
