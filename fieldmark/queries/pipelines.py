@@ -88,11 +88,11 @@ def _(t):
     return reconcile(local, remote, "bet_id", ["status", "side", "confidence"])
 
 
-OPEN_CLOSE = "SELECT market, arg_min(price, observed_at) AS open_price, arg_max(price, observed_at) AS close_price FROM quotes GROUP BY 1"
+OPEN_CLOSE = "SELECT market, arg_min(price, (observed_at, quote_id)) AS open_price, arg_max(price, (observed_at, quote_id)) AS close_price FROM quotes GROUP BY 1"
 
 
 def open_close(t):
-    return t.quotes.groupBy("market").agg(F.min_by("price", "observed_at").alias("open_price"), F.max_by("price", "observed_at").alias("close_price"))
+    return t.quotes.groupBy("market").agg(F.min_by("price", F.struct("observed_at", "quote_id")).alias("open_price"), F.max_by("price", F.struct("observed_at", "quote_id")).alias("close_price"))
 
 
 @query("op_value_recs", f"""WITH o AS ({OPEN_CLOSE}), s AS (SELECT bet_id, 'home' AS pick, elo_prob - 1 / open_price AS e FROM bets b JOIN o ON b.market = o.market UNION ALL SELECT bet_id, 'away', (1 - elo_prob) - (1 - 1 / open_price) FROM bets b JOIN o ON b.market = o.market)
@@ -445,9 +445,9 @@ def _(t):
     return x.unpivot([], ["rows", "null_discount", "orphans"], "name", "value")
 
 
-@query("op_sync_update", "WITH n AS (SELECT market, arg_max(price, observed_at) AS price FROM quotes WHERE bookmaker = 'click' GROUP BY 1) SELECT bet_id, round(coalesce(1 / n.price, market_prob), 6) AS market_prob FROM bets b LEFT JOIN n ON b.market = n.market")
+@query("op_sync_update", "WITH n AS (SELECT market, arg_max(price, (observed_at, quote_id)) AS price FROM quotes WHERE bookmaker = 'click' GROUP BY 1) SELECT bet_id, round(coalesce(1 / n.price, market_prob), 6) AS market_prob FROM bets b LEFT JOIN n ON b.market = n.market")
 def _(t):
-    n = t.quotes.where("bookmaker = 'click'").groupBy("market").agg(F.max_by("price", "observed_at").alias("price"))
+    n = t.quotes.where("bookmaker = 'click'").groupBy("market").agg(F.max_by("price", F.struct("observed_at", "quote_id")).alias("price"))
     return t.bets.join(n, "market", "left").select("bet_id", F.round(F.coalesce(1 / F.col("price"), "market_prob"), 6).alias("market_prob"))
 
 
@@ -517,17 +517,17 @@ def _(t):
     return t.bets.select("bet_id", *[F.round(p / total, 6).alias(o) for o, p in x.items()])
 
 
-@query("op_book_probs", """WITH l AS (SELECT market, bookmaker, arg_max(price, observed_at) AS price FROM quotes WHERE observed_at >= TIMESTAMP '2024-01-20' GROUP BY 1, 2), p AS (SELECT market, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'click'), 2.5) AS h, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'view'), 3.3) AS d, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'error'), 2.9) AS a FROM l GROUP BY 1)
+@query("op_book_probs", """WITH l AS (SELECT market, bookmaker, arg_max(price, (observed_at, quote_id)) AS price FROM quotes WHERE observed_at >= TIMESTAMP '2024-01-20' GROUP BY 1, 2), p AS (SELECT market, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'click'), 2.5) AS h, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'view'), 3.3) AS d, 1 / coalesce(max(price) FILTER (WHERE bookmaker = 'error'), 2.9) AS a FROM l GROUP BY 1)
 SELECT market, round(h / (h + d + a), 6) AS home, round(d / (h + d + a), 6) AS draw, round(a / (h + d + a), 6) AS away FROM p""")
 def _(t):
-    last = t.quotes.where(F.col("observed_at") >= "2024-01-20").groupBy("market", "bookmaker").agg(F.max_by("price", "observed_at").alias("price"))
+    last = t.quotes.where(F.col("observed_at") >= "2024-01-20").groupBy("market", "bookmaker").agg(F.max_by("price", F.struct("observed_at", "quote_id")).alias("price"))
     one = lambda b, d: 1 / F.coalesce(F.max(F.when(F.col("bookmaker") == b, F.col("price"))), F.lit(d))
     p = last.groupBy("market").agg(one("click", 2.5).alias("h"), one("view", 3.3).alias("d"), one("error", 2.9).alias("a"))
     total = F.col("h") + F.col("d") + F.col("a")
     return p.select("market", *[F.round(F.col(c) / total, 6).alias(n) for c, n in (("h", "home"), ("d", "draw"), ("a", "away"))])
 
 
-@query("op_sharp_confirm", "WITH s AS (SELECT market, arg_max(price, observed_at) < arg_min(price, observed_at) AS rlm FROM quotes GROUP BY 1) SELECT bet_id, coalesce(s.rlm, false) OR coalesce(closing_prob - market_prob >= 0.15, false) AS confirmed FROM bets b LEFT JOIN s ON b.market = s.market WHERE status = 'open'")
+@query("op_sharp_confirm", "WITH s AS (SELECT market, arg_max(price, (observed_at, quote_id)) < arg_min(price, (observed_at, quote_id)) AS rlm FROM quotes GROUP BY 1) SELECT bet_id, coalesce(s.rlm, false) OR coalesce(closing_prob - market_prob >= 0.15, false) AS confirmed FROM bets b LEFT JOIN s ON b.market = s.market WHERE status = 'open'")
 def _(t):
     s = open_close(t).select("market", (F.col("close_price") < F.col("open_price")).alias("rlm"))
     no = F.lit(False)
@@ -574,9 +574,9 @@ def _(t):
     return t.bets.where("status <> 'open'").groupBy("sport").agg(F.round(F.avg(F.col("elo_prob") - y), 6).alias("raw_bias"), F.round(F.avg(0.5 * F.col("elo_prob") + 0.25 - y), 6).alias("calibrated_bias"))
 
 
-@query("op_clv_fill", "WITH q AS (SELECT market, arg_max(price, observed_at) AS price FROM quotes GROUP BY 1) SELECT bet_id, round(coalesce(closing_prob, 1 / q.price), 6) AS closing_prob, round(market_prob - coalesce(closing_prob, 1 / q.price), 6) AS clv FROM bets b LEFT JOIN q ON b.market = q.market")
+@query("op_clv_fill", "WITH q AS (SELECT market, arg_max(price, (observed_at, quote_id)) AS price FROM quotes GROUP BY 1) SELECT bet_id, round(coalesce(closing_prob, 1 / q.price), 6) AS closing_prob, round(market_prob - coalesce(closing_prob, 1 / q.price), 6) AS clv FROM bets b LEFT JOIN q ON b.market = q.market")
 def _(t):
-    q = t.quotes.groupBy("market").agg(F.max_by("price", "observed_at").alias("price"))
+    q = t.quotes.groupBy("market").agg(F.max_by("price", F.struct("observed_at", "quote_id")).alias("price"))
     c = F.coalesce("closing_prob", 1 / F.col("price"))
     return t.bets.join(q, "market", "left").select("bet_id", F.round(c, 6).alias("closing_prob"), F.round(F.col("market_prob") - c, 6).alias("clv"))
 

@@ -19,10 +19,10 @@ def _(t):
     return t.snapshots.crossJoin(F.broadcast(ledger)).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.round("volume", 4).alias("value"), "wins", "roi")
 
 
-@query("rm_live_markets", """WITH q AS (SELECT market, arg_max(quote_id, observed_at) AS quote_id, arg_max(price, observed_at) AS price FROM quotes GROUP BY 1), r AS (SELECT market, max(bet_id) AS rec_id FROM bets WHERE status = 'open' GROUP BY 1)
+@query("rm_live_markets", """WITH q AS (SELECT market, arg_max(quote_id, (observed_at, quote_id)) AS quote_id, arg_max(price, (observed_at, quote_id)) AS price FROM quotes GROUP BY 1), r AS (SELECT market, max(bet_id) AS rec_id FROM bets WHERE status = 'open' GROUP BY 1)
 SELECT q.market, q.quote_id, round(q.price, 4) AS price, r.rec_id FROM q LEFT JOIN r ON q.market = r.market""")
 def _(t):
-    q = t.quotes.groupBy("market").agg(F.max_by("quote_id", "observed_at").alias("quote_id"), F.round(F.max_by("price", "observed_at"), 4).alias("price"))
+    q = t.quotes.groupBy("market").agg(F.max_by("quote_id", F.struct("observed_at", "quote_id")).alias("quote_id"), F.round(F.max_by("price", F.struct("observed_at", "quote_id")), 4).alias("price"))
     r = t.bets.where("status = 'open'").groupBy("market").agg(F.max("bet_id").alias("rec_id"))
     return q.join(r, "market", "left").select("market", "quote_id", "price", "rec_id")
 
@@ -56,9 +56,9 @@ def _(t):
     return one("quotes", t.quotes, "observed_at").unionByName(one("bets", t.bets, "placed_date"))
 
 
-@query("rm_bet_detail", """WITH q AS (SELECT market, arg_max(price, observed_at) AS price FROM quotes GROUP BY 1) SELECT bet_id, sport, round(elo_prob - market_prob, 6) AS edge, round(q.price, 4) AS price FROM bets b LEFT JOIN q ON b.market = q.market WHERE elo_prob BETWEEN 0.01 AND 0.99 AND elo_prob - market_prob BETWEEN 0 AND 0.4""")
+@query("rm_bet_detail", """WITH q AS (SELECT market, arg_max(price, (observed_at, quote_id)) AS price FROM quotes GROUP BY 1) SELECT bet_id, sport, round(elo_prob - market_prob, 6) AS edge, round(q.price, 4) AS price FROM bets b LEFT JOIN q ON b.market = q.market WHERE elo_prob BETWEEN 0.01 AND 0.99 AND elo_prob - market_prob BETWEEN 0 AND 0.4""")
 def _(t):
-    q = t.quotes.groupBy("market").agg(F.round(F.max_by("price", "observed_at"), 4).alias("price"))
+    q = t.quotes.groupBy("market").agg(F.round(F.max_by("price", F.struct("observed_at", "quote_id")), 4).alias("price"))
     e = F.col("elo_prob") - F.col("market_prob")
     return t.bets.where(F.col("elo_prob").between(0.01, 0.99) & e.between(0, 0.4)).join(q, "market", "left").select("bet_id", "sport", F.round(e, 6).alias("edge"), "price")
 

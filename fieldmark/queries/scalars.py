@@ -223,9 +223,11 @@ def _(t):
     return t.quotes.select("quote_id", F.date_format(F.date_trunc("hour", "observed_at"), "yyyy-MM-dd HH:mm").alias("hour"))
 
 
-@query("sc_et", "SELECT quote_id, strftime(observed_at - INTERVAL '5' HOUR, '%Y-%m-%d %H:%M') AS eastern FROM quotes")
+@query("sc_et", "SELECT quote_id, strftime(timezone('America/New_York', timezone('UTC', observed_at + INTERVAL '1' MONTH * (quote_id % 12))), '%Y-%m-%d %H:%M') AS eastern FROM quotes")
 def _(t):
-    return t.quotes.select("quote_id", F.date_format(F.from_utc_timestamp("observed_at", "America/New_York"), "yyyy-MM-dd HH:mm").alias("eastern"))
+    """Eastern wall-clock time over all months, summer time included."""
+    at = F.expr("observed_at + make_ym_interval(0, cast(quote_id % 12 as int))")
+    return t.quotes.select("quote_id", F.date_format(F.from_utc_timestamp(at, "America/New_York"), "yyyy-MM-dd HH:mm").alias("eastern"))
 
 
 @query("sc_innings", "SELECT game_id, round(home_score % 10 + (away % 3) / 3.0e0, 6) AS innings FROM games")

@@ -15,14 +15,14 @@ def _(t):
     return latest_by(t.quotes, ["market", "bookmaker"], F.col("observed_at").desc_nulls_last(), F.col("quote_id")).select("market", "bookmaker", "quote_id")
 
 
-@query("tk_latest_signal", "SELECT bookmaker, arg_max(quote_id, observed_at) AS quote_id, arg_max(price, observed_at) > 1.5 AS available FROM quotes GROUP BY 1")
+@query("tk_latest_signal", "SELECT bookmaker, arg_max(quote_id, (observed_at, quote_id)) AS quote_id, arg_max(price, (observed_at, quote_id)) > 1.5 AS available FROM quotes GROUP BY 1")
 def _(t):
-    return t.quotes.groupBy("bookmaker").agg(F.max_by("quote_id", "observed_at").alias("quote_id"), (F.max_by("price", "observed_at") > 1.5).alias("available"))
+    return t.quotes.groupBy("bookmaker").agg(F.max_by("quote_id", F.struct("observed_at", "quote_id")).alias("quote_id"), (F.max_by("price", F.struct("observed_at", "quote_id")) > 1.5).alias("available"))
 
 
-@query("tk_latest_market", "SELECT market, round(1 / arg_max(price, observed_at), 6) AS p FROM quotes WHERE price > 1.05 GROUP BY 1")
+@query("tk_latest_market", "SELECT market, round(1 / arg_max(price, (observed_at, quote_id)), 6) AS p FROM quotes WHERE price > 1.05 GROUP BY 1")
 def _(t):
-    return t.quotes.where("price > 1.05").groupBy("market").agg(F.round(1 / F.max_by("price", "observed_at"), 6).alias("p"))
+    return t.quotes.where("price > 1.05").groupBy("market").agg(F.round(1 / F.max_by("price", F.struct("observed_at", "quote_id")), 6).alias("p"))
 
 
 @query("tk_order_limit", "SELECT quote_id, market FROM quotes ORDER BY observed_at DESC, quote_id LIMIT 30")
@@ -80,7 +80,7 @@ def _(t):
     return s.groupBy("bet_id").agg(F.max_by("pick", "e").alias("pick"), F.round(F.max("e"), 6).alias("edge"))
 
 
-@query("tk_last_known", "SELECT market, arg_max(quote_id, observed_at) AS last_quote, round(arg_max(price, observed_at) FILTER (WHERE bookmaker = 'purchase'), 4) AS last_purchase_price FROM quotes GROUP BY 1")
+@query("tk_last_known", "SELECT market, arg_max(quote_id, (observed_at, quote_id)) AS last_quote, round(arg_max(price, (observed_at, quote_id)) FILTER (WHERE bookmaker = 'purchase'), 4) AS last_purchase_price FROM quotes GROUP BY 1")
 def _(t):
-    buy = F.when(F.col("bookmaker") == "purchase", F.col("observed_at"))
-    return t.quotes.groupBy("market").agg(F.max_by("quote_id", "observed_at").alias("last_quote"), F.round(F.max_by("price", buy), 4).alias("last_purchase_price"))
+    buy = F.when(F.col("bookmaker") == "purchase", F.struct("observed_at", "quote_id"))
+    return t.quotes.groupBy("market").agg(F.max_by("quote_id", F.struct("observed_at", "quote_id")).alias("last_quote"), F.round(F.max_by("price", buy), 4).alias("last_purchase_price"))
