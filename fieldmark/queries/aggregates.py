@@ -194,15 +194,19 @@ def _(t):
     return t.pitches.groupBy("pitcher", "batter", "pitch_type").agg(F.count("*").alias("n"), rate("is_whiff").alias("whiff_rate"), rate("is_csw").alias("csw_rate"), F.round(F.avg("velocity"), 6).alias("avg_velocity"), F.round(F.stddev_samp("location"), 6).alias("spread"))
 
 
-@query("ag_pbp_team", """WITH a AS (SELECT l_orderkey % 200 AS game, l_suppkey % 10 AS team, sum(l_quantity) AS yards, count(*) FILTER (WHERE l_linenumber = 3) AS third, count(*) FILTER (WHERE l_linenumber = 3 AND l_quantity > 25) AS made FROM lineitem GROUP BY 1, 2),
-p AS (SELECT l_orderkey % 200 AS game, l_partkey % 10 AS team, count(*) AS penalties FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
-SELECT a.game, a.team, round(yards, 2) AS yards, CASE WHEN third > 0 THEN round(made * 1.0e0 / third, 6) ELSE 0.0e0 END AS third_rate, coalesce(penalties, 0) AS penalties FROM a LEFT JOIN p ON a.game = p.game AND a.team = p.team""")
+@query("ag_pbp_team", """WITH a AS (SELECT l_orderkey % 200 AS game, l_suppkey % 10 AS team, sum(l_quantity) AS yards, count(*) FILTER (WHERE l_linenumber = 3) AS third, count(*) FILTER (WHERE l_linenumber = 3 AND l_quantity > 25) AS made, count(*) FILTER (WHERE l_linestatus = 'O' AND l_quantity < 5) AS sacked FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_orderkey % 200 AS game, l_partkey % 10 AS team, count(*) AS penalties, sum(l_tax * 100) AS penalty_yards FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), d AS (SELECT l_orderkey % 200 AS game, (l_suppkey + 1 + l_partkey % 9) % 10 AS team, count(*) AS sacks FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 5 GROUP BY 1, 2)
+SELECT a.game, a.team, round(yards, 2) AS yards, CASE WHEN third > 0 THEN round(made * 1.0e0 / third, 6) ELSE 0.0e0 END AS third_rate, coalesce(penalties, 0) AS penalties, round(coalesce(penalty_yards, 0), 2) AS penalty_yards, sacked, coalesce(sacks, 0) AS sacks FROM a LEFT JOIN p ON a.game = p.game AND a.team = p.team LEFT JOIN d ON a.game = d.game AND a.team = d.team""")
 def _(t):
+    """A team's plays of a game: what it did with the ball, its own penalties, and sacks on either side; by three keys, each aggregated before it is joined."""
     x = t.lineitem.withColumn("game", F.col("l_orderkey") % 200)
-    third = F.col("l_linenumber") == 3
-    a = x.groupBy("game", (F.col("l_suppkey") % 10).alias("team")).agg(F.sum("l_quantity").alias("yards"), n_if(third).alias("third"), n_if(third & (F.col("l_quantity") > 25)).alias("made"))
-    p = x.where("l_returnflag = 'R'").groupBy("game", (F.col("l_partkey") % 10).alias("team")).agg(F.count("*").alias("penalties"))
-    return a.join(p, ["game", "team"], "left").select("game", "team", F.round("yards", 2).alias("yards"), F.coalesce(F.round(F.try_divide("made", "third"), 6), F.lit(0.0)).alias("third_rate"), F.coalesce("penalties", F.lit(0).cast("bigint")).alias("penalties"))
+    third, sack = F.col("l_linenumber") == 3, (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 5)
+    a = x.groupBy("game", (F.col("l_suppkey") % 10).alias("team")).agg(F.sum("l_quantity").alias("yards"), n_if(third).alias("third"), n_if(third & (F.col("l_quantity") > 25)).alias("made"), n_if(sack).alias("sacked"))
+    p = x.where("l_returnflag = 'R'").groupBy("game", (F.col("l_partkey") % 10).alias("team")).agg(F.count("*").alias("penalties"), F.sum(F.col("l_tax") * 100).alias("penalty_yards"))
+    d = x.where(sack).groupBy("game", ((F.col("l_suppkey") + 1 + F.col("l_partkey") % 9) % 10).alias("team")).agg(F.count("*").alias("sacks"))
+    g, none = a.join(p, ["game", "team"], "left").join(d, ["game", "team"], "left"), F.lit(0).cast("bigint")
+    rate = F.coalesce(F.round(F.try_divide("made", "third"), 6), F.lit(0.0))
+    return g.select("game", "team", F.round("yards", 2).alias("yards"), rate.alias("third_rate"), F.coalesce("penalties", none).alias("penalties"), F.round(F.coalesce("penalty_yards", F.lit(0.0)), 2).alias("penalty_yards"), "sacked", F.coalesce("sacks", none).alias("sacks"))
 
 
 @query("ag_epa", "SELECT l_suppkey AS team, round(avg(l_quantity - 25), 6) AS epa, round(-avg(l_quantity - 25), 6) AS epa_allowed, round(avg(CASE WHEN l_quantity > 25 THEN 1.0e0 ELSE 0.0e0 END), 6) AS success FROM lineitem GROUP BY 1")

@@ -32,6 +32,22 @@ def _(t):
     return c.groupBy("freshness").agg(F.count("*").alias("n"), F.round(F.avg("clv"), 6).alias("avg_clv"), F.round(F.avg((F.col("clv") > 0).cast("double")), 6).alias("hit_rate"), F.round(F.sum(F.col("stake") * F.col("clv")), 4).alias("weighted"))
 
 
+@query("op_clv_backfill", f"""WITH b AS (SELECT bet_id, market % 150 AS market, market_prob, closing_prob, TIMESTAMP '2024-01-08' + INTERVAL '1' HOUR * (bet_id % 500) AS close_at FROM bets WHERE status <> 'open'),
+c AS (SELECT b.*, q.quote_id, q.bookmaker, q.observed_at, {CLOSE} AS close, row_number() OVER (PARTITION BY bet_id ORDER BY q.observed_at DESC, q.quote_id) AS k FROM b LEFT JOIN quotes q ON q.market = b.market AND q.observed_at <= b.close_at)
+SELECT bet_id, CASE WHEN closing_prob IS NOT NULL AND closing_prob NOT IN (0.0, 1.0) THEN 'recorded' WHEN quote_id IS NULL THEN 'missing_close' ELSE 'market_close' END AS source,
+round(CASE WHEN closing_prob IS NOT NULL AND closing_prob NOT IN (0.0, 1.0) THEN closing_prob WHEN quote_id IS NOT NULL THEN close END, 6) AS closing, round(market_prob - CASE WHEN closing_prob IS NOT NULL AND closing_prob NOT IN (0.0, 1.0) THEN closing_prob WHEN quote_id IS NOT NULL THEN close END, 6) AS clv,
+CASE WHEN quote_id IS NULL THEN 'missing' WHEN close_at - observed_at > INTERVAL '4' HOUR THEN 'stale' ELSE 'fresh' END AS freshness, closing_prob IN (0.0, 1.0) AS was_placeholder FROM c WHERE k = 1""")
+def _(t):
+    """Settled bets whose closing probability is missing or a mere result (0 or 1) get that of the closing quote, and say where it is from."""
+    b = t.bets.where("status <> 'open'").select("bet_id", (F.col("market") % 150).alias("market"), "market_prob", "closing_prob", F.expr("TIMESTAMP '2024-01-08' + make_interval(0, 0, 0, 0, cast(bet_id % 500 as int), 0, 0)").alias("close_at"))
+    got = asof_join(b, t.quotes, ["market"], "close_at", "observed_at", ["quote_id", "price", "observed_at"], prefer=[-F.col("quote_id")], parts=SPANS)
+    known = F.col("closing_prob").isNotNull() & ~F.col("closing_prob").isin(0.0, 1.0)
+    there = F.col("quote_id").isNotNull()
+    close = F.when(known, F.col("closing_prob")).when(there, odds.implied(F.col("price")))
+    old = F.col("close_at") - F.col("observed_at") > F.expr("INTERVAL '4' HOUR")
+    return got.select("bet_id", F.when(known, "recorded").when(there, "market_close").otherwise("missing_close").alias("source"), F.round(close, 6).alias("closing"), F.round(F.col("market_prob") - close, 6).alias("clv"), F.when(~there, "missing").when(old, "stale").otherwise("fresh").alias("freshness"), F.col("closing_prob").isin(0.0, 1.0).alias("was_placeholder"))
+
+
 @query("op_find_opps", """WITH s AS (SELECT bet_id, 'home' AS pick, elo_prob AS p, market_prob AS m FROM bets UNION ALL SELECT bet_id, 'away', 1 - elo_prob, 1 - market_prob FROM bets)
 SELECT bet_id, pick, round(p - m, 6) AS edge, round((p - m) / m, 6) AS ev, CASE WHEN p - m >= 0.15 THEN 'HIGH' WHEN p - m >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s WHERE p - m >= 0.05 AND p - m <= 0.4 AND m <= 0.99""")
 def _(t):
@@ -42,12 +58,28 @@ def _(t):
     return s.where(e.between(0.05, 0.4) & (F.col("m") <= 0.99)).select("bet_id", "pick", F.round(e, 6).alias("edge"), F.round(odds.expected_value(F.col("p"), F.col("m")), 6).alias("ev"), odds.confidence(e).alias("confidence"))
 
 
-@query("op_gate", """WITH p AS (SELECT DISTINCT market FROM bets WHERE status = 'won') SELECT bet_id, CASE WHEN closing_prob IS NULL THEN 'no_evidence' WHEN p.market IS NOT NULL AND bet_id % 2 = 0 THEN 'position_conflict' WHEN elo_prob - market_prob < 0.05 THEN 'low_edge' ELSE 'approved' END AS decision
-FROM (SELECT * FROM bets WHERE status = 'open') b LEFT JOIN p ON b.market = p.market""")
+#: Segments that take no bets.
+CLOSED = (("AFRICA", "LOW"), ("EUROPE", "LOW"))
+
+
+@query("op_gate", f"""WITH b AS (SELECT *, market % 25 AS event FROM bets), o AS (SELECT * FROM b WHERE status = 'open'), h AS (SELECT sport, event, count(*) FILTER (WHERE side = 'home') AS homes, count(*) FILTER (WHERE side = 'away') AS aways FROM b WHERE status = 'won' AND placed_date >= DATE '1998-06-01' GROUP BY 1, 2),
+g AS (SELECT sport, sum(cost) FILTER (WHERE status = 'open') AS exposed, 0.5e0 * sum(cost) + sum(coalesce(profit, 0)) AS worth FROM bets GROUP BY 1),
+x AS (SELECT o.*, coalesce(CASE o.side WHEN 'home' THEN homes ELSE aways END, 0) AS same, coalesce(CASE o.side WHEN 'home' THEN aways ELSE homes END, 0) AS other, exposed >= worth AS ruined FROM o LEFT JOIN h ON h.sport = o.sport AND h.event = o.event JOIN g ON g.sport = o.sport)
+SELECT bet_id, CASE WHEN same > 0 AND other > 0 THEN 'both_sides' WHEN same > 0 THEN 'same_side' WHEN other > 0 THEN 'opposite_side' ELSE 'no_existing_position' END AS position,
+CASE WHEN {' OR '.join(f"(sport = '{a}' AND confidence = '{b}')" for a, b in CLOSED)} THEN 'segment_excluded' WHEN closing_prob IN (0.0, 1.0) THEN 'contaminated_evidence' WHEN closing_prob IS NULL THEN 'missing_evidence' WHEN ruined THEN 'risk_of_ruin_gate_blocked' WHEN other > 0 THEN 'same_match_conflict' WHEN same > 0 THEN 'existing_position_conflict' WHEN elo_prob - market_prob < 0.05 THEN 'low_edge' ELSE 'approved' END AS decision FROM x""")
 def _(t):
-    held = t.bets.where("status = 'won'").select("market").distinct().withColumn("held", F.lit(True))
-    b = t.bets.where("status = 'open'").join(held, "market", "left")
-    return b.select("bet_id", first_reason(("no_evidence", F.col("closing_prob").isNull()), ("position_conflict", F.coalesce("held", F.lit(False)) & (F.col("bet_id") % 2 == 0)), ("low_edge", edge() < 0.05)).alias("decision"))
+    """An open bet's first reason to be refused: segment, evidence, the sport's guardrail, positions on its event, edge."""
+    b = t.bets.withColumn("event", F.col("market") % 25)
+    held = b.where("status = 'won' and placed_date >= DATE '1998-06-01'").groupBy("sport", "event").agg(n_if(F.col("side") == "home").alias("homes"), n_if(F.col("side") == "away").alias("aways"))
+    g = t.bets.groupBy("sport").agg((F.sum(F.when(F.col("status") == "open", F.col("cost"))) >= 0.5 * F.sum("cost") + F.sum(F.coalesce("profit", F.lit(0.0)))).alias("ruined"))
+    x = b.where("status = 'open'").join(held, ["sport", "event"], "left").join(F.broadcast(g), "sport")  # a row a sport
+    home = F.col("side") == "home"
+    same, other = (F.coalesce(F.when(home, a).otherwise(z), F.lit(0)) for a, z in ((F.col("homes"), F.col("aways")), (F.col("aways"), F.col("homes"))))
+    closed = F.concat_ws("|", "sport", "confidence").isin(*["|".join(c) for c in CLOSED])
+    place = F.when((same > 0) & (other > 0), "both_sides").when(same > 0, "same_side").when(other > 0, "opposite_side").otherwise("no_existing_position")
+    close = F.col("closing_prob")
+    why = first_reason(("segment_excluded", closed), ("contaminated_evidence", close.isin(0.0, 1.0)), ("missing_evidence", close.isNull()), ("risk_of_ruin_gate_blocked", F.coalesce("ruined", F.lit(False))), ("same_match_conflict", other > 0), ("existing_position_conflict", same > 0), ("low_edge", edge() < 0.05))
+    return x.select("bet_id", place.alias("position"), why.alias("decision"))
 
 
 LIMITS = Limits()
@@ -392,10 +424,31 @@ def _(t):
     return k.agg(F.round(pnl, 2).alias("pnl"), F.round(pnl / F.sum("stake"), 6).alias("roi"))
 
 
-@query("op_adjustments", "SELECT bet_id, round(0.4 * elo_prob + 0.6 * market_prob, 6) AS book60, round(least(greatest(elo_prob * 1.01, 0.01), 0.99), 6) AS recency, round(least(greatest(elo_prob + CASE WHEN side = 'home' THEN 0.02 ELSE -0.02 END, 0.01), 0.99), 6) AS situation FROM bets")
-def _(t):
-    e = F.col("elo_prob")
-    return t.bets.select("bet_id", F.round(0.4 * e + 0.6 * F.col("market_prob"), 6).alias("book60"), F.round(odds.clip(e * 1.01, 0.01, 0.99), 6).alias("recency"), F.round(odds.clip(e + F.when(F.col("side") == "home", 0.02).otherwise(-0.02), 0.01, 0.99), 6).alias("situation"))
+@query("op_adjustments", """WITH g AS (SELECT game_id, home, away, home_score, away_score, elo_prob AS p, market_prob AS m, date_diff('day', game_date, max(game_date) OVER ()) AS days FROM games JOIN bets ON bet_id = game_id),
+h AS (SELECT home AS team, count(*) AS n, count(*) FILTER (WHERE home_score > away_score) AS w FROM g GROUP BY 1), a AS (SELECT away AS team, count(*) AS n, count(*) FILTER (WHERE away_score > home_score) AS w FROM g GROUP BY 1),
+f AS (SELECT team, coalesce(h.w * 1.0e0 / h.n, 0.5e0) - 0.5 AS at_home, coalesce(a.w * 1.0e0 / a.n, 0.5e0) - 0.5 AS away FROM h FULL JOIN a USING (team) WHERE coalesce(h.n, 0) + coalesce(a.n, 0) > 10)
+SELECT game_id, round(least(greatest(0.7 * p + 0.3 * m, 0.01), 0.99), 6) AS blend, round(least(greatest(p * least(1.0e0, greatest(0.5e0, 1 - days / 365.0e0)), 0.01), 0.99), 6) AS recency,
+round(CASE WHEN x.team IS NULL OR y.team IS NULL THEN p ELSE least(greatest(p * (1 + x.at_home - y.away), 0.01), 0.99) END, 6) AS team_factor,
+round(least(greatest(p * (CASE WHEN home_score = away_score THEN 1.0e0 ELSE 1 + 0.001 * least(greatest(abs(home_score - away_score), 1), 10) * ln(abs(home_score - away_score) + 1) END), 0.01), 0.99), 6) AS margin, round(least(greatest(p, 0.01), 0.99), 6) AS situation
+FROM g LEFT JOIN f x ON x.team = g.home LEFT JOIN f y ON y.team = g.away""")
+def _(t):
+    """Five variants of a game's probability: blended with the market, weighed by age, by the sides' records at home and away, by the margin, by the situation (none is known)."""
+    g = t.games.join(t.bets.select(F.col("bet_id").alias("game_id"), F.col("elo_prob").alias("p"), F.col("market_prob").alias("m")), "game_id")
+    won = lambda a, b: F.count(F.when(F.col(f"{a}_score") > F.col(f"{b}_score"), 1))
+    h = g.groupBy(F.col("home").alias("team")).agg(F.count("*").alias("hn"), won("home", "away").alias("hw"))
+    a = g.groupBy(F.col("away").alias("team")).agg(F.count("*").alias("an"), won("away", "home").alias("aw"))
+    rate = lambda w, n: F.coalesce(F.col(w) / F.col(n), F.lit(0.5)) - 0.5
+    f = h.join(a, "team", "full_outer").where(F.coalesce("hn", F.lit(0)) + F.coalesce("an", F.lit(0)) > 10).select("team", rate("hw", "hn").alias("at_home"), rate("aw", "an").alias("on_road"))
+    x, y = f.select(F.col("team").alias("home"), "at_home"), f.select(F.col("team").alias("away"), "on_road")
+    last = t.games.join(t.bets.select(F.col("bet_id").alias("game_id")), "game_id", "left_semi").agg(F.max("game_date").alias("last"))  # one row
+    g = g.join(x, "home", "left").join(y, "away", "left").crossJoin(F.broadcast(last))
+    p, gap = F.col("p"), F.abs(F.col("home_score") - F.col("away_score"))
+    clip = lambda c: odds.clip(c, 0.01, 0.99)
+    age = odds.clip(1 - F.date_diff("last", "game_date") / 365.0, 0.5, 1.0)
+    mov = F.when(gap == 0, 1.0).otherwise(1 + 0.001 * F.least(F.greatest(gap, F.lit(1)), F.lit(10)) * F.log(gap + 1.0))
+    team = F.when(F.col("at_home").isNull() | F.col("on_road").isNull(), p).otherwise(clip(p * (1 + F.col("at_home") - F.col("on_road"))))
+    variants = {"blend": clip(0.7 * p + 0.3 * F.col("m")), "recency": clip(p * age), "team_factor": team, "margin": clip(p * mov), "situation": clip(p)}
+    return g.select("game_id", *[F.round(c, 6).alias(n) for n, c in variants.items()])
 
 
 #: The day of the check; rows from after it are of the future.

@@ -120,14 +120,17 @@ def _(t):
     return now.join(old.select("league", "team", "old"), ["league", "team"]).groupBy("league").agg(F.round(F.max(F.abs(F.col("rating") - F.col("old"))), 4).alias("divergence"))
 
 
-@query("rt_recalc", f"""{STD}, {last_sql('fin')} SELECT game_id, round(1 / (1 + pow(10.0e0, (a.rating - h.rating - 100) / 400)), 6) AS p_home
-FROM (SELECT * FROM games WHERE status = 'scheduled') s JOIN fin h ON h.league = s.league AND h.team = s.home JOIN fin a ON a.league = s.league AND a.team = s.away""")
+@query("rt_recalc", f"""{STD}, {last_sql('fin')}, p AS (SELECT g.game_id, g.league, h.rating AS hr, a.rating AS ar, 1 / (1 + pow(10.0e0, (a.rating - h.rating - 100) / 400)) AS p_home FROM games g JOIN fin h ON h.league = g.league AND h.team = g.home JOIN fin a ON a.league = g.league AND a.team = g.away)
+SELECT bet_id, round(hr, 4) AS home_rating, round(ar, 4) AS away_rating, round(q, 6) AS prob, round(q - market_prob, 6) AS edge, round((q - market_prob) / market_prob, 6) AS value, round(abs(q - elo_prob), 6) AS shift FROM (SELECT *, CASE WHEN side = 'home' THEN p_home ELSE 1 - p_home END AS q FROM bets JOIN p ON p.game_id = bet_id WHERE bets.status IN ('won', 'lost'))""")
 def _(t):
-    """Scheduled games priced with replayed ratings."""
+    """Settled bets priced anew with replayed ratings: the probability of the side that was bet on, its edge and value, and how far it moved."""
     r = final_ratings(ordered_fold(final_games(t), SPECS["rt_elo_std"])).select("league", "team", "rating")
     h, a = r.select("league", F.col("team").alias("home"), F.col("rating").alias("hr")), r.select("league", F.col("team").alias("away"), F.col("rating").alias("ar"))
-    g = t.games.where("status = 'scheduled'").join(h, ["league", "home"]).join(a, ["league", "away"])
-    return g.select("game_id", F.round(odds.expected_score(F.col("hr"), F.col("ar"), 100.0), 6).alias("p_home"))
+    g = t.games.join(h, ["league", "home"]).join(a, ["league", "away"]).select(F.col("game_id").alias("bet_id"), "hr", "ar")
+    b = t.bets.where("status in ('won', 'lost')").join(g, "bet_id")
+    home = odds.expected_score(F.col("hr"), F.col("ar"), 100.0)
+    q, m = F.when(F.col("side") == "home", home).otherwise(1 - home), F.col("market_prob")
+    return b.select("bet_id", F.round("hr", 4).alias("home_rating"), F.round("ar", 4).alias("away_rating"), F.round(q, 6).alias("prob"), F.round(q - m, 6).alias("edge"), F.round((q - m) / m, 6).alias("value"), F.round(F.abs(q - F.col("elo_prob")), 6).alias("shift"))
 
 
 @query("rt_backtest", f"""{elo_sql(BACKTEST)}, m AS (SELECT s.config, s.p_home AS p, CASE WHEN g.home_score > g.away_score THEN 1.0e0 ELSE 0.0e0 END AS y FROM scored s JOIN games g USING (game_id))

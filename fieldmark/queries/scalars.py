@@ -186,11 +186,16 @@ def _(t):
     return t.games.select("game_id", F.concat_ws("_", F.col("league").cast("string"), F.date_format("game_date", "yyyyMMdd"), clean, F.concat(F.lit("T"), F.col("away").cast("string"))).alias("stable_id"))
 
 
-@query("sc_tennis_name", "SELECT c_custkey, CASE WHEN c_name LIKE '%.' THEN c_name ELSE split_part(p, ' ', 2) || ' ' || substr(p, 1, 1) || '.' END AS short_name FROM (SELECT c_custkey, c_name, replace(c_name, '#', ' ') AS p FROM customer)")
+@query("sc_tennis_name", """SELECT c_custkey, CASE WHEN n LIKE '%.' THEN n ELSE split_part(n, ' ', 2) || ' ' || substr(n, 1, 1) || '.' END AS short_name, lower(trim(regexp_replace(replace(raw, '.', ''), '[ ]+', ' ', 'g'))) AS plain_name
+FROM (SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE '' END AS raw, replace(c_name, '#', ' ') || CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE '' END AS n FROM customer)""")
 def _(t):
-    p = F.split(F.regexp_replace("c_name", "#", " "), " ")
+    """Two forms of a name: rest and first initial, unless it ends with a dot already; and without dots, with single spaces."""
+    raw = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, ".").otherwise(""))
+    c = t.customer.select("c_custkey", raw.alias("raw"), F.regexp_replace(raw, "#", " ").alias("n"))
+    p = F.split("n", " ")
     short = F.concat(F.array_join(F.slice(p, 2, 9), " "), F.lit(" "), F.substring(p[0], 1, 1), F.lit("."))
-    return t.customer.select("c_custkey", F.when(F.col("c_name").endswith("."), F.col("c_name")).otherwise(short).alias("short_name"))
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace("raw", r"\.", ""), " +", " ")))
+    return c.select("c_custkey", F.when(F.col("n").endswith("."), F.col("n")).otherwise(short).alias("short_name"), plain.alias("plain_name"))
 
 
 @query("sc_tennis_score", """SELECT game_id, 2 + CASE WHEN home % 2 = 0 THEN 1 ELSE 0 END AS winner_sets, 6 + 7 + CASE WHEN home % 2 = 0 THEN 6 ELSE 3 END AS winner_games, away % 5 = 0 AS retired
