@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,34 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
 _S = " \t-\r\x85\xa0"  # what both the tokenizer and str.split() take for white space
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_WIDE = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
+#: What takes a text off the plainest way: characters beyond those, and what may be a special token.
+_BEYOND = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
+#: The same split for all of Unicode.
+_WIDE_PIECE = regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class _Settled(dict):
+    """Character -> whether its kind is beyond doubt, worked out once each.
+
+    Not so are letters, digits and spaces that are younger than Unicode 3.2 or
+    were another kind of character then, as the tokenizer's tables may be older
+    or newer than ours; characters that are not assigned; and the four controls
+    that ``str.split`` takes for white space and the tokenizer doesn't.
+    """
+
+    def __missing__(self, c: str) -> bool:
+        kind, old = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+        ok = not ("\x1c" <= c <= "\x1f" or kind in ("Cn", "Co", "Cs") or (kind[0] in "LNZ" and c > "\xff" and old[0] != kind[0]))
+        self[c] = ok
+        return ok
+
+
+_SETTLED = _Settled()
+
+
+def _lower(text: str) -> str:
+    """As the tokenizer normalises: composed, each character lower-cased by itself (a final sigma is like any other)."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 class Merges:
@@ -178,8 +207,9 @@ class Tokens:
     Words repeat, so the ids of recent words, and of the pieces that words with
     other characters than letters consist of, are kept (a cache only: results
     never depend on it).  A cached entry takes some 200 bytes, so ``keep``
-    bounds a worker at 40 MB.  Texts with characters beyond the first 256 code
-    points, or with what may be a special token, go to the tokenizer as they are.
+    bounds a worker at 40 MB.  Texts in any script are split here; those with
+    what may be a special token, or with characters whose kind depends on the
+    version of Unicode, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, keep: int = 100_000):
@@ -190,13 +220,21 @@ class Tokens:
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _words(text: str) -> list[str] | None:
+        if not _BEYOND.search(text):
+            return text.lower().split()
+        if "<|" in text or not all(map(_SETTLED.__getitem__, set(text))):
+            return None
+        return _lower(text).split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _WIDE.search(t) else t.lower().split() for t in texts]
+        split = [self._words(t) for t in texts]
         known = self.known
         known.turn()
         new = known.missing(set().union(*filter(None, split)))
         mixed = [w for w in new if not w.isalpha()]  # all others are one piece each
-        cut = list(map(_PIECE.findall, mixed))
+        cut = [(_PIECE if w.isascii() else _WIDE_PIECE).findall(w) for w in mixed]
         fresh = list({*filter(str.isalpha, new), *known.missing(set().union(*cut))})
         known.update(zip(fresh, self.merges.ids(fresh), strict=True))
         get = known.__getitem__

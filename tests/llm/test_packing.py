@@ -85,3 +85,35 @@ def test_documents(spark):
         assert end <= 64
     assert len(places) <= 1.03 * sum(g.length for g in got) / 64 + 1
     assert P.packed_documents(empty(spark)).count() == 0
+
+
+WIDE = [
+    "Привет, мир! ЁЖИК в тумане №5", "“curly” – dashes — and ‘quotes’ don’t", "你好，世界。今天天气很好！", "こんにちは 世界 カタカナ", "ภาษาไทยไม่มีช่องว่าง", "ΟΔΥΣΣΕΥΣ ὈΔΥΣΣΕΎΣ Σ ς", "İstanbul ışık KELVIN K Å", "한국어 한글 \u1112\u1161\u11ab",
+    "e\u0301 combining n\u0303 ﬁ ligature ǅ", "emoji 🙂🙂 and 👩‍👩‍👧 zwj", "٣٤٥ عربي शून्य १२३", "a\u200bb\u00a0c\u2003d\u3000e\u2028f\u1680g", "x\x1cy\x1dz", "①②③ Ⅻ ½ 二", "Ⴀა Ა Ꭰꭰ", "\U0001d54f \U00020000 \U0001e900", "<|startoftext|> Ж <|", "it’s I'M ‘tis 'Ж'S",
+]
+
+
+def test_every_script_is_split_as_the_tokenizer_does(tokens):
+    model = Tokenizer.from_file(P.word_tokenizer())
+    texts = WIDE + [" ".join(WIDE)]
+    for t, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, t
+    assert sum(tokens._words(t) is None for t in WIDE) <= 4  # controls, special tokens, young letters
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=4))
+def test_ids_of_any_characters(texts):
+    model = MODEL
+    for t, ids in zip(texts, SHARED.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=0x100, max_codepoint=0x2FFF), max_size=30), min_size=1, max_size=4))
+def test_ids_of_living_scripts(texts):
+    for t, ids in zip(texts, SHARED.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == MODEL.encode(t, add_special_tokens=False).ids
+
+
+MODEL, SHARED = Tokenizer.from_file(P.word_tokenizer()), P.Tokens(P.word_tokenizer(), keep=50)
