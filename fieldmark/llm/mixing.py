@@ -66,7 +66,7 @@ def typical_words(docs: DataFrame, known: DataFrame, per_domain: int = PER_DOMAI
     texts = docs.select("doc_id", "text").join(known.where(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     each = materialise(texts.select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")), "mix-words")
     n = {r["domain"]: r["count"] for r in each.groupBy("domain").count().collect()}
-    seen = each.select("domain", F.explode("words").alias("word")).where("length(word) <= 30").groupBy("word").pivot("domain", sorted(n)).count().na.fill(0)
+    seen = each.select("domain", F.explode("words").alias("word")).groupBy("word").pivot("domain", sorted(n)).count().na.fill(0)
     seen = materialise(seen, "mix-word-counts") if n else None
     found = {}
     for name in sorted(n):
