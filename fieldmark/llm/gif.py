@@ -201,15 +201,19 @@ def _rows(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes):
-    """Yields (delay in hundredths of a second, canvas of height x width x RGBA) as each frame shows; ValueError at a fault."""
+#: Pixels that a screen or a frame may have: a file of a few bytes may claim four thousand million of them.
+PIXELS = 1 << 24
+
+
+def decode(data: bytes, pixels: int = PIXELS):
+    """Yields (delay in hundredths of a second, canvas of height x width x RGBA) as each frame shows; ValueError at a fault, or above ``pixels``."""
     try:
-        yield from _decode(data)
+        yield from _decode(data, pixels)
     except (IndexError, struct.error) as e:
         raise ValueError("the GIF breaks off") from e
 
 
-def _decode(data: bytes):
+def _decode(data: bytes, pixels: int):
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -218,6 +222,8 @@ def _decode(data: bytes):
         size = 2 << (flags & 7)
         common = _palette(data, at, size)
         at += 3 * size
+    if width * height > pixels:
+        raise ValueError(f"a screen of {width} x {height}")
     canvas = np.zeros((height, width, 4), np.uint8)  # never changed in place: a frame makes a new one
     delay, disposal, clear = 0, 0, None
     colours = painted = None
@@ -232,6 +238,8 @@ def _decode(data: bytes):
             raise ValueError("not a GIF block")
         x, y, w, h, f = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if w * h > pixels:
+            raise ValueError(f"a frame of {w} x {h}")
         palette = common
         if f & 0x80:
             size = 2 << (f & 7)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import pytest
 import numpy as np
 from fieldmark.llm import gif as G
 from hypothesis import given, settings
@@ -139,3 +140,16 @@ def test_faults_give_an_error_after_the_frames_before(spark):
             list(G.decode(good[:cut]))
         except ValueError:
             pass
+
+
+def test_a_few_bytes_can_not_claim_a_huge_picture():
+    import struct
+
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x00\x3b"
+    with pytest.raises(ValueError, match="screen"):
+        list(G.decode(bomb))
+    small = bomb[:6] + struct.pack("<HH", 4, 4) + bomb[10:]
+    with pytest.raises(ValueError, match="frame"):
+        list(G.decode(small))
+    with pytest.raises(ValueError, match="screen"):
+        list(G.decode(G.encode([bytes([7] * 16)], 4, 4), pixels=15))
