@@ -20,7 +20,7 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,27 @@ def paths(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
 
 
+def _once(book: DataFrame) -> DataFrame:
+    """A row a blob and rule version: runs that wrote to one ledger at once may have scanned the same blob."""
+    return book.dropDuplicates(["blob", "rule_version"])
+
+
+def kept_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept below ``path``; None before the first run."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(FINDINGS).parquet(path)
+
+
+def scan_with_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """A row of findings for each doc_id; blobs that the ledger below ``path`` holds are not scanned, all others are and join it."""
+    spark = docs.sparkSession
+    new = materialise(scan_new(docs, kept_ledger(spark, path)), "ledger-new")
+    new.write.mode("append").parquet(path)
+    return _findings(docs, _once(spark.read.schema(FINDINGS).parquet(path)))
+
+
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Findings of the blobs in docs that the ledger doesn't hold for this rule version; append them to the ledger."""
     texts = paths(docs, ["text"])
@@ -104,16 +125,19 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return texts.mapInArrow(_pack, "blob string, packed binary").repartition("blob").mapInArrow(_scan, FINDINGS)
 
 
+def _findings(docs: DataFrame, book: DataFrame) -> DataFrame:
+    hits = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).drop("rule_version")
+    found = paths(docs, ["doc_id"]).join(hits, "blob", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")}
+    return found.select("doc_id", *zero.values(), F.coalesce("base_sha256", F.lit(EMPTY_SHA)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(a row of findings for each doc_id, the ledger with what was new)."""
     book = materialise(scan_new(docs, ledger), "ledger")
     if ledger is not None:
-        book = ledger.select(book.columns).unionByName(book)
-    hits = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).drop("rule_version")
-    found = paths(docs, ["doc_id"]).join(hits, "blob", "left")
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")}
-    rows = found.select("doc_id", *zero.values(), F.coalesce("base_sha256", F.lit(EMPTY_SHA)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
-    return rows, book
+        book = _once(ledger.select(book.columns).unionByName(book))
+    return _findings(docs, book), book
 
 
 def redact(text: str, spans: str) -> str:
@@ -139,7 +163,7 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """
     book = materialise(scan_new(docs, ledger), "ledger")
     if ledger is not None:
-        book = ledger.select(book.columns).unionByName(book)
+        book = _once(ledger.select(book.columns).unionByName(book))
     names = docs.columns
     blob, spans, packed = (fresh(n, names) for n in ("_blob", "_spans", "_packed"))
     hits = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans))

@@ -69,3 +69,19 @@ def test_rules_are_linear_in_long_texts():
         began = time.time()
         S.find(stem * (1_000_000 // len(stem)))
         assert time.time() - began < 5, stem
+
+
+def test_a_kept_ledger_is_scanned_once(spark, tmp_path, monkeypatch):
+    docs, at = documents(spark, TEXTS), str(tmp_path / "ledger")
+    first = sorted(map(tuple, S.scan_with_ledger(docs, at).collect()), key=str)
+    book = S.kept_ledger(spark, at)
+    n = book.count()
+    assert n == book.select("blob").distinct().count()
+    assert sorted(map(tuple, S.scan_with_ledger(docs, at).collect()), key=str) == first
+    assert S.kept_ledger(spark, at).count() == n and S.scan_new(docs, book).count() == 0  # the second run had nothing to scan
+    S.scan_with_ledger(documents(spark, TEXTS + ["token=newnewnewnew"]), at)
+    assert S.kept_ledger(spark, at).count() == n + 1
+    twice = book.unionByName(book)  # two runs that wrote at once
+    rows, kept = S.scan(docs, twice)
+    assert sorted(map(tuple, rows.collect()), key=str) == first and kept.count() == n
+    assert S.redacted(docs, twice).count() == docs.count()
