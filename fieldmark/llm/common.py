@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+_SCRATCH: ContextVar[str | None] = ContextVar("fieldmark_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``materialise`` writes within go to a folder of their own, which is deleted at the end, after an error too.
+
+    A frame that reads such a table can't be used afterwards: write it with ``kept`` first.
+    """
+    folder = f"{shared_dir(spark)}/fieldmark-scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within ``scratch`` the table goes with the others of its scope, unless ``kept``.  Outside of it, or kept, it belongs to the
+    caller: tables are named fieldmark-..., and may go once the result is read.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldmark-{label}-{uuid.uuid4().hex}"
+    folder = None if kept else _SCRATCH.get()
+    path = f"{folder or shared_dir(spark)}/fieldmark-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
