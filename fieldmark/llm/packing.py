@@ -352,9 +352,14 @@ def placing(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 
 def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """cut: pieces with ``length`` -> the same columns with sequence_id and offset.  cut must be a stored table."""
+    """cut: pieces with ``length`` -> the same columns with sequence_id and offset.
+
+    The salt is stored with each piece, as it depends on the piece's partition, too: rows that repeat an id and a text
+    have as many salts as partitions hold them, so a mass of equal rows is ranked in as many tasks.
+    """
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    salts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salted = materialise(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(salts))), "pieces")
     sizes = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-sizes")
     counts = np.zeros(limit + 1, np.int64)
     for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most limit rows
@@ -382,7 +387,7 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of the documents."""
-    return pack(materialise(pieces(docs, tokenizer or word_tokenizer(), limit), "pieces"), limit)
+    return pack(pieces(docs, tokenizer or word_tokenizer(), limit), limit)
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

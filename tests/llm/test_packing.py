@@ -87,6 +87,16 @@ def test_documents(spark):
     assert P.packed_documents(empty(spark)).count() == 0
 
 
+def test_equal_rows_are_ranked_in_as_many_tasks_as_partitions_hold_them(spark, monkeypatch):
+    stored, plain = {}, P.materialise
+    monkeypatch.setattr(P, "materialise", lambda df, label, *kept: stored.setdefault(label, plain(df, label, *kept)))
+    docs = spark.range(0, 4000, 1, 8).selectExpr("cast(null as bigint) as doc_id", "'' as text")
+    got = P.packed_documents(docs, limit=64).collect()
+    salts = stored["pieces"].groupBy("salt").count().collect()
+    assert len(salts) > 4 and max(r["count"] for r in salts) < 1600
+    assert sorted((g.sequence_id, g.offset) for g in got) == [(i, k) for i in range(63) for k in range(64 if i < 62 else 4000 - 62 * 64)]
+
+
 WIDE = [
     "Привет, мир! ЁЖИК в тумане №5", "“curly” – dashes — and ‘quotes’ don’t", "你好，世界。今天天气很好！", "こんにちは 世界 カタカナ", "ภาษาไทยไม่มีช่องว่าง", "ΟΔΥΣΣΕΥΣ ὈΔΥΣΣΕΎΣ Σ ς", "İstanbul ışık KELVIN K Å", "한국어 한글 \u1112\u1161\u11ab",
     "e\u0301 combining n\u0303 ﬁ ligature ǅ", "emoji 🙂🙂 and 👩‍👩‍👧 zwj", "٣٤٥ عربي शून्य १२३", "a\u200bb\u00a0c\u2003d\u3000e\u2028f\u1680g", "x\x1cy\x1dz", "①②③ Ⅻ ½ 二", "Ⴀა Ა Ꭰꭰ", "\U0001d54f \U00020000 \U0001e900", "<|startoftext|> Ж <|", "it’s I'M ‘tis 'Ж'S",
