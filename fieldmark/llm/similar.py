@@ -14,10 +14,14 @@ so far leave in different groups:
    buckets of a group of copies;
 2. small buckets: all pairs; large ones: every text against two that the
    bucket picks by its own hash;
-3. large buckets still apart: all with all, in blocks of about CROWD texts, two
-   blocks a task.
-
-So no link is lost to a bucket's size, no row is made for a pair that is no
+3. large buckets still apart: up to CROWD texts all with all.  Texts of larger
+   ones are dealt into finer buckets, one for each of the rare shingles of which
+   two similar texts must share one, and these go through the rounds in their
+   turn; what is large and apart there as well goes all with all, in blocks of
+   about CROWD texts, two blocks a task.
+
+So texts that share boilerplate but little else part without being compared.
+No link is lost to a bucket's size, no row is made for a pair that is no
 candidate, and a group of copies costs a row a text however large it is.
 
 Texts are known by their 128-bit digest; copies are one text.  A null text is
@@ -29,6 +33,7 @@ long texts are taken whole.  Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import fresh, give_back, materialise, slices
 from .components import connected_components
@@ -45,6 +51,8 @@ from .simhash import near_links, shingle_hashes, simhash
 BANDS, ROWS = 20, 5
 #: Buckets up to PAIRED texts are paired; CROWD texts of a larger one make a block.
 PAIRED, CROWD = 16, 512
+#: Parts that a frequent shingle's texts are counted in.
+SALTS = 64
 #: Bits of each least hash that the sketch keeps: planes of HALF bits each.
 DEPTH, HALF = 4, BANDS * ROWS // 2
 SKETCH = [f"s{i}" for i in range(2 * DEPTH)]
@@ -224,11 +232,59 @@ def compared(i: int, j: int, blocks: list[int], nodes: list[int], roots: list[in
     return out
 
 
+def rare_shingles(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """texts(node, packed) -> (key, node): the shingles of which a text must share one with any similar one, as keys.
+
+    Of n shingles a similar text has ceil(similarity * n) at least, so two such
+    texts share one among the first n - ceil(similarity * n) + 1 of each, in any
+    order that is the same for both.  The order is from rare to frequent: what
+    many texts have in common comes last.
+    """
+
+    def shingles(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in slices(batches, "packed"):
+            for node, packed in zip(b.column("node").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(z.decompress(packed), width))
+                need = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), need, np.int32))], names=["node", "key", "need"])
+
+    each = texts.mapInArrow(shingles, "node bigint, key bigint, need int").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    each = materialise(each, "similar-shingles")
+    parts = each.groupBy("key", "salt").agg(F.count("*").alias("part"))
+    often = parts.join(parts.groupBy("key").agg(F.sum("part").alias("often")), "key").drop("part")
+    order = Window.partitionBy("node").orderBy("often", "key")
+    ranked = each.join(often, ["key", "salt"]).withColumn("rank", F.row_number().over(order))
+    return ranked.where("rank <= need and often > 1").select("key", "node")
+
+
+def in_buckets(keyed: DataFrame, label: str) -> DataFrame:
+    """(key, node) with the size ``n`` and the smallest node ``low`` of each key that more than one node has."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    return materialise(keyed.join(sizes, "key"), label)
+
+
+def rounds(met: DataFrame, roots: DataFrame | None, judge: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first two rounds over met(key, node, n, low), and links to judge beside them -> roots, and the rows of large buckets still apart."""
+    # 1: each with the bucket's smallest
+    stars = met.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    roots = joined(roots, judge(stars if near is None else stars.unionByName(near)))
+    # 2: small buckets pair by pair, large ones with two of their own choice
+    left = apart(met, roots)
+    few, many = left.where(F.col("n") <= PAIRED), left.where(F.col("n") > PAIRED)
+    side = lambda n: few.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    pairs = side("a").join(side("b"), "key").where("a > b and root_a <> root_b").select("a", "b")
+    picked = many.groupBy("key").agg(*[F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(i))).alias(f"p{i}") for i in range(2)])
+    stars = many.join(picked.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("root <> p.root").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    roots = joined(roots, judge(pairs.unionByName(stars)))
+    return roots, apart(many.select("key", "node", "n"), roots)
+
+
 def crowd_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """many(key, node, n, root) of large buckets -> links (a, b) that join what is apart in one.
 
-    A bucket of n texts falls into n / CROWD blocks by a hash of the node, and
-    every two blocks meet in a group of their own, so a task holds two blocks
+    A bucket of n texts falls into n / CROWD blocks by a hash of the node (one,
+    if it has no more), and every two blocks meet in a group of their own, so a task holds two blocks
     whatever the size of the bucket.
     """
     count = F.ceil(F.col("n") / CROWD).cast("int")
@@ -256,8 +312,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     nodes = each.where(F.size("bands") > 0)
     # buckets: bands, and equal fingerprints as one more
     keyed = nodes.select("node", F.explode(F.concat("bands", F.array(F.xxhash64("fp", F.lit("fp"))))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    met = materialise(keyed.join(sizes, "key"), "buckets")
+    met = in_buckets(keyed, "buckets")
     first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fp-first")
     by = lambda n: first.select(F.col("fp").alias(n), F.col("first").alias(f"node_{n}"))
     near = near_links(first.select("fp")).join(by("a"), "a").join(by("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -265,19 +320,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     ends = met.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = materialise(packed_texts(docs, each.join(ends, "node", "left_semi").select("text_key", "node")), "candidate-texts")
     judge = lambda pairs: verified(likely(pairs, nodes, similarity), texts, width, similarity)
-    # 1: each with the bucket's smallest
-    roots = joined(None, judge(met.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(near)))
-    # 2: small buckets pair by pair, large ones with two of their own choice
-    left = apart(met, roots)
-    few, many = left.where(F.col("n") <= PAIRED), left.where(F.col("n") > PAIRED)
-    side = lambda n: few.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    pairs = side("a").join(side("b"), "key").where("a > b and root_a <> root_b").select("a", "b")
-    picked = many.groupBy("key").agg(*[F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(i))).alias(f"p{i}") for i in range(2)])
-    stars = many.join(picked.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("root <> p.root").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-    roots = joined(roots, judge(pairs.unionByName(stars)))
-    # 3: what is still apart in large buckets, in blocks
-    crowded = apart(many.select("key", "node", "n"), roots)
-    roots = joined(roots, crowd_links(crowded, nodes, texts, width, similarity))
+    roots, crowded = rounds(met, None, judge, near)
+    # 3: what is still apart in large buckets, by finer ones where it is more than a block
+    links = crowd_links(crowded.where(F.col("n") <= CROWD), nodes, texts, width, similarity)
+    vast = crowded.where(F.col("n") > CROWD)
+    if vast.limit(1).count():
+        finer = in_buckets(rare_shingles(texts.join(vast, "node", "left_semi"), width, similarity), "finer-buckets")
+        roots, rest = rounds(finer, roots, judge)
+        links = links.unionByName(crowd_links(rest, nodes, texts, width, similarity))
+    roots = joined(roots, links)
     return each.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
 
 

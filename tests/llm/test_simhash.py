@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+import zstandard
 from fieldmark.llm import similar as N
 from fieldmark.llm import simhash as S
 
@@ -135,6 +136,43 @@ def test_copies_of_a_text_that_represents_no_bucket(spark, monkeypatch):
         assert sorted((r.doc_id, r.component_id) for r in N.similar_documents(docs).collect()) == want
 
 
+def test_texts_that_share_boilerplate_part_by_rare_shingles(spark, monkeypatch):
+    rng = random.Random(13)
+    plate = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(plate + [f"u{i}x{k}" for k in range(rng.randrange(36, 48))])) for i in range(150)]
+    for i in range(0, 60, 5):  # similar to one of the others each
+        rows.append((1000 + i, rows[i][1].rsplit(" ", 3)[0] + f" other{i}"))
+    want = {i: i % 1000 for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            assert i >= j or (jaccard(x, y, 5) >= 0.8) == (i % 1000 == j % 1000)
+    monkeypatch.setattr(N, "CROWD", 20)
+    blocks, plain = [], N.crowd_links
+    monkeypatch.setattr(N, "crowd_links", lambda many, *rest: blocks.append(many.where("n > 20").count()) or plain(many, *rest))
+    finer, dealt = [], N.rare_shingles
+    monkeypatch.setattr(N, "rare_shingles", lambda texts, *rest: finer.append(texts.count()) or dealt(texts, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in N.similar_documents(docs).collect()} == want
+    assert finer and finer[0] > 20, "buckets above a block are dealt anew"
+    assert blocks == [0, 0], "and nothing is left to compare in several blocks"
+
+
+def test_rare_shingles_of_similar_texts_meet(spark):
+    z = zstandard.ZstdCompressor()
+    rng = random.Random(3)
+    texts = []
+    for n in (1, 3, 5, 6, 9, 14, 19, 24, 40, 100):
+        for _ in range(4):
+            w = [f"w{rng.randrange(60)}" for _ in range(n)]
+            texts += [" ".join(w), " ".join(w[:-1]), " ".join(w + ["end"]), " ".join(["start"] + w)]
+    texts = sorted({t for t in texts if t})
+    rows = [(i, z.compress(t.encode())) for i, t in enumerate(texts)]
+    met = N.rare_shingles(spark.createDataFrame(rows, "node bigint, packed binary"), 5, 0.8).collect()
+    keys = [{r.key for r in met if r.node == i} for i in range(len(texts))]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j], 5) >= 0.8]
+    assert len(near) > 20 and all(keys[i] & keys[j] for i, j in near)
+
+
 def test_one_row_of_each_group_whatever_the_ids(spark):
     rng = random.Random(8)
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
