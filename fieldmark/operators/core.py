@@ -90,7 +90,8 @@ def decayed_sum(value: Column, day: Column, days: int, half_life: float, keys: l
     w = Window.partitionBy(*keys).orderBy(day).rangeBetween(-days, -1)
     even, odd = (F.coalesce(F.sum(F.when(F.pmod(block, F.lit(2)) == p, weight * value)).over(w), F.lit(0.0)) for p in (0, 1))
     own = F.pmod(block, F.lit(2)) == 0
-    return F.when(own, even).otherwise(odd) + F.when(own, odd).otherwise(even) * 0.5 ** (days / half_life)
+    earlier = 0.5 ** (days / half_life)
+    return even * F.when(own, 1.0).otherwise(earlier) + odd * F.when(own, earlier).otherwise(1.0)  # each sum stands here once, as Spark works out each mention
 
 
 def counted_before(values: DataFrame, value: str, weight: str, parts: int = 64) -> DataFrame:

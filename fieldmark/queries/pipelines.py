@@ -11,7 +11,7 @@ from ..operators.core import asof_join, decayed_sum, unpivot_sides
 from ..operators.features import both_sides, clipped, rated_sides, side_features
 from ..operators.folds import Limits, allocate_kelly, allocation_sql
 from ..operators.ratings import StarterState, final_ratings, ordered_fold
-from ..operators.records import common_opponents
+from ..operators.records import records_before
 from ..plans.ledger import SPANS, closing_line_value, first_reason, reconcile
 from ..plans.quarantine import Rule, in_range, judged, not_after, present, quarantined
 from ..sources.files import csv_or_torn
@@ -309,28 +309,31 @@ FROM h JOIN u ON u.game_id = h.game_id AND u.team = h.team LEFT JOIN c ON c.game
 def _(t):
     """A side's record before the match: decayed, by surface, head to head, tiredness, and against opponents that both have met.
 
-    exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  The opponents that both
-    sides have met are intersected before a record is looked up.  A mean of few ratios often ends halfway between two roundings, which
-    1e-9 settles whatever the order of the sum.
+    exp decay is a ratio of sums: what the coming day weighs cancels out, so ordered windows do without a self-join.  They run over a row
+    a side and day, as a window that slides by days takes in each of its rows anew at each step.  A mean of few ratios often ends halfway
+    between two roundings, which 1e-9 settles whatever the order of the sum.
     """
-    s = unpivot_sides(t.games).withColumn("surface", F.col("game_id") % 3).withColumn("won", (F.col("points_for") > F.col("points_against")).cast("double"))
-    total = lambda c: decayed_sum(c, F.unix_date("game_date"), 365, 180.0, ["league", "team"])
+    games = t.games.where("game_date is not null")
+    won = lambda mine, theirs: F.when(F.col(mine) > F.col(theirs), 1.0).otherwise(0.0)
+    s = unpivot_sides(games).select("game_id", "league", "game_date", "team", "opponent", (F.col("game_id") % 3).alias("surface"), won("points_for", "points_against").alias("won"))
+    on = lambda i, c: F.when(F.col("surface") == i, c)
+    sums = [F.sum("won").alias("won"), F.count("*").alias("n")] + [c for i in range(3) for c in (F.sum(on(i, F.col("won"))).alias(f"won{i}"), F.count(on(i, 1)).alias(f"n{i}"))]
     day = Window.partitionBy("league", "team").orderBy(F.unix_date("game_date"))
-    w = day.rangeBetween(-365, -1)
-    mine = lambda c: sum((F.when(F.col("surface") == i, 1.0).otherwise(OTHER_SURFACE) * total(F.when(F.col("surface") == i, c)) for i in range(3)), F.lit(0.0))
-    meet = Window.partitionBy("league", "team", "opponent").orderBy(F.unix_date("game_date")).rangeBetween(Window.unboundedPreceding, -1)
-    n = F.count("*").over(w)
-    side = s.select(
-        "game_id", "league", "team", "opponent", "game_date",
-        F.round(F.try_divide(total(F.col("won")), total(F.lit(1.0))), 6).alias("decayed_rate"),
-        F.round(F.try_divide(mine(F.col("won")), mine(F.lit(1.0))), 6).alias("surface_rate"),
-        n.alias("n"), F.count("*").over(day.rangeBetween(-14, -1)).alias("fatigue"),
-        F.coalesce(F.sum("won").over(meet), F.lit(0.0)).alias("h2h_wins"), F.count("*").over(meet).alias("h2h_met"),
-        F.round(n / (n + 10.0), 6).alias("certainty"),
-    ).where("n > 0")
-    common = common_opponents(t.games.withColumn("won", (F.col("home_score") > F.col("away_score")).cast("double")))
-    out = side.join(common, ["game_id", "team"], "left")
-    return out.select("game_id", "team", "decayed_rate", "surface_rate", "n", "fatigue", "h2h_wins", "h2h_met", "certainty", F.round(F.coalesce("edge", F.lit(0.0)) + 1e-9, 6).alias("common_edge"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("common_opponents"))
+    decayed = {f"d_{c}": decayed_sum(F.col(c), F.unix_date("game_date"), 365, 180.0, ["league", "team"]) for c in ("won", "n", *(f"{c}{i}" for c in ("won", "n") for i in range(3)))}
+    count = lambda d: F.coalesce(F.sum("n").over(day.rangeBetween(-d, -1)), F.lit(0))
+    days = s.groupBy("league", "team", "game_date").agg(*sums).withColumns({**decayed, "n": count(365), "fatigue": count(14)}).where("n > 0")
+    of = lambda c, i: OTHER_SURFACE * F.col(f"d_{c}") + (1 - OTHER_SURFACE) * F.col(f"d_{c}{i}")
+    days = days.select(
+        "league", "team", "game_date", "n", "fatigue", F.round(F.col("n") / (F.col("n") + 10.0), 6).alias("certainty"),
+        F.round(F.try_divide("d_won", "d_n"), 6).alias("decayed_rate"), F.array(*[F.round(F.try_divide(of("won", i), of("n", i)), 6) for i in range(3)]).alias("surfaces"),
+    )
+    met = records_before(games.withColumns({"home_won": won("home_score", "away_score"), "away_won": won("away_score", "home_score")}))
+    known = met.join(days, ["league", "team", "game_date"])
+    out = s.select("game_id", "league", "game_date", "team", "opponent", "surface").join(known, ["league", "game_date", "team", "opponent"])
+    return out.select(
+        "game_id", "team", "decayed_rate", F.get("surfaces", F.col("surface").cast("int")).alias("surface_rate"), "n", "fatigue", F.col("wins").alias("h2h_wins"), F.col("met").alias("h2h_met"), "certainty",
+        F.round(F.coalesce("edge", F.lit(0.0)) + 1e-9, 6).alias("common_edge"), F.col("shared").alias("common_opponents"),
+    )
 
 
 @query("op_oriented_rows", "SELECT game_id, greatest(home_score, away_score) AS a, least(home_score, away_score) AS b, 1 AS target FROM games UNION ALL SELECT game_id, least(home_score, away_score), greatest(home_score, away_score), 0 FROM games")

@@ -56,3 +56,10 @@ def test_decay_does_not_overflow(spark, year):
         past = [(v, 0.5 ** ((day - d).days / 7)) for _, d, v in days if 1 <= (day - d).days <= 30]
         want = sum(v * w for v, w in past) / sum(w for _, w in past) if past else None
         assert got[day] == pytest.approx(want)
+
+
+def test_a_decayed_sum_takes_two_window_sums(spark):
+    """One of even and one of odd blocks; what an expression mentions twice is worked out twice."""
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1.0)], "k int, day date, v double")
+    plan = df.select(decayed_sum(F.col("v"), F.unix_date("day"), 30, 7.0, ["k"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition") == 2

@@ -9,7 +9,7 @@ from fieldmark.operators.core import close_versions
 from fieldmark.operators.features import rated_sides, side_features
 from fieldmark.operators.folds import Limits, allocate_kelly
 from fieldmark.operators.ratings import RatingSpec, final_ratings, ordered_fold, replay
-from fieldmark.operators.records import common_opponents
+from fieldmark.operators.records import common_opponents, records_before
 from fieldmark.operators.versions import VersionTable
 from fieldmark.plans.ledger import duplicates
 from fieldmark.plans.quarantine import Rule, in_range, judged, not_after, present, quarantined
@@ -171,3 +171,24 @@ def test_one_exchange_takes_all_feature_tables(spark):
     assert top.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in top and "BroadcastHashJoin" not in top
     first = {(r.game_id, r.is_home): r for r in sides.collect()}
     assert len(first) == 2 * len(games(40)) and first[0, True].rating == 1500.0 and first[0, True].games == 0 and first[0, True].rest is None
+
+
+def test_records_before_by_loops(spark):
+    """Games without a winner, several of a pair on a day, some without a day."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        a, b = rng.sample(range(5), 2)
+        x, y = rng.choice([(1.0, 0.0), (0.0, 1.0), (0.0, 0.0)])
+        rows.append((i % 2, None if i % 17 == 0 else DAY + dt.timedelta(i // 12), a, b, x, y))
+    df = spark.createDataFrame(rows, "league long, game_date date, home long, away long, home_won double, away_won double")
+    got = {(r.league, r.game_date, r.team, r.opponent): (r.wins, r.met, None if r.edge is None else round(r.edge, 9) + 0.0, r.shared) for r in records_before(df.repartition(3)).collect()}
+    sides = [(lg, d, *s) for lg, d, h, w, x, y in rows if d for s in ((h, w, x), (w, h, y))]
+    want = {}
+    for lg, d, team, opponent, _ in sides:
+        won = lambda who, other, lg=lg, d=d: [w for l2, d2, t, o, w in sides if l2 == lg and d2 < d and t == who and o == other]
+        own = won(team, opponent)
+        pairs = [(len(p), sum(p), len(q), sum(q)) for o in range(5) if (p := won(team, o)) and (q := won(opponent, o))]
+        weight = sum(min(m, n) for m, _, n, _ in pairs)
+        want[lg, d, team, opponent] = (sum(own), len(own), round(sum(min(m, n) * (v / m - w / n) for m, v, n, w in pairs) / weight, 9) + 0.0 if pairs else None, len(pairs))
+    assert got == want
