@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import odds, stats
 from ..operators.bootstrap import bootstrap, bootstrap_sql
 from ..operators.core import asof_join, decayed_sum, unpivot_sides
-from ..operators.features import both_sides, clipped, rated_sides, side_features
+from ..operators.features import both_sides, clipped, rated_sides, side_features, tasks
 from ..operators.folds import Limits, allocate_kelly, allocation_sql
 from ..operators.ratings import StarterState, final_ratings, ordered_fold
 from ..operators.records import records_before
@@ -217,7 +217,9 @@ def known_sides(t):
     s = starters(t)
     ladder = ordered_fold(s, lambda league: StarterState(PITCHER)).where("home >= 0 and away >= 0")
     usual = Window.partitionBy("pitcher").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    app = t.pitches.groupBy("pitcher", F.col("game_date").alias("day")).agg((F.count("*") * 9).alias("pitches"), F.avg("velocity").alias("v"), (100 * F.avg("location")).alias("runs"))
+    # a pitcher has hardly more pitches a day than one, so they are dealt out before they are counted, and the window needs no exchange of its own
+    p = t.pitches.select("pitcher", F.col("game_date").alias("day"), "velocity", "location")
+    app = p.repartition(tasks(p), "pitcher").groupBy("pitcher", "day").agg((F.count("*") * 9).alias("pitches"), F.avg("velocity").alias("v"), (100 * F.avg("location")).alias("runs"))
     loads = app.withColumn("drop", F.avg("v").over(usual) - F.col("v")).withColumns({"league": F.col("pitcher") % 16, "team": F.col("pitcher") % 30})
     who = lambda side, n: F.when(F.col("game_id") % n != 0, F.col(side) * 5 + F.col("game_id") % 5)
     games = t.games.withColumns({"home_starter": who("home", 11), "away_starter": who("away", 13)})

@@ -192,3 +192,17 @@ def test_records_before_by_loops(spark):
         weight = sum(min(m, n) for m, _, n, _ in pairs)
         want[lg, d, team, opponent] = (sum(own), len(own), round(sum(min(m, n) * (v / m - w / n) for m, v, n, w in pairs) / weight, 9) + 0.0 if pairs else None, len(pairs))
     assert got == want
+
+
+def test_feature_tables_are_a_row_a_day_before_they_are_sorted(spark):
+    """Two appearances, two games of a day: the sums and the last rating of the day, and no more rows than days in the sorts."""
+    g = spark.createDataFrame(games(40), GAMES).withColumns({"home_starter": F.col("home") * 5, "away_starter": F.lit(None).cast("long")})
+    scored = ordered_fold(g, RatingSpec())
+    team, day = scored.selectExpr("home", "game_date").orderBy("game_id").first()
+    loads = spark.createDataFrame([(lg, team, day - dt.timedelta(ago), n, 1.0, runs) for lg in range(4) for ago, n, runs in ((1, 16, 4.0), (1, 22, None), (4, 30, 7.0), (40, 50, 9.0))], "league long, team long, day date, pitches long, drop double, runs double")
+    sides = side_features(g, rated_sides(scored), rated_sides(scored, lambda who: who), loads)
+    plan = sides._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Union") :].count("Aggregate") == 3 and "RepartitionByExpression [league" in plan[: plan.index("Union")]
+    first = min((r for r in sides.join(g.where(F.col("home") == team), "game_id").collect() if r.is_home and r.game_date == day), key=lambda r: r.game_id)
+    assert (first.pitches3, first.pitches5, first.over15, first.over20, first.bullpen) == (38, 68, 3, 2, 5.5)
+    assert round(first.penalty, 9) == -round(3 * 0.05 + 2 * 0.10 + 3 * 0.05, 9)
