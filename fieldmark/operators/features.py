@@ -83,7 +83,7 @@ def both_sides(sides: DataFrame, cols: list[str]) -> DataFrame:
     A game's two sides come from different tasks, so they are dealt out by game first: put together where they are, they would only be held there one by one.
     """
     pick = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c)))
-    return sides.repartition("game_id").groupBy("game_id").agg(*[pick(c, home).alias(f"{name}_{c}") for c in cols for name, home in (("home", True), ("away", False))])
+    return sides.repartition(tasks(sides), "game_id").groupBy("game_id").agg(*[pick(c, home).alias(f"{name}_{c}") for c in cols for name, home in (("home", True), ("away", False))])
 
 
 def clipped(points: Column, most: float = 50.0) -> Column:
