@@ -26,9 +26,12 @@ import json
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +49,10 @@ END_ID = 1
 #: The tokenizer's own split, for texts of the first 256 code points.  It never joins what white space parts.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
-_S = " \t-\r\x85\xa0"  # what both the tokenizer and str.split() take for white space
+_S = " \t-\r\x85\xa0"  # what both the tokenizer and Arrow take for white space
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: What takes a text off the plainest way: characters beyond those, and what may be a special token.
-_BEYOND = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
+#: White space for Python and Arrow, not for the tokenizer.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: The same split for all of Unicode.
 _WIDE_PIECE = regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -60,7 +63,7 @@ class _Settled(dict):
     Not so are letters, digits and spaces that are younger than Unicode 3.2 or
     were another kind of character then, as the tokenizer's tables may be older
     or newer than ours; characters that are not assigned; and the four controls
-    that ``str.split`` takes for white space and the tokenizer doesn't.
+    that Arrow takes for white space and the tokenizer doesn't.
     """
 
     def __missing__(self, c: str) -> bool:
@@ -179,67 +182,91 @@ class Merges:
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-class Recent(dict):
-    """Values of recent keys; when full, by number or bytes, only what is met again lives on."""
+def _strings(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
 
-    def __init__(self, keep: int, most: int = 8 << 20):
-        super().__init__()
-        self.keep, self.most, self.size, self.old = keep, most, 0, {}
 
-    def turn(self) -> None:
-        """To be called between uses: makes room if there is none."""
-        if len(self) > self.keep or self.size > self.most:
-            self.old, self.size = dict(self), 0
-            self.clear()
+class Known:
+    """Ids of strings, those of recent strings kept as Arrow arrays (a cache only: results never depend on it).
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of the keys that have to be worked out; all others are in the dictionary until the next turn."""
-        new = keys.difference(self)
-        self.update({k: self.old[k] for k in new.intersection(self.old)})
-        new = list(new.difference(self))
-        self.size += sum(map(len, new))
-        return new
+    When it is full, by number or bytes, what was asked for last lives on alone, if that fits.
+    """
+
+    def __init__(self, find: Callable[[pa.Array], pa.Array], keep: int, most: int = 16 << 20):
+        self.find, self.keep, self.most = find, keep, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _full(self) -> bool:
+        return len(self.keys) > self.keep or self.keys.nbytes + self.ids.nbytes > self.most
+
+    def __call__(self, keys: pa.Array) -> pa.Array:
+        """Ids of each of the keys, which are distinct."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = at.is_null()
+        place = np.where(new, len(self.keys) - 1 + np.cumsum(new), at.fill_null(0))
+        fresh = keys.filter(new)
+        self.keys, self.ids = pa.concat_arrays([self.keys, fresh]), pa.concat_arrays([self.ids, self.find(fresh)])
+        out = self.ids.take(pa.array(place))
+        if self._full():
+            self.keys, self.ids = pa.concat_arrays([keys]), out
+            if self._full():
+                self._clear()
+        return out
+
+    def joined(self, parts: pa.ListArray) -> pa.Array:
+        """The ids of each list of strings, end to end."""
+        coded = parts.values.dictionary_encode()
+        ids = self(coded.dictionary).take(coded.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids), pa.scalar(b"", ids.type))
 
 
 class Tokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Words repeat, so the ids of recent words, and of the pieces that words with
-    other characters than letters consist of, are kept (a cache only: results
-    never depend on it).  A cached entry takes some 200 bytes, so ``keep``
-    bounds a worker at 40 MB.  Texts in any script are split here; those with
-    what may be a special token, or with characters whose kind depends on the
-    version of Unicode, go to the tokenizer as they are.
+    Words repeat, so Arrow splits texts and numbers their words; the ids of
+    recent words, and of the pieces that words with other characters than
+    letters consist of, are kept.  Only words that are not become Python
+    objects.  An entry takes some 40 bytes, and each of the two caches 16 MB at
+    most.  Texts in any script are split here; those with what may be a special
+    token, or with characters whose kind depends on the version of Unicode, go
+    to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 400_000):
+        self.path, merges = path, Merges(path)
+        self.pieces = Known(lambda pieces: pa.array(merges.ids(_strings(pieces)), pa.large_binary()), keep)
+        self.words = Known(lambda words: self.pieces.joined(pa.array(map(self._cut, _strings(words)), pa.list_(pa.large_string()))), keep)
+
+    @cached_property
+    def model(self):
         from tokenizers import Tokenizer
 
-        self.model, self.merges, self.known = Tokenizer.from_file(path), Merges(path), Recent(keep)
+        return Tokenizer.from_file(self.path)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
-    def _words(text: str) -> list[str] | None:
-        if not _BEYOND.search(text):
-            return text.lower().split()
-        if "<|" in text or not all(map(_SETTLED.__getitem__, set(text))):
+    def _words(text: str) -> str | None:
+        """The text's words as they are to be looked up, between white space; None if the tokenizer has to take it."""
+        if "<|" in text:  # it may be a special token
             return None
-        return _lower(text).split()
+        if text.isascii():
+            return None if any(c in text for c in _CONTROLS) else text.lower()
+        return _lower(text) if all(map(_SETTLED.__getitem__, set(text))) else None
+
+    @staticmethod
+    def _cut(word: str) -> list[str]:
+        return [word] if word.isalpha() else (_PIECE if word.isascii() else _WIDE_PIECE).findall(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        known = self.known
-        known.turn()
-        new = known.missing(set().union(*filter(None, split)))
-        mixed = [w for w in new if not w.isalpha()]  # all others are one piece each
-        cut = [(_PIECE if w.isascii() else _WIDE_PIECE).findall(w) for w in mixed]
-        fresh = list({*filter(str.isalpha, new), *known.missing(set().union(*cut))})
-        known.update(zip(fresh, self.merges.ids(fresh), strict=True))
-        get = known.__getitem__
-        known.update(zip(mixed, [b"".join(map(get, c)) for c in cut], strict=True))
-        return [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        lowered = [self._words(t) for t in texts]
+        plain = pa.array([t for t in lowered if t is not None], pa.large_string())
+        joined = iter(self.words.joined(pc.utf8_split_whitespace(plain)).to_pylist())
+        return [self._ids(t) if s is None else next(joined) for t, s in zip(texts, lowered, strict=True)]
 
 
 def word_tokenizer() -> str:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,46 @@ def test_ids_of_living_scripts(texts):
 
 
 MODEL, SHARED = Tokenizer.from_file(P.word_tokenizer()), P.Tokens(P.word_tokenizer(), keep=50)
+
+
+def test_white_space_is_the_tokenizers(tokens):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    settled = [c for c in every if tokens._words(c) is not None]
+    parts = P.pc.list_value_length(P.pc.utf8_split_whitespace(P.pa.array([f"a{c}b" for c in settled]))).to_pylist()
+    spaces = [c for c, n in zip(settled, parts, strict=True) if n == 2]
+    assert spaces == [c for c in settled if P.regex.match(r"\s", c)]
+    texts = [x for c in spaces for x in (f"a{c}b", f"{c}", f"{c}{c}a {c}!b{c}")]
+    for t, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == MODEL.encode(t, add_special_tokens=False).ids, t
+
+
+def test_repeated_words_are_no_python_objects():
+    tokens = P.Tokens(P.word_tokenizer())
+    text = " ".join(f"word{i % 997}" for i in range(300_000))
+    want = b"".join(np.array(MODEL.encode(f"word{i}", add_special_tokens=False).ids, "<u4").tobytes() for i in range(997))
+    tokens.encode([text[:100]])
+    tracemalloc.start()
+    try:
+        (got,) = tokens.encode([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[: len(want)] == want and got[len(want) : 2 * len(want)] == want
+    assert peak - 2 * len(got) - len(text) < 4 << 20  # before: 300 000 strings, 16 MB and more
+
+
+@pytest.mark.parametrize("keep, most", [(10**6, 16 << 20), (20, 16 << 20), (10**6, 700), (0, 0)])
+def test_what_a_full_cache_drops_is_worked_out_again(keep, most):
+    asked = []
+
+    def find(keys):
+        asked.extend(keys.to_pylist())
+        return P.pa.array([k.encode() * 2 for k in keys.to_pylist()], P.pa.large_binary())
+
+    known = P.Known(find, keep, most)
+    for first in (0, 5, 10, 10, 40, 0):
+        keys = [f"k{i}" for i in range(first, first + 15)]
+        assert known(P.pa.array(keys, P.pa.large_string())).to_pylist() == [k.encode() * 2 for k in keys]
+        assert len(known.keys) <= keep and known.keys.nbytes + known.ids.nbytes <= most
+    assert known.joined(P.pa.array([["k1", "k2"], [], ["k1"]], P.pa.list_(P.pa.large_string()))).to_pylist() == [b"k1k1k2k2", b"", b"k1k1"]
+    assert len(asked) == len(set(asked)) if keep == 10**6 and most > 700 else len(asked) > 45
