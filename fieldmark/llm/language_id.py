@@ -144,12 +144,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], epochs: int = 12
     return model
 
 
-def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
+def sample(docs: DataFrame, per_lang: int, most: int | None = None) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
     """Bucket counts of about per_lang texts of each language, never over twice as many; docs has text, lang.
 
     Texts are drawn by their own hash and copies count once, so neither null or
     repeated ids nor a hot text can swell the sample.  A text counts with all its
-    buckets, of which there are no more than the table has, however long it is.
+    buckets, of which there are no more than the table has, however long it is;
+    with its ``most`` most frequent ones alone if a caller asks for that (no query does).
     """
     known = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -167,6 +168,9 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray, np.nda
             for lang, text, key in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "key")), strict=True):
                 if (found := subwords(text)) is not None:
                     u, n = np.unique(found, return_counts=True)
+                    if most is not None and len(u) > most:
+                        top = np.sort(np.lexsort((u, -n))[:most])
+                        u, n = u[top], n[top]
                     rows.append((lang, key, u.astype("<u2").tobytes(), n.astype("<f4").tobytes()))
             types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["lang", "key", "b", "n"])

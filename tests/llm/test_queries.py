@@ -154,6 +154,15 @@ def test_language_sample_is_bounded_whatever_the_ids(spark):
     assert max(len(g[1]) for g in got) <= 1000
 
 
+def test_language_sample_counts_all_buckets_unless_asked(spark):
+    text = words(random.Random(4), 3000)
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string")
+    buckets, counts = np.unique(I.Subwords()(text), return_counts=True)
+    ((_, whole, n, _),), ((_, some, m, _),) = I.sample(docs, 50), I.sample(docs, 50, most=100)
+    assert whole.tolist() == buckets.tolist() and n.tolist() == counts.tolist()
+    assert len(some) == 100 and sorted(m.tolist()) == sorted(counts.tolist())[-100:]
+
+
 def test_op7(spark, given):
     rows = run(spark, given, "op7_soft_mixing", "doc_id tokens")
     assert sorted((key(r.doc_id), r.tokens) for r in rows) == sorted((key(i), len(WORD.findall(t or ""))) for i, t, _ in given[2])
