@@ -200,7 +200,7 @@ def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows (key, node, n) of buckets whose texts are in different groups, with each one's ``root``."""
     held = materialise(met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "similar-held")
     split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return materialise(held.join(split, "key"), "similar-apart")
+    return materialise(held.join(materialise(split, "similar-split"), "key"), "similar-apart")
 
 
 def compared(i: int, j: int, blocks: list[int], nodes: list[int], roots: list[int], sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -259,9 +259,12 @@ def rare_shingles(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def in_buckets(keyed: DataFrame, label: str) -> DataFrame:
-    """(key, node) with the size ``n`` and the smallest node ``low`` of each key that more than one node has."""
+    """(key, node) with the size ``n`` and the smallest node ``low`` of each key that more than one node has.
+
+    Sizes are stored first: a join in the stage of their aggregate would read all of a bucket in one task.
+    """
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    return materialise(keyed.join(sizes, "key"), label)
+    return materialise(keyed.join(materialise(sizes, f"{label}-sizes"), "key"), label)
 
 
 def rounds(met: DataFrame, roots: DataFrame | None, judge: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -275,6 +278,7 @@ def rounds(met: DataFrame, roots: DataFrame | None, judge: Callable[[DataFrame],
     side = lambda n: few.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     pairs = side("a").join(side("b"), "key").where("a > b and root_a <> root_b").select("a", "b")
     picked = many.groupBy("key").agg(*[F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(i))).alias(f"p{i}") for i in range(2)])
+    picked = materialise(picked, "similar-picked")
     stars = many.join(picked.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("root <> p.root").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
     roots = joined(roots, judge(pairs.unionByName(stars)))
     return roots, apart(many.select("key", "node", "n"), roots)
@@ -325,7 +329,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     links = crowd_links(crowded.where(F.col("n") <= CROWD), nodes, texts, width, similarity)
     vast = crowded.where(F.col("n") > CROWD)
     if vast.limit(1).count():
-        finer = in_buckets(rare_shingles(texts.join(vast, "node", "left_semi"), width, similarity), "finer-buckets")
+        rare = materialise(rare_shingles(texts.join(vast, "node", "left_semi"), width, similarity), "rare-shingles")
+        finer = in_buckets(rare, "finer-buckets")
         roots, rest = rounds(finer, roots, judge)
         links = links.unionByName(crowd_links(rest, nodes, texts, width, similarity))
     roots = joined(roots, links)

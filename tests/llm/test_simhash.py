@@ -4,6 +4,7 @@ import xxhash
 import zstandard
 from fieldmark.llm import similar as N
 from fieldmark.llm import simhash as S
+from pyspark.sql import functions as F
 
 from .helpers import documents, empty
 
@@ -157,6 +158,27 @@ def test_texts_that_share_boilerplate_part_by_rare_shingles(spark, monkeypatch):
     assert blocks == [0, 0], "and nothing is left to compare in several blocks"
 
 
+def test_a_large_bucket_is_dealt_over_several_tasks(spark):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("xxhash64(id) node", "if(id % 4 > 0, 0, id div 8) key")
+    roots = rows.selectExpr("node", "node root")
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "20"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        met = N.in_buckets(rows, "some")
+        n, low, least = met.where("key = 0").agg(F.min("n"), F.max("low"), F.min("node")).first()
+        assert met.count() == 40_000 and n == 30_002 and low == least
+        left = N.apart(met.select("key", "node", "n"), roots)
+        assert left.count() == 40_000
+        for df in (met, left):
+            most = df.groupBy(F.input_file_name()).count().agg({"count": "max"}).first()[0]
+            assert most < 15_000, "a task's file holds a part of the bucket only"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_rare_shingles_of_similar_texts_meet(spark):
     z = zstandard.ZstdCompressor()
     rng = random.Random(3)
