@@ -32,6 +32,7 @@ long texts are taken whole.  Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -284,18 +285,40 @@ def rounds(met: DataFrame, roots: DataFrame | None, judge: Callable[[DataFrame],
     return roots, apart(many.select("key", "node", "n"), roots)
 
 
+def lined_up(many: DataFrame) -> tuple[DataFrame, int]:
+    """The buckets of many(key, node, n): key, ``count`` of blocks and ``start``, the place of its rows on a line of all; and the line's length.
+
+    A row is on the line as often as its bucket has blocks, since it meets each of them.
+    """
+    each = many.groupBy("key").agg(F.max("n").alias("n")).withColumn("count", F.ceil(F.col("n") / CROWD).cast("int"))
+    each = each.withColumn("rows", F.col("n") * F.col("count")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    each = materialise(each, "crowd-buckets")
+    sums = dict(each.groupBy("salt").agg(F.sum("rows")).collect())
+    ends = list(itertools.accumulate((sums.get(k, 0) for k in range(SALTS)), initial=0))
+    before = Window.partitionBy("salt").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.array(*[F.lit(x).cast("long") for x in ends])[F.col("salt")] + F.coalesce(F.sum("rows").over(before), F.lit(0))
+    return each.withColumn("start", start), ends[-1]
+
+
 def crowd_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """many(key, node, n, root) of large buckets -> links (a, b) that join what is apart in one.
 
     A bucket of n texts falls into n / CROWD blocks by a hash of the node (one,
     if it has no more), and every two blocks meet in a group of their own, so a task holds two blocks
-    whatever the size of the bucket.
+    at once whatever the size of the bucket.  Groups are laid end to end and the line is cut into equal parts, as
+    by hash several of the largest may fall to one task.
     """
-    count = F.ceil(F.col("n") / CROWD).cast("int")
-    members = many.withColumn("block", F.pmod(F.xxhash64("node", "key"), count).cast("int"))
+    buckets, total = lined_up(many)
+    parts = max(1, min(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CROWD)))
+    members = many.join(buckets.select("key", "count", "start"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "count").cast("int"))
     met = members.join(nodes.select("node", *SKETCH), "node").join(texts, "node")
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "packed", *SKETCH)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    # blocks in the groups (0, 0), (0, 1), ..., (1, 1), ... before this one: (i, i) has one, others have two
+    ahead = F.expr("2L * i * count - 1L * i * i + greatest(0, 2 * (j - i) - 1)")
+    place = F.col("start") + ahead * F.col("n") / F.col("count")
+    met = met.withColumn("part", F.floor(place * parts / max(1, total)).cast("int"))
+    met = met.select("part", "key", "i", "j", "block", "node", "root", "packed", *SKETCH).repartitionById(parts, "part")
 
     def compare(table):
         z = zstandard.ZstdDecompressor()
@@ -306,7 +329,7 @@ def crowd_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
         give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return met.groupBy("part", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

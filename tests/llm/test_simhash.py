@@ -179,6 +179,31 @@ def test_a_large_bucket_is_dealt_over_several_tasks(spark):
             spark.conf.set(f"spark.sql.{k}", v)
 
 
+def test_groups_of_crowded_texts_are_dealt_evenly(spark, monkeypatch):
+    """20 buckets of a block and one of three: 26 groups, of which no two fall to one task, whatever their hashes."""
+    monkeypatch.setattr(N, "CROWD", 20)
+    keys = [k for k in range(20) for _ in range(20)] + [99] * 60
+    packed = [zstandard.ZstdCompressor().compress((" ".join(f"w{i}" for i in range(60)) + f" end{node}").encode()) for node in range(len(keys))]
+    many = spark.createDataFrame([(k, node, keys.count(k), node) for node, k in enumerate(keys)], "key bigint, node bigint, n bigint, root bigint")
+    nodes = many.select("node", *[F.lit(0).cast("long").alias(s) for s in N.SKETCH])
+    texts = spark.createDataFrame(list(enumerate(packed)), "node bigint, packed binary")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = N.crowd_links(many, nodes, texts, 5, 0.8).withColumn("task", F.spark_partition_id()).collect()
+        assert N.crowd_links(many.limit(0), nodes, texts, 5, 0.8).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(keys[r.a] == keys[r.b] for r in links)
+    tasks = {k: {r.task for r in links if keys[r.a] == k} for k in set(keys)}
+    found = {k: sum(keys[r.a] == k for r in links) for k in tasks}
+    assert found == {99: 174, **dict.fromkeys(range(20), 19)}, "every two blocks are joined"
+    assert sum(map(len, tasks.values())) == len(set.union(*tasks.values())) == 26
+
+
 def test_rare_shingles_of_similar_texts_meet(spark):
     z = zstandard.ZstdCompressor()
     rng = random.Random(3)
